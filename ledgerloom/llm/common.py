@@ -125,3 +125,28 @@ def fit_sample(docs: DataFrame, labelled: DataFrame, per_class: int, most_bytes:
     ids = labelled.dropDuplicates(["doc_id"]).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").orderBy("doc_id").collect()
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers of up to 64 bits by byte planes, without the upper ones that are empty."""
+    x = np.ascontiguousarray(x, dtype=np.uint64)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if x.size else 1
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """pack() of the differences of ascending numbers, behind the first of them."""
+    return x[:1].tobytes() + pack(np.diff(x))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    if len(b) < 8:
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(b, np.uint64, 1), unpack(b[8:])]), dtype=np.uint64)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, mix64, text_bytes
+from .common import constants, mix64, pack_sorted, text_bytes, unpack_sorted
 
 ALPHA = 0.4
 #: Text in a block and packed n-grams in a bucket, in bytes; their numbers follow from the size of the input.
@@ -43,30 +43,14 @@ def _grams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, list[tupl
     return n, out
 
 
-def _pack(x: np.ndarray) -> bytes:
+def _squeeze(x: np.ndarray) -> bytes:
     return zstandard.compress(x.tobytes(), 1)
 
 
-def _unpack(b: bytes, kind=np.int64) -> np.ndarray:
+def _restore(b: bytes, kind=np.int64) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
-def _thin(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, by byte planes without the empty upper ones."""
-    step = np.diff(sorted_hashes, prepend=np.uint64(0))
-    planes = step.view(np.uint8).reshape(-1, 8)
-    width = 8 if not step.size else max(1, -(-int(step[1:].max() if step.size > 1 else 0).bit_length() // 8))
-    return bytes([width]) + step[:1].tobytes() + np.ascontiguousarray(planes[1:, :width].T).tobytes()
-
-
-def _thick(b: bytes) -> np.ndarray:
-    width, first = b[0], np.frombuffer(b, np.uint64, 1, 1)
-    rest = np.frombuffer(b, np.uint8, offset=9).reshape(width, -1)
-    planes = np.zeros((rest.shape[1], 8), np.uint8)
-    planes[:, :width] = rest.T
-    return np.cumsum(np.concatenate([first, planes.view(np.uint64).ravel()]), dtype=np.uint64)
-
-
 def _sorted_rows(table: pa.Table) -> pa.Table:
     """The order that makes both passes see a block alike; rows that tie are equal."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -86,9 +70,9 @@ def _explode(order: int, buckets: int):
             for b in range(buckets):
                 if cut[b] < cut[b + 1]:
                     part = slice(cut[b], cut[b + 1])
-                    for name, x in zip(out, (block, b, k, _thin(own[part]), _pack(count[part].astype(np.int64))), strict=True):
+                    for name, x in zip(out, (block, b, k, pack_sorted(own[part]), _squeeze(count[part].astype(np.int64))), strict=True):
                         out[name].append(x)
-        for name, x in zip(out, (block, 0, 0, b"", _pack(np.array([n.sum()], np.int64))), strict=True):  # all tokens
+        for name, x in zip(out, (block, 0, 0, b"", _squeeze(np.array([n.sum()], np.int64))), strict=True):  # all tokens
             out[name].append(x)
         return pa.table({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()), "ord": pa.array(out["ord"], pa.int32()), "grams": pa.array(out["grams"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
@@ -101,17 +85,17 @@ def _count(table: pa.Table) -> pa.Table:
     totals: list[bytes] = [b""] * len(order)
     for k in set(order):
         rows = [i for i, o in enumerate(order) if o == k]
-        n = [_unpack(counts[i]) for i in rows]
+        n = [_restore(counts[i]) for i in rows]
         if k == 0:
-            whole = _pack(np.array([sum(int(x[0]) for x in n)], np.int64))
+            whole = _squeeze(np.array([sum(int(x[0]) for x in n)], np.int64))
             for i in rows:
                 totals[i] = whole
             continue
-        keys, back = np.unique(np.concatenate([_thick(grams[i]) for i in rows]), return_inverse=True)
+        keys, back = np.unique(np.concatenate([unpack_sorted(grams[i]) for i in rows]), return_inverse=True)
         total = np.bincount(back, weights=np.concatenate(n), minlength=keys.size).astype(np.int64)[back]
         at = np.cumsum([0, *(x.size for x in n)])
         for j, i in enumerate(rows):
-            totals[i] = _pack(total[at[j] : at[j + 1]])
+            totals[i] = _squeeze(total[at[j] : at[j + 1]])
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ord": table.column("ord"), "totals": pa.array(totals, pa.binary())})
 
 
@@ -122,11 +106,11 @@ def _score(order: int, alpha: float, leave_one_out: bool):
         rows = sorted(zip(right.column("ord").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
         ends = np.cumsum(n)
         doc = np.repeat(np.arange(n.size), n)
-        every = float(_unpack(next(t for k, _, t in rows if k == 0))[0]) if n.size and rows else 0.0
+        every = float(_restore(next(t for k, _, t in rows if k == 0))[0]) if n.size and rows else 0.0
         seen = np.full((order + 1, int(n.sum())), 0.0)  # of the k-gram that ends at a word: its count elsewhere
         for k, (h, at) in enumerate(grams, 1):
             own, back = np.unique(h, return_inverse=True)
-            total = np.concatenate([np.empty(0, np.int64), *(_unpack(t) for o, _, t in rows if o == k)])[back].astype(float)
+            total = np.concatenate([np.empty(0, np.int64), *(_restore(t) for o, _, t in rows if o == k)])[back].astype(float)
             if leave_one_out:
                 both = doc[at] * np.int64(own.size) + back
                 _, inner, times = np.unique(both, return_inverse=True, return_counts=True)

@@ -6,9 +6,9 @@ wherever they lie, share an anchor of window - PERIOD + 1 words inside them. Onl
 (4 of 13 positions). Around anchors that occur twice the match is extended: the full windows that contain one are hashed
 and grouped, and all but the first occurrence of each are marked.
 
-What a worker has already decided within its piece of the input (a repeat with an earlier start in sight) leaves it as
-a packed list of positions; a passage that a third of all documents share sends one row a piece to its group, not one
-a document.
+What a worker can decide within its piece of the input (a repeat with an earlier start in sight) it decides; a passage that
+a third of all documents share sends one entry a piece to its bucket, not one a document. Pieces are runs of rows
+sorted by document, so a task that is run again makes the same ones.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, by_bytes, constants, materialize, mix64, salted, text_bytes
+from .common import CHUNK_BYTES, by_bytes, constants, materialize, mix64, pack, pack_sorted, salted, text_bytes, unpack, unpack_sorted
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
+#: Words of the input for each bucket of the key space.
+BUCKET_WORDS = 1 << 20
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -65,39 +67,30 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(shas)], names=["doc_id", "th", "n", "fp", "sha"])
 
 
-_ROW = "key long, key2 long, doc_id long, th long, pos int, known binary"
+#: What goes through a shuffle is packed: entries (kind 0) of one piece of the input for one bucket of the key space, and
+#: once a piece (kind 1) its documents, where each begins, and the offsets that it has decided itself.
+_ROW = "bucket long, piece long, kind int, a binary, b binary, c binary, d binary"
+_HIT = "piece long, kind int, a binary, b binary, c binary, d binary"
+_PLACES = "doc_id long, th long, places binary"
+_NAMES = ["bucket", "piece", "kind", "a", "b", "c", "d"]
 
 
-class _Rows:
-    """Collects output rows: singles (key, key2, document, position) and packed positions that are known already."""
+class _Piece:
+    """Entries and decided offsets of consecutive documents; an offset is a word's position in the whole piece."""
 
-    def __init__(self, ids: np.ndarray, ths: np.ndarray):
-        self.ids, self.ths, self.parts, self.packed = ids, ths, [], []
+    def __init__(self, ids: np.ndarray, ths: np.ndarray, starts: np.ndarray, buckets: int):
+        self.ids, self.ths, self.starts, self.buckets = ids, ths, starts, buckets
+        self.name = xxhash.xxh3_64_intdigest(np.stack([ids, ths, starts]).tobytes()) >> 1
 
-    def singles(self, key, key2, doc, pos) -> None:
-        self.parts.append((key.view(np.int64), key2.view(np.int64), doc, pos.astype(np.int32)))
-
-    def known(self, doc: np.ndarray, pos: np.ndarray) -> None:
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order].astype(np.uint32)
-        cut = np.flatnonzero(np.diff(doc)) + 1
-        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [doc.size]]), strict=True):
-            if b > a:
-                self.packed.append((int(doc[a]), pos[a:b].tobytes()))
-
-    def batch(self) -> pa.RecordBatch:
-        docs = np.array([d for d, _ in self.packed], np.int64)
-        key = np.concatenate([p[0] for p in self.parts] + [mix64(self.ths[docs].view(np.uint64)).view(np.int64)])  # spread evenly
-        key2 = np.concatenate([p[1] for p in self.parts] + [np.zeros(docs.size, np.int64)])
-        doc = np.concatenate([p[2] for p in self.parts] + [docs])
-        pos = np.concatenate([p[3] for p in self.parts] + [np.zeros(docs.size, np.int32)])
-        known = pa.array([None] * (doc.size - docs.size) + [p for _, p in self.packed], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(key2), pa.array(self.ids[doc]), pa.array(self.ths[doc]), pa.array(pos), known], names=["key", "key2", "doc_id", "th", "pos", "known"])
-
-
-def _firsts(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Order by key, document and position."""
-    return np.lexsort((at, doc, key))
+    def batch(self, key: np.ndarray, at: np.ndarray, more: list[np.ndarray], known: np.ndarray, keep_bits: int) -> pa.RecordBatch:
+        """key: ascending; of its bits the upper keep_bits are kept. more: further columns of the entries."""
+        key = key >> np.uint64(64 - keep_bits)
+        edges = np.array([(k << keep_bits) // self.buckets for k in range(self.buckets + 1)], dtype=object)
+        cut = np.append(np.searchsorted(key, edges[:-1].astype(np.uint64)), key.size)
+        out = [(b, self.name, 0, pack_sorted(key[i:j]), pack(at[i:j]), *[pack(m[i:j]) for m in more], *[None] * (2 - len(more))) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+        out.append((self.name % self.buckets, self.name, 1, self.ids.tobytes(), self.ths.tobytes(), self.starts.tobytes(), pack_sorted(np.unique(known).astype(np.uint64))))
+        kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,97 +106,46 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _anchors(window: int):
-    length = window - PERIOD + 1
+def _pieces(batch: pa.RecordBatch, window: int):
+    """Of each run of documents: its row range, the identity of its documents, words' hashes and the anchors with their keys."""
+    texts = text_bytes(batch.column(2))
+    ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    for a, b in by_bytes(texts, 2 * CHUNK_BYTES):
+        _, h, ends = _word_hashes(texts[a:b])
+        starts = np.concatenate([[0], ends[:-1]])
+        at, doc = _anchor_at(starts, ends, window - PERIOD + 1)
+        yield a, b, ids[a:b], ths[a:b], h, starts, ends, at, doc, _window_hash(h, at, window - PERIOD + 1, 31)
+
+
+def _anchors(window: int, buckets: int, keep_bits: int):
+    """The first place of each anchor in a piece; what occurs twice in the piece is decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _merged(batches):
-            texts = text_bytes(batch.column(2))
-            all_ids, all_ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in by_bytes(texts, 2 * CHUNK_BYTES):
-                _, h, ends = _word_hashes(texts[a:b])
-                starts = np.concatenate([[0], ends[:-1]])
-                at, doc = _anchor_at(starts, ends, length)
-                key = _window_hash(h, at, length, 31)
-                local = at - starts[doc]
-                order = _firsts(key, doc, local)
-                key, doc, local = key[order], doc[order], local[order]
-                new_key = np.concatenate([[True], key[1:] != key[:-1]])[: key.size]
-                new_doc = new_key | np.concatenate([[True], doc[1:] != doc[:-1]])[: key.size]
-                run_no = np.cumsum(new_key) - 1
+            for _, _, ids, ths, _, starts, _, at, doc, key in _pieces(batch, window):
+                order = np.lexsort((at, key))
+                key, at, doc = key[order], at[order], doc[order]
+                new = np.concatenate([[True], key[1:] != key[:-1]])[: key.size]
+                run_no = np.cumsum(new) - 1
                 repeated = (np.bincount(run_no) > 1)[run_no] if key.size else np.empty(0, bool)
-                rows = _Rows(all_ids[a:b], all_ths[a:b])
-                rows.singles(key[new_key], np.zeros(int(new_key.sum()), np.uint64), doc[new_key], local[new_key])
-                rows.known(doc[repeated & new_doc], local[repeated & new_doc])
-                yield rows.batch()
+                once = new | np.concatenate([[True], doc[1:] != doc[:-1]])[: key.size]  # a document needs one place of a key
+                yield _Piece(ids, ths, starts, buckets).batch(key[new], at[new], [], at[repeated & once], keep_bits)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: those whose key occurs twice, and what was known."""
-    held = None  # the last row of the batch before: key, row, whether it is out already
-    for batch in batches:
-        known = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
-        key, single = batch.column(0).to_numpy(), batch.filter(pa.array(~known))
-        out = [batch.filter(pa.array(known))]
-        key = key[~known]
-        if key.size:
-            same = key[1:] == key[:-1]
-            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if held is not None and held[0] == key[0]:
-                twice[0] = True
-                if not held[2]:
-                    out.append(held[1])
-            out.append(single.filter(pa.array(twice)))
-            held = key[-1], single.slice(key.size - 1), bool(twice[-1])
-        for x in out:
-            if x.num_rows:
-                yield x.select([2, 3, 4, 5])
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key, key2 and doc_id: those whose key has a row of a smaller doc_id, and what was known."""
-    first = None
-    for batch in batches:
-        known = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
-        single = batch.filter(pa.array(~known))
-        out = [batch.filter(pa.array(known))]
-        if single.num_rows:
-            key, key2, doc = (single.column(i).to_numpy() for i in range(3))
-            new = np.concatenate([[first is None or first[:2] != (key[0], key2[0])], (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])])
-            origin = np.maximum.accumulate(np.where(new, np.arange(key.size), -1))
-            smallest = np.where(origin >= 0, doc[np.maximum(origin, 0)], first[2] if first else 0)
-            first = key[-1], key2[-1], smallest[-1]
-            out.append(single.filter(pa.array(doc > smallest)))
-        for x in out:
-            if x.num_rows:
-                yield x.select([2, 3, 4, 5])
-
-
-def _positions(single: list[list[int]], packed: list[list[bytes]], i: int) -> np.ndarray:
-    return np.concatenate([np.array(single[i], np.int64), *(np.frombuffer(p, np.uint32).astype(np.int64) for p in packed[i])])
-
-
-def _windows(window: int):
-    """Extend: the windows around repeated anchors, first occurrences as rows, later ones of a piece as known."""
-    length = window - PERIOD + 1
+def _windows(window: int, buckets: int):
+    """Extend: the windows around repeated anchors; the first place of each in a piece, and later ones as decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _merged(batches):
-            texts = text_bytes(batch.column(2))
-            all_ids, all_ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            single, packed = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for a, b in by_bytes(texts, 2 * CHUNK_BYTES):
-                _, h, ends = _word_hashes(texts[a:b])
-                starts = np.concatenate([[0], ends[:-1]])
-                at, doc = _anchor_at(starts, ends, length)
-                key = _window_hash(h, at, length, 31)
+            places = batch.column(3).to_pylist()
+            for a, b, ids, ths, h, starts, ends, at, doc, key in _pieces(batch, window):
                 hot = np.zeros(at.size, bool)
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 for i in range(b - a):
                     lo, hi = cuts[i], cuts[i + 1]
-                    found = np.searchsorted(at[lo:hi], starts[i] + _positions(single, packed, a + i))
+                    found = np.searchsorted(at[lo:hi], starts[i] + _places(places[a + i]))
                     hot[lo:hi] = np.isin(key[lo:hi], key[lo:hi][found[found < hi - lo]])
                 inside = np.zeros(h.size + 1, np.int32)
                 low, high = np.maximum(at[hot] - PERIOD + 1, starts[doc[hot]]), np.minimum(at[hot], ends[doc[hot]] - window)
@@ -212,32 +154,84 @@ def _windows(window: int):
                 np.add.at(inside, high[fits] + 1, -1)
                 at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
                 doc = np.searchsorted(ends, at, side="right")
-                key, key2 = _window_hash(h, at, window, 32), _window_hash(h, at, window, 33)
-                ids, local = all_ids[a:b], at - starts[doc]
-                order = np.lexsort((local, doc, ids[doc], key2, key))
-                key, key2, doc, local = key[order], key2[order], doc[order], local[order]
+                key, key2 = _window_hash(h, at, window, 32), _window_hash(h, at, window, 33) >> np.uint64(32)
+                order = np.lexsort((at, doc, ids[doc], key2, key))
+                key, key2, doc, at = key[order], key2[order], doc[order], at[order]
                 new = np.concatenate([[True], (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])])[: key.size]
                 origin = np.maximum.accumulate(np.where(new, np.arange(key.size), 0)) if key.size else np.empty(0, np.int64)
-                again = np.concatenate([[False], (doc[1:] == doc[:-1])])[: key.size] & ~new
+                again = np.concatenate([[False], doc[1:] == doc[:-1]])[: key.size] & ~new
                 later = (ids[doc] > ids[doc[origin]]) | again
-                rows = _Rows(ids, all_ths[a:b])
-                rows.singles(key[~later], key2[~later], doc[~later], local[~later])
-                rows.known(doc[later], local[later])
-                yield rows.batch()
+                yield _Piece(ids, ths, starts, buckets).batch(key[~later], at[~later], [key2[~later], ids[doc[~later]].view(np.uint64)], at[later], 64)
 
     return run
 
 
+def _places(b: bytes) -> np.ndarray:
+    return unpack_sorted(b).astype(np.int64)
+
+
+def _bucket(decide):
+    """Apply decide() to all entries of a bucket; its True ones go on as offsets of their pieces, and kind 1 as it is."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        rows = {c: table.column(c).to_pylist() for c in ("a", "b", "c", "d")}
+        entries = np.flatnonzero(kind == 0).tolist()
+        key = [unpack_sorted(rows["a"][i]) for i in entries]
+        more = [np.concatenate([unpack(rows[c][i]) for i in entries]) if entries and rows[c][entries[0]] is not None else None for c in ("c", "d")]
+        chosen = decide(np.concatenate(key), *more) if entries else np.empty(0, bool)
+        cut = np.cumsum([0, *(k.size for k in key)])
+        for j, i in enumerate(entries):
+            found = np.sort(unpack(rows["b"][i])[chosen[cut[j] : cut[j + 1]]])
+            rows["a"][i] = rows["c"][i] = rows["d"][i] = None
+            rows["b"][i] = pack_sorted(found)
+        out = pa.table([table.column("piece"), table.column("kind"), *(pa.array(x, pa.binary()) for x in rows.values())], names=_NAMES[1:])
+        return out.filter(pa.array([k == 1 or len(b) > 0 for k, b in zip(kind.tolist(), rows["b"], strict=True)]))
+
+    return run
+
+
+def _twice(key: np.ndarray, *_) -> np.ndarray:
+    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+    return n[back] > 1
+
+
+def _later(key: np.ndarray, key2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an equal key has a smaller doc_id."""
+    doc = doc.view(np.int64)
+    order = np.lexsort((doc, key2, key))
+    k, k2, d = key[order], key2[order], doc[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])
+    out = np.empty(key.size, bool)
+    out[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(k.size), 0))]
+    return out
+
+
+def _resolve(table: pa.Table) -> pa.Table:
+    """The offsets found in a piece, as places in its documents."""
+    kind = table.column("kind").to_pylist()
+    a, b, c, d = (table.column(x).to_pylist() for x in ("a", "b", "c", "d"))
+    k = kind.index(1)
+    ids, ths, starts = (np.frombuffer(x[k], np.int64) for x in (a, b, c))
+    found = np.unique(np.concatenate([unpack_sorted(d[i]) if n else unpack_sorted(b[i]) for i, n in enumerate(kind)])).astype(np.int64)
+    # An empty document begins where the next one does: the last that begins there holds the word.
+    doc = np.searchsorted(starts, found, side="right") - 1
+    which, first = np.unique(doc, return_index=True)
+    ends = np.append(first[1:], found.size)
+    places = [pack_sorted((found[i:j] - starts[x]).astype(np.uint64)) for x, i, j in zip(which.tolist(), first.tolist(), ends.tolist(), strict=True)]
+    return pa.table([pa.array(ids[which]), pa.array(ths[which]), pa.array(places, pa.binary())], names=["doc_id", "th", "places"])
+
+
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, single, packed = text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts, places = text_bytes(batch.column(2)), batch.column(3).to_pylist()
             removed, shas, kept = [], [], []
             for a, b in by_bytes(texts):
                 words, h, ends = _word_hashes(texts[a:b])
                 for i, ws in enumerate(words):
                     own = h[ends[i] - len(ws) : ends[i]]
-                    at = np.unique(_positions(single, packed, a + i))
+                    at = _places(places[a + i])
                     gone = np.zeros(len(ws) + 1, np.int32)
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
@@ -250,10 +244,6 @@ def _kept(window: int):
     return run
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("known").isNull(), F.col("pos"))).alias("single"), F.collect_list("known").alias("packed"))
-
-
 def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text, where with_text and a word was removed).
 
@@ -275,12 +265,19 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = F
     firsts = whole.join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "th").distinct()
     texts = docs.join(firsts, ["doc_id", "th"], "left_semi")  # its exchange is written once and read three times
     texts = texts.select("doc_id", "th", "text")
-    anchors = texts.mapInArrow(_anchors(window), _ROW).repartition("key").sortWithinPartitions("key")
-    found = _gathered(anchors.mapInArrow(_repeated, "doc_id long, th long, pos int, known binary"))
-    near = texts.join(found, ["doc_id", "th"]).select("doc_id", "th", "text", "single", "packed")
-    windows = near.mapInArrow(_windows(window), _ROW).repartition("key").sortWithinPartitions("key", "key2", "doc_id")
-    marked = _gathered(windows.mapInArrow(_later, "doc_id long, th long, pos int, known binary"))
-    cut = texts.join(marked, ["doc_id", "th"]).select("doc_id", "th", "text", "single", "packed").mapInArrow(_kept(window), "doc_id long, th long, n_removed long, kept_sha string, kept_text string")
+    words = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, -(-words // BUCKET_WORDS))
+    # Anchors are a filter: bits enough that one in a thousand meets another by chance.
+    keep_bits = min(64, max(24, int(words).bit_length() + 10))
+
+    def grouped(rows: DataFrame, decide) -> DataFrame:
+        hits = rows.groupBy("bucket").applyInArrow(_bucket(decide), _HIT)
+        return hits.groupBy("piece").applyInArrow(_resolve, _PLACES)
+
+    found = grouped(texts.mapInArrow(_anchors(window, buckets, keep_bits), _ROW), _twice)
+    near = texts.join(found, ["doc_id", "th"]).select("doc_id", "th", "text", "places")
+    marked = grouped(near.mapInArrow(_windows(window, buckets), _ROW), _later)
+    cut = texts.join(marked, ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(_kept(window), "doc_id long, th long, n_removed long, kept_sha string, kept_text string")
     cut = cut if with_text else cut.drop("kept_text")
     cut = cut.union(copies.select("doc_id", "th", F.lit(None).cast("long"), F.lit(_NOTHING), *([F.lit("")] if with_text else []))).dropDuplicates(["doc_id", "th"])
     out = heads.join(cut, ["doc_id", "th"], "left")
