@@ -6,9 +6,10 @@ MATCHES coordinates agrees in one of any COORDINATES - MATCHES + 1 of them, so o
 coordinates are skipped in the merge and only probed, through two bits of each that travel with the posting: a bound from
 above on the collision count, so no pair over the threshold is lost. Pairs that pass are confirmed on full sets.
 
-Copies of one set form a class from the start and only its first document is posted. A posting list is first compared with
-its smallest document only; lists whose documents are by then connected need no more, others compare their documents
-across components. So a list costs its square only where its documents are not near-duplicates of each other.
+Copies of one set form a class from the start and only its first document is posted. The documents of a posting list are
+first met with its smallest one only; lists whose documents are by then connected need no more. Documents of the others
+are met across components by a prefix join on their full sets, which makes no pairs inside a component. So a group of
+near-duplicates costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -134,10 +135,8 @@ def _alike(similarity: float, matches: int) -> Column:
     return sized & (agree >= matches)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles array<long>"), "sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. Sets of hot first members are copied to several tasks."""
     size = F.size(F.array_intersect("xs", "ys"))
     many = pairs.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("_hot"))
     dealt = pairs.join(many, "a", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)))
@@ -148,6 +147,35 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) ->
     return joined.where(size * 100 >= union * F.lit(round(similarity * 100))).select("a", "b").distinct()
 
 
+def _across(torn: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of torn (doc_id, c, shingles) with different c that may be similar: none that is gets lost.
+
+    A prefix join on the full sets: with its shingles in the order of their frequency, a document of n shingles shares with a
+    similar one a shingle among its first n - ceil(similarity n) + 1, and the places of the first shared one bound the
+    overlap. Shingles of one document only need no row. Of the documents under a shingle, those of its commonest
+    component are not met with each other, so a large group with a few strays costs the strays times the group.
+    """
+    s = round(similarity * 100)
+    every = torn.select("doc_id", F.explode("shingles").alias("t"))
+    known = every.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = every.join(known, "t").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("own"))
+    ranked = ranked.join(torn.select("doc_id", "c", F.size("shingles").alias("n")), "doc_id")
+    prefix = F.col("n") - F.floor((F.col("n") * s + 99) / 100).cast("int") + 1
+    alone = F.col("n") - F.size("own")
+    ranked = ranked.select("doc_id", "c", "n", alone.alias("alone"), F.slice("own", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("own"))
+    posted = ranked.select("doc_id", "c", "n", "alone", F.posexplode("own").alias("k", "e")).select("doc_id", "c", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("e.t").alias("t"))
+    posted = materialize(posted, "posted")
+    mixed = posted.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("t", "top")
+    all_of = materialize(posted.join(mixed, "t"), "mixed")
+    x, y = all_of.where("c <> top").alias("x"), all_of.alias("y")
+    once = (F.col("y.c") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * s
+    overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fits = overlap * (100 + s) >= (F.col("x.n") + F.col("y.n")) * s
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") != F.col("y.c")) & once & sized & fits)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_shingles (set size), component_id (smallest doc_id reachable over links), kept.
 
@@ -159,35 +187,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     (miss_probability); no pair below it is linked.
     """
     matches = matches_for(similarity)
+    prefix = COORDINATES - matches + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_sign(shingle_words, COORDINATES - matches + 1), _SIGNED), "signed")
+    signed = materialize(docs.mapInArrow(_sign(shingle_words, prefix), _SIGNED), "signed")
     known = signed.where("n > 0 and doc_id is not null")
     classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     classes = materialize(classes, "classes")
     repped = salted(signed.select("doc_id", "n", "c1", "c2"), classes, ["c1", "c2"], "left")
     later = repped.where("n > 0 and doc_id <> rep").select("doc_id", "rep").distinct()
     posted = known.join(later.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", F.explode("keys").alias("key"))
-    pivot = posted.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    lists = materialize(posted.join(pivot, "key").select("key", "doc_id", "n", "s1", "s2", "p", "size"), "lists")
-    x = lists.select(F.struct("doc_id", "n", "s1", "s2").alias("x"), F.col("p").alias("y")).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
-    stars = materialize(x.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "stars")
-    links = materialize(_confirmed(stars, docs, shingle_words, similarity), "links")
+    pivot = posted.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
+    lists = materialize(posted.join(pivot, "key").select("key", "doc_id", "n", "s1", "s2", "p"), "lists")
+    # A document that has a similar one meets it in most of its coordinates: others are out before any pair is made.
+    least = max(m for m in range(1, prefix + 1) if m == 1 or miss_probability(similarity, m, prefix) <= 1e-6)
+    close = materialize(lists.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id"), "close")
+    sets = materialize(docs.join(close, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>"), "sets")
+    met = lists.select(F.struct("doc_id", "n", "s1", "s2").alias("x"), F.col("p").alias("y")).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
+    stars = materialize(met.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "stars")
+    links = materialize(_confirmed(stars, sets, similarity), "links")
     found = components(links)
-    # Lists that still hold documents of several components: compare across components.
-    member = lists.drop("p", "size").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "s1", "s2", F.coalesce("component", "doc_id").alias("c"))
-    torn = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", (F.col("size") > HOT).alias("hot"))
-    rest = materialize(member.join(torn, "key"), "rest")
-    # A document meets those of its own and the next size band (sizes a factor `similarity` apart); hot lists are dealt in blocks.
-    band = F.floor(F.log("n") / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
-    block = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0))
-    one = rest.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("_salt", block)
-    two = rest.withColumn("band", band).withColumn("_salt", F.explode(F.when(F.col("hot"), all_salts()).otherwise(F.array(F.lit(0).cast("long")))))
-    same_band = (F.floor(F.log("x.n") / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int") != F.col("y.band")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    across = one.alias("x").join(two.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x._salt") == F.col("y._salt")) & (F.col("x.c") != F.col("y.c")) & same_band & _alike(similarity, matches))
-    across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    across = materialize(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = materialize(_confirmed(across, docs, shingle_words, similarity), "more")
+    # Lists that still hold documents of several components: their documents are met across components.
+    member = lists.select("key", "doc_id").join(close, "doc_id", "left_semi").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    member = materialize(member, "member")
+    open_lists = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    # A similar document of another component is met in at least as many lists, and those are open.
+    torn = member.join(open_lists, "key", "left_semi").groupBy("doc_id", "c").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    torn = materialize(torn.select("doc_id", "c"), "torn")
+    if not torn.isEmpty():
+        across = materialize(_across(sets.join(torn, "doc_id"), similarity), "across")
+        more = materialize(_confirmed(across, sets, similarity), "more")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     # Copies of a class, and rows that share a doc_id, end up with one label.
