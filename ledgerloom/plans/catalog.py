@@ -1,9 +1,551 @@
-"""The registered queries of the reference's operators."""
+"""The registered queries: each applies an operator to the tables, with the SQL that gives the same rows where there is one.
 
+Stand-ins: documents for records and their bodies, embeddings for vectors, page addresses for paths, events for log lines
+and ledgers, conversations for prompts, orders and lineitem for topics and their links, nation and region for concepts.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fixed, values
+from ..functions import text as X
+from ..operators import governance, lint, logs, rank
+from ..session import ship
+from ..sources import code
+from ..streaming import sessions
+
+Q = ["thinge", "ingthe", "erand", "onthe", "rethe", "thand"]
+PATH = r"regexp_replace(url, '^[a-z]+://[^/]*/?', '')"
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(_Tables(ship(spark), sf_dir))
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+class _Tables:
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.at = spark, at
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/{name}.parquet")
+
+    def rows(self, data: list[tuple], schema: str) -> DataFrame:
+        return self.spark.createDataFrame(data, schema)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _values(data: list[tuple], names: str) -> str:
+    def lit(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, list):
+            return "[" + ", ".join(map(lit, x)) + "]"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in data) + f") AS t({names})"
+
+
+def _in(xs) -> str:
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+def r6(c: Column, name: str) -> Column:
+    return F.round(c, 6).alias(name)
+
+
+# --- ranking ---------------------------------------------------------------------------------------------------------
+_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_TF = f"""tok AS (SELECT doc_id, lang, source, n_chars, {_TOK} AS t FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, term, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, (SELECT unnest([{_in(Q)}]) AS term)),
+hit AS (SELECT * FROM tf WHERE tf > 0), df AS (SELECT term, count(*) AS df FROM hit GROUP BY term)"""
+_BM25 = f"""{_TF}, st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tok),
+bm AS (SELECT hit.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / a))) AS score
+       FROM hit JOIN df USING (term) JOIN tok USING (doc_id), st GROUP BY hit.doc_id)"""
+
+
+@query(f"""WITH {_TF}, s AS (SELECT doc_id, sum(tf * (ln(((SELECT count(*) FROM tok) + 1) / (df + 1)) + 1)) AS score FROM hit JOIN df USING (term) GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20""")
+def kw_tfidf_topk(t):
+    docs = t.documents.where("text is not null")
+    return rank.top_k(rank.tfidf(docs, "doc_id", F.col("text"), Q), [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
+def bm25_topk(t):
+    docs = t.documents.where("text is not null")
+    return rank.top_k(rank.bm25(docs, "doc_id", F.col("text"), Q), [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND source <> 'src0' ORDER BY bm.score DESC, doc_id LIMIT 20")
+def bm25_filtered(t):
+    """Metadata filters inside the channel; statistics of the whole table."""
+    docs = t.documents.where("text is not null")
+    found = rank.bm25(docs, "doc_id", F.col("text"), Q, keep=(F.col("lang") == "en") & (F.col("source") != "src0"))
+    return rank.top_k(found, [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS score FROM embeddings, q WHERE vec_id <> 0)
+SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20""")
+def vector_cosine_topk(t):
+    q = t.embeddings.where("vec_id = 0").select("embedding").first()
+    others = t.embeddings.where("vec_id <> 0")
+    return rank.nearest(others, "vec_id", "embedding", list(q[0]), 20).select("vec_id", r6(F.col("score"), "score"))
+
+
+_CHANNELS = f"""{_BM25},
+f AS (SELECT source AS family, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM bm JOIN documents USING (doc_id)),
+fr AS (SELECT family, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE k = 1),
+g AS (SELECT source AS family, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents),
+gr AS (SELECT family, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM g WHERE k = 1)"""
+
+
+def _channels(t) -> tuple[DataFrame, DataFrame]:
+    docs = t.documents.where("text is not null")
+    found = rank.bm25(docs, "doc_id", F.col("text"), Q).join(docs.select("doc_id", F.col("source").alias("family")), "doc_id")
+    order = [F.desc("score"), F.asc("doc_id")]
+    fts = rank.ranked(rank.top_k(rank.collapse(found, "family", order), order, rank.FTS_CAP), order)
+    by_length = [F.desc("n_chars"), F.asc("doc_id")]
+    second = rank.collapse(t.documents.select("doc_id", F.col("source").alias("family"), "n_chars"), "family", by_length)
+    return fts, rank.ranked(rank.top_k(second, by_length, rank.FTS_CAP), by_length)
+
+
+@query(f"""WITH {_CHANNELS}, u AS (SELECT * FROM fr UNION ALL SELECT * FROM gr), s AS (SELECT family, sum(1.0 / (60 + rank)) AS score FROM u GROUP BY family)
+SELECT family, round(CAST(score AS DOUBLE), 6) AS score FROM s ORDER BY s.score DESC, family LIMIT 10""")
+def rrf_hybrid(t):
+    out = rank.rrf(list(_channels(t)), "family")
+    return out.orderBy(F.desc("score"), "family").limit(10).select("family", r6(F.col("score"), "score"))
+
+
+@query(f"WITH {_CHANNELS} SELECT family, round(CAST(1.0 / (60 + rank) AS DOUBLE), 6) AS score FROM gr ORDER BY rank LIMIT 10")
+def hybrid_step_aside(t):
+    """A query whose best full-text hit shares too little of it is answered by the other channel alone."""
+    fts, second = _channels(t)
+    sure = t.rows([("harbour lantern moss", "Thing ere the")], "q string, d string").select(rank.confident(F.col("q"), F.col("d")).alias("sure")).first()[0]
+    return rank.hybrid(fts, second, "family", sure).orderBy(F.desc("score")).limit(10).select("family", r6(F.col("score"), "score"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def family_collapse(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rank.collapse(rows, "l_orderkey", [F.desc("l_extendedprice"), F.asc("l_linenumber")])
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm)
+SELECT doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50 AND (rank = 1 OR score >= 2.5)""")
+def second_hit_floor(t):
+    order = [F.desc("score"), F.asc("doc_id")]
+    found = rank.bm25(t.documents.where("text is not null"), "doc_id", F.col("text"), Q)
+    hits = rank.second_hit_floor(rank.ranked(rank.top_k(found, order, 50), order), 2.5)
+    return hits.select("doc_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
+
+
+# --- text functions --------------------------------------------------------------------------------------------------
+_TERMS = f"list_filter({_TOK}, lambda x: len(x) > 1 AND x NOT IN ({_in(fixed.STOPWORDS)}))"
+
+
+@query(f"SELECT doc_id, CAST(len(list_distinct({_TERMS})) AS BIGINT) AS n_terms, array_to_string(list_sort(list_distinct({_TERMS})), ' ') AS terms FROM documents WHERE text IS NOT NULL")
+def content_terms(t):
+    terms = X.content_terms(F.col("text"))
+    return t.documents.where("text is not null").select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+@query(f"SELECT doc_id, round(len(list_intersect(list_distinct({_TERMS}), [{_in(Q)}])) / {len(Q)}.0, 6) AS coverage, len(list_intersect(list_distinct({_TERMS}), [{_in(Q)}])) / {len(Q)}.0 >= 0.25 AS confident FROM documents WHERE text IS NOT NULL")
+def query_coverage(t):
+    q = F.lit(" ".join(Q))
+    share = values.coverage(X.content_terms(q), X.content_terms(F.col("text")))
+    return t.documents.where("text is not null").select("doc_id", F.round(share, 6).alias("coverage"), rank.confident(q, F.col("text")).alias("confident"))
+
+
+_STEM = f"CASE WHEN contains(regexp_extract({PATH}, '[^/]*$'), '.') THEN regexp_replace({PATH}, '\\.[^./]*$', '') ELSE {PATH} END"
+_PTOK = rf"list_filter(regexp_split_to_array(lower(regexp_replace(translate({_STEM}, '/\_.-', '     '), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '\s+'), lambda x: len(x) >= 3 AND x NOT IN ({_in(fixed.GENERIC_STEMS)}))"
+
+
+@query(f"SELECT page_id, array_to_string(list_sort(list_distinct({_PTOK})), ' ') AS tokens FROM pages")
+def path_tokens(t):
+    return t.pages.select("page_id", F.array_join(F.array_sort(X.path_tokens(F.expr(PATH), 1000)), " ").alias("tokens"))
+
+
+_SAMPLES = ["src/app/writePNGSnapshot.py", "lib/HTTPServer_v2.js", "a/b.blade.php", "Makefile", ".bashrc", "x/y.d.ts", "t/test_one.py", "src/test/java/AppTest.java", "Tests/Foo.swift", "ios/AppTests/Bar.swift", "build/gen.py", "target/x.rs", "spec/a_spec.lua", "web/a.test.tsx"]
+
+
+@query("SELECT path, ext, lang, role, skipped FROM " + _values([
+    ("src/app/writePNGSnapshot.py", ".py", "python", "code", False), ("lib/HTTPServer_v2.js", ".js", "javascript", "code", False), ("a/b.blade.php", ".blade.php", None, "code", False), ("Makefile", "", None, "code", False),
+    (".bashrc", "", None, "code", False), ("x/y.d.ts", ".d.ts", None, "code", False), ("t/test_one.py", ".py", "python", "test", False), ("src/test/java/AppTest.java", ".java", "java", "test", False),
+    ("Tests/Foo.swift", ".swift", "swift", "test", True), ("ios/AppTests/Bar.swift", ".swift", "swift", "test", False), ("build/gen.py", ".py", "python", "code", True), ("target/x.rs", ".rs", "rust", "code", True), ("spec/a_spec.lua", ".lua", "lua", "test", False), ("web/a.test.tsx", ".tsx", "tsx", "test", False),
+], "path, ext, lang, role, skipped"))
+def code_role(t):
+    p, lang = F.col("path"), X.language_of(F.col("path"))
+    return t.rows([(s,) for s in _SAMPLES], "path string").select("path", X.extension_of(p).alias("ext"), lang.alias("lang"), X.role_of(p, lang).alias("role"), F.coalesce(X.skipped_for(p, lang), F.lit(False)).alias("skipped"))
+
+
+_CITES = [(1, "see commit a1b2c3d and `0123456` at deadbee, not abcdefgh"), (2, 'merge 0123456789012345678901234567890123456789 "Fix the thing'), (3, "src/a.py:12 and lib/b.ts:7-9, v0.2.0:1 http://x/y.py:3"), (4, "# decision: TOP-12 L3 then decision:TOP-4 L10"), (5, "nothing")]
+
+
+@query(r"SELECT id, array_to_string(list_transform(regexp_extract_all(body, '\b(?:commit|merge|at|as)\s+(?:[0-9a-f]{40}|[0-9a-f]{7})\b|`(?:[0-9a-f]{40}|[0-9a-f]{7})`'), lambda x: regexp_extract(x, '([0-9a-f]{40}|[0-9a-f]{7})`?$', 1)), ' ') AS commits, array_to_string(regexp_extract_all(body, 'TOP-\d+\s+L\d+'), ', ') AS marks FROM " + _values(_CITES, "id, body"))
+def citations_extract(t):
+    marks = F.transform(X.decision_markers(F.col("body")), lambda m: F.concat(m.topic, F.lit(" "), m.link))
+    return t.rows(_CITES, "id int, body string").select("id", F.array_join(X.commit_citations(F.col("body")), " ").alias("commits"), F.array_join(marks, ", ").alias("marks"))
+
+
+@query("SELECT id, path, line FROM " + _values([(3, "src/a.py", 12), (3, "lib/b.ts", 7)], "id, path, line"))
+def line_citations(t):
+    found = t.rows(_CITES, "id int, body string").select("id", F.inline(X.line_citations(F.col("body"))))
+    return found.where(~F.col("path").startswith("v0") & F.col("path").contains("/")).select("id", "path", F.col("line").cast("int").alias("line"))
+
+
+@query("SELECT conv_id, turn, role, starts_with(text, '<task-notification>') AS machine FROM conversations")
+def machine_prompts(t):
+    return t.conversations.select("conv_id", "turn", "role", X.is_machine_prompt(F.col("text")).alias("machine"))
+
+
+_GATE = f"list_filter(list_distinct(list_filter({_TOK}, lambda x: len(x) >= 3 AND x NOT IN ({_in(fixed.STOPWORDS)}) AND x NOT IN ({_in(fixed.PROMPT_FILLER)}))), lambda x: true)"
+
+
+@query(f"SELECT conv_id, turn, CAST(least(12, len({_GATE})) AS BIGINT) AS n_terms, len({_GATE}) >= 4 AS opens FROM conversations WHERE role = 'user'")
+def prompt_gate(t):
+    n = F.size(X.prompt_terms(F.col("text")))
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", n.cast("long").alias("n_terms"), (n >= 4).alias("opens"))
+
+
+@query(f"SELECT doc_id, sha256(text) AS sha, 'link:' || sha256(text) AS key, substr(sha256(doc_id || chr(10) || source || chr(10)), 1, 12) AS short, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]', '', 'g') AS logged, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL")
+def text_keys(t):
+    x = F.col("text")
+    return t.documents.where("text is not null").select("doc_id", F.sha2(x, 256).alias("sha"), X.link_key(x).alias("key"), X.short_hash(F.col("doc_id").cast("string"), F.col("source")).alias("short"), X.log_query(x).alias("logged"), F.octet_length(x).cast("long").alias("bytes"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS squeezed, array_to_string(string_split(text, chr(10))[1:25], chr(10)) AS excerpt, 'T' || chr(10) || chr(10) || substr(text, 1, 1500) AS embedded FROM documents WHERE text IS NOT NULL")
+def text_shapes(t):
+    x = F.col("text")
+    none = F.lit(None).cast("string")
+    return t.documents.where("text is not null").select("doc_id", X.squeezed(x).alias("squeezed"), X.excerpt(x).alias("excerpt"), X.embedding_text(F.lit("T"), x, none, none, F.lit(False)).alias("embedded"))
+
+
+@query("SELECT path, token FROM " + _values([("/a b/c.py", "/a%20b/c.py"), ("/é/x", "/%C3%A9/x"), ("plain/~x:1", "plain/~x:1")], "path, token"))
+def log_path_tokens(t):
+    return t.rows([("/a b/c.py",), ("/é/x",), ("plain/~x:1",)], "path string").select("path", X.log_path_token(F.col("path")).alias("token"))
+
+
+@query("SELECT name, words FROM " + _values([("writePNGSnapshot", "write png snapshot"), ("snake_case_name", "snake case name"), ("HTTPServer2Go", "http server2 go")], "name, words"))
+def symbol_words(t):
+    return t.rows([("writePNGSnapshot",), ("snake_case_name",), ("HTTPServer2Go",)], "name string").select("name", F.array_join(X.split_symbol(F.col("name")), " ").alias("words"))
+
+
+_PRINTS = [("m=a;revision=1", "m=a;revision=unknown", True), ("m=a;revision=1", "m=a;revision=2", False), ("m=a", "m=b", False), (None, "m=a", False)]
+
+
+@query("SELECT a, b, ok FROM " + _values(_PRINTS, "a, b, ok"))
+def fingerprints(t):
+    return t.rows([p[:2] for p in _PRINTS], "a string, b string").select("a", "b", values.fingerprints_match(F.col("a"), F.col("b")).alias("ok"))
+
+
+# --- governance ------------------------------------------------------------------------------------------------------
+_REFS = [("T1", "docs"), ("T2", "blog/"), ("T3", "*/1*"), ("T4", "#Foo"), ("T5", ""), ("T6", "article/7#x"), ("T7", "news/*.html")]
+_RSQL = _values(_REFS, "topic, ref")
+
+
+@query(rf"""WITH p AS (SELECT page_id, {PATH} AS path FROM pages), r AS (SELECT topic, regexp_replace(string_split(ref, '#')[1], '/+$', '') AS r FROM {_RSQL})
+SELECT page_id, topic FROM p JOIN r ON r <> '' AND (path = r OR starts_with(path, r || '/') OR starts_with(r, path || '/') OR path GLOB r OR (contains(r, '*') AND regexp_full_match(path, replace(replace(r, '.', '\.'), '*', '.*'))))""")
+def path_governance(t):
+    refs = t.rows(_REFS, "topic string, ref string")
+    return governance.govern(t.pages.select("page_id", F.expr(PATH).alias("path")), refs).select("page_id", "topic")
+
+
+@query(rf"""WITH p AS (SELECT page_id, {PATH} AS path FROM pages), c AS (SELECT page_id, path, regexp_full_match(path, '.*/1.*') AS by_topic, starts_with(path, 'docs/') AS by_concept FROM p)
+SELECT page_id, CASE WHEN contains(path, '.png') THEN 'ignored' WHEN by_topic THEN 'mapped_topic' WHEN by_concept THEN 'mapped_concept_only' ELSE 'unmapped' END AS class FROM c""")
+def unmapped_paths(t):
+    topic, concept = t.rows([("T", "*/1*")], "topic string, ref string"), t.rows([("C", "docs")], "concept string, ref string")
+    paths = t.pages.select("page_id", F.expr(PATH).alias("path"))
+    return governance.unmapped(paths, topic, concept, F.contains("path", F.lit(".png"))).select("page_id", "class")
+
+
+_HITS = [("src/a.py", "f", "A.f"), ("src/a.py", "g", "g"), ("lib/z.py", "h", "h")]
+_CONCEPTS = [("C1", "src"), ("C2", "src/a.py#A.f"), ("C3", "src/a.py#q")]
+
+
+@query("SELECT path, symbol, concept_id FROM " + _values([("src/a.py", "f", "C2"), ("src/a.py", "g", "C1"), ("lib/z.py", "h", None)], "path, symbol, concept_id"))
+def concept_attach(t):
+    hits = t.rows(_HITS, "path string, symbol string, qualified_name string")
+    return governance.attach_concepts(hits, t.rows(_CONCEPTS, "concept_id string, ref string")).select("path", "symbol", "concept_id")
+
+
+def _links(t) -> DataFrame:
+    """Line items as the links of their order; of items with one number, the largest values."""
+    each = t.lineitem.groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("seq")).agg(F.max("l_linestatus").alias("s"), F.max("l_returnflag").alias("flag"), F.max("l_partkey").alias("part"), F.max("l_quantity").alias("quantity"))
+    status = F.when(F.col("s") == "O", "active").when(F.col("flag") == "R", "declined").otherwise("superseded")
+    return each.select("path", F.concat(F.lit("L"), "seq").alias("link"), "seq", status.alias("status"), "flag", "part", "quantity")
+
+
+_EACH = "(SELECT l_orderkey AS path, l_linenumber AS seq, max(l_linestatus) AS s, max(l_returnflag) AS flag, max(l_partkey) AS part, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2)"
+_LINKS = f"SELECT path, 'L' || seq AS link, seq, CASE WHEN s = 'O' THEN 'active' WHEN flag = 'R' THEN 'declined' ELSE 'superseded' END AS status, flag, part, quantity FROM {_EACH}"
+
+
+@query(f"WITH l AS ({_LINKS}) SELECT path, arg_min(link, seq) AS current FROM l WHERE status = 'active' GROUP BY path")
+def current_link(t):
+    return governance.current_links(_links(t), "path")
+
+
+@query(f"WITH l AS ({_LINKS}) SELECT path, link, CAST(row_number() OVER (PARTITION BY path ORDER BY seq) AS BIGINT) AS place FROM l")
+def chain_order(t):
+    return _links(t).select("path", "link", F.row_number().over(Window.partitionBy("path").orderBy("seq")).cast("long").alias("place"))
+
+
+_TIERS = [("active", "owner-verbatim", [], "CONSTRAINT"), ("active", "reviewer-finding", ["x"], "HOLD"), ("active", "code-derived", [" "], "CONTEXT"), ("superseded", "owner-ratified", ["x"], "CONTEXT"), ("active", "agent-inference", ["e"], "HOLD"), (None, "owner-verbatim", [], "CONTEXT")]
+
+
+@query("SELECT status, authority, tier FROM " + _values([(a, b, d) for a, b, _, d in _TIERS], "status, authority, tier"))
+def citation_tiers(t):
+    rows = t.rows([x[:3] for x in _TIERS], "status string, authority string, evidence array<string>")
+    return rows.select("status", "authority", governance.tier(F.col("status"), F.col("authority"), F.col("evidence")).alias("tier"))
+
+
+@query("""WITH w AS (SELECT doc_id, strlen(text) + 1 AS b, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(s AS BIGINT) AS bytes_so_far, s <= 4800 AS fits FROM w""")
+def running_byte_cap(t):
+    out = governance.running_bytes(t.documents.where("text is not null"), F.col("text"), [F.asc("doc_id")], ["source"])
+    return out.select("doc_id", "bytes_so_far", (F.col("bytes_so_far") <= 4800).alias("fits"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, sum(strlen(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS s FROM conversations)
+SELECT conv_id, CAST(count(*) FILTER (WHERE k = 1 OR s <= 2000) AS BIGINT) AS shown, CAST(count(*) FILTER (WHERE k > 1 AND s > 2000) AS BIGINT) AS omitted FROM w GROUP BY conv_id""")
+def hydrate_budget(t):
+    """The newest entry in full, older ones while they fit into 2,000 bytes."""
+    rows = t.conversations.withColumn("text", F.coalesce("text", F.lit("")))
+    out = governance.running_bytes(rows, F.col("text"), [F.desc("turn")], ["conv_id"])
+    shown = (F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1) | (F.col("bytes_so_far") <= 2000)
+    return out.withColumn("s", shown).groupBy("conv_id").agg(F.count_if("s").alias("shown"), F.count_if(~F.col("s")).alias("omitted"))
+
+
+@query(r"""WITH r AS (SELECT 'T' || n_nationkey AS topic, 'L' || n_nationkey AS link, n_name AS text, n_nationkey FROM nation WHERE n_nationkey < 20),
+d AS (SELECT 'Standing rulings:' || chr(10) || string_agg('- ' || topic || ' ' || link || ': ' || text, chr(10) ORDER BY topic, n_nationkey) AS t, count(*) AS n FROM r)
+SELECT t AS text, CAST(n AS BIGINT) AS links, strlen(t) AS bytes, sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS reason FROM d""")
+def standing_digest(t):
+    rows = t.nation.where("n_nationkey < 20").select(F.concat(F.lit("T"), "n_nationkey").alias("topic"), F.concat(F.lit("L"), "n_nationkey").alias("link"), F.col("n_name").alias("text"))
+    return governance.standing_digest(rows).select("text", F.col("links").cast("long").alias("links"), "bytes", "sha256", F.col("reason").cast("string").alias("reason"))
+
+
+_INV = [("I1", "no-bypass", "ERROR|error", "", ["nothing"], "CONSTRAINT"), ("I2", "pattern-absent", "zzzqqq", "", [], "HOLD"), ("I3", "must-call", "the", "", [], "HOLD"), ("I4", "single-definition", "the ", "", [], "HOLD")]
+
+
+@query(r"""WITH l AS (SELECT source AS path, unnest(string_split(text, chr(10))) AS text FROM documents),
+h AS (SELECT count(*) FILTER (WHERE regexp_matches(text, 'ERROR|error')) AS e, count(*) FILTER (WHERE regexp_matches(text, 'zzzqqq')) AS z, count(*) FILTER (WHERE regexp_matches(text, 'the ')) AS d FROM l)
+SELECT 'I1' AS inv_id, CASE WHEN e > 0 THEN 'violation' ELSE 'ok' END AS state FROM h UNION ALL SELECT 'I2', CASE WHEN z > 0 THEN 'hold_violation' ELSE 'ok' END FROM h
+UNION ALL SELECT 'I3', 'skipped' FROM h UNION ALL SELECT 'I4', CASE WHEN d <> 1 THEN 'hold_violation' ELSE 'ok' END FROM h""")
+def drift_invariants(t):
+    lines = t.documents.select(F.col("source").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    inv = t.rows(_INV, "inv_id string, kind string, pattern string, scope string, allowed array<string>, tier string")
+    return governance.drift(inv, lines).select("inv_id", "state")
+
+
+# --- quality and history ---------------------------------------------------------------------------------------------
+@query(f"""WITH l AS ({_LINKS}) SELECT CAST(path AS VARCHAR) AS path, link, 'superseded' AS rule FROM l WHERE status = 'superseded' UNION ALL SELECT CAST(path AS VARCHAR), link, 'kind-enum' FROM l WHERE flag = 'N'""")
+def link_quality(t):
+    none = F.lit(None).cast("string")
+    cols = {"kind": F.when(F.col("flag") == "N", "neither").otherwise("adopted"), "authority": F.lit("code-derived"), "ruling_text": F.lit("x"), "source": F.lit("y"), "reverses": none, "reason_for_change": none, "superseded_by": none}
+    return lint.link_rules(_links(t).withColumns(cols)).select("path", "link", "rule")
+
+
+def _sides(t) -> tuple[DataFrame, DataFrame]:
+    old = _links(t).withColumn("superseded_by", F.lit(None).cast("string")).withColumn("promoted_by", F.lit(None).cast("string"))
+    new = old.where(F.col("part") % 11 != 0).withColumn("quantity", F.when(F.col("part") % 7 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    return old, new.withColumn("status", F.when((F.col("part") % 5 == 0) & (F.col("status") == "active"), "historical").when((F.col("part") % 13 == 0) & (F.col("status") == "declined"), "active").otherwise(F.col("status")))
+
+
+@query(f"""WITH l AS ({_LINKS}), k AS (SELECT *, part % 7 = 0 AS body, CASE WHEN part % 5 = 0 AND status = 'active' THEN 'historical' WHEN part % 13 = 0 AND status = 'declined' THEN 'active' ELSE status END AS now FROM l WHERE part % 11 <> 0)
+SELECT CAST(path AS VARCHAR) AS path, link, 'removed' AS rule FROM l WHERE part % 11 = 0 UNION ALL SELECT CAST(path AS VARCHAR), link, 'body-frozen' FROM k WHERE body
+UNION ALL SELECT CAST(path AS VARCHAR), link, 'status-move' FROM k WHERE now <> status AND status <> 'active' UNION ALL SELECT CAST(path AS VARCHAR), link, 'status-not-alone' FROM k WHERE now <> status AND status = 'active' AND body""")
+def history_frozen_fields(t):
+    old, new = _sides(t)
+    return lint.history(old, new, ["flag", "part", "quantity"]).select("path", "link", "rule")
+
+
+@query(f"""WITH l AS ({_LINKS}), k AS (SELECT path, link, seq, CASE WHEN path % 9 = 0 THEN 100 - seq ELSE seq END AS now FROM l), b AS (SELECT *, lag(seq) OVER (PARTITION BY path ORDER BY now) AS before FROM k)
+SELECT CAST(path AS VARCHAR) AS path, link, 'order' AS rule FROM b WHERE before > seq""")
+def order_preserved(t):
+    old = _links(t).withColumn("superseded_by", F.lit(None).cast("string")).withColumn("promoted_by", F.lit(None).cast("string"))
+    new = old.withColumn("seq", F.when(F.col("path") % 9 == 0, 100 - F.col("seq")).otherwise(F.col("seq")))
+    return lint.history(old, new, ["flag"]).where("rule = 'order'").select("path", "link", "rule")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' WHEN o_totalprice <> p THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n USING (o_orderkey)""")
+def drift_full_outer(t):
+    old = t.orders.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_totalprice")
+    new = t.orders.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_custkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return lint.snapshot_diff(old, new, "o_orderkey", "o_totalprice")
+
+
+@query("""WITH d AS (SELECT CAST(n_regionkey AS VARCHAR) AS path, n_name AS id FROM nation WHERE n_nationkey % 2 = 0) SELECT path, id AS link, 'pairing' AS rule FROM d WHERE id < 'M'
+UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_name, 'pairing' FROM nation WHERE n_nationkey % 2 = 1 AND n_name >= 'M'""")
+def pairing_exactly_one(t):
+    all_of = t.nation.select(F.col("n_regionkey").cast("string").alias("path"), F.col("n_name").alias("id"), "n_nationkey")
+    old, new = all_of.where("n_nationkey % 2 = 1").drop("n_nationkey"), all_of.drop("n_nationkey")
+    marks = all_of.where("id >= 'M'").select("path", "id", F.lit("add").alias("action"))
+    return lint.pairing(old, new, marks).select("path", "link", "rule")
+
+
+@query("SELECT text_sha, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first FROM (SELECT sha256(text) AS text_sha, doc_id FROM documents WHERE text IS NOT NULL) GROUP BY text_sha HAVING count(*) > 1")
+def doc_exact_copies(t):
+    return t.documents.where("text is not null").groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def dup_ids(t):
+    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+_READ = [("a", "L1", 1, "declined", "declined", "Use  one table.", None), ("a", "L2", 2, "active", "adopted", "Use one\ntable.", None), ("a", "L3", 3, "active", "adopted", "Other", None), ("b", "L1", 1, "active", "adopted", "Use one table.", None)]
+
+
+@query("SELECT path, link, kind FROM " + _values([("a", "L2", "own"), ("b", "L1", "other")], "path, link, kind"))
+def readoption_normalized(t):
+    rows = t.rows([(*r, None, []) for r in _READ], "path string, link string, seq int, status string, kind string, ruling_text string, reverses string, rationale_text string, alternatives array<struct<option:string,rejected_because:string>>")
+    own = lint.readoptions(rows).select("path", "link", F.lit("own").alias("kind"))
+    return own.union(lint.readoptions(rows, across_topics=True).select("path", "link", F.lit("other").alias("kind")).distinct())
+
+
+# --- logs and sessions -----------------------------------------------------------------------------------------------
+@query("SELECT event_type, CAST(coalesce(value, 0) >= 50 AS VARCHAR) AS outcome, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def log_outcome_counts(t):
+    return logs.counts(t.events.withColumn("outcome", (F.coalesce("value", F.lit(0.0)) >= 50).cast("string")), "event_type", "outcome")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events, (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events) WHERE ts BETWEEN now - INTERVAL 7 DAY AND now GROUP BY 1")
+def log_window_7d(t):
+    now = t.events.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("now"))
+    rows = t.events.join(F.broadcast(now)).where(F.col("ts").between(F.col("now") - F.expr("INTERVAL 7 DAY"), F.col("now")))
+    return logs.counts(rows, "event_type")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def log_percentiles(t):
+    return logs.nearest_rank(t.events.where("value is not null"), "value", "event_type")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 5")
+def top_topics(t):
+    return logs.top_topics(t.events, "user_id")
+
+
+@query("""SELECT nudges, appends, prompts, lookups, kills, nudges >= 3 AND appends = 0 AS write_silent, prompts >= 10 AND lookups = 0 AS read_silent, kills >= 3 AS watchdog FROM
+(SELECT count(*) FILTER (WHERE event_type = 'view') AS nudges, count(*) FILTER (WHERE event_type = 'none') AS appends, count(*) FILTER (WHERE event_type = 'click') AS prompts, count(*) FILTER (WHERE event_type = 'purchase') AS lookups, count(*) FILTER (WHERE event_type = 'error' AND value > 99) AS kills FROM events)""")
+def health_flags(t):
+    e = F.col("event_type")
+    return logs.health(t.events, e == "view", e == "none", e == "click", e == "purchase", (e == "error") & (F.col("value") > 99))
+
+
+@query("SELECT lang, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['en', 'de', 'fr', 'es', 'it', 'nl']) AS lang) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)")
+def census_seeded(t):
+    known = t.rows([(x,) for x in ("en", "de", "fr", "es", "it", "nl")], "lang string")
+    return known.join(t.documents.groupBy("lang").agg(F.count("*").alias("n")), "lang", "left").fillna(0, ["n"])
+
+
+@query("SELECT CAST(count(l.doc_id) AS BIGINT) AS fresh, CAST(count(*) AS BIGINT) AS total, CASE WHEN count(l.doc_id) = 0 THEN 'none' WHEN count(l.doc_id) = count(*) THEN 'full' ELSE 'partial' END AS mode FROM documents d LEFT JOIN labels l USING (doc_id)")
+def embedding_mode_coverage(t):
+    joined = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
+    return logs.embedding_mode(joined, F.col("has").isNotNull())
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def awaiting_embedding(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def ledger_growth(t):
+    w = t.events.withColumn("at", F.struct("ts", "event_id"))
+    return logs.ledger_growth(w, "user_id", "event_type", "props", "at").select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS b FROM events) WHERE b IS NOT NULL AND epoch_us(ts) - epoch_us(b) <= 3600000000")
+def redelivery_dedupe(t):
+    return logs.redelivered(t.events, ["user_id", "event_type"], "ts", 3600).select("event_id")
+
+
+def _session_events(t) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type").isin("click", "error"), "edit").otherwise("prompt")
+    key = F.when(kind == "edit", F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    return t.events.select(F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("kind"), key.alias("key"), F.coalesce("props", F.lit("")).alias("value"))
+
+
+@query()
+def nudge_cooldown(t):
+    """Verdicts of the session rules; tested against a plain loop and against the stream."""
+    return sessions.replay(_session_events(t))
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+_RUNS = [("q1", ["a", "b"], ["x", "a", "b", "c"], "path"), ("q2", ["z"], ["p", "q"], "question"), ("q3", ["k"], ["k"], "path"), ("q4", ["m"], ["n", "m", "o"], "question")]
+
+
+@query(f"""SELECT id, round(len(list_intersect(hits[1:1], expect)) / len(list_distinct(expect)), 6) AS recall_1, round(len(list_intersect(hits[1:3], expect)) / len(list_distinct(expect)), 6) AS recall_3, round(len(list_intersect(hits[1:10], expect)) / len(list_distinct(expect)), 6) AS recall_10,
+round(coalesce(1.0 / list_min(list_filter(list_transform(expect, lambda e: list_position(hits, e)), lambda p: p > 0)), 0), 6) AS mrr FROM {_values(_RUNS, "id, expect, hits, kind")}""")
+def recall_mrr(t):
+    rows = t.rows(_RUNS, "id string, expect array<string>, hits array<string>, kind string")
+    return rows.select("id", *[F.round(c, 6).alias(n) for n, c in rank.evaluate(F.col("expect"), F.col("hits")).items()])
+
+
+@query("SELECT round(avg(d), 6) AS gain, round(stddev_samp(d) / sqrt(count(d)), 6) AS se, CAST(count(d) AS BIGINT) AS n, avg(d) > 2 * stddev_samp(d) / sqrt(count(d)) AS passed FROM (SELECT quality - toxic AS d FROM labels)")
+def negative_control(t):
+    out = rank.negative_control(t.labels, "quality", "toxic")
+    return out.select(F.round("gain", 6).alias("gain"), F.round("se", 6).alias("se"), "n", "passed")
+
+
+@query("SELECT n_name AS id, n_regionkey AS kind, partner FROM (SELECT *, lead(n_name, 2) OVER w AS x, count(*) OVER (PARTITION BY n_regionkey) AS c, row_number() OVER w AS r FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_name)) a JOIN (SELECT n_regionkey AS k, n_name AS partner, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS j FROM nation) b ON a.n_regionkey = b.k AND b.j = (a.r - 1 + 2) % a.c + 1 WHERE a.c = 5")
+def derangement_pairs(t):
+    ids = t.nation.withColumn("c", F.count("*").over(Window.partitionBy("n_regionkey"))).where("c = 5")
+    return rank.derangement(ids.select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("kind")), "id", "kind")
+
+
+# --- sets, unions and spans ------------------------------------------------------------------------------------------
+@query("SELECT c_custkey AS k, 'customer' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'orders' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def edges_union(t):
+    a, b = t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))
+    return a.exceptAll(b.distinct()).withColumn("side", F.lit("customer")).unionByName(b.distinct().exceptAll(a.distinct()).withColumn("side", F.lit("orders")))
+
+
+@query("SELECT o_orderpriority AS p, array_to_string(list_sort(list_distinct(list(o_orderstatus))), '') AS statuses FROM orders GROUP BY 1")
+def set_ops(t):
+    return t.orders.groupBy(F.col("o_orderpriority").alias("p")).agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "").alias("statuses"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS path, l_orderkey AS a, l_orderkey + l_linenumber * 3 AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
+i AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT path, min(a) AS a, max(b) AS b, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY path, k""")
+def merged_spans(t):
+    s = t.lineitem.select(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("b"))
+    return code.merged_intervals(s, "path", "a", "b")
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
+def keep_newest(t):
+    return logs.newest(t.events, ["event_type"], [F.desc("ts"), F.desc("event_id")], 20).select("event_type", "event_id")
+
+
+_SOURCES = [("m.py", "class A:\n    def __init__(self, x: int = 1): pass\n    @property\n    def p(self):\n        'Doc.'\n        return 1\n    async def q(self, *a): pass\ndef f():\n    def g(): pass\n"), ("bad.py", "def ("), ("x.rs", "fn main() {}")]
+_CHUNKS = [("m.py", "constructor", "A.__init__", "def __init__(self, x: int=1)", 2, "ok"), ("m.py", "accessor", "A.p", "def p(self)", 3, "ok"), ("m.py", "method", "A.q", "async def q(self, *a)", 7, "ok"), ("m.py", "function", "f", "def f()", 8, "ok"), ("m.py", "function", "f.g", "def g()", 9, "ok"), ("bad.py", None, None, None, None, "failed"), ("x.rs", None, None, None, None, "not-indexed: no parser")]
+
+
+@query("SELECT path, kind, qualified_name, signature, CAST(coalesce(start_line, 0) AS INTEGER) AS start_line, status FROM " + _values(_CHUNKS, "path, kind, qualified_name, signature, start_line, status"))
+def py_chunks(t):
+    files = t.rows([(p, s.encode(), len(s)) for p, s in _SOURCES], "path string, content binary, length long")
+    return code.chunks(files).select("path", "kind", "qualified_name", "signature", F.coalesce("start_line", F.lit(0)).alias("start_line"), "status")
