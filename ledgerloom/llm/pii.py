@@ -116,18 +116,38 @@ def _number(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
+def _plain_glyphs(t: str) -> bool:
+    """Whether t has none of the characters that _GLYPHS rewrites; most texts are told by a quick encoding."""
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return _GLYPHS.keys().isdisjoint(t)
+    return "\u00ad" not in t
+
+
+def _spelled(t: str) -> bool:
+    """Whether t has four digit words at all: a run of them needs as many."""
+    low = t.lower().replace(",", " ").replace(".", " ").replace("-", " ")
+    n = 0
+    for w in low.split():
+        if w in _SPELLED:
+            n += 1
+            if n == 4:
+                return True
+    return False
+
+
 def rewrites(t: str) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, replacement) by start: what the transducers change in t."""
     out: list[tuple[int, int, str]] = []
-    if not t.isascii():
+    if not t.isascii() and not _plain_glyphs(t):
         out += [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(t)]
-    low = t.lower() if t.isascii() else t
     if any(x in t for x in "[({<"):
         out += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(t)]
-    if " dot " in low or " DOT " in low or " Dot " in low:
+    if " dot " in t or " DOT " in t or " Dot " in t:
         for m in _BARE.finditer(t):
             out += [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for w in _BARE_WORD.finditer(t, m.start(), m.end())]
-    if _THREE.search(t):
+    if _spelled(t) and _THREE.search(t):
         for m in _NUMBER.finditer(t):
             out += _number(m)
     out.sort()
