@@ -22,7 +22,7 @@ from .common import constants, mix64, pack_sorted, text_bytes, unpack_sorted
 
 ALPHA = 0.4
 #: Text in a block and packed n-grams in a bucket, in bytes; their numbers follow from the size of the input.
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 5 << 20, 16 << 20
 _PACKED = "block long, bucket long, ord int, grams binary, counts binary"
 
 
