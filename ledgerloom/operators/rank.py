@@ -1,7 +1,7 @@
 """Ranking: TF-IDF, BM25, cosine, reciprocal rank fusion, families, and the gate between them.
 
-Documents are exploded into terms and reduced to (document, term, tf) before anything is shuffled by term; only the query's
-terms are kept, and the filter on them is pushed below the aggregation. Corpus statistics come from the unfiltered table.
+A document's counts of the query's terms are taken where it is read. Corpus statistics, of the unfiltered table, are one
+pre-aggregated row that is broadcast, so scores need no shuffle; only ranks and caps do.
 """
 
 from __future__ import annotations
@@ -19,26 +19,41 @@ STEP_ASIDE = 0.25
 SECOND_FLOOR = 0.0314
 
 
-def postings(docs: DataFrame, key: str, text: Column, terms: list[str], tokenize=X.tokens) -> DataFrame:
-    """(key, length, term, tf) of the given terms; a document without any has no row. Counted row by row: no shuffle."""
-    toks = docs.select(F.col(key), tokenize(text).alias("_t"))
+def term_counts(docs: DataFrame, key: str, text: Column, terms: list[str], tokenize=X.tokens, keep: Column | None = None) -> DataFrame:
+    """(key, length, tf, kept): a row a document with the counts of the given terms, in their order. No shuffle."""
+    toks = docs.select(F.col(key), tokenize(text).alias("_t"), (keep if keep is not None else F.lit(True)).alias("kept"))
 
     def count(term: str) -> Column:
-        return F.struct(F.lit(term).alias("term"), F.size(F.filter(F.col("_t"), lambda x: x == term)).cast("long").alias("tf"))
+        return F.size(F.filter(F.col("_t"), lambda x: x == term)).cast("long")
 
-    tfs = F.array(*[count(t) for t in terms])
-    return toks.select(key, F.size("_t").cast("long").alias("length"), F.inline(F.filter(tfs, lambda s: s.tf > 0)))
+    return toks.select(key, F.size("_t").cast("long").alias("length"), F.array(*[count(t) for t in terms]).alias("tf"), "kept")
+
+
+def _statistics(counts: DataFrame, n_terms: int) -> DataFrame:
+    """One row: number of documents, average length, documents that have each term. Pre-aggregated by task."""
+    has = [F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n_terms)]
+    return counts.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"), F.array(*has).alias("_df"))
+
+
+def _scored(counts: DataFrame, key: str, part) -> DataFrame:
+    """Sum part(tf, df, i) over terms for documents that have one; the statistics are one broadcast row."""
+    n = len(part)
+    both = counts.where("kept").where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(_statistics(counts, n)))
+    total = F.lit(0.0)
+    for i, f in enumerate(part):
+        tf, df = F.get("tf", F.lit(i)), F.get("_df", F.lit(i))
+        total = total + F.when(tf > 0, f(tf, df)).otherwise(0.0)
+    return both.select(key, total.alias("score"))
 
 
 def tfidf(docs: DataFrame, key: str, text: Column, query: list[str]) -> DataFrame:
     """(key, score): sum over the query's tokens, repeats counted, of tf * (ln((N + 1) / (df + 1)) + 1)."""
-    uses = {t: query.count(t) for t in query}
-    n = docs.agg(F.count("*").alias("_n"))
-    found = postings(docs, key, text, list(uses))
-    df = found.groupBy("term").agg(F.count("*").alias("_df"))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in uses.items() for x in kv]), F.col("term"))
-    idf = F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1
-    return found.join(F.broadcast(df), "term").join(F.broadcast(n)).groupBy(key).agg(F.sum(weight * F.col("tf") * idf).alias("score"))
+    terms = list(dict.fromkeys(query))
+
+    def part(times: int):
+        return lambda tf, df: times * tf * (F.log((F.col("_n") + 1) / (df + 1)) + 1)
+
+    return _scored(term_counts(docs, key, text, terms), key, [part(query.count(t)) for t in terms])
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: list[str], keep: Column | None = None, tokenize=X.tokens) -> DataFrame:
@@ -46,16 +61,13 @@ def bm25(docs: DataFrame, key: str, text: Column, query: list[str], keep: Column
 
     N, n and the average length are of all docs; `keep` filters rows within the channel, before ranks and caps.
     """
-    stats = docs.select(F.size(tokenize(text)).cast("long").alias("l")).agg(F.count("*").alias("_n"), F.avg("l").alias("_avg"))
     terms = list(dict.fromkeys(query))
-    base = docs.withColumn("_keep", keep if keep is not None else F.lit(True))
-    found = postings(base, key, text, terms, tokenize)
-    df = found.groupBy("term").agg(F.count("*").alias("_df"))  # at most one row a query term
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    if keep is not None:
-        found = found.join(docs.where(keep).select(key), key, "left_semi")
-    return found.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(key).agg(F.sum(part).alias("score"))
+
+    def part(tf: Column, df: Column) -> Column:
+        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(FLOOR))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
+
+    return _scored(term_counts(docs, key, text, terms, tokenize, keep), key, [part] * len(terms))
 
 
 def ranked(scored: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

@@ -18,7 +18,7 @@ from ..session import ship
 from ..sources import code
 from ..streaming import sessions
 
-Q = ["thinge", "ingthe", "erand", "onthe", "rethe", "thand"]
+Q = ["ananble", "atshsh", "anlyes", "aterth", "aielle", "asci"]
 PATH = r"regexp_replace(url, '^[a-z]+://[^/]*/?', '')"
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -75,8 +75,11 @@ def replay(events: DataFrame) -> DataFrame:
 
 
 class Sessions(StatefulProcessor):
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "json string", TTL_MS)
+        self.state = handle.getValueState("session", "json string", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         s = json.loads(self.state.get()[0]) if self.state.exists() else fresh()
@@ -91,9 +94,10 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def stream(events: DataFrame) -> DataFrame:
-    """replay() over a stream; needs the RocksDB state store. State goes after 24 hours without events."""
-    return events.groupBy("session").transformWithStateInPandas(Sessions(), OUT, "Append", "ProcessingTime")
+def stream(events: DataFrame, expire: bool = True) -> DataFrame:
+    """replay() over a stream; needs the RocksDB state store. State goes after 24 hours without events, if expire is set; a
+    query that is to end when its input is read (availableNow) sets it off, for expiry keeps the query running."""
+    return events.groupBy("session").transformWithStateInPandas(Sessions(TTL_MS if expire else None), OUT, "Append", "ProcessingTime" if expire else "None")
 
 
 def deduplicated(prompts: DataFrame, ts: str, key: str, within: str = "10 minutes") -> DataFrame:
