@@ -117,12 +117,17 @@ def fit_sample(docs: DataFrame, labelled: DataFrame, per_class: int, most_bytes:
     """Rows (text, label) to fit a classifier on: for each label the `per_class` documents that come first in the order of
     a hash of doc_id, so a sample that depends on neither layout nor order; texts over `most_bytes` are passed over.
 
-    labelled: (doc_id, label), without nulls. What reaches the driver is at most per_class texts of most_bytes a label.
+    labelled: (doc_id, label), without nulls, of a label set that is small. What reaches the driver is at most per_class texts of most_bytes a label.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ids = labelled.dropDuplicates(["doc_id"]).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
+    labelled = labelled.dropDuplicates(["doc_id"]).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    # A label's first hashes only: as many as are wanted and some to spare, however many rows it has.
+    size = labelled.groupBy("label").agg(F.count("*").alias("_size"))
+    share = F.pmod(F.col("_h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = labelled.join(F.broadcast(size), "label").where(share * F.col("_size") <= 2 * per_class + 100)
+    order = Window.partitionBy("label").orderBy(F.pmod(F.col("_h"), F.lit(1 << 40)), "doc_id")
+    ids = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).select("doc_id", "label")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").orderBy("doc_id").collect()
 
