@@ -549,3 +549,35 @@ _CHUNKS = [("m.py", "constructor", "A.__init__", "def __init__(self, x: int=1)",
 def py_chunks(t):
     files = t.rows([(p, s.encode(), len(s)) for p, s in _SOURCES], "path string, content binary, length long")
     return code.chunks(files).select("path", "kind", "qualified_name", "signature", F.coalesce("start_line", F.lit(0)).alias("start_line"), "status")
+
+
+# --- code and packs --------------------------------------------------------------------------------------------------
+@query("""WITH d AS (SELECT l_suppkey AS path, l_orderkey AS line FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY path ORDER BY line), -1) AS before FROM d),
+m AS (SELECT l_suppkey AS path, l_orderkey AS line FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT b.path, b.line, m.line AS mark FROM b JOIN m ON b.path = m.path AND m.line BETWEEN b.line - 3 AND b.line - 1 AND m.line > before""")
+def nearest_marks(t):
+    from ..operators import code_links
+
+    rows = t.lineitem.select(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("line"), "l_returnflag")
+    decl = rows.where("l_returnflag = 'A'").select("path", "line").distinct().withColumn("symbol", F.lit("s"))
+    marks = rows.where("l_returnflag = 'R'").select("path", "line").distinct().select("path", "line", F.col("line").alias("topic"), F.lit("L").alias("link"))
+    return code_links.nearest_marks(decl, marks).select("path", "line", F.col("topic").alias("mark"))
+
+
+@query("""WITH w AS (SELECT source, doc_id, 'D' || doc_id || ' ' || lang AS t FROM documents WHERE lang IS NOT NULL), s AS (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS b FROM w),
+p AS (SELECT source, coalesce(string_agg(t, chr(10) ORDER BY doc_id) FILTER (WHERE b <= 120), '') || chr(10) AS body, count(*) FILTER (WHERE b <= 120) AS parts, count(*) FILTER (WHERE b > 120) AS omitted FROM s GROUP BY source)
+SELECT source, body || 'pack sha256=' || sha256(body) || ' bytes=' || strlen(body) AS text, parts, omitted FROM p""")
+def context_pack(t):
+    from ..operators import code_links
+
+    docs = t.documents.where("lang is not null")
+    return code_links.context_pack(docs, "source", [F.asc("doc_id")], F.concat(F.lit("D"), "doc_id", F.lit(" "), "lang"), 120)
+
+
+@query("""SELECT source, round(avg(n_chars), 6) AS mean_chars, CAST(count(*) FILTER (WHERE lang IS NULL) AS BIGINT) AS no_lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source""")
+def required_fields(t):
+    return t.documents.groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("lang").isNull()).alias("no_lang"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS value, 'status-enum' AS rule FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+def enum_checks(t):
+    return t.orders.where(~F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", F.col("o_orderstatus").alias("value"), F.lit("status-enum").alias("rule"))
