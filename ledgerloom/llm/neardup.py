@@ -195,14 +195,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     classes = materialize(classes, "classes")
     repped = salted(signed.select("doc_id", "n", "c1", "c2"), classes, ["c1", "c2"], "left")
     later = repped.where("n > 0 and doc_id <> rep").select("doc_id", "rep").distinct()
-    posted = known.join(later.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", F.explode("keys").alias("key"))
-    pivot = posted.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
-    lists = materialize(posted.join(pivot, "key").select("key", "doc_id", "n", "s1", "s2", "p"), "lists")
+    own = known.join(later.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", "keys")
+    posted = own.select("doc_id", F.explode("keys").alias("key"))  # narrow: most postings are alone in their list and end here
+    shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    met_at = posted.join(shared, "key").select("key", "doc_id")
+    lists = materialize(met_at.join(own.drop("keys"), "doc_id").select("key", "doc_id", "n", "s1", "s2"), "lists")
+    pivot = lists.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("p"))
     # A document that has a similar one meets it in most of its coordinates: others are out before any pair is made.
     least = max(m for m in range(1, prefix + 1) if m == 1 or miss_probability(similarity, m, prefix) <= 1e-6)
     close = materialize(lists.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id"), "close")
     sets = materialize(docs.join(close, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>"), "sets")
-    met = lists.select(F.struct("doc_id", "n", "s1", "s2").alias("x"), F.col("p").alias("y")).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
+    met = lists.join(pivot, "key").select(F.struct("doc_id", "n", "s1", "s2").alias("x"), F.col("p").alias("y")).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
     stars = materialize(met.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "stars")
     links = materialize(_confirmed(stars, sets, similarity), "links")
     found = components(links)
