@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, by_bytes, materialize, text_bytes
+from .common import appended, by_bytes, materialize, mix64, text_bytes
 
 WINDOW = 13
-#: Bytes of benchmark text that are held in memory at once; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text whose windows are held in memory at once; a larger benchmark is searched in several passes.
+BLOCK_BYTES = 8 << 20
 STRETCH = 256
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -32,20 +32,24 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class _Length:
-    """Shift table and buckets for the test strings of one length."""
+    """Shift table and buckets for the test strings of one length.
 
-    def __init__(self, strings: np.ndarray, vocabulary: int):
+    words: of the text that the strings come from, a bound on the distinct blocks; the shift table has eight entries each.
+    """
+
+    def __init__(self, strings: np.ndarray, words: int, vocabulary: int):
         self.strings, self.m = strings, strings.shape[1]
         self.block = min(2, self.m)
         self.radix = np.int64(vocabulary + 1)
-        self.bits = max(12, int(strings.size * 8).bit_length())
+        self.bits = max(12, int(words * 8).bit_length())
+        self.coarse = self.bits - min(self.bits, max(12, int(len(strings) * 2).bit_length()))
         self.shift = np.full(1 << self.bits, self.m - self.block + 1, dtype=np.int16)
         for end in range(self.block - 1, self.m):
             at = self._hash(strings[:, end - 1] if self.block == 2 else None, strings[:, end])
             np.minimum.at(self.shift, at, np.int16(self.m - 1 - end))
-        last = self._hash(strings[:, -2] if self.block == 2 else None, strings[:, -1])
-        self.order = np.argsort(last, kind="stable")
-        self.first = np.searchsorted(last[self.order], np.arange((1 << self.bits) + 1))
+        last = self._hash(strings[:, -2] if self.block == 2 else None, strings[:, -1]) >> self.coarse
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
+        self.first = np.searchsorted(last[self.order], np.arange((1 << (self.bits - self.coarse)) + 1)).astype(np.int32)
 
     def _hash(self, a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
         code = b if a is None else a * self.radix + b
@@ -73,8 +77,8 @@ class _Length:
         where, which = [], []
         for k in range(0, at.size, 50_000):
             part = at[k : k + 50_000]
-            bucket = self._hash(ids[part - 1] if self.block == 2 else None, ids[part])
-            n = self.first[bucket + 1] - self.first[bucket]
+            bucket = self._hash(ids[part - 1] if self.block == 2 else None, ids[part]) >> self.coarse
+            n = (self.first[bucket + 1] - self.first[bucket]).astype(np.int64)
             pos = np.repeat(part, n)
             row = self.order[np.repeat(self.first[bucket], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             same = np.ones(pos.size, bool)
@@ -90,15 +94,32 @@ class Patterns:
 
     def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = WINDOW):
         vocabulary: dict[bytes, int] = {}
-        strings: dict[int, dict[tuple, set[str]]] = {}
+        self.names: list[str] = []
+        texts: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            if ids:
-                m = min(window, len(ids))
-                for i in range(len(ids) - m + 1):
-                    strings.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(item)
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
+            if ids.size:
+                texts.setdefault(min(window, ids.size), []).append((len(self.names), ids))
+                self.names.append(item)
         self.vocabulary = vocabulary
-        self.lengths = [(_Length(np.array(list(x), dtype=np.int64), len(vocabulary)), [sorted(v) for v in x.values()]) for x in strings.values()]
+        self.lengths = [self._of_length(m, own) for m, own in texts.items()]
+
+    def _of_length(self, m: int, texts: list[tuple[int, np.ndarray]]) -> tuple[_Length, np.ndarray, np.ndarray]:
+        """The distinct windows of m words; the items of window k are owners[offsets[k]:offsets[k + 1]]."""
+        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, m) for _, ids in texts])
+        owner = np.repeat([i for i, _ in texts], [ids.size - m + 1 for _, ids in texts])
+        h = np.zeros(len(windows), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(m):
+                h = mix64(h * np.uint64(3) + windows[:, j].astype(np.uint64))
+        order = np.argsort(h, kind="stable")
+        windows, owner = windows[order], owner[order]
+        # Equal windows have equal hashes; where different ones share a hash, a window may stay twice, which changes no result.
+        new = np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)])
+        pairs = np.unique((np.cumsum(new) - 1) * np.int64(len(self.names)) + owner)
+        group, owners = np.divmod(pairs, np.int64(len(self.names)))
+        offsets = np.searchsorted(group, np.arange(int(new.sum()) + 1)).astype(np.int32)
+        return _Length(windows[new], sum(ids.size for _, ids in texts), len(self.vocabulary)), offsets, owners.astype(np.int32)
 
     def search(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
         """For each text: its number of words, which of them are hit, the items found."""
@@ -109,12 +130,14 @@ class Patterns:
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for ws in words for w in ws), np.int64, total)
         mark, items = np.zeros(total + 1, np.int32), {}
-        for length, names in self.lengths:
+        for length, offsets, owners in self.lengths:
             where, which = length.occurrences(ids, starts, ends)
             np.add.at(mark, where - length.m + 1, 1)
             np.add.at(mark, where + 1, -1)
-            for d, row in set(zip(np.searchsorted(ends, where, side="right").tolist(), which.tolist(), strict=True)):
-                items.setdefault(d, set()).update(names[row])
+            rows = np.int64(len(length.strings))
+            for pair in np.unique(np.searchsorted(ends, where, side="right") * rows + which).tolist():
+                d, row = divmod(pair, int(rows))
+                items.setdefault(d, set()).update(self.names[i] for i in owners[offsets[row] : offsets[row + 1]])
         hit = np.cumsum(mark[:total]) > 0
         for d, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             yield b - a, hit[a:b], items.get(d, set())
@@ -163,16 +186,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     it is hit and the hit words are at least a twentieth of its words. Null and empty texts have no words and are clean;
     items without words have no window; repeated items count once per item_id; an empty benchmark hits nothing. Columns
     of docs that have the names of results are replaced. No shuffle: each document is judged where it is read. The
-    windows are broadcast in blocks of at most about `block_bytes` of benchmark text; with more than one block, the
-    documents pass once per block and carry their hits along.
+    windows are broadcast in blocks of about `block_bytes` of distinct benchmark texts (a longer text stands alone), whatever
+    items they belong to; with more than one block, the documents pass once per block and carry their hits along.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in _OUT])
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
+    items = materialize(items, "benchmark") if blocks > 1 else items
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Patterns([(r["item"], bytes(r["text"])) for r in part], window))
         final = k == blocks - 1
         base = docs.drop("_hits", "_items").schema

@@ -158,6 +158,26 @@ def test_decontamination(spark, docs, block):
     assert sorted(map(tuple, got), key=repr) == brute_decontam(pairs_of(docs), bench)
 
 
+def test_decontamination_hot_item(spark):
+    """One item with most rows, one window shared by many items, texts split over several passes."""
+    shared = " ".join(f"p{k}" for k in range(13))
+    bench = [(7, f"{shared} own{k} " + " ".join(f"q{k}x{j}" for j in range(12))) for k in range(60)] + [(100 + k, shared) for k in range(30)]
+    rows = [(1, "head " + shared + " tail"), (2, bench[5][1]), (3, " ".join(f"p{k}" for k in range(12))), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for block in (1 << 20, 2000):
+        got = decontam.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string"), block_bytes=block).select(*cols).collect()
+        assert sorted(map(tuple, got)) == brute_decontam(rows, bench)
+
+
+def test_decontamination_tables_are_small():
+    r = random.Random(3)
+    items = [(str(k), " ".join(f"w{r.randrange(20_000):x}" for _ in range(120)).encode()) for k in range(500)]
+    tables = decontam.Patterns(items).lengths
+    held = sum(x.nbytes for length, *own in tables for x in (length.strings, length.shift, length.first, length.order, *own))
+    assert held < 24 * sum(len(t) for _, t in items)  # windows of 13 word numbers, and tables in step with them
+
+
 def test_decontamination_empty(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, none).where("contaminated or n_hit > 0").count() == 0
