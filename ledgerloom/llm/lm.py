@@ -1,6 +1,6 @@
 """Stupid-backoff scores from n-gram count tables that are partitioned by hash.
 
-Documents are dealt into blocks by a hash of their id. Each block is exploded into its distinct n-grams of each order
+Documents are dealt into blocks by a hash of their id and text. Each block is exploded into its distinct n-grams of each order
 with their counts; these rows, packed by (block, hash bucket), go to their bucket, where the count table of the bucket is
 built from all blocks and joined back to the rows it came from; the counts return to the block, whose documents sum
 the logarithms of their scores. An n-gram is one entry a block however often it occurs, so frequent n-grams make no hot
@@ -148,7 +148,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = ALPHA, leave_one_out:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     buckets = 1 << max(0, math.ceil(math.log2(max(1, size * order // bucket_bytes))))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     packed = dealt.groupBy("block").applyInArrow(_explode(order, buckets), _PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count, "block long, bucket long, ord int, totals binary")
     return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(order, alpha, leave_one_out), "doc_id long, n_words long, log_score double, mean_log_score double")

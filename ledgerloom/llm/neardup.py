@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import SALTS, all_salts, by_bytes, constants, materialize, mix64, salted, text_bytes
 
 COORDINATES = 64
-#: Least agreement that is looked at; at a similarity of 0.85 a pair has less with probability 3e-7 (miss_probability).
 #: Pivots and lists above this size are dealt over several tasks in joins.
 HOT = 256
 

@@ -324,6 +324,15 @@ def test_lm_scores(docs, order):
     assert all(r["mean_log_score"] is None for r in got if r["n_words"] == 0)
 
 
+def test_lm_null_ids_are_dealt(spark):
+    """Rows that share an id, or have none, are spread over the blocks by their text, and score as further documents."""
+    rows = [(None if k % 2 else 7, f"a b c d{k % 5} e{k}", None) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = lm.score(docs, block_bytes=100, bucket_bytes=100).collect()
+    want = brute_lm([r[:2] for r in rows], 2)
+    assert sorted(r[2] for r in got) == pytest.approx(sorted(x[2] for x in want), abs=1e-5)
+
+
 def test_lm_empty(empty):
     assert lm.score(empty).count() == 0
 
