@@ -551,6 +551,27 @@ def py_chunks(t):
     return code.chunks(files).select("path", "kind", "qualified_name", "signature", F.coalesce("start_line", F.lit(0)).alias("start_line"), "status")
 
 
+_SWIFT = """struct Vec {
+    init?(x: Int) { self.x = x }
+    static func == (a: Vec, b: Vec) -> Bool { return "{" == "\\(a.map { $0 })" }
+    lazy var kept: Int = { 5 }()
+    var size: Int { get { 1 } }
+    var seen: Int = 0 { didSet { } }
+}
+}
+public func after<T>(
+    _ t: T
+) -> Int where T: P { /* } */ return 1 }
+"""
+_SWIFT_CHUNKS = [("constructor", "Vec.init", "init?(x: Int)", 2, 2, "partial"), ("method", "Vec.==", "func == (a: Vec, b: Vec) -> Bool", 3, 3, "partial"), ("accessor", "Vec.size", "var size: Int", 5, 5, "partial"), ("function", "after", "func after<T>( _ t: T ) -> Int where T: P", 9, 11, "partial")]
+
+
+@query("SELECT kind, qualified_name, signature, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, status FROM " + _values(_SWIFT_CHUNKS, "kind, qualified_name, signature, start_line, end_line, status"))
+def swift_chunks(t):
+    files = t.rows([("v.swift", _SWIFT.encode(), len(_SWIFT))], "path string, content binary, length long")
+    return code.chunks(files).select("kind", "qualified_name", "signature", "start_line", "end_line", "status")
+
+
 # --- code and packs --------------------------------------------------------------------------------------------------
 @query("""WITH d AS (SELECT l_suppkey AS path, l_orderkey AS line FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY path ORDER BY line), -1) AS before FROM d),
 m AS (SELECT l_suppkey AS path, l_orderkey AS line FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT b.path, b.line, m.line AS mark FROM b JOIN m ON b.path = m.path AND m.line BETWEEN b.line - 3 AND b.line - 1 AND m.line > before""")

@@ -1,4 +1,4 @@
-"""Source trees: enumeration, language census, and functions and methods cut out of Python files."""
+"""Source trees: enumeration, language census, and functions and methods cut out of Python and Swift files."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from . import swift
 
 CHUNK = "path string, lang string, kind string, symbol string, qualified_name string, signature string, doc string, start_line int, end_line int, status string"
 MOST_BYTES = 1 << 20
@@ -97,8 +98,10 @@ def chunk_python(text: str) -> tuple[list[dict], str]:
     return out, "ok"
 
 
-def declared_symbols(text: str) -> list[str]:
-    """Qualified names of classes, functions and module-level assignments."""
+def declared_symbols(text: str, lang: str = "python") -> list[str]:
+    """Qualified names of classes, functions and module-level assignments; of Swift, of types and their members."""
+    if lang == "swift":
+        return swift.declared_symbols(text)
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -114,18 +117,21 @@ def declared_symbols(text: str) -> list[str]:
     return sorted(set(out))
 
 
+PARSERS = {"python": chunk_python, "swift": swift.chunk_swift}
+
+
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CHUNK.split(", ")]
     for pdf in batches:
         rows = []
         for path, lang, content, length in pdf.itertuples(index=False):
             blank = {n: None for n in names} | {"path": path, "lang": lang}
-            if lang != "python":
+            if lang not in PARSERS:
                 rows.append(blank | {"status": "not-indexed: no parser"})
             elif length > MOST_BYTES:
                 rows.append(blank | {"status": "not-indexed: too large"})
             else:
-                found, status = chunk_python(bytes(content).decode("utf-8", "replace"))
+                found, status = PARSERS[lang](bytes(content).decode("utf-8", "replace"))
                 rows += [{"path": path, "lang": lang, "status": status} | c for c in found] or [blank | {"status": status}]
         yield pd.DataFrame(rows, columns=names)
 
