@@ -147,6 +147,27 @@ class Store:
     def unmapped(self, paths: list[str] | DataFrame, ignored: Column | None = None) -> DataFrame:
         return governance.unmapped(self.paths(paths), self.topic_refs, self.concept_refs, ignored)
 
+    def declined(self, topics: list[str], restored: bool = False, most_topics: int = 3, most_rows: int = 10) -> DataFrame:
+        """Rejected sentences of the first few topics (paths) given, oldest first; those that a later link restored only if asked for."""
+        rows = lint.rejections(self.links).where(F.col("path").isin(topics[:most_topics]))
+        return (rows if restored else rows.where("restored_num is null")).orderBy("path", "num", "sentence").limit(most_rows)
+
+    def propose_bindings(self, fallbacks: DataFrame, ledger: DataFrame, session: str, last: int = 20) -> tuple[DataFrame, DataFrame]:
+        """Topics that a session's searches brought up for paths it edited and that do not govern them yet; and edited paths that
+        nothing governs and no proposal names. fallbacks (session, seq, file, topic_id, hook), ledger (session, path, worktree_path,
+        root, content_sha256, seen_at); both absolute paths."""
+        own = fallbacks.where(F.col("session") == session)
+        recent = own.orderBy(F.desc("seq")).limit(last)
+        top = F.concat(F.regexp_replace("root", "/$", ""), F.lit("/"))
+        real = F.coalesce("worktree_path", "path")
+        rows = ledger.where((F.col("session") == session) & F.col("root").isNotNull()).withColumn("_file", real)
+        rows = rows.withColumn("under", F.when(F.startswith(F.col("path"), top), F.substring(F.col("path"), F.length(top) + 1, F.length("path"))).otherwise(F.col("path")))
+        met = recent.join(rows.drop("session"), F.col("file") == F.col("_file"))
+        bound = governance.govern(rows.select(F.col("under").alias("path")).distinct(), self.topic_refs).select(F.col("path").alias("under"), "topic_id").distinct()
+        proposals = met.join(bound, ["under", "topic_id"], "left_anti").select("topic_id", F.col("under").alias("path"), F.substring("content_sha256", 1, 12).alias("sha"), "seen_at", "hook").distinct()
+        free = self.unmapped(rows.select(F.col("under").alias("path")).distinct()).where("class = 'unmapped'")
+        return proposals, free.join(proposals.select("path"), "path", "left_anti").select("path")
+
     def check(self, walked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """State of each path against records walked now; and one row of counters."""
         drifted = lint.snapshot_diff(self.records, walked, "path", "sha256").where("state <> 'same'")

@@ -123,6 +123,52 @@ def unbind(text: str, ref: str) -> str:
     return _checked(text, "".join(lines))
 
 
+def mark_standing(text: str, link: str, add: bool, *, why: str, recorded_at: str, recorded_by: str, authority: str, source: str) -> str:
+    """Put a link on the topic's standing list or take it off, with an audit row above the earlier ones; the text as it is if
+    nothing changes. Only active, single-line owner rulings may stand."""
+    if authority not in fixed.OWNER_AUTHORITIES or "\n" in why + source:
+        raise Refused("needs an owner's word, reason and source on one line each")
+    parsed = parse(text.encode())
+    if (link in parsed["standing"]) == add:
+        return text
+    if add:
+        found = next((x for x in parsed["links"] if x["link"] == link), None)
+        words = (found or {}).get("ruling_text") or ""
+        if not found or found["status"] != "active" or found["authority"] not in fixed.OWNER_AUTHORITIES or not words or len(words.splitlines()) > 1:
+            raise Refused("not an active, single-line owner ruling")
+    rest = [x for x in parsed["standing"] if x != link] + [link] * add
+    lines, start, end = _front(text)
+    at = _block(lines, start, end, "standing")
+    if at is None:
+        below = [b[0] for k in ("standing_marks", "anchors", "links") if (b := _block(lines, start, end, k))]
+        lines.insert(min(below, default=end), f"standing: [{quoted(link)}]\n")
+    elif (m := re.match(r"standing:\s*\[(.*)\]\s*$", lines[at[0]])) is not None and add:
+        lines[at[0]] = f"standing: [{m[1] + ', ' if m[1].strip() else ''}{quoted(link)}]\n"
+    elif m or not rest:
+        lines[at[0] : at[1]] = [f"standing: [{', '.join(quoted(x) for x in rest)}]\n"]
+    else:
+        items = [i for i in range(at[0] + 1, at[1]) if lines[i].lstrip().startswith("-")]
+        if not items:
+            raise Refused("standing is neither a list on one line nor one of rows")
+        if add:
+            indent = re.match(r"[ \t]*", lines[items[-1]])[0]
+            lines.insert(items[-1] + 1, f"{indent}- {quoted(link)}\n")
+        else:
+            del lines[items[parsed["standing"].index(link)]]
+    row = {"link": link, "action": "add" if add else "remove", "date": recorded_at[:10], "recorded_at": quoted(recorded_at), "recorded_by": quoted(recorded_by), "authority": authority, "source": quoted(source), "why": quoted(why)}
+    rows = [f"  {'- ' if k == 'link' else '  '}{k}: {v}\n" for k, v in row.items()]
+    lines, start, end = _front("".join(lines))
+    marks, list_ = _block(lines, start, end, "standing_marks"), _block(lines, start, end, "standing")
+    if marks is None:
+        lines[list_[1] : list_[1]] = ["standing_marks:\n", *rows]
+    else:
+        lines[marks[0] : marks[0] + 1] = ["standing_marks:\n", *rows]
+    out = "".join(lines)
+    if parse(out.encode())["standing"] != rest:
+        raise Refused("the list would not read as meant")
+    return _checked(text, out)
+
+
 def promote(text: str, link: str, source: str, date: str) -> str:
     """A new owner-ratified link with the words of an open link of lower authority, which then names it."""
     old = next((x for x in parse(text.encode())["links"] if x["link"] == link), None)

@@ -107,6 +107,17 @@ def confident(query: Column, document: Column, least: float = STEP_ASIDE) -> Col
     return F.coalesce(coverage(X.content_terms(query), X.content_terms(document)) >= least, F.lit(False))
 
 
+def step_aside_report(runs: DataFrame, expected: str = "expect", fts: str = "fts", vector: str = "vector", hybrid: str = "hybrid") -> DataFrame:
+    """One row over queries with their expected ids and three ranked lists: queries where the hybrid list is the vector list though
+    the channels differ, those of them that lost a right first hit, and those that gained one. Queries without all lists are out."""
+    aside = (F.col(hybrid) == F.col(vector)) & (F.col(fts) != F.col(vector))
+    right = {name: F.coalesce(F.array_contains(expected, F.get(name, F.lit(0))), F.lit(False)) for name in (fts, vector)}
+    return runs.where(F.col(fts).isNotNull() & F.col(vector).isNotNull() & F.col(hybrid).isNotNull()).agg(
+        F.count("*").alias("queries"), F.count_if(aside).alias("stepped_aside"),
+        F.count_if(aside & right[fts] & ~right[vector]).alias("regressions"), F.count_if(aside & right[vector] & ~right[fts]).alias("improvements"),
+    )
+
+
 def second_hit_floor(hits: DataFrame, floor: float = SECOND_FLOOR) -> DataFrame:
     """The first hit always, others only from `floor` up."""
     return hits.where((F.col("rank") == 1) | (F.col("score") >= floor))

@@ -517,6 +517,15 @@ def derangement_pairs(t):
     return rank.derangement(ids.select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("kind")), "id", "kind")
 
 
+@query("""WITH r AS (SELECT doc_id, [doc_id % 5] AS expect, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE [doc_id % 5, doc_id % 2] END AS fts, [doc_id % 7, doc_id % 2] AS vector FROM documents),
+s AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN fts ELSE vector END AS hybrid FROM r), u AS (SELECT *, hybrid = vector AND fts <> vector AS aside, list_contains(expect, fts[1]) AS f, list_contains(expect, vector[1]) AS v FROM s WHERE fts IS NOT NULL)
+SELECT CAST(count(*) AS BIGINT) AS queries, CAST(count(*) FILTER (WHERE aside) AS BIGINT) AS stepped_aside, CAST(count(*) FILTER (WHERE aside AND f AND NOT v) AS BIGINT) AS regressions, CAST(count(*) FILTER (WHERE aside AND v AND NOT f) AS BIGINT) AS improvements FROM u""")
+def step_aside_report(t):
+    d = F.col("doc_id")
+    runs = t.documents.select(F.array(d % 5).alias("expect"), F.when(d % 11 != 0, F.array(d % 5, d % 2)).alias("fts"), F.array(d % 7, d % 2).alias("vector"), d)
+    return rank.step_aside_report(runs.withColumn("hybrid", F.when(d % 3 == 0, F.col("fts")).otherwise(F.col("vector"))))
+
+
 # --- sets, unions and spans ------------------------------------------------------------------------------------------
 @query("SELECT c_custkey AS k, 'customer' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'orders' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def edges_union(t):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.commands import Store, code_search, stats
+from ledgerloom.operators import edits
 from ledgerloom.sources import records
 
 CACHE = """---
@@ -151,3 +152,28 @@ def test_stats(spark):
     got = stats(spark.createDataFrame([(x, "hook.log") for x in lines], "line string, file_name string"), 7, datetime.datetime(2026, 3, 2, tzinfo=datetime.UTC))
     assert [tuple(r) for r in got["counts"].collect()] == [("nudge", "shown", 2)]
     assert tuple(got["sessions"].first()) == (2, 2) and tuple(got["elapsed"].first()) == ("nudge", 1.0, 3.0) and got["untimed"].first()[0] == 1
+
+
+def test_declined_and_proposals(spark, store):
+    text = CACHE.replace("---\nEviction", "- link: L0\n  status: declined\n  ruling: {text: No cache}\n---\nEviction")
+    s = Store(records.parse_records(spark.createDataFrame([("topics/c.md", text.encode())], "path string, content binary")))
+    assert [r["sentence"] for r in s.declined(["topics/c.md"]).collect()] == ["No cache"] and s.declined(["x"]).collect() == []
+    fall = spark.createDataFrame([("s", 1, "/r/src/cache.py", "TOP-001", "h"), ("s", 2, "/r/src/new.py", "TOP-001", "h"), ("z", 3, "/r/free.py", "TOP-001", "h")], "session string, seq int, file string, topic_id string, hook string")
+    ledger = spark.createDataFrame([("s", f"/r/{p}", None, "/r", "ab" * 32, 1.0) for p in ("src/cache.py", "src/new.py", "free.py")] + [("s", "/n.md", None, None, "ab", 1.0)], "session string, path string, worktree_path string, root string, content_sha256 string, seen_at double")
+    proposals, free = store.propose_bindings(fall, ledger, "s")
+    assert [(r["topic_id"], r["path"], r["sha"]) for r in proposals.collect()] == [("TOP-001", "src/new.py", "ab" * 6)] and [r["path"] for r in free.collect()] == ["free.py"]
+
+
+def test_mark_standing():
+    word = {"why": "agreed", "recorded_at": "2026-03-01T09:00:00+01:00", "recorded_by": "me", "authority": "owner-ratified", "source": "s: 1"}
+    off = edits.mark_standing(CACHE, "L2", False, **word)
+    assert records.parse(off.encode())["standing"] == [] and "action: remove" in off
+    on = edits.mark_standing(off, "L2", True, **word)
+    assert records.parse(on.encode())["standing"] == ["L2"] and on.index("action: add") < on.index("action: remove")
+    assert edits.mark_standing(on, "L2", True, **word) == on
+    block = CACHE.replace("standing: [L2]", "standing:\n- L2")
+    assert records.parse(edits.mark_standing(block, "L2", False, **word).encode())["standing"] == []
+    assert records.parse(edits.mark_standing(CACHE.replace("standing: [L2]\n", ""), "L2", True, **word).encode())["standing"] == ["L2"]
+    for link, change in (("L1", {}), ("L7", {}), ("L2", {"authority": "agent-inference"})):
+        with pytest.raises(edits.Refused):
+            edits.mark_standing(CACHE.replace("standing: [L2]", "standing: []"), link, True, **word | change)
