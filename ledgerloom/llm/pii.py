@@ -92,6 +92,7 @@ _SIGN = "|".join(_SIGNS)
 _NUMBER = re.compile(rf"(?:(?:plus|\+)[ \t,-]{{0,2}})?(?<![^\W_])(?:{_WORD}|[0-9]+)(?:[ \t,.-]{{1,3}}(?:{_WORD}|{_SIGN}|[0-9]+)(?![^\W_]))+", re.IGNORECASE)
 _THREE = re.compile(rf"(?:{_WORD})[ \t,.-]{{1,3}}(?:(?:{_SIGN}|[0-9]+)[ \t,.-]{{1,3}})?(?:{_WORD})[ \t,.-]{{1,3}}(?:(?:{_SIGN}|[0-9]+)[ \t,.-]{{1,3}})?(?:{_WORD})", re.IGNORECASE)
 _PART = re.compile(r"[^\W_]+|\+", re.IGNORECASE)
+_RUN = re.compile(r"[^\W_]+")
 _GLYPH = re.compile("[" + re.escape("".join(_GLYPHS)) + "]")
 _AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba|arobase)\s{0,3}[\])}>]\s{0,3}"
 _DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]\s{0,3}"
@@ -126,15 +127,9 @@ def _plain_glyphs(t: str) -> bool:
 
 
 def _spelled(t: str) -> bool:
-    """Whether t has four digit words at all: a run of them needs as many."""
-    low = t.lower().replace(",", " ").replace(".", " ").replace("-", " ")
-    n = 0
-    for w in low.split():
-        if w in _SPELLED:
-            n += 1
-            if n == 4:
-                return True
-    return False
+    """Whether t has four digit words at all, as runs of letters and digits like _PART's: a run of _NUMBER that is rewritten has as many."""
+    words = _RUN.findall(t.lower())
+    return not _SPELLED.keys().isdisjoint(words) and sum(w in _SPELLED for w in words) >= 4
 
 
 def rewrites(t: str) -> list[tuple[int, int, str]]:

@@ -222,6 +222,21 @@ def test_pii_leaves_clean_text(text):
     assert pii.redact(text, []) == text
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [("+four nine three zero 1234567", "phone", "+four nine three zero 1234567"), ("(one nine two dot 168 dot one dot one)", "ip", "one nine two dot 168 dot one dot one")])
+def test_pii_digit_words_beside_punctuation(text, kind, found):
+    assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text)[1]]
+
+
+def test_pii_gate_equals_the_ungated_rewrite():
+    r = random.Random(6)
+    words = ["four", "Nine", "three", "ZERO", "fünf", "un", "dot", "2", "1234567"]
+    ends = ["", "+", "(", ")", "[", "]", ":", ";", "/", "'", '"', "_", "«", "!", "İ", "plus ", "x"]
+    for _ in range(3000):
+        run = [r.choice(words[:6]) for _ in range(3)] + [r.choice(words) for _ in range(r.randrange(5))]
+        t = "".join([r.choice(["", "Say "]), r.choice(ends), *(w + r.choice([" ", ", ", "-", "."]) for w in run), r.choice(words), r.choice(ends)])
+        assert pii.rewrites(t) == [x for m in pii._NUMBER.finditer(t) for x in pii._number(m)], t
+
+
 def test_pii_frames(spark, docs, empty):
     more = docs.unionByName(spark.createDataFrame([(99, "a@b.c 1.2.3.4", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
     rows = {r["doc_id"]: r for r in pii.find_pii(more).collect()}
