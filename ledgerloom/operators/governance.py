@@ -1,8 +1,9 @@
 """Which decisions govern a path: path references, coverage, concepts, citation tiers, standing rulings.
 
 A reference governs a path if it is equal, an ancestor or a descendant by whole segments, or a matching glob. The first
-three are equi-joins: paths are exploded into their ancestors and met with the references, and the other way round. Globs
-are few and are joined by broadcast behind a check of their number.
+three are equi-joins, for references with and without glob characters: paths are exploded into their ancestors and met with
+the references, and the other way round. Matches of globs are added: by broadcast behind a check of their number, beyond it
+by an equi-join on their literal directory.
 """
 
 from __future__ import annotations
@@ -47,20 +48,19 @@ def ancestors(path: Column) -> Column:
 
 def govern(paths: DataFrame, refs: DataFrame, path: str = "path", ref: str = "ref") -> DataFrame:
     """paths joined with the refs that govern them: each pair once. Columns of both."""
-    named = refs.where(is_named(F.col(ref)))
-    globs, plain = named.where(is_glob(F.col(ref))), named.where(~is_glob(F.col(ref)))
-    plain = plain.withColumn("_r", ref_path(F.col(ref)))
-    down = paths.withColumn("_p", F.explode(ancestors(F.col(path)))).join(plain, F.col("_p") == F.col("_r"))
-    up = paths.join(plain.withColumn("_a", F.explode(ancestors(F.col("_r")))), F.col(path) == F.col("_a")).where(F.col("_a") != F.col("_r"))
+    named = refs.where(is_named(F.col(ref))).withColumn("_r", ref_path(F.col(ref)))
+    # Equal, ancestor and descendant hold for globs as well: their characters count literally there.
+    down = paths.withColumn("_p", F.explode(ancestors(F.col(path)))).join(named, F.col("_p") == F.col("_r"))
+    up = paths.join(named.withColumn("_a", F.explode(ancestors(F.col("_r")))), F.col(path) == F.col("_a")).where(F.col("_a") != F.col("_r"))
     keep = [*paths.columns, *refs.columns]
     out = down.select(*keep).unionByName(up.select(*keep))
-    pattern = globs.withColumn("_g", X.glob_pattern(ref_path(F.col(ref))))
-    few = globs.limit(MOST_GLOBS + 1).count() <= MOST_GLOBS
+    pattern = named.where(is_glob(F.col(ref))).withColumn("_g", X.glob_pattern(F.col("_r")))
+    few = pattern.limit(MOST_GLOBS + 1).count() <= MOST_GLOBS
     # Beyond the bound, globs meet only paths under their literal directory: an equi-join again.
     if few:
-        met = paths.join(F.broadcast(pattern), F.rlike(F.col(path), F.col("_g")) | (F.col(path) == ref_path(F.col(ref))))
+        met = paths.join(F.broadcast(pattern), F.rlike(F.col(path), F.col("_g")))
     else:
-        fixed_part = F.regexp_extract(ref_path(F.col(ref)), r"^((?:[^*?\[/]+/)*)", 1)
+        fixed_part = F.regexp_extract("_r", r"^((?:[^*?\[/]+/)*)", 1)
         rooted = pattern.withColumn("_d", F.regexp_replace(fixed_part, "/$", ""))
         met = paths.withColumn("_p", F.explode(F.array_union(F.array(F.lit("")), ancestors(F.col(path))))).join(rooted, F.col("_p") == F.col("_d")).where(F.rlike(F.col(path), F.col("_g")))
     return out.unionByName(met.select(*keep)).dropDuplicates()

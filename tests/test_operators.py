@@ -28,6 +28,18 @@ def test_path_predicate_and_join_agree(spark):
         assert ((p, r) in found) == m
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_glob_references_govern_alike_on_both_sides_of_the_bound(spark, monkeypatch, most):
+    monkeypatch.setattr(governance, "MOST_GLOBS", most)
+    refs = ["app/[id]/page.tsx", "app/[id]", "docs/*.md", "docs", "*/1*", "src/**/t?st.py", "/abs/*.c", "a//*.py", "*", "app/i/", "lib/?#sym", "x[!y]/z", "", "#q"]
+    paths = ["app/[id]/page.tsx", "app/[id]", "app/[id]/a/b", "app/i", "app/i/page.tsx", "app", "docs", "docs/a.md", "docs/a/b.md", "docs/*.md", "docs/*.md/x", "a/1", "a/b/1c", "src", "src/**", "src/a/b/test.py", "/abs", "/abs/f.c", "a", "a//m.py", "lib/s", "lib/?", "lib/?/y", "xa/z", "xy/z", "x[!y]", "z.txt"]
+    p, r = spark.createDataFrame([(x,) for x in paths], "path string"), spark.createDataFrame([(x,) for x in refs], "ref string")
+    want = {(x["path"], x["ref"]) for x in p.crossJoin(r).where(governance.matches(F.col("path"), F.col("ref"))).collect()}
+    assert {("docs", "docs/*.md"), ("app/[id]/page.tsx", "app/[id]"), ("app/[id]/page.tsx", "app/[id]/page.tsx")} <= want
+    got = [(x["path"], x["ref"]) for x in governance.govern(p, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def naive_bm25(docs, query):
     toks = {k: __import__("re").findall("[a-z0-9]+", t.lower()) for k, t in docs}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
