@@ -181,20 +181,48 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     Documents are linked if the Jaccard similarity of their sets of `shingle_words`-word shingles (A-Z lower-cased, words
     split at ASCII white space) is at least `similarity`, given in hundredths. Texts with fewer words have one shingle, the
     whole sequence. Null or wordless texts have none and link with nothing. Rows that share a doc_id are one node with the
-    links of each; a null doc_id links with nothing, has a null component and is kept. Further columns are ignored, an
+    links of each, and n_shingles is of the row; a null doc_id links with nothing, has a null component and is kept. Further columns are ignored, an
     empty table gives an empty result. Of the pairs at just `similarity`, at most one in a million is missed
     (miss_probability); no pair below it is linked.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = _signed(docs, shingle_words, similarity)
+    text = F.struct("c1", "c2")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        return _near(docs, signed, shingle_words, similarity)
+    return _near_by_row(docs, shingle_words, similarity)
+
+
+def _signed(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    return materialize(docs.mapInArrow(_sign(shingle_words, COORDINATES - matches_for(similarity) + 1), _SIGNED), "signed")
+
+
+def _near_by_row(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """near_duplicates() where a doc_id has several texts: rows are linked under numbers of their own, then the components that share a doc_id are united."""
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+    near = materialize(_near(numbered, _signed(numbered, shingle_words, similarity), shingle_words, similarity), "near")
+    of = rows.where("doc_id is not null").select("row", "doc_id").join(near.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c")), "row")
+    of = materialize(of, "of")
+    first = of.groupBy("doc_id").agg(F.min("c").alias("first"))
+    found = components(salted(of.select("doc_id", "c").distinct(), first, ["doc_id"]).select(F.col("c").alias("a"), F.col("first").alias("b")))
+    of = salted(of, found.withColumnRenamed("node", "c"), ["c"], "left").select("doc_id", "n_shingles", F.coalesce("component", "c").alias("c"))
+    of = materialize(of, "united")
+    out = salted(of, of.groupBy("c").agg(F.min("doc_id").alias("component_id")), ["c"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(near.where("doc_id is null"))
+
+
+def _near(docs: DataFrame, signed: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """near_duplicates() of docs whose doc_ids have one text each, though perhaps in several rows."""
     matches = matches_for(similarity)
     prefix = COORDINATES - matches + 1
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_sign(shingle_words, prefix), _SIGNED), "signed")
     known = signed.where("n > 0 and doc_id is not null")
     classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     classes = materialize(classes, "classes")
     repped = salted(signed.select("doc_id", "n", "c1", "c2"), classes, ["c1", "c2"], "left")
-    later = repped.where("n > 0 and doc_id <> rep").select("doc_id", "rep").distinct()
-    own = known.join(later.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", "keys")
+    later = repped.where("n > 0 and doc_id <> rep").select("doc_id").distinct()
+    own = known.join(later, "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", "keys")
     posted = own.select("doc_id", F.explode("keys").alias("key"))  # narrow: most postings are alone in their list and end here
     shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     met_at = posted.join(shared, "key").select("key", "doc_id")
@@ -220,11 +248,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
         more = materialize(_confirmed(across, sets, similarity), "more")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    # Copies of a class, and rows that share a doc_id, end up with one label.
-    ids = repped.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    if not ids.where("lo < hi").isEmpty():  # one doc_id in several classes: they are one node
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(later.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-        classes = classes.select("c1", "c2", "rep")
+    # Copies of a class end up with one label.
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("by_class"))
     out = salted(signed.select("doc_id", "n", "c1", "c2"), label, ["c1", "c2"], "left").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.least(F.coalesce("by_class", "component", "doc_id"), F.coalesce("component", "by_class", "doc_id"))).otherwise(F.col("doc_id"))

@@ -69,6 +69,29 @@ def test_near_duplicates_of_a_large_loose_group(spark):
     assert {x[0]: tuple(x[1:]) for x in got} == brute_near(rows, 3, 85)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """brute_near over rows with ids of their own, which are then united by doc_id."""
+    r = random.Random(8)
+    words = {x: [f"{x}{r.randrange(900)}" for _ in range(80)] for x in "abcdef"}
+    full = {x: " ".join(w) for x, w in words.items()}
+    near = {x: " ".join([*w[:-1], "other"]) for x, w in words.items()}
+    rows = [(3, full["a"]), (5, full["a"]), (5, full["b"]), (9, near["b"])]  # a link through a text whose doc_id is a later copy elsewhere
+    rows += [(20, full["c"]), (21, full["c"]), (21, full["d"]), (22, full["d"]), (23, near["d"])]  # a class whose first document is a later copy
+    rows += [(30, full["e"]), (30, full["f"]), (31, near["f"]), (31, ""), (32, None), (40, "alone here"), (40, "alone here")]
+    rows += [(None, full["a"]), (None, None)]
+    of = {i: (row if row[0] is not None else None) for i, row in enumerate(rows)}
+    alone = brute_near([(i, row[1]) for i, row in of.items() if row], 3, 85)
+    label = {i: v[1] for i, v in alone.items()}
+    for _ in rows:
+        for i, j in ((i, j) for i in label for j in label if rows[i][0] == rows[j][0] and label[i] != label[j]):
+            label = {x: min(label[i], label[j]) if v in (label[i], label[j]) else v for x, v in label.items()}
+    first = {c: min(rows[i][0] for i in label if label[i] == c) for c in label.values()}
+    want = [(rows[i][0], alone[i][0], first[c], rows[i][0] == first[c]) for i, c in label.items()] + [(None, 78, None, True), (None, 0, None, True)]
+    assert {w[0]: w[2] for w in want if w[0]} == {3: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20, 23: 20, 30: 30, 31: 30, 32: 32, 40: 40}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 0.85).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_near_duplicates_empty(empty):
     assert neardup.near_duplicates(empty).collect() == []
 
