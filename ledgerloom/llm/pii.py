@@ -90,21 +90,24 @@ _SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "da
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SIGN = "|".join(_SIGNS)
 _NUMBER = re.compile(rf"(?:(?:plus|\+)[ \t,-]{{0,2}})?(?<![^\W_])(?:{_WORD}|[0-9]+)(?:[ \t,.-]{{1,3}}(?:{_WORD}|{_SIGN}|[0-9]+)(?![^\W_]))+", re.IGNORECASE)
-_THREE = re.compile(rf"(?:{_WORD})[ \t,.-]{{1,3}}(?:(?:{_SIGN}|[0-9]+)[ \t,.-]{{1,3}})?(?:{_WORD})[ \t,.-]{{1,3}}(?:(?:{_SIGN}|[0-9]+)[ \t,.-]{{1,3}})?(?:{_WORD})", re.IGNORECASE)
 _PART = re.compile(r"[^\W_]+|\+", re.IGNORECASE)
 _RUN = re.compile(r"[^\W_]+")
 _GLYPH = re.compile("[" + re.escape("".join(_GLYPHS)) + "]")
 _AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba|arobase)\s{0,3}[\])}>]\s{0,3}"
 _DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]\s{0,3}"
 _BRACKET = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9._%+-]{1,64}){0,4} at [A-Za-z0-9-]{1,64}(?:(?: dot |\.)[A-Za-z0-9-]{1,64}){0,6} dot [A-Za-z0-9-]{1,24}(?![A-Za-z0-9])", re.IGNORECASE)
+_BARE = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:(?: dot [A-Za-z0-9._%+-]{1,64}){1,4} at [A-Za-z0-9-]{1,64}(?:(?: dot |\.)[A-Za-z0-9-]{1,64}){1,7}"
+    r"| at [A-Za-z0-9-]{1,64}(?:(?: dot |\.)[A-Za-z0-9-]{1,64}){0,6} dot [A-Za-z0-9-]{1,24})(?![A-Za-z0-9])",
+    re.IGNORECASE,
+)
 _BARE_WORD = re.compile(r" (at|dot) ", re.IGNORECASE)
 
 
-def _number(m: re.Match) -> list[tuple[int, int, str]]:
-    """Rewrites of one run of digit words, digits and sign words; none if fewer than four digits of it are spelled."""
+def _number(m: re.Match, least: int = 1) -> list[tuple[int, int, str]]:
+    """Rewrites of one run of digit words, digits and sign words; none if fewer than `least` digits of it are spelled."""
     parts = [(p.start(), p.end(), p[0]) for p in _PART.finditer(m.string, m.start(), m.end())]
-    if sum(p.lower() in _SPELLED for *_, p in parts) < 4:
+    if sum(p.lower() in _SPELLED for *_, p in parts) < least:
         return []
     out, last = [], None
     for a, b, p in parts:
@@ -127,24 +130,23 @@ def _plain_glyphs(t: str) -> bool:
 
 
 def _spelled(t: str) -> bool:
-    """Whether t has four digit words at all, as runs of letters and digits like _PART's: a run of _NUMBER that is rewritten has as many."""
-    words = _RUN.findall(t.lower())
-    return not _SPELLED.keys().isdisjoint(words) and sum(w in _SPELLED for w in words) >= 4
+    """Whether t has a digit word at all, as a run of letters and digits like _PART's: a run of _NUMBER that is rewritten has one."""
+    return not _SPELLED.keys().isdisjoint(_RUN.findall(t.lower()))
 
 
-def rewrites(t: str) -> list[tuple[int, int, str]]:
-    """Disjoint (start, end, replacement) by start: what the transducers change in t."""
+def rewrites(t: str, least: int = 1) -> list[tuple[int, int, str]]:
+    """Disjoint (start, end, replacement) by start: what the transducers change in t, of runs of numbers those with `least` spelled digits."""
     out: list[tuple[int, int, str]] = []
     if not t.isascii() and not _plain_glyphs(t):
         out += [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(t)]
     if any(x in t for x in "[({<"):
         out += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(t)]
-    if " dot " in t or " DOT " in t or " Dot " in t:
+    if " dot " in t.lower():
         for m in _BARE.finditer(t):
             out += [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for w in _BARE_WORD.finditer(t, m.start(), m.end())]
-    if _spelled(t) and _THREE.search(t):
+    if _spelled(t):
         for m in _NUMBER.finditer(t):
-            out += _number(m)
+            out += _number(m, least)
     out.sort()
     kept, end = [], 0
     for a, b, new in out:
@@ -155,8 +157,20 @@ def rewrites(t: str) -> list[tuple[int, int, str]]:
 
 
 def disguised_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that only the rewritten text shows, as source spans; none that overlaps a plain one of its kind."""
+    """Identifiers that only the rewritten text shows, as source spans; none that overlaps a plain one of its kind.
+
+    Numbers with few spelled digits are rewritten beside the others and not instead: a digit word can belong to an address ("jane at two dot com").
+    """
     changes = rewrites(t)
+    if not changes:
+        return []
+    found = set(_found(t, changes, base))
+    if (fewer := rewrites(t, 4)) != changes:
+        found |= set(_found(t, fewer, base))
+    return sorted(x for x in found if not any(y != x and y[1] == x[1] and y[0] <= x[0] and x[2] <= y[2] for y in found))
+
+
+def _found(t: str, changes: list[tuple[int, int, str]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not changes:
         return []
     pieces, at, places, sources, long = [], 0, [], [], 0

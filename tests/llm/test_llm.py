@@ -250,6 +250,18 @@ def test_pii_digit_words_beside_punctuation(text, kind, found):
     assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text)[1]]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write jane dot doe at example.com, please", "email", "jane dot doe at example.com"), ("Jane dOt Doe at example dOt com", "email", "Jane dOt Doe at example dOt com"),
+        ("+1 415 five five five 2671", "phone", "+1 415 five five five 2671"), ("+one 2 3 four 5 6 seven 8 9 zero 1", "phone", "+one 2 3 four 5 6 seven 8 9 zero 1"),
+        ("at 192.168.one.1 now", "ip", "192.168.one.1"), ("4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"), ("mail jane at two dot com", "email", "jane at two dot com"),
+    ],
+)
+def test_pii_few_spelled_digits_and_dots_before_the_at(text, kind, found):
+    assert (kind, found) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text)[1]]
+
+
 def test_pii_gate_equals_the_ungated_rewrite():
     r = random.Random(6)
     words = ["four", "Nine", "three", "ZERO", "fünf", "un", "dot", "2", "1234567"]
