@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,34 +17,50 @@ from pyspark.sql import types as T
 #: Bytes of text that a Python worker unpacks into words at a time.
 CHUNK_BYTES = 3 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode
+    (tests) and an error elsewhere: the executors of a cluster do not see the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives the loss of executors."""
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives the loss of executors.
+
+    The table stays until discard() or release(), for results are lazy and may read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for t in tables:
+        path = t._ledgerloom_path
+        spark = _written.pop(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
-    """Delete what materialize() wrote; results that have not been consumed are lost with it."""
+    """Delete all that materialize() wrote; results that have not been consumed are lost with it."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001  at exit the JVM may be gone
             return
@@ -52,6 +69,20 @@ def release() -> None:
 atexit.register(release)
 
 
+def place(names: list[str], name: str) -> int:
+    """Where a column stands; as in SQL, names compare without case."""
+    return names.index(name) if name in names else [n.lower() for n in names].index(name)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[quoted(c) for c in docs.columns])
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32(col as text) mod m; null ids have no remainder."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
@@ -81,11 +112,6 @@ def appended(schema: T.StructType, new: str) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in names] + own.fields)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; further columns, however named, play no part."""
-    return df.select(*names)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -101,6 +127,8 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 #: Tasks over which the rows of one hot key are dealt.
 SALTS = 16
+#: A key is hot if it holds more than one in HOT_SHARE of the rows, so there are at most HOT_SHARE of them.
+HOT_SHARE = 2000
 
 
 def all_salts() -> Column:
@@ -113,23 +141,43 @@ def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(right.withColumn("_salt", F.explode(all_salts())), [*on, "_salt"], how).drop("_salt")
 
 
-def fit_sample(docs: DataFrame, labelled: DataFrame, per_class: int, most_bytes: int, seed: int = 1) -> list:
-    """Rows (text, label) to fit a classifier on: for each label the `per_class` documents that come first in the order of
-    a hash of doc_id, so a sample that depends on neither layout nor order; texts over `most_bytes` are passed over.
+def hot_keys(counts: DataFrame, on: list[str], size: str) -> DataFrame | None:
+    """(on…, _hot) of the keys that hold over a HOT_SHARE-th of all rows, or None: at most HOT_SHARE rows, which the driver holds."""
+    total = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = counts.where(F.col(size) * HOT_SHARE > total).where(F.col(size) > SALTS).select(*on, F.lit(True).alias("_hot"))
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if (rows := hot.collect()) else None
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join with the rows of hot keys of left dealt over SALTS tasks, and those of right copied there. Other keys go as in a plain join."""
+    if hot is None:
+        return left.join(right, on)
+    hot, cold = F.broadcast(hot), F.lit(0).cast("long")
+    a = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(cold)).drop("_hot")
+    b = right.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), all_salts()).otherwise(F.array(cold)))).drop("_hot")
+    return a.join(b, [*on, "_salt"]).drop("_salt")
+
 
-    labelled: (doc_id, label), without nulls, of a label set that is small. What reaches the driver is at most per_class texts of most_bytes a label.
+def fit_sample(docs: DataFrame, labelled: DataFrame, per_class: int, most_bytes: int, most_classes: int = 1000, seed: int = 1) -> DataFrame:
+    """Rows (doc_id, text, label) to fit a classifier on: for each label the `per_class` documents that come first in the
+    order of a hash of doc_id, so a sample that depends on neither layout nor order.
+
+    labelled: (doc_id, label), without nulls. A doc_id with different labels says nothing and is left out; of a doc_id with
+    several texts the one of the smallest hash stands for it; texts over `most_bytes` are passed over. Only the `most_classes`
+    commonest labels count. So there are at most most_classes * per_class rows, one a doc_id, of at most most_bytes each,
+    however often rows repeat.
     """
     from pyspark.sql import Window
 
-    labelled = labelled.dropDuplicates(["doc_id"]).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    labelled = labelled.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other")
+    labelled = labelled.select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)).alias("_h"))
     # A label's first hashes only: as many as are wanted and some to spare, however many rows it has.
-    size = labelled.groupBy("label").agg(F.count("*").alias("_size"))
-    share = F.pmod(F.col("_h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = labelled.join(F.broadcast(size), "label").where(share * F.col("_size") <= 2 * per_class + 100)
-    order = Window.partitionBy("label").orderBy(F.pmod(F.col("_h"), F.lit(1 << 40)), "doc_id")
+    size = labelled.groupBy("label").agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), "label").limit(most_classes)
+    near = labelled.join(F.broadcast(size), "label").where(F.col("_h") / F.lit(float(1 << 40)) * F.col("_size") <= 2 * per_class + 100)
+    order = Window.partitionBy("label").orderBy("_h", "doc_id")
     ids = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).select("doc_id", "label")
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").orderBy("doc_id").collect()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)).join(F.broadcast(ids), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), "label")
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -155,3 +203,15 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     if len(b) < 8:
         return np.empty(0, np.uint64)
     return np.cumsum(np.concatenate([np.frombuffer(b, np.uint64, 1), unpack(b[8:])]), dtype=np.uint64)
+
+
+def power_of_two(x: float) -> int:
+    """The smallest power of two that is at least x."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
+
+
+def occupied(key: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of ascending keys of `bits` bits that share a bucket: the upper bits, for a power of two of buckets."""
+    own = key >> np.uint64(bits - buckets.bit_length() + 1) if buckets > 1 else np.zeros(key.size, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: key.size])
+    yield from zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), key.size], strict=True)

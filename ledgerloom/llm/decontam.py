@@ -12,10 +12,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import appended, by_bytes, materialize, mix64, text_bytes
+from .common import appended, by_bytes, discard, materialize, mix64, place, text_bytes
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are held in memory at once; a larger benchmark is searched in several passes.
@@ -92,9 +94,9 @@ class _Length:
 class Patterns:
     """The windows of benchmark items: 13 consecutive words, or a shorter item as a whole."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW):
         vocabulary: dict[bytes, int] = {}
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         texts: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
             ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
@@ -121,7 +123,7 @@ class Patterns:
         offsets = np.searchsorted(group, np.arange(int(new.sum()) + 1)).astype(np.int32)
         return _Length(windows[new], sum(ids.size for _, ids in texts), len(self.vocabulary)), offsets, owners.astype(np.int32)
 
-    def search(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+    def search(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, set[str | None]]]:
         """For each text: its number of words, which of them are hit, the items found."""
         words = [words_of(t) for t in texts]
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
@@ -143,64 +145,80 @@ class Patterns:
             yield b - a, hit[a:b], items.get(d, set())
 
 
-def _pass(patterns, final: bool):
+def _pass(patterns, first: bool, final: bool, only_clean: bool):
+    """One pass over the documents, as they are (first) or as (row, hits, items) of the pass before; the last gives the results, or the rows that are clean."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = patterns.value.search
         for batch in batches:
-            names = batch.schema.names
-            texts = text_bytes(batch.column(names.index("text")))
-            old_hits = batch.column(names.index("_hits")).to_pylist() if "_hits" in names else None
-            old_items = batch.column(names.index("_items")).to_pylist() if "_items" in names else None
+            row = batch.to_struct_array() if first else batch.column(0)
+            columns = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
+            texts = text_bytes(columns[list(columns)[place(list(columns), "text")]])
+            old_hits, old_items = (None, None) if first else (batch.column(k).to_pylist() for k in (1, 2))
             hits, items, count = [], [], []
             for a, b in by_bytes(texts):
                 for i, (n, hit, found) in enumerate(search(texts[a:b]), a):
-                    if old_hits is not None:
+                    if not first:
                         hit = hit | np.unpackbits(np.frombuffer(old_hits[i], np.uint8), count=n).astype(bool)
                         found = found | set(old_items[i])
                     count.append(n)
                     hits.append(int(hit.sum()) if final else np.packbits(hit).tobytes())
-                    items.append(sorted(found))
-            kept = [(c, f) for c, f in zip(batch.columns, batch.schema, strict=True) if f.name not in _OUT]
-            if final:
-                new = {
-                    "n_words": pa.array(count, pa.int64()),
-                    "n_hit": pa.array(hits, pa.int64()),
-                    "n_items": pa.array([len(x) for x in items], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                    "contaminated": pa.array([h > 0 and 20 * h >= n for h, n in zip(hits, count, strict=True)], pa.bool_()),
-                }
-            else:
-                new = {"_hits": pa.array(hits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([c for c, _ in kept] + list(new.values()), names=[f.name for _, f in kept] + list(new))
+                    items.append(found)
+            if not final:
+                yield pa.RecordBatch.from_arrays([row, pa.array(hits, pa.binary()), pa.array([list(x) for x in items], pa.list_(pa.string()))], names=["row", "hits", "items"])
+                continue
+            bad = pa.array([h > 0 and 20 * h >= n for h, n in zip(hits, count, strict=True)], pa.bool_())
+            if only_clean:
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pc.invert(bad))
+                continue
+            kept = {name: c for name, c in columns.items() if name.lower() not in _OUT}
+            names = [",".join(sorted(x - {None})) for x in items]
+            new = [pa.array(count, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()), bad]
+            yield pa.RecordBatch.from_arrays([*kept.values(), *new], names=[*kept, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return run
 
 
-_OUT = {"_hits", "_items", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
+_OUT = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (text, any other columns) with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     A window is `window` consecutive words of an item, or a whole shorter item. A document is contaminated if a word of
-    it is hit and the hit words are at least a twentieth of its words. Null and empty texts have no words and are clean;
-    items without words have no window; repeated items count once per item_id; an empty benchmark hits nothing. Columns
-    of docs that have the names of results are replaced. No shuffle: each document is judged where it is read. The
+    it is hit and the hit words are at least a twentieth of its words. Null and empty texts have no words and are clean; very
+    long texts are searched whole; rows are judged one by one, so repeats repeat. Items without words have no window; repeated
+    items count once per item_id; items with a null item_id hit like others, and together count as one item, without a name
+    in items_sha256; an empty benchmark hits nothing, an empty table gives an empty result. Columns of docs that have the names
+    of results are replaced, others, however named, come back unchanged. No shuffle: each document is judged where it is read. The
     windows are broadcast in blocks of about `block_bytes` of distinct benchmark texts (a longer text stands alone), whatever
     items they belong to; with more than one block, the documents pass once per block and carry their hits along.
     """
+    return _searched(docs, benchmark, window, block_bytes, only_clean=False)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that decontaminate() calls contaminated; all columns, those named like results too, come back unchanged."""
+    return _searched(docs, benchmark, window, block_bytes, only_clean=True)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, only_clean: bool) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in _OUT])
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null").distinct()
+    result = docs.schema if only_clean else appended(docs.schema, RESULT)
+    row = T.StructType([T.StructField("row", docs.schema), *T._parse_datatype_string("hits binary, items array<string>").fields])
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     items = materialize(items, "benchmark") if blocks > 1 else items
+    before = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Patterns([(r["item"], bytes(r["text"])) for r in part], window))
         final = k == blocks - 1
-        base = docs.drop("_hits", "_items").schema
-        docs = docs.mapInArrow(_pass(shared, final), appended(base, RESULT if final else "_hits binary, _items array<string>"))
+        docs = docs.mapInArrow(_pass(shared, k == 0, final, only_clean), result if final else row)
         if not final:
             docs = materialize(docs, f"decontam{k}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -8,17 +8,21 @@ hash of its id. Only the cells take part in the iterations.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, all_salts, materialize
+from .common import SALTS, all_salts, as_row, discard, materialize
 
 MARGINS = ("source", "lang", "topic")
 #: Targets are shares of tokens to this power, normalised, where none are given.
 TEMPER = {"source": 0.5, "lang": 0.5, "topic": 1.0}
 BUDGET = 0.5
-ROUNDS, TOLERANCE = 30, 1e-6
-_TAIL = 12
+#: Rounds end when every margin is met to TOLERANCE, or when a round changes no share by as much: targets that contradict each
+#: other, or cells that are missing, leave a rest, which is reported. MOST_ROUNDS is a guard only, and reported as well.
+TOLERANCE, MOST_ROUNDS = 1e-6, 500
+ROUNDS_A_JOB = 4
 #: More cells than this are not broadcast.
 MOST_CELLS = 50_000
 
@@ -49,49 +53,65 @@ def _targets(cells: DataFrame, name: str, given: dict[str, float] | None) -> Dat
     else:
         table = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))])
         weight = F.coalesce(F.element_at(table, F.col(name)), F.lit(0.0)) if given else F.lit(0.0)
-    # A sum over one row a value: pre-aggregated, then joined as a single row.
     weighed = have.select(name, weight.alias("w"))
-    whole = weighed.agg(F.sum("w").alias("whole"))
-    return weighed.join(F.broadcast(whole)).select(name, F.when(F.col("whole") > 0, F.col("w") / F.col("whole")).otherwise(F.lit(0.0)).alias("target"))
+    whole = weighed.agg(F.sum("w")).first()[0] or 0.0
+    return weighed.select(name, (F.col("w") / F.lit(whole) if whole > 0 else F.lit(0.0)).alias("target"))
+
+
+def _off(cells: DataFrame) -> float:
+    """How far the shares are from the targets at most, over all margins."""
+    worst = 0.0
+    for m in MARGINS:
+        sums = cells.groupBy(m).agg(F.sum("weight").alias("have"), F.max(f"_{m}").alias("want"))
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("have") - F.col("want")))).first()[0] or 0.0)
+    return worst
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight, shares of 1 that meet the targets as far as the cells allow.
 
-    A value with tokens but no target, or target 0, gets the weight 0; targets of values without tokens are passed over.
+    A value with tokens but no target, or target 0, gets the weight 0; targets of values without tokens are passed over. Where
+    the margins cannot all be met to `tolerance`, the topic's, raked last, are, and a warning says how far the others are off.
     """
     now = cells
     for m in MARGINS:
         now = now.join(_targets(cells, m, (targets or {}).get(m)).withColumnRenamed("target", f"_{m}"), m, "left")
-    now = materialize(now.select(*MARGINS, "tokens", *[F.coalesce(f"_{m}", F.lit(0.0)).alias(f"_{m}") for m in MARGINS], F.col("tokens").cast("double").alias("weight")), "cells")
-    for k in range(rounds):
-        old = "weight"
-        for m in MARGINS:
-            have = F.sum("weight").over(Window.partitionBy(m))
-            now = now.withColumn("_have", have)
-            if m == MARGINS[0]:  # how far the shares of the first margin are off after the others were raked
-                now = now.withColumn("_off", F.abs(F.col("_have") - F.col(f"_{m}")))
-            now = now.withColumn("weight", F.when(F.col("_have") > 0, F.col(old) * F.col(f"_{m}") / F.col("_have")).otherwise(0.0)).drop("_have")
-        now = materialize(now, f"rake{k}")
-        off = now.agg(F.max("_off")).first()[0]
-        now = now.drop("_off")
-        if off is None or (k and off <= tolerance):
+    now = table = materialize(now.select(*MARGINS, "tokens", *[F.coalesce(f"_{m}", F.lit(0.0)).alias(f"_{m}") for m in MARGINS], F.col("tokens").cast("double").alias("weight")), "cells")
+    rounds = 0
+    while True:
+        for k in range(ROUNDS_A_JOB):
+            if k == ROUNDS_A_JOB - 1:
+                now = now.withColumn("_old", F.col("weight"))
+            for m in MARGINS:
+                now = now.withColumn("_have", F.sum("weight").over(Window.partitionBy(m)))
+                now = now.withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.col(f"_{m}") / F.col("_have")).otherwise(0.0)).drop("_have")
+        before, table = table, materialize(now, f"rake{rounds}")
+        discard(before)
+        now, rounds = table.drop("_old"), rounds + ROUNDS_A_JOB
+        moved, off = table.agg(F.max(F.abs(F.col("weight") - F.col("_old")))).first()[0] or 0.0, _off(table)
+        if off <= tolerance or (rounds > ROUNDS_A_JOB and moved <= tolerance * tolerance) or rounds >= most_rounds:
             break
+    if off > tolerance:
+        warnings.warn(f"after {rounds} rounds the shares of a margin are off by up to {off:.3g}", stacklevel=2)
     return now.select(*MARGINS, "tokens", "weight")
 
 
 def rates(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """cells (…, tokens, weight) with rate: weight / tokens, scaled so that the expected tokens are `budget` of all, at most 1.
 
-    Where some rates reach 1, the others are scaled up to spend what is left, in a fixed number of steps.
+    Where some rates reach 1, the others are scaled up to spend what is left, until no further rate reaches 1.
     """
-    now = cells.withColumn("_f", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    scale = now.agg((F.sum("tokens") * F.lit(budget)).alias("b"), F.sum("weight").alias("w")).select("b", F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0).alias("s"))
-    for _ in range(_TAIL):
-        full = F.col("_f") * F.col("s") >= 1
-        scale = now.join(F.broadcast(scale)).agg(F.max("b").alias("b"), F.max("s").alias("s"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("f"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("w"))
-        scale = scale.select("b", F.when(F.col("w") > 1e-12, F.greatest(F.col("s"), (F.col("b") - F.col("f")) / F.col("w"))).otherwise(F.col("s")).alias("s"))
-    return now.join(F.broadcast(scale.select("s"))).withColumn("rate", F.least(F.lit(1.0), F.col("_f") * F.col("s"))).drop("_f", "s")
+    own = cells.withColumn("_f", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
+    spend, weight = own.agg(F.sum("tokens").cast("double") * F.lit(float(budget)), F.sum("weight")).first()
+    scale = spend / weight if weight else 0.0
+    while weight:
+        full = F.col("_f") * F.lit(scale) >= 1
+        used, rest = own.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        more = (spend - used) / rest if rest > 1e-12 else scale
+        if more <= scale * (1 + 1e-12):
+            break
+        scale = more
+    return own.withColumn("rate", F.least(F.lit(1.0), F.col("_f") * F.lit(scale))).drop("_f")
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -103,30 +123,33 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     """docs with topic, n_tokens, weight (of the document: its share of the raked whole), rate and sampled.
 
     targets: for source, lang or topic, value -> share; where a margin has none, the shares of tokens to the power TEMPER.
-    Null sources, languages and topics are the value "(none)". Texts without words have no weight and the rate 0. Rows are
-    drawn by doc_id (and text, where that is null), so repeated rows share their fate. Result names replace columns of docs.
+    Null sources, languages and topics are the value "(none)". Null texts and texts without words have no weight and the rate 0;
+    very long texts count as a whole. Rows are drawn by doc_id (and text, where that is null), so repeated rows share
+    their fate. An empty table gives an empty result. Columns with the names of results are replaced (a topic column is read
+    first), others, however named, come back unchanged.
     """
     own = {"topic", "n_tokens", "weight", "rate", "sampled"}
-    tokens = n_tokens(F.col("text"))
-    topic = topic if topic is not None else (F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"), F.col("_n")))
-    base = docs.withColumn("_n", tokens).withColumn("_topic", topic).drop(*[c for c in docs.columns if c.lower() in own])
-    named = {m: F.coalesce(F.col("_topic" if m == "topic" else m).cast("string"), F.lit("(none)")) for m in MARGINS}
-    cells = materialize(base.groupBy(*[c.alias(m) for m, c in named.items()]).agg(F.sum("_n").alias("tokens")), "sums")
-    rated = materialize(rates(rake(cells, targets), budget), "rates").select(*[F.col(m).alias(f"_c{m}") for m in MARGINS], F.col("weight").alias("_w"), F.col("tokens").alias("_t"), "rate")
-    left = base.withColumns({f"_c{m}": c for m, c in named.items()})
-    on = [f"_c{m}" for m in MARGINS]
-    if rated.count() <= MOST_CELLS:
-        joined = left.join(F.broadcast(rated), on, "left")
-    else:  # a hot cell's documents are dealt over SALTS tasks
-        left = left.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
-        joined = left.join(rated.withColumn("_salt", F.explode(all_salts())), [*on, "_salt"], "left")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    rate = F.when(F.col("_n") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
-    weight = F.when(F.col("_t") > 0, F.col("_w") * F.col("_n") / F.col("_t")).otherwise(0.0)
-    plain = [c for c in docs.columns if c.lower() not in own]
-    return joined.select(*plain, F.col("_ctopic").alias("topic"), F.col("_n").alias("n_tokens"), weight.alias("weight"), rate.alias("rate"), (uniform(key, seed) < rate).alias("sampled"))
+    return _mixed(docs, targets, budget, seed, topic).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in own], *sorted(own, key=["topic", "n_tokens", "weight", "rate", "sampled"].index))
+
+
+def draw(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 9, topic: Column | None = None) -> DataFrame:
+    """The documents that mix() samples; all columns of docs, those named like results too, come back unchanged."""
+    return _mixed(docs, targets, budget, seed, topic).where("sampled").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def draw(docs: DataFrame, **how) -> DataFrame:
-    """The documents that mix() samples, with the columns of docs."""
-    return mix(docs, **how).where("sampled").select(*docs.columns)
+def _mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, seed: int, topic: Column | None) -> DataFrame:
+    """row (all columns of docs) with the results of mix()."""
+    if topic is None and "topic" in [c.lower() for c in docs.columns]:
+        topic = F.col("topic")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    base = docs.select(as_row(docs).alias("row"), n_tokens(F.col("text")).alias("n_tokens"), key.alias("key"), *[F.coalesce(F.col(m).cast("string"), F.lit("(none)")).alias(m) for m in ("source", "lang")], (topic if topic is not None else F.lit(None)).cast("string").alias("topic"))
+    base = base.withColumn("topic", F.coalesce("topic", F.lit("(none)")) if topic is not None else topic_of(F.col("row")["text"], F.col("n_tokens")))
+    cells = materialize(base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "sums")
+    rated = materialize(rates(rake(cells, targets), budget), "rates").withColumnRenamed("weight", "cell_weight").withColumnRenamed("rate", "cell_rate")
+    if rated.count() <= MOST_CELLS:
+        joined = base.join(F.broadcast(rated), [*MARGINS], "left")
+    else:  # a hot cell's documents are dealt over SALTS tasks
+        joined = base.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(rated.withColumn("salt", F.explode(all_salts())), [*MARGINS, "salt"], "left")
+    rate = F.when(F.col("n_tokens") > 0, F.coalesce("cell_rate", F.lit(0.0))).otherwise(0.0)
+    weight = F.when(F.col("tokens") > 0, F.col("cell_weight") * F.col("n_tokens") / F.col("tokens")).otherwise(0.0)
+    return joined.select("row", "topic", "n_tokens", weight.alias("weight"), rate.alias("rate"), (uniform(F.col("key"), seed) < rate).alias("sampled"))

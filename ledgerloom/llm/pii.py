@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import appended
+from .common import appended, place
 
 KINDS = ("email", "ip", "card", "phone")
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -74,7 +75,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 # Characters that look like ASCII ones, Cyrillic first, then Greek, then others.
-_LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅ" "οανιρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "＠﹫．。․‐‑‒–—−﹣⁺＋", "aeopcyxijsdhqwABEKMHOPCTXIJS" "oavipтuABEZHIKMNOPTYX".replace("т", "t") + "@@..." + "-------" + "++", strict=True))
+_LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅ" "οανιρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "＠﹫．。․‐‑‒–—−﹣⁺＋", "aeopcyxijsdhqwABEKMHOPCTXIJS" "oaviptuABEZHIKMNOPTYX" + "@@..." + "-------" + "++", strict=True))
 _GLYPHS = {**_LOOKALIKE, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}}
 for _zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):  # decimal digits of other scripts and styles
     _GLYPHS.update({chr(_zero + d): str(d) for d in range(10)})
@@ -156,21 +157,45 @@ def rewrites(t: str, least: int = 1) -> list[tuple[int, int, str]]:
     return kept
 
 
+class _Overlap:
+    """Whether a span overlaps one of a list, by kind; the spans of a kind do not overlap each other."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.of: list[tuple[list[int], list[int]]] = [([], []) for _ in KINDS]
+        for a, k, b in sorted(spans):
+            self.of[k][0].append(a)
+            self.of[k][1].append(b)
+
+    def __call__(self, a: int, kind: int, b: int) -> bool:
+        starts, ends = self.of[kind]
+        k = bisect_left(starts, b) - 1  # the last that starts before b; those before it end sooner
+        return k >= 0 and ends[k] > a
+
+
 def disguised_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Identifiers that only the rewritten text shows, as source spans; none that overlaps a plain one of its kind.
 
     Numbers with few spelled digits are rewritten beside the others and not instead: a digit word can belong to an address ("jane at two dot com").
+    Bounds of the disguises: an address spelled with bare words has parts of at most 64 characters, up to four " dot "
+    before its " at " and seven labels behind it, and one spelled " dot " at least; digit words are those of English, German, French and Spanish.
     """
     changes = rewrites(t)
     if not changes:
         return []
-    found = set(_found(t, changes, base))
+    overlaps = _Overlap(base)
+    found = set(_found(t, changes, overlaps))
     if (fewer := rewrites(t, 4)) != changes:
-        found |= set(_found(t, fewer, base))
-    return sorted(x for x in found if not any(y != x and y[1] == x[1] and y[0] <= x[0] and x[2] <= y[2] for y in found))
+        found |= set(_found(t, fewer, overlaps))
+    # Of spans of one kind, those inside another go: by start, the longest first, a span inside an earlier one ends no later.
+    kept, reach = [], [-1] * len(KINDS)
+    for a, k, b in sorted(found, key=lambda x: (x[0], -x[2])):
+        if b > reach[k]:
+            kept.append((a, k, b))
+            reach[k] = b
+    return sorted(kept)
 
 
-def _found(t: str, changes: list[tuple[int, int, str]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _found(t: str, changes: list[tuple[int, int, str]], overlaps: _Overlap) -> list[tuple[int, int, int]]:
     if not changes:
         return []
     pieces, at, places, sources, long = [], 0, [], [], 0
@@ -185,8 +210,6 @@ def _found(t: str, changes: list[tuple[int, int, str]], base: list[tuple[int, in
     def source(p: int, last: bool) -> int:
         """The source offset of the rewritten character p: where its stretch starts or (last) where it ends."""
         k = bisect_right(begins, p) - 1
-        while k >= 0 and ends[k] == begins[k] and k > 0 and ends[k - 1] > p:
-            k -= 1
         if k < 0:
             return p + last
         if p < ends[k]:
@@ -195,12 +218,11 @@ def _found(t: str, changes: list[tuple[int, int, str]], base: list[tuple[int, in
 
     out = []
     for a, kind, b in base_spans("".join(pieces)):
-        k = bisect_right(ends, a) if a else 0
-        if not any(begins[j] < b and (ends[j] > a) for j in range(k, min(k + 64, len(begins)))) and not any(a < begins[j] < b for j in range(max(0, k - 1), min(k + 64, len(begins)))):
-            continue
-        x, y = source(a, False), source(b - 1, True)
-        if not any(s < y and x < e and n == kind for s, n, e in base):
-            out.append((x, kind, y))
+        written, gone = bisect_right(ends, a), bisect_right(begins, a)  # the first stretches that end, and that begin, behind a
+        if (written < len(begins) and begins[written] < b) or (gone < len(begins) and begins[gone] < b):
+            x, y = source(a, False), source(b - 1, True)
+            if not overlaps(x, kind, y):
+                out.append((x, kind, y))
     return out
 
 
@@ -216,7 +238,8 @@ def nested_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     found = [(m.start(), 2, m.end()) for m in _LONE_CARD.finditer(t) if luhn(re.sub("[ -]", "", m[0]))]
     if "+" in t:
         found += [(m.start(), 3, m.end()) for m in _LONE_PHONE.finditer(t) if 10 <= sum(map(str.isdigit, m[0])) <= 15]
-    return [x for x in found if not any(s < x[2] and x[0] < e and k == x[1] for s, k, e in base)]
+    overlaps = _Overlap(base)
+    return [x for x in found if not overlaps(*x)]
 
 
 def spans_of(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -244,16 +267,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """docs (text, any other columns) with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     The counts and base_sha256 cover plain identifiers, spans also disguised ones. Null and empty texts have none: counts
-    0, the SHA-256 of nothing, spans empty. Rows are judged one by one, so ties and repeats play no part; columns with
-    the names of results are replaced. No shuffle.
+    0, the SHA-256 of nothing, spans empty. Very long texts are read whole, in time that grows with their length. Rows are
+    judged one by one, so ties and repeats play no part; an empty table gives an empty result. Columns with the names of
+    results are replaced, others, however named, come back unchanged. No shuffle.
     """
     schema = appended(docs.schema, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [spans_of(t.as_py()) for t in batch.column(batch.schema.names.index("text"))]
+            found = [spans_of(t.as_py()) for t in batch.column(place(batch.schema.names, "text"))]
             bases = [b for b, _ in found]
-            kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name in schema.names and f.name.lower() not in _NEW]
+            kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name.lower() not in _NEW]
             new = [pa.array([sum(s[1] == k for s in b) for b in bases], pa.int64()) for k in range(4)]
             new += [pa.array([hashlib.sha256(render(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([render(s) for _, s in found], pa.string())]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + new, names=[n for n, _ in kept] + list(schema.names[-6:]))
@@ -265,17 +289,22 @@ _NEW = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """docs with its spans replaced in text, and n_chars, where there is such a column, set to the new length; null texts stay null."""
+    """docs with its spans replaced in text, and n_chars, where there is such a column of whole numbers, set to the new length.
+
+    Null texts stay null, with their n_chars. Very long texts are read whole, rows are judged one by one, an empty table gives an
+    empty one. Other columns, those named like results of find_pii() too, come back unchanged.
+    """
     schema = docs.schema
+    counted = any(f.name.lower() == "n_chars" and isinstance(f.dataType, T.IntegralType) for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, columns = batch.schema.names, list(batch.columns)
-            k = names.index("text")
+            k = place(names, "text")
             texts = [None if (t := x.as_py()) is None else redact(t, spans_of(t)[1]) for x in columns[k]]
             columns[k] = pa.array(texts, batch.schema.field(k).type)
-            if "n_chars" in names:
-                j = names.index("n_chars")
+            if counted:
+                j = place(names, "n_chars")
                 columns[j] = pa.array([old.as_py() if t is None else len(t) for t, old in zip(texts, columns[j], strict=True)]).cast(batch.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

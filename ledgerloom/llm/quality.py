@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, crc_mod, fit_sample, text_bytes
+from .common import appended, crc_mod, fit_sample, place, text_bytes
 
 BLOCK = 2048
 #: Bounds of the sample to fit on: documents of each label, bytes of one document.
@@ -80,11 +80,14 @@ def _dictionary(texts: list[bytes]) -> bytes | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
-    """labels: (doc_id, quality 0 or 1); other values and nulls are passed over. Half of the sample makes the dictionaries,
-    the other half the calibration, weighted to the shares that the labels have in the whole table."""
+    """labels: (doc_id, quality 0 or 1); other values and nulls are passed over, as are doc_ids with both labels. Half of the
+    sample (per_class documents of each label, of most_bytes at most) makes the dictionaries, the other half the
+    calibration, weighted to the shares that the labels have in the whole table. Without labels of both kinds
+    every score is the smoothed share of good labels."""
     labelled = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
     count = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rows = [(r["text"].encode(), r["label"]) for r in fit_sample(docs, labelled, per_class, most_bytes)]
+    rows = sorted((r["doc_id"], r["text"].encode(), r["label"]) for r in fit_sample(docs, labelled, per_class, most_bytes).collect())
+    rows = [(t, y) for _, t, y in rows]
     dicts = [_dictionary([t for i, (t, y) in enumerate(rows) if y == k and i % 2 == 0]) for k in (1, 0)]
     prior = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
     model = Model(*dicts, np.zeros(5), np.ones(5), np.zeros(15), prior)
@@ -110,18 +113,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_byt
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, any other columns) with score and predicted (1 if score >= 0.5). Null and empty texts get the score that
-    their length 0 has under the model. Columns with the names of results are replaced. No shuffle."""
+def _scorer(docs: DataFrame, model: Model):
+    """A function from a batch to the scores of its rows, for use in tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)
-    schema = appended(docs.schema, RESULT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         own = Model(**shared.value)
         compressors = own.compressors()
+        return lambda batch: own.scores(np.array([features(t, compressors) for t in text_bytes(batch.column(place(batch.schema.names, "text")))]).reshape(-1, 5))
+
+    return scorer
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text, any other columns) with score and predicted (1 if score >= 0.5).
+
+    Null and empty texts get the score that their length 0 has under the model; very long texts are compressed block by block, as
+    a whole. Rows are judged one by one: equal texts get equal scores, repeated rows repeat, an empty table gives an empty
+    result. Columns with the names of results are replaced, others, however named, come back unchanged. No shuffle.
+    """
+    scorer, schema = _scorer(docs, model), appended(docs.schema, RESULT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer()
         for batch in batches:
-            x = np.array([features(t, compressors) for t in text_bytes(batch.column(batch.schema.names.index("text")))]).reshape(-1, 5)
-            s = own.scores(x)
+            s = scores(batch)
             kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name.lower() not in ("score", "predicted")]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[n for n, _ in kept] + ["score", "predicted"])
 
@@ -134,8 +150,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFram
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    return score_quality(docs, labels, **bounds).where("predicted = 1").select(*docs.columns)
+    """docs without those that the classifier rejects (score under 0.5). All columns of the rest, those named like results
+    too, come back unchanged; odd texts as in score(); an empty table gives an empty one."""
+    scorer = _scorer(docs, fit(docs, labels, **bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,26 @@ def encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}), sizes
 
 
+#: White space of this length is cut into pieces here: the encoder's pattern engine recurses over it and dies of a million.
+LONG_SPACE = 1000
+_LONG = regex.compile(rf"\s{{{LONG_SPACE},}}")
+
+
+def encode(text: str, encoder) -> list[int]:
+    """The encoder's tokens of text, of any text: what holds long white space is cut into the pattern's pieces by an engine
+    that does not recurse, and the encoder merges the bytes of each piece."""
+    if not _LONG.search(text):
+        return encoder.encode_ordinary(text)
+    out: list[int] = []
+    for m in regex.finditer(encoder._pat_str, text):
+        out += encoder._encode_single_piece(m[0].encode("utf-8", "replace"))
+    return out
+
+
 def token_spans(text: str, coder) -> tuple[np.ndarray, np.ndarray]:
     """First and last character (inclusive) of every token; a token may hold a part of a character."""
     encoder, sizes = coder
-    ids = np.array(encoder.encode_ordinary(text), np.int64)
+    ids = np.array(encode(text, encoder), np.int64)
     ends = np.cumsum(sizes[ids])
     if text.isascii():
         return ends - sizes[ids], ends - 1
@@ -75,8 +92,9 @@ def attribute(docs: DataFrame, rule: str = "start", fields: list[str] | None = N
 
     Sections are the lines of `text`, or the given fields (joined by line ends into the whole that is encoded; a null
     field is an empty one, and section k is the k-th field with its line end). A null or empty text has the section 0
-    with no token. A section without a token is kept with 0; very long texts are encoded whole. Rows are taken one by one:
-    repeats repeat. Further columns are ignored. No shuffle: tokens and sections of a document meet where it is read.
+    with no token. A section without a token is kept with 0; very long texts are encoded whole, runs of one character of any
+    length included. Rows are taken one by one: repeats repeat, a null doc_id stays null, an empty table gives an empty
+    result. Further columns, however named, are ignored. No shuffle: tokens and sections of a document meet where it is read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -28,10 +28,10 @@ _NONE = np.iinfo(np.int64).min
 QUERIES = 1024
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length as floor(SCALE x) in doubles."""
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of `dim` components as floor(SCALE x) in doubles."""
     flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return np.floor(flat.reshape(len(column), -1) * SCALE)
+    return np.floor(flat.reshape(len(column), dim) * SCALE)
 
 
 def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ def _tiles(shared, k: int):
                 rows = batch.filter(pa.array(sizes == dim))
                 for a in range(0, rows.num_rows, TILE):
                     part = rows.slice(a, TILE)
-                    ids, v = part.column(0).to_numpy(), _matrix(part.column(1))
+                    ids, v = part.column(0).to_numpy(), _matrix(part.column(1), dim)
                     for lo in range(0, len(qid), QUERIES):
                         score = _product(q[lo : lo + QUERIES], v)
                         score[qid[lo : lo + QUERIES, None] == ids[None, :]] = _NONE
@@ -84,14 +84,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
     """query_id, rank (from 1), vec_id, score of the k best rows for each query; is_query tells which rows of vectors are.
 
     vectors: (vec_id, embedding). Score: inner product of floor(1024 x); ties go to the smaller vec_id; the query's own id is
-    left out. Null ids, and vectors that are null, empty or hold null or non-finite components take no part; vectors are
-    compared with those of their own length. Of rows that share a vec_id, each is a candidate; as a query, one stands for
+    left out. Null ids, and vectors that are null or hold null or non-finite components take no part; vectors are
+    compared with those of their own length, empty ones too, with the score 0. Of rows that share a vec_id, each is a candidate; as a query, one stands for
     all (the one that sorts first). Products beyond 64 bits are clipped to them. Fewer candidates than k give them all; an
     empty table gives an empty result.
     """
     spark = vectors.sparkSession
     x = F.col("embedding")
-    usable = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q")).where(usable)
     queries = rows.where("q").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = materialize(queries, "queries")
@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
         block: dict[int, list] = {}
         for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).collect():
             block.setdefault(len(r["embedding"]), []).append((r["vec_id"], r["embedding"]))
-        shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in b], np.int64), np.floor(np.array([e for _, e in b]) * SCALE)) for d, b in block.items()})
+        shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in b], np.int64), np.floor(np.array([e for _, e in b], np.float64).reshape(len(b), d) * SCALE)) for d, b in block.items()})
         parts.append(rows.mapInArrow(_tiles(shared, k), _LIST).select("*", F.spark_partition_id().alias("part")))
         if passes > 1:
             parts[-1] = materialize(parts[-1], f"pass{p}")

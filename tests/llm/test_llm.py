@@ -1,9 +1,12 @@
+import base64
 import collections
 import hashlib
 import math
 import os
 import random
 import re
+import time
+import warnings
 
 import numpy as np
 import pytest
@@ -69,6 +72,36 @@ def test_near_duplicates_of_a_large_loose_group(spark):
     assert {x[0]: tuple(x[1:]) for x in got} == brute_near(rows, 3, 85)
 
 
+def template_family(n, changed=5):
+    """Copies of one text of 300 words with some words changed each: with five, a few of a hundred pairs are over 0.85; with four, most."""
+    r = random.Random(12)
+    base = [f"t{r.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(n):
+        b = list(base)
+        for at in r.sample(range(300), changed):
+            b[at] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(b)))
+    return rows
+
+
+def test_near_duplicates_of_a_template_family(spark):
+    """Hardly any pair of a family is linked, and all may be."""
+    rows = template_family(150)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect()
+    assert {x[0]: tuple(x[1:]) for x in got} == brute_near(rows, 3, 85)
+
+
+def test_a_template_family_costs_its_size(spark, monkeypatch):
+    """Pairs that are confirmed grow with the family and not with its square."""
+    seen, plain = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    rows = template_family(1000, 4)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(seen) < 1000 * 999 / 2 / 10, seen
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     """brute_near over rows with ids of their own, which are then united by doc_id."""
     r = random.Random(8)
@@ -167,15 +200,15 @@ def brute_decontam(rows, bench):
             for k in range(len(w) - m + 1) if m else ():
                 if tuple(w[k : k + m]) in grams:
                     hit |= set(range(k, k + m))
-                    items.add(str(item))
-        out.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                    items.add(None if item is None else str(item))
+        out.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination(spark, docs, block):
     texts = dict(pairs_of(docs))
-    bench = [(1, " ".join(texts[27].split()[400:450])), (2, " ".join(texts[5].split()[:13]).upper()), (3, texts[40].split()[0] + "!"), (4, None), (5, ""), (6, "loop " * 14), (7, "é ü"), (1, " ".join(texts[27].split()[400:450]))]
+    bench = [(1, " ".join(texts[27].split()[400:450])), (2, " ".join(texts[5].split()[:13]).upper()), (3, texts[40].split()[0] + "!"), (4, None), (5, ""), (6, "loop " * 14), (7, "é ü"), (None, "loop " * 13), (None, " ".join(texts[27].split()[500:520])), (1, " ".join(texts[27].split()[400:450]))]
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     got = decontam.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string"), block_bytes=block).select(*cols).collect()
     assert sorted(map(tuple, got), key=repr) == brute_decontam(pairs_of(docs), bench)
@@ -272,6 +305,42 @@ def test_pii_gate_equals_the_ungated_rewrite():
         assert pii.rewrites(t) == [x for m in pii._NUMBER.finditer(t) for x in pii._number(m)], t
 
 
+def disguised(r):
+    """An identifier in disguise, and its kind."""
+    word = lambda: "".join(r.choice("bcdfgkmprt") for _ in range(r.randrange(3, 8)))
+    spelled = "zero one two three four five six seven eight nine".split()
+    at, dot = r.choice([" [at] ", " (at) ", "(@)", " {arroba} "]), r.choice([" [dot] ", " (dot) ", "[.]", " <punkt> "])
+    how = r.randrange(4)
+    if how == 0:
+        return "email", word() + at + word() + dot + "com"
+    if how == 1:
+        return "email", f"{word()} at {word()} dot org"
+    if how == 2:
+        return "ip", " dot ".join(" ".join(spelled[int(d)] for d in str(r.randrange(256))) for _ in range(4))
+    return "phone", "plus " + " ".join(spelled[r.randrange(10)] for _ in range(r.randrange(10, 14)))
+
+
+def test_pii_disguises_round_trip():
+    """Identifiers hidden in clean text come back with their kind and their characters, and nothing else does."""
+    r = random.Random(11)
+    clean = ["Look here:", "they said", "(see)", "Früher,", "日本 text", "and then;"]
+    for _ in range(1500):
+        kind, hidden = disguised(r)
+        before, after = r.choice(clean) + "; ", r.choice([". ", "; ", " / "]) + r.choice(clean)
+        base, spans = pii.spans_of(before + hidden + after)
+        assert base == [] and [(pii.KINDS[k], (before + hidden + after)[a:b]) for a, k, b in spans] == [(kind, hidden)], hidden
+
+
+def test_pii_time_grows_with_the_text():
+    text = "mail bob [at] site [dot] com or 10.0.0.1, +1 415 five five five 2671; "
+    took = []
+    for n in (1000, 8000):
+        began = time.perf_counter()
+        assert len(pii.spans_of(text * n)[1]) == 3 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]  # eight times the text; the square would be 64
+
+
 def test_pii_frames(spark, docs, empty):
     more = docs.unionByName(spark.createDataFrame([(99, "a@b.c 1.2.3.4", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
     rows = {r["doc_id"]: r for r in pii.find_pii(more).collect()}
@@ -284,10 +353,10 @@ def test_pii_frames(spark, docs, empty):
 # --- search ---
 def test_top_k(spark):
     r = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [float("inf")] + [0.0] * 7), (303, [1.0, None] + [0.0] * 6), (304, [1.0, 2.0]), (400, [1.0, 2.0]), (305, []), (None, [0.0] * 8)]
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [float("inf")] + [0.0] * 7), (303, [1.0, None] + [0.0] * 6), (304, [1.0, 2.0]), (400, [1.0, 2.0]), (305, []), (306, []), (600, []), (None, [0.0] * 8)]
     rows += [(500, rows[3][1]), (501, rows[3][1]), (501, rows[3][1])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6), F.col("vec_id") % 100 == 0, 10)
-    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, e in good:
         if q % 100 == 0:
@@ -321,6 +390,55 @@ def test_token_sections_add_up(docs, rule):
     assert got == want
 
 
+def brute_tokens(text, ranks, rule):
+    """Tokens of each line: pieces by the pattern, the lowest rank merged first; each token's bytes mapped to characters one by one."""
+    import regex
+
+    chars = [k for k, c in enumerate(text) for _ in c.encode()]
+    lines = [0, *(k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text))]
+    line_of = lambda k: sum(s <= k for s in lines) - 1
+    got, at = [0] * len(lines), 0
+    for m in regex.finditer(tokens.PATTERN, text):
+        parts = [bytes([b]) for b in m[0].encode()]
+        while (best := min(((ranks.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 30, 0)))[0] < 1 << 30:
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        for p in parts:
+            first, last = chars[at], chars[at + len(p) - 1]
+            at += len(p)
+            share = [line_of(k) for k in range(first, last + 1)]
+            got[share[0] if rule == "start" else share[-1] if rule == "end" else max(sorted(set(share)), key=share.count)] += 1
+    return got
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_token_sections_equal_brute_force(spark, rule):
+    with open(tokens.RANKS, "rb") as f:
+        raw = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    r = random.Random(7)
+    bits = ["the ", "word", "é", "漢字 ", "\n", "\n\n", "  ", " \n ", "😀", "don't", "2024", "!!", "\t", "\x1c", "\u00a0", "\u2028"]
+    rows = [(k, "".join(r.choice(bits) for _ in range(r.randrange(40)))) for k in range(120)]
+    got = collections.defaultdict(dict)
+    for x in tokens.attribute(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect():
+        got[x["doc_id"]][x["section"]] = x["n_tokens"]
+    for k, t in rows:
+        assert [n for _, n in sorted(got[k].items())] == brute_tokens(t, ranks, rule), t
+
+
+def test_tokens_of_long_runs():
+    """What the encoder can take by itself it counts alike; what it cannot does not end the worker."""
+    with open(tokens.RANKS, "rb") as f:
+        coder = tokens.encoding(f.read(), tokens.PATTERN)
+    for run in (" ", "\n", "\t", "\u00a0", " \n", "\x1c"):
+        for frame in ("{}", "a{}", "{}b", "a {}b c", "a{}'s 12{}!!\n{}x"):
+            text = frame.replace("{}", run * 3000)
+            assert tokens.encode(text, coder[0]) == coder[0].encode_ordinary(text)
+    for run in (" ", "\n", "a", "!", "1", "é", " \n", "\u2028"):
+        text = "start" + run * 1_000_000 + "end"
+        first, last = tokens.token_spans(text, coder)
+        assert first[0] == 0 and last[-1] == len(text) - 1
+
+
 def test_token_spans_round_trip():
     with open(tokens.RANKS, "rb") as f:
         coder = tokens.encoding(f.read(), tokens.PATTERN)
@@ -424,6 +542,63 @@ def test_language_odd_inputs(docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_vectors_depend_on_their_text_only(monkeypatch):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdé fgh") for _ in range(n)) for n in (0, 1, 2, 5, 50, 5000)]
+    whole = langid.vectors(texts)
+    assert all((langid.vectors([t])[0] == v).all() for t, v in zip(texts, whole, strict=True))
+    for t, v in zip(texts, whole, strict=True):  # counted one by one
+        raw, want = f" {t.lower()} ".encode(), collections.Counter()
+        for k in (2, 3):
+            for i in range(len(raw) - k + 1):
+                code = int.from_bytes(raw[i : i + k], "little") | (1 << 24 if k == 2 else 0)
+                want[code * 0x9E3779B1 % 2**32 >> 32 - langid.BITS] += 1
+        size = math.sqrt(sum(want.values()))
+        assert all(abs(v[b] - math.sqrt(n) / size) < 1e-5 for b, n in want.items()) and np.count_nonzero(v) == len(want)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert (langid.vectors(texts) == whole).all()
+
+
+def test_language_prediction_equals_brute_force(spark, docs):
+    """Family by the largest margin, then votes within it, ties by worth; all by the definition, one text at a time."""
+    model = langid.fit(docs, docs)
+    for row in langid.identify(docs, model).collect():
+        if row["lang_pred"] == "und":
+            continue
+        x = langid.vectors([row["text"]])[0]
+        margins = [float(x @ w + b) for w, b in model["family"]]
+        family = model["families"][int(np.argmax(margins))] if margins else model["families"][0]
+        members = model["members"][family]
+        votes = dict.fromkeys(members, 0.0)
+        for i, j, w, b in model["pairs"][family]:
+            d = float(x @ w + b)
+            p = 1 / (1 + math.exp(-3 * d))
+            votes[members[i]] += (d >= 0) + p / (len(members) + 1)
+            votes[members[j]] += (d < 0) + (1 - p) / (len(members) + 1)
+        assert row["lang_pred"] == max(members, key=lambda m: votes[m])
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Sizes compressed block by block with dictionaries given as such, features and logistic function written out."""
+    import zstandard
+
+    r = random.Random(2)
+    good = [" ".join(r.choice(["alpha", "river", "stone", "cloud", "green"]) for _ in range(60)) for _ in range(150)]
+    bad = [" ".join(r.choice(["buy", "now", "$$$", "click", "win"]) for _ in range(60)) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(good + bad), (900, ""), (901, None), (902, "x" * 5000)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(k, int(k < 150)) for k in range(300)], "doc_id long, quality int"))
+    size = lambda t, d: sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t[i : i + quality.BLOCK])) for i in range(0, len(t), quality.BLOCK))
+    for row in quality.score(docs, model).collect():
+        t = (row["text"] or "").encode()
+        a, b, c, n = size(t, model.good), size(t, model.bad), size(t, None), max(1, len(t))
+        x = [(v - m) / s for v, m, s in zip([(b - a) / max(1, a + b), c / n, b / n, a / n, math.log(n)], model.mean, model.scale, strict=True)]
+        x = [max(-6, min(6, v)) for v in x]
+        z = sum(w * v for w, v in zip(model.weights, [*x, *(v * v for v in x), *(x[0] * v for v in x[1:]), 1], strict=True))
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))), abs=1e-9) and row["predicted"] == (row["score"] >= 0.5)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert min(scored[k] for k in range(150)) > 0.5 > max(scored[k] for k in range(150, 300))
+
+
 # --- mixing ---
 def brute_rake(cells, targets, rounds=200):
     w = {c: float(t) for c, t in cells.items()}
@@ -458,6 +633,43 @@ def test_mix_odd_inputs(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.draw(docs).columns == docs.columns
 
 
+def test_mix_equals_brute_force(spark, docs):
+    """Tokens, cells, raked weights, rates and draws of every document, in plain Python; only the hash is asked of the engine."""
+    plain = docs.select("doc_id", "text", "lang", "source", F.expr("case when doc_id % 3 = 0 then 'm' else 'n' end").alias("topic"))
+    targets = {"source": {"s": 0.4, "t": 0.4, "(none)": 0.2}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.1, "es": 0.1, "(none)": 0.1}, "topic": {"m": 0.5, "n": 0.3, "(none)": 0.2}}
+    rows = plain.withColumn("u", mixing.uniform(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")), 9)).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    cell = lambda r: tuple("(none)" if r[m] is None else r[m] for m in mixing.MARGINS)
+    cells = collections.Counter()
+    for r in rows:
+        cells[cell(r)] += words(r["text"])
+    have = [{c[k] for c, n in cells.items() if n} for k in range(3)]
+    shares = [{v: x / sum(y for u, y in t.items() if u in h) for v, x in t.items() if v in h} for t, h in zip(targets.values(), have, strict=True)]
+    raked = brute_rake(cells, shares, 400)
+    spend, low, high = 0.5 * sum(cells.values()), 0.0, 1e12
+    for _ in range(300):
+        s = (low + high) / 2
+        low, high = (s, high) if sum(min(cells[c], raked[c] * s) for c in cells) < spend else (low, s)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = mixing.mix(plain, targets).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for g in got:
+        by[g["doc_id"], g["text"]].append(g)
+    for r in rows:
+        g, n, c = by[r["doc_id"], r["text"]].pop(), words(r["text"]), cell(r)
+        rate = min(1.0, raked[c] * low / cells[c]) if n else 0.0
+        assert g["n_tokens"] == n and g["rate"] == pytest.approx(rate, abs=1e-4) and g["weight"] == pytest.approx(raked[c] * n / cells[c] if n else 0.0, abs=1e-5)
+        assert g["sampled"] == (r["u"] < g["rate"])
+
+
+def test_rake_reports_margins_that_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", "m", 10), ("b", "y", "m", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="off by up to 0.4"):
+        mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"m": 1.0}}).collect()
+
+
 # --- the whole ---
 @need
 def test_pipeline_stages(spark):
@@ -484,13 +696,78 @@ def test_pipeline_stages(spark):
     assert docs.count() > 0
 
 
-def test_stages_take_odd_and_empty_input(spark, docs, empty):
-    for _, stage in corpus_pipeline.STAGES:
-        plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-        assert stage(spark, plain, SF).count() <= plain.count()
+CLASHING = ["_n", "_t", "_w", "_c", "_topic", "_salt", "_hits", "_items", "row", "hits", "items", "key", "score", "predicted", "lang_pred", "n_words", "n_hit", "contaminated", "topic", "weight", "rate", "sampled", "spans", "n_email", "component_id", "kept", "n_shingles", "block", "c1", "label"]
+
+
+def with_clashes(docs):
+    """docs with a column of each name that an operator may use, of values that tell the row."""
+    own = F.concat(F.lit("mine "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", *[own.alias(c) for c in CLASHING])
+
+
+def test_stages_return_clashing_columns_unchanged(spark, docs, empty):
+    odd = common.materialize(with_clashes(docs), "odd")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert len(rows) <= odd.count()
+        for r in rows:
+            assert {r[c] for c in CLASHING} == {f"mine {r['doc_id'] if r['doc_id'] is not None else '?'}"}, name
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_operators_keep_or_ignore_clashing_columns(spark, docs):
+    odd = with_clashes(docs)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    bench = spark.createDataFrame([(1, "loop " * 14)], "item_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (28, 0), (40, 0), (41, 1)], "doc_id long, quality int")
+    model = langid.fit(docs, docs)
+    for run, results in [
+        (lambda d: quality.score_quality(d, labels), {"score", "predicted"}),
+        (lambda d: langid.identify(d, model), {"lang_pred", "score"}),
+        (lambda d: decontam.decontaminate(d, bench, block_bytes=20), {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}),
+        (pii.find_pii, {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}),
+        (lambda d: mixing.mix(d, topic=F.lit("t")), {"topic", "n_tokens", "weight", "rate", "sampled"}),
+        (tokens.attribute, set()), (lm.score, set()), (substring.repeated_passages, set()), (lambda d: neardup.near_duplicates(d, 3, 0.85), set()),
+    ]:
+        a, b = run(odd), run(plain)
+        if results:
+            mine = [c for c in CLASHING if c not in results]
+            assert set(mine) <= set(a.columns) and all({r[c] for c in mine} == {f"mine {r['doc_id'] if r['doc_id'] is not None else '?'}"} for r in a.collect())
+        assert sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+
+
+def test_top_k_ignores_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], "q", 0, 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, q string, part int, rank int")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0, 3).collect())) == sorted(map(tuple, topk.top_k(df.select("vec_id", "embedding"), F.col("vec_id") % 10 == 0, 3).collect()))
+
+
+def test_the_sample_is_bounded(spark):
+    """However often rows repeat; labels that clash and long texts are left out; neither layout nor order matters."""
+    docs = spark.createDataFrame([(1, f"copy {k % 3}") for k in range(3000)] + [(k, f"text {k}") for k in range(2, 60)] + [(60, "x" * 500)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, 1)] * 50 + [(k, k % 2) for k in range(2, 58)] + [(58, 0), (58, 1), (60, 1)], "doc_id long, label int")
+    got = [sorted(map(tuple, common.fit_sample(d, labelled.repartition(n), 10, 100).collect())) for n, d in ((1, docs.repartition(7)), (5, docs.orderBy(F.rand())))]
+    assert got[0] == got[1] and len(got[0]) == len({r[0] for r in got[0]}) == 20
+    assert not {58, 60} & {r[0] for r in got[0]}
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 @need
 def test_queries_equal_sql(spark):
     import duckdb
@@ -511,3 +788,11 @@ def test_queries_equal_sql(spark):
 def test_packing():
     for x in (np.array([], np.uint64), np.array([5], np.uint64), np.array([1, 1, 2**63, 2**64 - 1], np.uint64)):
         assert (common.unpack(common.pack(x)) == x).all() and (common.unpack_sorted(common.pack_sorted(x)) == x).all()
+
+
+def test_occupied_buckets():
+    key = np.sort(np.random.default_rng(3).integers(0, 1 << 40, 500, dtype=np.uint64))
+    for buckets in (1, 2, 64, 1 << 20):
+        runs = list(common.occupied(key, 40, buckets))
+        assert [b for b, i, j in runs for _ in range(i, j)] == [int(k) * buckets >> 40 for k in key] and len(runs) == len({b for b, *_ in runs})
+    assert list(common.occupied(key[:0], 40, 64)) == []
