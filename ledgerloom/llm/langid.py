@@ -6,6 +6,7 @@ the rest for families, one against one for the closely related languages of a fa
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, crc_mod, fit_sample
+from .common import appended, crc_mod, discard, fit_sample, materialize, place
 
 # Families by ISO 639-1 code; a language that is not listed forms a family of its own.
 FAMILIES = {
@@ -30,6 +31,10 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.spli
 BITS = 13
 #: Bounds of the sample to fit on: documents in all, of one language, bytes of one.
 MOST_DOCS, PER_LANGUAGE, MOST_BYTES = 6000, 600, 1 << 16
+#: Bytes of a text that are cut into grams at a time.
+STRETCH = 1 << 20
+#: Tasks that train machines.
+MOST_TASKS = 200
 _LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double"
 
@@ -38,20 +43,31 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], lang)
 
 
+def _bins(raw: np.ndarray) -> np.ndarray:
+    """The hashed 2- and 3-byte grams of some bytes, counted."""
+    code = raw.astype(np.uint32)
+    two = code[:-1] | code[1:] << np.uint32(8)
+    out = np.zeros(1 << BITS, np.float32)
+    for gram in (two | np.uint32(1 << 24), two[:-1] | code[2:] << np.uint32(16)):
+        out += np.bincount((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+    return out
+
+
 def vectors(texts: list[str]) -> np.ndarray:
-    """A row of unit length for each text: square roots of the frequencies of hashed 2- and 3-byte grams, over whole texts."""
-    raw = [f" {t.lower()} ".encode("utf-8", "replace") for t in texts]
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    n = np.array([len(r) for r in raw])
-    doc = np.repeat(np.arange(len(raw), dtype=np.int64) << BITS, n)
-    out = np.zeros(len(raw) << BITS)
-    if flat.size >= 3:
-        two = flat[:-1] | flat[1:] << np.uint32(8)
-        for code in (two | np.uint32(1 << 24), np.append(two[:-1] | flat[2:] << np.uint32(16), two[-1])):
-            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-            out += np.bincount(doc[:-1] + code, minlength=out.size)
-    x = np.sqrt(out.reshape(len(raw), -1)).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """A row of unit length for each text: square roots of the frequencies of its hashed 2- and 3-byte grams.
+
+    Whole texts count, a long one STRETCH bytes at a time, so memory is bounded by the text and not a multiple of it; a row depends on its own text only.
+    """
+    out = np.zeros((len(texts), 1 << BITS), np.float32)
+    for row, t in zip(out, texts, strict=True):
+        raw = np.frombuffer(f" {t.lower()} ".encode("utf-8", "replace"), np.uint8)
+        for a in range(0, max(1, raw.size - 2), STRETCH):  # grams that begin in this stretch
+            row += _bins(raw[a : a + STRETCH + 2])
+            if a + STRETCH + 2 < raw.size:  # its last 2-byte gram is the first of the next stretch
+                last = np.uint32(raw[a + STRETCH]) | np.uint32(raw[a + STRETCH + 1]) << np.uint32(8) | np.uint32(1 << 24)
+                row[int(last) * 0x9E3779B1 % (1 << 32) >> 32 - BITS] -= 1
+    np.sqrt(out, out=out)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, steps: int = 70) -> tuple[np.ndarray, float]:
@@ -61,37 +77,62 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, step
     weight = (c * weight / weight.sum()).astype(np.float32)
     rate, t = 1 / (1 + 4 * c), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v + vb)) * weight
+        slack = np.maximum(0, 1 - y * (x @ v + np.float32(vb))) * weight
         new, new_b = v - rate * (v - 2 * ((slack * y) @ x)), vb + rate * 2 * float((slack * y).sum())
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2  # a plain number: one of numpy's would make doubles of all
         v, vb = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new, new_b, t_next
     return w, b
 
 
-def fit(docs: DataFrame, labelled: DataFrame, most_docs: int = MOST_DOCS, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> dict:
-    """labelled: (doc_id, lang); nulls are passed over. The sample has at most most_docs documents and per_language of each."""
-    labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", F.col("lang").alias("label"))
-    languages = labelled.select("label").distinct().count()
-    rows = fit_sample(docs, labelled, max(1, min(per_language, most_docs // max(1, languages))), most_bytes) if languages else []
-    rows = [r for r in rows if _LETTER.search(r["text"])]
-    langs = sorted({r["label"] for r in rows})
+def _machines(langs: list[str]) -> dict[str, tuple[set[str], set[str]]]:
+    """Name -> (languages on its positive side, on its negative side): one against the rest for families, one against one within them."""
     families = sorted({family_of(x) for x in langs})
     members = {f: [x for x in langs if family_of(x) == f] for f in families}
-    x = vectors([r["text"] for r in rows]) if rows else np.zeros((0, 1 << BITS), np.float32)
-    lang = np.array([r["label"] for r in rows])
-    fam = np.array([family_of(r["label"]) for r in rows])
+    out = {f"family {f}": (set(members[f]), set(langs) - set(members[f])) for f in families} if len(families) > 1 else {}
+    return out | {f"pair {m[i]} {m[j]}": ({m[i]}, {m[j]}) for m in members.values() for i in range(len(m)) for j in range(i + 1, len(m))}
+
 
-    def machine(rows_in: np.ndarray, positive: np.ndarray):
-        y = np.where(positive[rows_in], 1, -1).astype(np.float32)
+def _train(machines: dict[str, tuple[set[str], set[str]]]):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        y = np.array([1 if x in machines[key[0].as_py()][0] else -1 for x in table.column("label").to_pylist()], np.float32)
         balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        return _svm(x[rows_in], y, balance)
+        w, b = _svm(vectors(table.column("text").to_pylist()), y, balance)
+        return pa.table({"machine": [key[0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": [float(b)]})
+
+    return run
+
 
-    everywhere = np.ones(len(rows), bool)
+def fit(docs: DataFrame, labelled: DataFrame, most_docs: int = MOST_DOCS, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> dict:
+    """labelled: (doc_id, lang); nulls are passed over, as are doc_ids with several languages.
+
+    The sample has at most most_docs documents, per_language of each language and most_bytes of each document (longer ones are
+    passed over); each machine is trained in a task of its own from its rows of the sample, and only weights reach the driver.
+    Without labelled texts the model knows no language.
+    """
+    labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", F.col("lang").alias("label"))
+    languages = labelled.select("label").distinct().count()
+    if not languages:
+        return {"families": [], "members": {}, "family": [], "pairs": {}}
+    sample = fit_sample(docs, labelled, max(1, min(per_language, most_docs // languages)), most_bytes, most_classes=most_docs)
+    sample = materialize(sample.where(F.col("text").rlike(r"\p{L}")), "sample")
+    langs = sorted(r[0] for r in sample.select("label").distinct().collect())
+    machines = _machines(langs)
+    uses = [(x, name) for name, sides in machines.items() for x in sorted(sides[0] | sides[1])]
+    found = {}
+    if machines:
+        wanted = docs.sparkSession.createDataFrame(uses, "label string, machine string")
+        rows = sample.join(F.broadcast(wanted), "label")
+        trained = rows.repartition(min(len(machines), MOST_TASKS), "machine").groupBy("machine").applyInArrow(_train(machines), "machine string, w binary, b double")
+        found = {r["machine"]: (np.frombuffer(r["w"], np.float32), r["b"]) for r in trained.collect()}
+    discard(sample)
+    families = sorted({family_of(x) for x in langs})
+    members = {f: [x for x in langs if family_of(x) == f] for f in families}
     return {
         "families": families, "members": members,
-        "family": [machine(everywhere, fam == f) for f in families] if len(families) > 1 else [],
-        "pairs": {f: [(i, j, *machine((lang == m[i]) | (lang == m[j]), lang == m[i])) for i in range(len(m)) for j in range(i + 1, len(m))] for f, m in members.items()},
+        "family": [found[f"family {f}"] for f in families] if len(families) > 1 else [],
+        "pairs": {f: [(i, j, *found[f"pair {m[i]} {m[j]}"]) for i in range(len(m)) for j in range(i + 1, len(m))] for f, m in members.items()},
     }
 
 
@@ -124,15 +165,20 @@ def predict(x: np.ndarray, model: dict) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """docs (text, any other columns) with lang_pred and score. Null texts and texts without a letter get `und`, score 0;
-    so do all texts under a model that has seen none. Columns with the names of results are replaced. No shuffle."""
+    """docs (text, any other columns) with lang_pred and score.
+
+    Null and empty texts and texts without a letter get `und`, score 0; so do all texts under a model that has seen none. Very long
+    texts count as a whole. Rows are judged one by one: equal texts get equal results, repeated rows repeat, ties go to the
+    language that sorts first, an empty table gives an empty result. Columns with the names of results are replaced,
+    others, however named, come back unchanged. No shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = appended(docs.schema, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            texts = batch.column(place(batch.schema.names, "text")).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if t and own["families"] and _LETTER.search(t)]
             at = 0
