@@ -4,12 +4,15 @@ Documents are dealt into blocks by a hash of their id and text. Each block is ex
 with their counts; these rows, packed by (block, hash bucket), go to their bucket, where the count table of the bucket is
 built from all blocks and joined back to the rows it came from; the counts return to the block, whose documents sum
 the logarithms of their scores. An n-gram is one entry a block however often it occurs, so frequent n-grams make no hot
-task, and a bucket holds a bounded share of the table. Both passes read one exchange of the documents.
+task, and a bucket holds a bounded share of the table. Both passes read one exchange of the documents. A block sends rows to
+the buckets that it has n-grams for, at most one an n-gram: with more buckets than a block has n-grams, packing gains nothing
+and the work is that of single rows, still in proportion to the text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, mix64, pack_sorted, text_bytes, unpack_sorted
+from .common import constants, mix64, occupied, pack_sorted, power_of_two, text_bytes, unpack_sorted
 
 ALPHA = 0.4
 #: Text in a block and packed n-grams in a bucket, in bytes; their numbers follow from the size of the input.
 BLOCK_BYTES, BUCKET_BYTES = 5 << 20, 16 << 20
+#: Text for each task of a shuffle.
+TASK_BYTES = 12 << 20
 _PACKED = "block long, bucket long, ord int, grams binary, counts binary"
 
 
@@ -56,24 +61,23 @@ def _sorted_rows(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def _explode(order: int, buckets: int):
-    bits = buckets.bit_length() - 1
+def _size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = text_bytes(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t) for t in texts if t)], pa.int64()), pa.array([sum(len(t.split()) for t in texts if t)], pa.int64())], names=["bytes", "words"])
+
 
+def _explode(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         texts = text_bytes(_sorted_rows(table).column("text"))
         out = {"block": [], "bucket": [], "ord": [], "grams": [], "counts": []}
-        n, grams = _grams(texts, order)
+        _, grams = _grams(texts, order)
         block = table.column("block")[0].as_py()
         for k, (h, _) in enumerate(grams, 1):
             own, count = np.unique(h, return_counts=True)
-            cut = np.searchsorted(own >> np.uint64(64 - bits) if bits else np.zeros(own.size, np.uint64), np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    part = slice(cut[b], cut[b + 1])
-                    for name, x in zip(out, (block, b, k, pack_sorted(own[part]), _squeeze(count[part].astype(np.int64))), strict=True):
-                        out[name].append(x)
-        for name, x in zip(out, (block, 0, 0, b"", _squeeze(np.array([n.sum()], np.int64))), strict=True):  # all tokens
-            out[name].append(x)
+            for b, i, j in occupied(own, 64, buckets):
+                for name, x in zip(out, (block, b, k, pack_sorted(own[i:j]), _squeeze(count[i:j].astype(np.int64))), strict=True):
+                    out[name].append(x)
         return pa.table({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()), "ord": pa.array(out["ord"], pa.int32()), "grams": pa.array(out["grams"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     return run
@@ -86,11 +90,6 @@ def _count(table: pa.Table) -> pa.Table:
     for k in set(order):
         rows = [i for i, o in enumerate(order) if o == k]
         n = [_restore(counts[i]) for i in rows]
-        if k == 0:
-            whole = _squeeze(np.array([sum(int(x[0]) for x in n)], np.int64))
-            for i in rows:
-                totals[i] = whole
-            continue
         keys, back = np.unique(np.concatenate([unpack_sorted(grams[i]) for i in rows]), return_inverse=True)
         total = np.bincount(back, weights=np.concatenate(n), minlength=keys.size).astype(np.int64)[back]
         at = np.cumsum([0, *(x.size for x in n)])
@@ -99,14 +98,15 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ord": table.column("ord"), "totals": pa.array(totals, pa.binary())})
 
 
-def _score(order: int, alpha: float, leave_one_out: bool):
+def _score(order: int, alpha: float, leave_one_out: bool, every: int):
+    """every: the words of all documents."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _sorted_rows(left)
         n, grams = _grams(text_bytes(left.column("text")), order)
         rows = sorted(zip(right.column("ord").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
         ends = np.cumsum(n)
         doc = np.repeat(np.arange(n.size), n)
-        every = float(_restore(next(t for k, _, t in rows if k == 0))[0]) if n.size and rows else 0.0
         seen = np.full((order + 1, int(n.sum())), 0.0)  # of the k-gram that ends at a word: its count elsewhere
         for k, (h, at) in enumerate(grams, 1):
             own, back = np.unique(h, return_inverse=True)
@@ -141,14 +141,17 @@ def score(docs: DataFrame, order: int = 2, alpha: float = ALPHA, leave_one_out:
     Words are split at ASCII white space. S(w | context) is count(context w) / count(context) if both are above 0, else
     alpha times the score with a context one word shorter; a single word scores count / number of words, an unseen one as
     if it had been seen once. Counts are of all documents; with leave_one_out those of the document itself are taken off, or
-    each text would be its own evidence. Null and wordless texts have n_words 0, log_score 0 and a null mean. Repeated rows
+    each text would be its own evidence. Very long texts are scored whole, in a block of their own size. Null and wordless texts have n_words 0, log_score 0 and a null mean. Repeated rows
     count as further documents. Rows with a null doc_id are scored too. Further columns are ignored; an empty table gives
     an empty result.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    size, words = docs.select("text").mapInArrow(_size, "bytes long, words long").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes))
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, size * order // bucket_bytes))))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    buckets = power_of_two(size * order / bucket_bytes)
+    # Tasks follow the input, so the largest one does not.
+    tasks = max(1, -(-size // TASK_BYTES))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(tasks, "block")
     packed = dealt.groupBy("block").applyInArrow(_explode(order, buckets), _PACKED)
-    counted = packed.groupBy("bucket").applyInArrow(_count, "block long, bucket long, ord int, totals binary")
-    return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(order, alpha, leave_one_out), "doc_id long, n_words long, log_score double, mean_log_score double")
+    counted = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count, "block long, bucket long, ord int, totals binary")
+    scored = dealt.groupBy("block").cogroup(counted.repartition(tasks, "block").groupBy("block"))
+    return scored.applyInArrow(_score(order, alpha, leave_one_out, words), "doc_id long, n_words long, log_score double, mean_log_score double")
