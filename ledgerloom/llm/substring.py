@@ -8,7 +8,8 @@ and grouped, and all but the first occurrence of each are marked.
 
 What a worker can decide within its piece of the input (a repeat with an earlier start in sight) it decides; a passage that
 a third of all documents share sends one entry a piece to its bucket, not one a document. Pieces are runs of rows
-sorted by document, so a task that is run again makes the same ones.
+sorted by document, so a task that is run again makes the same ones. A piece sends rows to the buckets that it has entries
+for, at most one an entry, so with many buckets the work still grows with the entries and not with pieces times buckets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, by_bytes, constants, materialize, mix64, pack, pack_sorted, salted, text_bytes, unpack, unpack_sorted
+from .common import CHUNK_BYTES, by_bytes, constants, materialize, mix64, occupied, pack, pack_sorted, power_of_two, salted, text_bytes, unpack, unpack_sorted
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
@@ -85,9 +86,7 @@ class _Piece:
     def batch(self, key: np.ndarray, at: np.ndarray, more: list[np.ndarray], known: np.ndarray, keep_bits: int) -> pa.RecordBatch:
         """key: ascending; of its bits the upper keep_bits are kept. more: further columns of the entries."""
         key = key >> np.uint64(64 - keep_bits)
-        edges = np.array([(k << keep_bits) // self.buckets for k in range(self.buckets + 1)], dtype=object)
-        cut = np.append(np.searchsorted(key, edges[:-1].astype(np.uint64)), key.size)
-        out = [(b, self.name, 0, pack_sorted(key[i:j]), pack(at[i:j]), *[pack(m[i:j]) for m in more], *[None] * (2 - len(more))) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+        out = [(b, self.name, 0, pack_sorted(key[i:j]), pack(at[i:j]), *[pack(m[i:j]) for m in more], *[None] * (2 - len(more))) for b, i, j in occupied(key, keep_bits, self.buckets)]
         out.append((self.name % self.buckets, self.name, 1, self.ids.tobytes(), self.ths.tobytes(), self.starts.tobytes(), pack_sorted(np.unique(known).astype(np.uint64))))
         kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
@@ -251,7 +250,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = F
     words covers it whose word sequence also starts earlier: in a document of smaller doc_id, or earlier in the same one.
     Windows are judged on the input. Null, empty and short texts keep all words. Rows that share a doc_id are no earlier
     than each other; rows with a null doc_id are compared with nothing and keep all words. Further columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result; very long texts are read whole.
     """
     if not PERIOD <= window <= 64:
         raise ValueError("window must be 13 to 64 words")
@@ -266,7 +265,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = F
     texts = docs.join(firsts, ["doc_id", "th"], "left_semi")  # its exchange is written once and read three times
     texts = texts.select("doc_id", "th", "text")
     words = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, -(-words // BUCKET_WORDS))
+    buckets = power_of_two(words / BUCKET_WORDS)
     # Anchors are a filter: bits enough that one in a thousand meets another by chance.
     keep_bits = min(64, max(24, int(words).bit_length() + 10))
 
