@@ -2,14 +2,16 @@
 
 Every document has COORDINATES minima of independent hashes of its shingle set; two sets of Jaccard similarity s agree
 in each with probability s. Documents are posted under their (coordinate, value) pairs. A pair that agrees in at least
-MATCHES coordinates agrees in one of any COORDINATES - MATCHES + 1 of them, so only that prefix is posted; the other
-coordinates are skipped in the merge and only probed, through two bits of each that travel with the posting: a bound from
-above on the collision count, so no pair over the threshold is lost. Pairs that pass are confirmed on full sets.
-
-Copies of one set form a class from the start and only its first document is posted. The documents of a posting list are
-first met with its smallest one only; lists whose documents are by then connected need no more. Documents of the others
-are met across components by a prefix join on their full sets, which makes no pairs inside a component. So a group of
-near-duplicates costs its size, not its square.
+`matches` coordinates agrees in one of any COORDINATES - matches + 1 of them, so only that prefix is posted; the other
+coordinates are skipped in the merge and only probed: two bits of each travel with the posting and bound the collision count
+from above. Of pairs that pass, the collisions of all coordinates are counted, those with at least `matches` are retained
+and confirmed on full sets.
+
+Copies of one set form a class from the start and only its first document is posted. Pairs inside a connected component
+need no check, so lists are met with few members at a time: first with their smallest document, then, while lists hold
+documents of several components and all pairs across would be many, with some members of their commonest component, others and
+more of them from round to round. What is left is met across components by a prefix join on full sets. So a group of
+near-duplicates costs its size, not its square, even where half of its pairs are below the threshold.
 """
 
 from __future__ import annotations
@@ -17,18 +19,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, all_salts, by_bytes, constants, materialize, mix64, salted, text_bytes
+from .common import by_bytes, constants, discard, hot_keys, materialize, mix64, salted, spread, text_bytes
 
 COORDINATES = 64
-#: Pivots and lists above this size are dealt over several tasks in joins.
-HOT = 256
+#: Pairs across components a posting, up to which they are met at once and not by further rounds.
+PAIRS_A_ROW = 4
 
 
 def miss_probability(similarity: float, matches: int, coordinates: int = COORDINATES) -> float:
@@ -66,15 +69,15 @@ def _signature(hashes: np.ndarray, mul: np.ndarray, xor: np.ndarray) -> np.ndarr
 _SIGNED = "doc_id long, n int, c1 long, c2 long, s1 long, s2 long, keys array<long>"
 
 
-def _sign(k: int, prefix: int):
+def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, xor = constants(COORDINATES, 21)[:, None], constants(COORDINATES, 22)[:, None]
-        bit, salt = np.arange(COORDINATES, dtype=np.uint64), constants(prefix, 23)
+        bit, salt = np.arange(COORDINATES, dtype=np.uint64), constants(COORDINATES, 23)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             n = np.zeros(len(texts), np.int32)
             four = np.zeros((len(texts), 4), np.uint64)
-            keys = np.zeros((len(texts), prefix), np.uint64)
+            keys = np.zeros((len(texts), COORDINATES), np.uint64)
             for i, t in enumerate(texts):
                 if (h := shingle_hashes(t, k)).size:
                     n[i] = h.size
@@ -82,8 +85,8 @@ def _sign(k: int, prefix: int):
                     sig = mix64(_signature(h, mul, xor))
                     four[i] = d >> 64, d & (1 << 64) - 1, ((sig & np.uint64(1)) << bit).sum(), ((sig >> np.uint64(1) & np.uint64(1)) << bit).sum()
                     with np.errstate(over="ignore"):
-                        keys[i] = mix64(sig[:prefix] ^ salt)
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix, 0))]).astype(np.int32)
+                        keys[i] = mix64(sig ^ salt)
+            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDINATES, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].reshape(-1).view(np.int64)))
             cols = [batch.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(four[:, j]).view(np.int64)) for j in range(4)), lists]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "c1", "c2", "s1", "s2", "keys"])
@@ -110,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are pre-aggregated before their shuffle and joined back over salted keys, so a hub is no hot task.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen = None  # a sum of hashes of the edges: rounds end when they no longer change
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -120,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         ).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted(large, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "star")
+        before, now = now, materialize(small, "star")
+        discard(before)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -134,16 +138,54 @@ def _alike(similarity: float, matches: int) -> Column:
     return sized & (agree >= matches)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Sets of hot first members are copied to several tasks."""
+def _confirmed(pairs: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float, matches: int) -> DataFrame:
+    """The materialised pairs (a, b) that collide in at least `matches` coordinates and whose full shingle sets are similar enough.
+
+    The rows of hot first members are dealt over several tasks.
+    """
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n")
+    counted = spread(pairs, keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("xk")), ["a"], hot).join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("yk")), "b")
+    retained = counted.where(F.size(F.array_intersect("xk", "yk")) >= matches).select("a", "b")
+    joined = spread(retained, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs")), ["a"], hot).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys")), "b")
     size = F.size(F.array_intersect("xs", "ys"))
-    many = pairs.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("_hot"))
-    dealt = pairs.join(many, "a", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs")).join(many, "a", "left")
-    left = left.withColumn("_salt", F.explode(F.when(F.col("_hot"), all_salts()).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
-    joined = dealt.drop("_hot").join(left, ["a", "_salt"]).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys")), "b")
-    union = F.size("xs") + F.size("ys") - size
-    return joined.where(size * 100 >= union * F.lit(round(similarity * 100))).select("a", "b").distinct()
+    return joined.where(size * 100 >= (F.size("xs") + F.size("ys") - size) * F.lit(round(similarity * 100))).select("a", "b")
+
+
+def _rounds(lists: DataFrame, found: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float, matches: int, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """Lists that still hold documents of several components: met with some members of their commonest one, as long as all
+    pairs across are many and a round halves them. Gives the components, and the documents that are still torn."""
+    last = math.inf
+    for turn in count():
+        member = lists.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "s1", "s2", F.coalesce("component", "doc_id").alias("c"))
+        member = materialize(member, "member")
+        of = member.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
+        of = of.agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("q")).where("cs > 1")
+        of = materialize(of.select("key", "top", "m", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")), "open")
+        rows, pairs = of.agg(F.sum("m"), F.sum("pairs")).first()
+        hot = hot_keys(of, ["key"], "m")
+        torn = materialize(spread(member, of.select("key", "top"), ["key"], hot), "torn")
+        discard(member)
+        if not rows or pairs <= PAIRS_A_ROW * rows or pairs > last / 2:
+            break
+        last = pairs
+        order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id")
+        pivot = torn.where("c = top").withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8 * 4**turn).select("key", F.struct("doc_id", "n", "s1", "s2").alias("y"))
+        met = spread(torn.where("c <> top").select("key", F.struct("doc_id", "n", "s1", "s2").alias("x")), pivot, ["key"], hot).where(_alike(similarity, matches))
+        met = materialize(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "met")
+        links = materialize(_confirmed(met, keys, sets, similarity, matches), "more")
+        none = links.isEmpty()
+        if not none:
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+            discard(torn)
+        discard(of, met, links)
+        if none:
+            break
+    if not rows:
+        return found, None
+    # A similar document of another component is met in at least as many lists, and those are open.
+    out = materialize(torn.groupBy("doc_id", "c").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("doc_id", "c"), "apart")
+    discard(torn)
+    return found, out
 
 
 def _across(torn: DataFrame, similarity: float) -> DataFrame:
@@ -156,23 +198,28 @@ def _across(torn: DataFrame, similarity: float) -> DataFrame:
     """
     s = round(similarity * 100)
     every = torn.select("doc_id", F.explode("shingles").alias("t"))
-    known = every.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = every.join(known, "t").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("own"))
+    known = materialize(every.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "known")
+    ranked = spread(every, known, ["t"], hot_keys(known, ["t"], "df")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("own"))
     ranked = ranked.join(torn.select("doc_id", "c", F.size("shingles").alias("n")), "doc_id")
     prefix = F.col("n") - F.floor((F.col("n") * s + 99) / 100).cast("int") + 1
     alone = F.col("n") - F.size("own")
     ranked = ranked.select("doc_id", "c", "n", alone.alias("alone"), F.slice("own", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("own"))
     posted = ranked.select("doc_id", "c", "n", "alone", F.posexplode("own").alias("k", "e")).select("doc_id", "c", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("e.t").alias("t"))
     posted = materialize(posted, "posted")
-    mixed = posted.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("t", "top")
-    all_of = materialize(posted.join(mixed, "t"), "mixed")
-    x, y = all_of.where("c <> top").alias("x"), all_of.alias("y")
+    mixed = posted.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m")).where("cs > 1")
+    mixed = materialize(mixed.select("t", "top", "m"), "mixed")
+    hot = hot_keys(mixed, ["t"], "m")
+    all_of = materialize(spread(posted, mixed.select("t", "top"), ["t"], hot), "meeting")
+    x = all_of.where("c <> top").select("t", F.struct("doc_id", "c", "n", "at").alias("x"))
+    y = all_of.select("t", F.struct("doc_id", "c", "n", "at", "top").alias("y"))
     once = (F.col("y.c") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * s
     overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     fits = overlap * (100 + s) >= (F.col("x.n") + F.col("y.n")) * s
-    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") != F.col("y.c")) & once & sized & fits)
-    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    met = spread(y, x, ["t"], hot).where((F.col("x.c") != F.col("y.c")) & once & sized & fits)  # of a hot shingle the many are dealt, the strays copied
+    out = materialize(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "across")
+    discard(known, posted, mixed, all_of)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -182,11 +229,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     split at ASCII white space) is at least `similarity`, given in hundredths. Texts with fewer words have one shingle, the
     whole sequence. Null or wordless texts have none and link with nothing. Rows that share a doc_id are one node with the
     links of each, and n_shingles is of the row; a null doc_id links with nothing, has a null component and is kept. Further columns are ignored, an
-    empty table gives an empty result. Of the pairs at just `similarity`, at most one in a million is missed
-    (miss_probability); no pair below it is linked.
+    empty table gives an empty result; very long texts are read whole. Of the pairs at just `similarity`, 1.3 in a million
+    may be missed, fewer above it: 6.3e-7 by too few collisions of all coordinates (miss_probability), 6.4e-7 by too few of
+    the posted ones; no pair below it is linked.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = _signed(docs, shingle_words, similarity)
+    signed = _signed(docs, shingle_words)
     text = F.struct("c1", "c2")
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi")
     if several.isEmpty():
@@ -194,15 +242,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     return _near_by_row(docs, shingle_words, similarity)
 
 
-def _signed(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    return materialize(docs.mapInArrow(_sign(shingle_words, COORDINATES - matches_for(similarity) + 1), _SIGNED), "signed")
+def _signed(docs: DataFrame, shingle_words: int) -> DataFrame:
+    return materialize(docs.mapInArrow(_sign(shingle_words), _SIGNED), "signed")
 
 
 def _near_by_row(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """near_duplicates() where a doc_id has several texts: rows are linked under numbers of their own, then the components that share a doc_id are united."""
     rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
-    near = materialize(_near(numbered, _signed(numbered, shingle_words, similarity), shingle_words, similarity), "near")
+    near = materialize(_near(numbered, _signed(numbered, shingle_words), shingle_words, similarity), "near")
     of = rows.where("doc_id is not null").select("row", "doc_id").join(near.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c")), "row")
     of = materialize(of, "of")
     first = of.groupBy("doc_id").agg(F.min("c").alias("first"))
@@ -218,36 +266,35 @@ def _near(docs: DataFrame, signed: DataFrame, shingle_words: int, similarity: fl
     matches = matches_for(similarity)
     prefix = COORDINATES - matches + 1
     known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    classes = materialize(classes, "classes")
-    repped = salted(signed.select("doc_id", "n", "c1", "c2"), classes, ["c1", "c2"], "left")
-    later = repped.where("n > 0 and doc_id <> rep").select("doc_id").distinct()
-    own = known.join(later, "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", "keys")
-    posted = own.select("doc_id", F.explode("keys").alias("key"))  # narrow: most postings are alone in their list and end here
-    shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    met_at = posted.join(shared, "key").select("key", "doc_id")
-    lists = materialize(met_at.join(own.drop("keys"), "doc_id").select("key", "doc_id", "n", "s1", "s2"), "lists")
-    pivot = lists.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("p"))
+    classes = materialize(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    large = hot_keys(classes, ["c1", "c2"], "copies")
+    classes = classes.drop("copies")
+    later = spread(known.select("doc_id", "c1", "c2"), classes, ["c1", "c2"], large).where("doc_id <> rep").select("doc_id").distinct()
+    own = materialize(known.join(later, "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", "keys"), "own")
+    posted = own.select("doc_id", F.explode(F.slice("keys", 1, prefix)).alias("key"))  # narrow: most postings are alone in their list and end here
+    shared = materialize(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    hot = hot_keys(shared, ["key"], "size")
     # A document that has a similar one meets it in most of its coordinates: others are out before any pair is made.
     least = max(m for m in range(1, prefix + 1) if m == 1 or miss_probability(similarity, m, prefix) <= 1e-6)
-    close = materialize(lists.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id"), "close")
+    met_at = materialize(spread(posted, shared.select("key"), ["key"], hot), "met_at")
+    close = materialize(met_at.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id"), "close")
+    keys = own.join(close, "doc_id", "left_semi")
+    lists = materialize(met_at.join(keys.drop("keys"), "doc_id").select("key", "doc_id", "n", "s1", "s2"), "lists")
+    discard(shared, met_at)
+    pivot = lists.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("y"))
+    keys = materialize(keys.select("doc_id", "keys"), "keys")
     sets = materialize(docs.join(close, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>"), "sets")
-    met = lists.join(pivot, "key").select(F.struct("doc_id", "n", "s1", "s2").alias("x"), F.col("p").alias("y")).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
+    met = spread(lists.select("key", F.struct("doc_id", "n", "s1", "s2").alias("x")), pivot, ["key"], hot).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
     stars = materialize(met.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "stars")
-    links = materialize(_confirmed(stars, sets, similarity), "links")
-    found = components(links)
-    # Lists that still hold documents of several components: their documents are met across components.
-    member = lists.select("key", "doc_id").join(close, "doc_id", "left_semi").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    member = materialize(member, "member")
-    open_lists = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    # A similar document of another component is met in at least as many lists, and those are open.
-    torn = member.join(open_lists, "key", "left_semi").groupBy("doc_id", "c").agg(F.count("*").alias("m")).where(F.col("m") >= least)
-    torn = materialize(torn.select("doc_id", "c"), "torn")
-    if not torn.isEmpty():
-        across = materialize(_across(sets.join(torn, "doc_id"), similarity), "across")
-        more = materialize(_confirmed(across, sets, similarity), "more")
+    links = materialize(_confirmed(stars, keys, sets, similarity, matches), "links")
+    found, torn = _rounds(lists, components(links), keys, sets, similarity, matches, least)
+    if torn is not None and not torn.isEmpty():
+        across = _across(sets.join(torn, "doc_id"), similarity)
+        more = materialize(_confirmed(across, keys, sets, similarity, matches), "more")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        discard(across, more)
+    discard(own, close, lists, keys, sets, stars, links, *([torn] if torn is not None else []))
     # Copies of a class end up with one label.
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("by_class"))
     out = salted(signed.select("doc_id", "n", "c1", "c2"), label, ["c1", "c2"], "left").join(found, F.col("doc_id") == F.col("node"), "left")
