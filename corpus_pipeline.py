@@ -10,33 +10,34 @@ from ledgerloom.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Learns from all labels whose documents are still there."""
     return quality.drop_low_quality(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, similarity 0.8)."""
+    """One document of each group of near-duplicates stays (five words, similarity 0.8): the one of the smallest doc_id, with all its rows."""
     ship(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontam.decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(*docs.columns)
+    return decontam.drop_contaminated(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by marks of its kind; no document goes."""
+    """Personal data is replaced by marks of its kind, and n_chars follows; no document goes."""
     ship(spark)
     return pii.redact_pii(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn at the rates that meet the target shares."""
+    """Documents are drawn at the rates that meet the target shares; texts without words have the rate 0."""
     return mixing.draw(docs)
 
 
+#: Every stage returns the columns of its docs, however they are named, and takes null, empty and very long texts, null ids, repeated
+#: rows and empty tables, as its operator states.
 STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
