@@ -31,7 +31,7 @@ from .common import by_bytes, constants, discard, hot_keys, materialize, mix64,
 
 COORDINATES = 64
 #: Pairs across components a posting, up to which they are met at once and not by further rounds.
-PAIRS_A_ROW = 4
+PAIRS_A_ROW = 64
 
 
 def miss_probability(similarity: float, matches: int, coordinates: int = COORDINATES) -> float:
@@ -270,19 +270,19 @@ def _near(docs: DataFrame, signed: DataFrame, shingle_words: int, similarity: fl
     large = hot_keys(classes, ["c1", "c2"], "copies")
     classes = classes.drop("copies")
     later = spread(known.select("doc_id", "c1", "c2"), classes, ["c1", "c2"], large).where("doc_id <> rep").select("doc_id").distinct()
-    own = materialize(known.join(later, "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", "keys"), "own")
-    posted = own.select("doc_id", F.explode(F.slice("keys", 1, prefix)).alias("key"))  # narrow: most postings are alone in their list and end here
+    own = known.join(later, "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", F.slice("keys", 1, prefix).alias("keys"))
+    own = materialize(own, "own")
+    posted = own.select("doc_id", F.explode("keys").alias("key"))  # narrow: most postings are alone in their list and end here
     shared = materialize(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     hot = hot_keys(shared, ["key"], "size")
     # A document that has a similar one meets it in most of its coordinates: others are out before any pair is made.
     least = max(m for m in range(1, prefix + 1) if m == 1 or miss_probability(similarity, m, prefix) <= 1e-6)
     met_at = materialize(spread(posted, shared.select("key"), ["key"], hot), "met_at")
     close = materialize(met_at.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id"), "close")
-    keys = own.join(close, "doc_id", "left_semi")
-    lists = materialize(met_at.join(keys.drop("keys"), "doc_id").select("key", "doc_id", "n", "s1", "s2"), "lists")
+    lists = materialize(met_at.join(own.drop("keys").join(close, "doc_id", "left_semi"), "doc_id").select("key", "doc_id", "n", "s1", "s2"), "lists")
     discard(shared, met_at)
     pivot = lists.groupBy("key").agg(F.min(F.struct("doc_id", "n", "s1", "s2")).alias("y"))
-    keys = materialize(keys.select("doc_id", "keys"), "keys")
+    keys = materialize(known.join(close, "doc_id", "left_semi").select("doc_id", "keys").dropDuplicates(["doc_id"]), "keys")
     sets = materialize(docs.join(close, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>"), "sets")
     met = spread(lists.select("key", F.struct("doc_id", "n", "s1", "s2").alias("x")), pivot, ["key"], hot).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
     stars = materialize(met.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "stars")
