@@ -64,7 +64,10 @@ class Store:
             c = F.col("status").isNull() | (F.col("status") == "active")
         elif "any" not in status:
             c = F.col("status").isin(status)
-        types = types or (DECISIONS if decisions_only else None)
+        if decisions_only:  # a type that is asked for narrows the decision types and never widens them
+            types = [x for x in types if x in DECISIONS] if types else DECISIONS
+            if not types:
+                return F.lit(False)
         for name, values in (("type", types), ("area", area), ("topic", topic), ("authority", authority)):
             if values:
                 c = c & F.col(name).isin(values)
@@ -203,6 +206,7 @@ class Store:
         unread = self.quarantined.select("path", F.lit(None).cast("string").alias("link"), F.lit("unreadable").alias("rule"), F.lit("error").alias("severity"), F.array_join("diagnostics", "; ").alias("message"))
         topics = self.good.where("type = 'topic'")
         parts = [lint.link_rules(self.links), lint.topic_rules(topics, self.links), lint.standing_rules(self.pointers, self.links), lint.duplicates(self.good, "id")]
+        parts += [lint.record_rules(self.good.where("type <> 'topic'")), lint.stem_rules(self.good), lint.standing_cap_rule(self.standing()), lint.invariant_rules(self.links)]
         if files is not None:
             parts.append(lint.concept_rules(self.good.where("type = 'concept'"), topics.select("id"), files))
         return reduce(DataFrame.unionByName, parts, unread)
@@ -229,7 +233,12 @@ def code_search(chunks: DataFrame, question: str, *, role: str | None = "code",
     if vectors is not None and query_vector is not None:
         by = [F.desc("score"), F.asc("key")]
         met = rank.nearest(vectors.withColumn("key", key), "key", "vector", query_vector).join(own.where(keep).select("key"), "key", "left_semi")
-        fused = rank.rrf([fts, rank.ranked(rank.top_k(met, by, rank.FTS_CAP), by)], "key", rank.CODE_K).join(fts.select("key", "named"), "key", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+        near = rank.ranked(rank.top_k(met, by, rank.FTS_CAP + limit), by)
+        # Of vectors further down only those of full-text hits can matter: their ranks are counted, at most FTS_CAP of them.
+        far = met.join(F.broadcast(fts.select("key")), "key").join(near.select("key"), "key", "left_anti").select(F.col("key").alias("_k"), F.col("score").alias("_s"))
+        before = met.join(F.broadcast(far.limit(rank.FTS_CAP)), (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("key") < F.col("_k"))))
+        low = before.groupBy(F.col("_k").alias("key")).agg((F.count("*") + 1).cast("int").alias("rank"))
+        fused = rank.rrf([fts, near.select("key", "rank").unionByName(low)], "key", rank.CODE_K).join(fts.select("key", "named"), "key", "left").withColumn("named", F.coalesce("named", F.lit(False)))
         hits = rank.ranked(rank.top_k(fused, order, limit), order).select("key", "rank")
     hits = own.join(hits.where(F.col("rank") <= limit), "key").select("rank", *at, "kind", "symbol", "end_line", "signature", "role")
     tests = own.where("role = 'test'").select("path", F.col("body").alias("text"))

@@ -32,6 +32,7 @@ AUTHORITIES = ["owner-verbatim", "owner-ratified", "agent-inference", "reviewer-
 OWNER_AUTHORITIES = ["owner-verbatim", "owner-ratified"]
 EDGE_RELS = ["supersedes", "preserves", "abandons", "challenged_by", "led_to", "applies_to", "depends_on"]
 INVARIANT_KINDS = ["no-bypass", "single-definition", "must-call", "pattern-absent"]
+RECORD_TYPES = ["topic", "incident", "investigation", "concept"]
 CHUNK_KINDS = ["function", "method", "constructor", "accessor", "closure"]
 
 #: language: extensions, shebang stems, noise directories, and what marks a test (directories, directory globs, directory runs, file globs).
@@ -46,3 +47,7 @@ LANGUAGES = {
     "rust": ([".rs"], [], ["target"], ["tests"], [], [], ["*_test.rs", "tests.rs"]),
     "lua": ([".lua"], ["lua"], [], ["spec", "test", "tests"], [], [], ["*_spec.lua", "*_test.lua"]),
 }
+
+#: Citations in prose: a commit by 7 or 40 hex digits after commit, merge, at, as, or in back ticks; the line of a file.
+COMMIT = r"\b(?i:commit|merge)\b\s+([0-9a-f]{40}|[0-9a-f]{7})\b|\b(?i:at|as)\b\s+([0-9a-f]{40}|[0-9a-f]{7})\b|`([0-9a-f]{40}|[0-9a-f]{7})`"
+PATH_LINE = r"(?<![\w./:\\~-])[A-Za-z0-9_.\-/]+\.[A-Za-z0-9]{1,8}:\d+(?:[-,]\d+)?"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 
@@ -169,12 +171,9 @@ def short_hash(*parts: Column, length: int = 12) -> Column:
     return F.substring(F.sha2(F.concat(*[x for p in parts for x in (p, F.lit("\n"))]), 256), 1, length)
 
 
-_COMMIT = r"\b(?i:commit|merge)\b\s+([0-9a-f]{40}|[0-9a-f]{7})\b|\b(?i:at|as)\b\s+([0-9a-f]{40}|[0-9a-f]{7})\b|`([0-9a-f]{40}|[0-9a-f]{7})`"
-
-
 def commit_citations(text: Column) -> Column:
     """Cited commit hashes (7 or 40 hex digits after commit, merge, at, as, or in back ticks), in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_COMMIT), F.lit(0)), lambda m: F.regexp_extract(m, "([0-9a-f]{40}|[0-9a-f]{7})`?$", 1))
+    return F.transform(F.regexp_extract_all(text, F.lit(fixed.COMMIT), F.lit(0)), lambda m: F.regexp_extract(m, "([0-9a-f]{40}|[0-9a-f]{7})`?$", 1))
 
 
 def commit_subjects(text: Column) -> Column:
@@ -185,7 +184,7 @@ def commit_subjects(text: Column) -> Column:
 
 def line_citations(text: Column) -> Column:
     """path:line citations as (path, line); the extension is required and no match starts inside a longer path."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w./:\\~-])[A-Za-z0-9_.\-/]+\.[A-Za-z0-9]{1,8}:\d+(?:[-,]\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(fixed.PATH_LINE), F.lit(0))
     return F.transform(found, lambda m: F.struct(F.regexp_extract(m, r"^(.*):\d+(?:[-,]\d+)?$", 1).alias("path"), F.regexp_extract(m, r":(\d+)(?:[-,]\d+)?$", 1).cast("long").alias("line")))
 
 
@@ -252,3 +251,22 @@ def note_decoded(value: Column) -> Column:
 
 def note_encoded(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+
+
+def chain_line(link: Column, date: Column, status: Column, authority: Column, text: Column) -> Column:
+    """One line of a chain: link, date, status and authority where there are any, and the ruling on one line."""
+    head = F.concat_ws(" ", link, date, F.concat(F.lit("["), F.concat_ws(", ", status, authority), F.lit("]")))
+    return F.concat(head, F.lit(": "), flat_line(F.coalesce(text, F.lit(""))))
+
+
+@F.pandas_udf(T.StringType())
+def pattern_problem(pattern: pd.Series) -> pd.Series:
+    """Why a regular expression does not compile; null if it does. For distinct patterns, which are few."""
+
+    def problem(p):
+        try:
+            re.compile(p)
+        except (re.error, RecursionError, OverflowError) as e:
+            return str(e)
+
+    return pattern.map(problem).astype(object).where(lambda x: x.notna(), None)

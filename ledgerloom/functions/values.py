@@ -59,6 +59,12 @@ def coprime_offset(n: int) -> int:
     return min((o for o in range(1, n) if math.gcd(o, n) == 1), key=lambda o: (abs(o - n // 2), -o))
 
 
+def coprime_column(n: Column) -> Column:
+    """coprime_offset() of a column: half of an odd number, rounded down; one more than half of one that four divides; else two more, or 1 for 2."""
+    half = F.floor(n / 2)
+    return F.when(n % 2 == 1, F.when(n > 1, half)).when(n == 2, 1).when(n % 4 == 0, half + 1).otherwise(half + 2)
+
+
 def validated_evidence(evidence: Column) -> Column:
     """Evidence with at least one entry that is not blank."""
     return F.coalesce(F.exists(evidence, lambda e: F.trim(e) != ""), F.lit(False))

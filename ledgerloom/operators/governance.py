@@ -116,7 +116,7 @@ def chain(links: DataFrame, edges: DataFrame, assumptions: DataFrame) -> DataFra
     """links newest first (seq) with their edges and broken assumptions."""
     e = edges.groupBy("topic_path", "link").agg(F.array_sort(F.collect_list(F.struct("rel", "to_ref"))).alias("edges"))
     a = assumptions.where("status = 'broken'").groupBy("topic_path", "link").agg(F.array_sort(F.collect_list("aid")).alias("broken"))
-    return links.join(e, ["topic_path", "link"], "left").join(a, ["topic_path", "link"], "left").orderBy("topic_path", "seq")
+    return links.drop("edges", "broken").join(e, ["topic_path", "link"], "left").join(a, ["topic_path", "link"], "left").orderBy("topic_path", "seq")
 
 
 def running_bytes(rows: DataFrame, text: Column, order: list[Column], partition: list[str]) -> DataFrame:
@@ -125,21 +125,37 @@ def running_bytes(rows: DataFrame, text: Column, order: list[Column], partition:
     return rows.withColumn("bytes_so_far", F.sum(F.octet_length(text).cast("long") + 1).over(w))
 
 
-def standing_digest(rows: DataFrame, most_links: int = 24, most_bytes: int = 4800) -> DataFrame:
-    """One row: text, sha256, bytes and links of the digest over rows (topic, link, text) of a store, or the reason to refuse.
+def standing_digest(rows: DataFrame, most_links: int = 24, most_bytes: int = 4800, by: list[str] | None = None) -> DataFrame:
+    """One row a store (or `by`): text, sha256, bytes and links of the digest over rows (topic, link, text), or the reason to refuse.
 
     Numeric link order; the cap covers the whole text; nothing is cut to fit.
     """
     line = F.concat(F.lit("- "), F.col("topic"), F.lit(" "), F.col("link"), F.lit(": "), X.flat_line(F.col("text")))
-    one = rows.select(F.struct("topic", link_number(F.col("link")).alias("n"), "link", line.alias("line")).alias("s"))
-    all_of = one.agg(F.array_sort(F.collect_list("s")).alias("a"))
+    one = rows.select(*(by or []), F.struct("topic", link_number(F.col("link")).alias("n"), "link", line.alias("line")).alias("s"))
+    all_of = one.groupBy(*(by or [])).agg(F.array_sort(F.collect_list("s")).alias("a"))
     text = F.concat(F.lit("Standing rulings:\n"), F.array_join(F.transform("a", lambda s: s.line), "\n"))
-    out = all_of.select(text.alias("text"), F.size("a").alias("links"))
+    out = all_of.select(*(by or []), text.alias("text"), F.size("a").alias("links"))
     out = out.select("*", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
     over = (F.col("links") > most_links) | (F.col("bytes") > most_bytes)
     return out.withColumn("reason", F.when(over, "over-cap")).withColumn("text", F.when(~over, F.col("text")))
 
 
+def capped_chain(links: DataFrame, text: Column, most_bytes: int = 2000, topic: str = "topic_path", order: str = "seq") -> DataFrame:
+    """(topic, text, omitted): the newest link in full, older ones newest first while they fit, then a line that counts those left out."""
+    w = Window.partitionBy(topic).orderBy(order)
+    rows = links.select(topic, order, text.alias("_line"), F.row_number().over(w).alias("_k"), F.sum(F.octet_length(text).cast("long") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_b"))
+    shown = (F.col("_k") == 1) | (F.col("_b") <= most_bytes)
+    out = rows.groupBy(topic).agg(F.array_sort(F.collect_list(F.when(shown, F.struct(order, "_line")))).alias("_a"), F.count_if(~shown).alias("omitted"))
+    body = F.array_join(F.transform("_a", lambda s: s["_line"]), "\n")
+    mark = F.when(F.col("omitted") > 0, F.concat(F.lit("\n[... "), F.col("omitted").cast("string"), F.lit(" older link(s) omitted]"))).otherwise("")
+    return out.select(topic, F.concat(body, mark).alias("text"), "omitted")
+
+
+def fragment_status(fragment: Column, symbol: Column, qualified_name: Column, readable: Column) -> Column:
+    """Whether a reference's fragment is declared: true, false, or null where the file could not be read for symbols."""
+    return F.when(~F.coalesce(readable, F.lit(False)), F.lit(None).cast("boolean")).otherwise(F.coalesce((fragment == symbol) | (fragment == qualified_name), F.lit(False)))
+
+
 def drift(invariants: DataFrame, lines: DataFrame) -> DataFrame:
     """(invariant, state) where state is violation, hold_violation, skipped or ok.
 

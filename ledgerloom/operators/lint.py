@@ -136,38 +136,46 @@ BODY_FIELDS = ["date", "kind", "reverses", "reason_for_change", "ruling", "ratio
 _OPEN, _CLOSED = ["active", "provisional"], ["superseded", "historical", "declined"]
 
 
+def _moves(f: str, alone: Column) -> list[tuple[Column, str, Column]]:
+    """What a pointer that is set once may not do."""
+    other, had = ~F.col(f"o_{f}").eqNullSafe(F.col(f"n_{f}")), F.col(f"o_{f}").isNotNull()
+    out = [(other & had, f"{f}-frozen", F.lit("fixed once set")), (other & ~had & ~alone, f"{f}-not-alone", F.lit("a move must be the only change"))]
+    if f == "superseded_by":
+        out.append((other & ~had & ~F.col("n_status").eqNullSafe(F.lit("superseded")), f"{f}-status", F.lit("status is not superseded")))
+    return out
+
+
 def history(old: DataFrame, new: DataFrame, body: list[str] = BODY_FIELDS) -> DataFrame:
     """Append-only rules between two sides of (path, link, seq, status, superseded_by, promoted_by, body fields).
 
-    One full outer join by (path, link): removed links, changed body fields, lifecycle moves that go back or are not alone.
-    Order rules: new links stand above old ones (seq is smaller) and old ones keep their order.
+    One full outer join by (path, link): removed links, changed body fields, lifecycle moves that go back or are not alone. Order
+    rules, by windows over the joined rows: new links stand above old ones (seq is smaller), old ones keep their order.
+    All rules of a row are one array, so the join is planned and run once.
     """
     fields = ["seq", "status", "superseded_by", "promoted_by", *body]
     o = old.select("path", "link", *[F.col(f).alias(f"o_{f}") for f in fields], F.lit(True).alias("o_"))
     n = new.select("path", "link", *[F.col(f).alias(f"n_{f}") for f in fields], F.lit(True).alias("n_"))
     both = o.join(n, ["path", "link"], "full_outer")
-    kept = both.where(F.col("o_") & F.col("n_"))
+    kept = F.col("o_").isNotNull() & F.col("n_").isNotNull()
+    topic = Window.partitionBy("path")
+    above = topic.orderBy("n_seq").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({"_before": F.last(F.when(kept, F.col("o_seq")), ignorenulls=True).over(above), "_top": F.min(F.when(kept, F.col("n_seq"))).over(topic)})
     changed = F.filter(F.array(*[F.when(~F.col(f"o_{f}").eqNullSafe(F.col(f"n_{f}")), F.lit(f)) for f in body]), lambda x: x.isNotNull())
-    kept = kept.withColumn("_body", changed)
-    out = _found(both.where(F.col("n_").isNull()), "removed", "error", F.lit("a recorded link is gone"))
-    out = out.unionByName(_found(kept.select("path", "link", F.explode("_body").alias("f")), "body-frozen", "error", F.concat(F.col("f"), F.lit(" changed"))))
     moved = ~F.col("o_status").eqNullSafe(F.col("n_status"))
     forward = F.coalesce(F.col("o_status").isin(_OPEN) & F.col("n_status").isin(_CLOSED), F.lit(False))
-    alone = F.size("_body") == 0
-    out = out.unionByName(_found(kept.where(moved & ~forward), "status-move", "error", F.concat_ws(" to ", "o_status", "n_status")))
-    out = out.unionByName(_found(kept.where(moved & forward & ~alone), "status-not-alone", "error", F.lit("a move must be the only change")))
-    for f in ("superseded_by", "promoted_by"):
-        other = ~F.col(f"o_{f}").eqNullSafe(F.col(f"n_{f}"))
-        out = out.unionByName(_found(kept.where(other & F.col(f"o_{f}").isNotNull()), f"{f}-frozen", "error", F.lit("fixed once set")))
-        if f == "superseded_by":
-            out = out.unionByName(_found(kept.where(other & F.col(f"o_{f}").isNull() & ~F.col("n_status").eqNullSafe(F.lit("superseded"))), f"{f}-status", "error", F.lit("status is not superseded")))
-        out = out.unionByName(_found(kept.where(other & F.col(f"o_{f}").isNull() & ~alone), f"{f}-not-alone", "error", F.lit("a move must be the only change")))
-    w = Window.partitionBy("path").orderBy("n_seq")
-    swapped = kept.withColumn("_before", F.lag("o_seq").over(w)).where(F.col("_before") > F.col("o_seq"))
-    out = out.unionByName(_found(swapped, "order", "error", F.lit("recorded links changed their order")))
-    top = kept.groupBy("path").agg(F.min("n_seq").alias("_top"))
-    low = both.where(F.col("o_").isNull()).join(top, "path").where(F.col("n_seq") > F.col("_top"))
-    return out.unionByName(_found(low, "insert", "error", F.lit("a new link stands below recorded ones")))
+    alone = F.size(changed) == 0
+    rules = [
+        (F.col("n_").isNull(), "removed", F.lit("a recorded link is gone")),
+        (kept & moved & ~forward, "status-move", F.concat_ws(" to ", "o_status", "n_status")),
+        (kept & moved & forward & ~alone, "status-not-alone", F.lit("a move must be the only change")),
+        *[(kept & test, rule, message) for f in ("superseded_by", "promoted_by") for test, rule, message in _moves(f, alone)],
+        (kept & (F.col("_before") > F.col("o_seq")), "order", F.lit("recorded links changed their order")),
+        (F.col("o_").isNull() & (F.col("n_seq") > F.col("_top")), "insert", F.lit("a new link stands below recorded ones")),
+    ]
+    found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule"), message.cast("string").alias("message"))) for test, rule, message in rules]), lambda r: r.isNotNull())
+    frozen = F.when(kept, F.transform(changed, lambda f: F.struct(F.lit("body-frozen").alias("rule"), F.concat(f, F.lit(" changed")).alias("message"))))
+    each = both.select(F.col("path").cast("string").alias("path"), F.col("link").cast("string").alias("link"), F.inline(F.concat(found, F.coalesce(frozen, F.slice(found, 1, 0)))))
+    return each.select("path", "link", "rule", F.lit("error").alias("severity"), "message")
 
 
 def pairing(old: DataFrame, new: DataFrame, marks: DataFrame) -> DataFrame:
@@ -197,3 +205,128 @@ def anchor_rules(anchors: DataFrame) -> DataFrame:
     """Anchor rows (path, ref, link, algo, digest, captured, captured_at) must be whole."""
     bad = anchors.where(~F.coalesce(F.col("digest").rlike("^[0-9a-f]{64}$"), F.lit(False)) | (F.col("algo") != "sha256") | values.recorded_at_problem(F.col("captured"), F.col("captured_at")).isNotNull() | ~is_named(F.col("ref")))
     return _found(bad, "anchor", "error", F.concat(F.lit("incomplete anchor of "), F.col("ref")))
+
+
+def enum_rules(links: DataFrame) -> DataFrame:
+    """Enumerations beyond a link's own: rationale and alternative authorities, edge relations, invariant kinds. links also:
+    rationale_authority, alternative_authorities and edge_rels (arrays), invariant_kind."""
+    def odd(values_of: Column, known: list[str], rule: str) -> Column:
+        bad = F.filter(F.coalesce(values_of, F.array().cast("array<string>")), lambda x: x.isNotNull() & ~x.isin(known))
+        return F.transform(bad, lambda x: F.struct(F.lit(rule).alias("rule"), F.concat(F.lit("unknown value "), x).alias("message")))
+
+    found = F.concat(
+        odd(F.array("rationale_authority"), fixed.AUTHORITIES, "rationale-authority"), odd(F.col("alternative_authorities"), fixed.AUTHORITIES, "alternative-authority"),
+        odd(F.col("edge_rels"), fixed.EDGE_RELS, "edge-rel"), odd(F.array("invariant_kind"), fixed.INVARIANT_KINDS, "invariant-kind"),
+    )
+    each = links.select(F.col("path").cast("string").alias("path"), "link", F.inline(found))
+    return each.select("path", "link", "rule", F.lit("error").alias("severity"), "message")
+
+
+def invariant_rules(links: DataFrame) -> DataFrame:
+    """Invariants must compile, and below an owner's authority need evidence. links: path, link, authority, evidence,
+    invariant_kind, invariant_pattern. A pattern is tried once by distinct text, in a task."""
+    own = links.where("invariant_kind is not null or invariant_pattern is not null")
+    weak = own.where(~F.coalesce(F.col("authority").isin(fixed.OWNER_AUTHORITIES), F.lit(False)) & ~values.validated_evidence(F.col("evidence")))
+    out = _found(weak, "invariant-evidence", "error", F.lit("an invariant below an owner's authority needs evidence"))
+    tried = own.select("invariant_pattern").where("invariant_pattern <> ''").distinct().withColumn("_bad", X.pattern_problem(F.col("invariant_pattern")))
+    broken = own.join(tried.where("_bad is not null"), "invariant_pattern")
+    return out.unionByName(_found(broken, "invariant-pattern", "error", F.concat(F.lit("does not compile: "), F.col("_bad"))))
+
+
+def record_rules(records: DataFrame) -> DataFrame:
+    """Status and authority of records that are no topics. records: path, status, authority."""
+    out = None
+    for field, known in (("status", fixed.STATUSES), ("authority", fixed.AUTHORITIES)):
+        bad = _found(records.where(~F.col(field).isin(known)), f"record-{field}", "error", F.concat(F.lit(f"unknown {field} "), F.col(field)), None)
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def fence_rules(texts: DataFrame) -> DataFrame:
+    """Canonical records (path, text) must open with a fence line and have a line that closes it."""
+    canonical = texts.where(F.col("path").rlike("(^|/)(topics|incidents|investigations)/"))
+    opened = F.col("text").rlike(r"^\x{FEFF}?---[ \t]*\r?(\n|$)")
+    closed = F.col("text").rlike(r"^\x{FEFF}?---[ \t]*\r?\n(?s:.*?\n)?---[ \t]*\r?(\n|$)")
+    out = _found(canonical.where(~F.coalesce(opened, F.lit(False))), "opening-fence", "error", F.lit("does not begin with a fence"), None)
+    return out.unionByName(_found(canonical.where(opened & ~closed), "closing-fence", "error", F.lit("the fence is not closed"), None))
+
+
+def stem_rules(records: DataFrame) -> DataFrame:
+    """Records (path, id) without an id that share the stem of their file with another record."""
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    shared = records.where("id is null").withColumn("stem", stem).groupBy("stem").agg(F.array_sort(F.collect_set("path")).alias("paths")).where(F.size("paths") > 1)
+    return _found(shared.withColumn("path", F.array_join("paths", ", ")), "shared-stem", "warning", F.concat(F.lit("no id, and the stem "), F.col("stem")), None)
+
+
+def standing_cap_rule(digest: DataFrame) -> DataFrame:
+    """The refusal of governance.standing_digest() as a finding of the store."""
+    return _found(digest.where("reason = 'over-cap'").withColumn("path", F.lit("")), "standing-cap", "error", F.concat(F.lit("standing rulings over the cap: "), F.col("links").cast("string"), F.lit(" links, "), F.col("bytes").cast("string"), F.lit(" bytes")), None)
+
+
+def summary(findings: DataFrame, changed: int | None = None) -> DataFrame:
+    """One row: errors and other notes among findings, and the line that says so."""
+    out = findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") != "error").alias("notes"))
+    return out.withColumn("line", F.concat(F.lit(f"changed={changed} " if changed is not None else ""), F.lit("errors="), F.col("errors"), F.lit(" notes="), F.col("notes")))
+
+
+def frozen_rows(old: DataFrame, new: DataFrame, keys: list[str], rule: str, prepended: bool = True) -> DataFrame:
+    """Rows of an audit block (path, seq, raw, keys) that were recorded stay as they are, in their order; with `prepended`, new
+    ones stand above them. A key may occur once on the new side."""
+    o = old.select("path", *keys, F.col("seq").alias("o_seq"), F.col("raw").alias("o_raw"), F.lit(True).alias("o_"))
+    n = new.select("path", *keys, F.col("seq").alias("n_seq"), F.col("raw").alias("n_raw"), F.lit(True).alias("n_"))
+    both = o.join(n, ["path", *keys], "full_outer")
+    kept = F.col("o_").isNotNull() & F.col("n_").isNotNull()
+    topic = Window.partitionBy("path")
+    above = topic.orderBy("n_seq").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({
+        "_before": F.last(F.when(kept, F.col("o_seq")), ignorenulls=True).over(above), "_top": F.min(F.when(kept, F.col("n_seq"))).over(topic),
+        "_twice": F.count("n_").over(Window.partitionBy("path", *keys)),
+    })
+    rules = [
+        (F.col("n_").isNull(), "removed"), (kept & ~F.col("o_raw").eqNullSafe(F.col("n_raw")), "changed"), (F.col("n_").isNotNull() & (F.col("_twice") > 1), "twice"),
+        *([(kept & (F.col("_before") > F.col("o_seq")), "order"), (F.col("o_").isNull() & (F.col("n_seq") > F.col("_top")), "not-prepended")] if prepended else []),
+    ]
+    found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(f"{rule}-{name}")) for test, name in rules]), lambda r: r.isNotNull())
+    each = both.select(F.col("path").cast("string").alias("path"), F.concat_ws("/", *keys).alias("link"), F.explode(found).alias("rule")).distinct()
+    return each.select("path", "link", "rule", F.lit("error").alias("severity"), F.lit("recorded rows are append-only").alias("message"))
+
+
+def type_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Records (path, type, quarantined) delivered under a canonical type keep it; those that were quarantined or of another type may change."""
+    was = old.where(F.col("type").isin(fixed.RECORD_TYPES) & ~F.col("quarantined")).select("path", F.col("type").alias("_was"))
+    moved = was.join(new.select("path", F.col("type").alias("_is")), "path").where(~F.col("_was").eqNullSafe(F.col("_is")))
+    return _found(moved, "type-change", "error", F.concat_ws(" to ", "_was", "_is"), None)
+
+
+def current_moves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`current` of topics (path, current, head: the newest active link) moves only with the head, or to repair an older disagreement; written, it names the head."""
+    both = new.select("path", F.col("current").alias("_c"), F.col("head").alias("_h")).join(old.select("path", F.col("current").alias("_co"), F.col("head").alias("_ho"), F.lit(True).alias("_old")), "path", "left")
+    wrong = F.col("_c").isNotNull() & ~F.col("_c").eqNullSafe(F.col("_h"))
+    still = F.col("_h").eqNullSafe(F.col("_ho"))
+    repair = ~F.col("_co").eqNullSafe(F.col("_ho")) & F.col("_c").eqNullSafe(F.col("_h"))
+    moved = F.col("_old").isNotNull() & ~F.col("_c").eqNullSafe(F.col("_co")) & still & ~repair
+    out = _found(both.where(wrong), "current-head", "error", F.concat(F.lit("should be "), F.coalesce("_h", F.lit("none"))), None)
+    return out.unionByName(_found(both.where(moved), "current-moved", "error", F.lit("moved without a change of the newest active link"), None))
+
+
+def deleted_records(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Canonical records (path, type) that are gone, renamed ones too."""
+    gone = old.where(F.col("type").isin(fixed.RECORD_TYPES)).join(new.select("path"), "path", "left_anti")
+    return _found(gone, "record-deleted", "error", F.lit("a recorded file is gone"), None)
+
+
+def raw_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Links (path, link, raw, status…) whose fields are all the same keep their raw text too. raw: null where it could not be told; such pairs are passed over."""
+    fields = [c for c in old.columns if c not in ("path", "link", "raw", "seq")]
+    o = old.select("path", "link", F.col("raw").alias("_o"), F.hash(*fields).alias("_fo"), F.to_json(F.struct(*fields)).alias("_jo"))
+    n = new.select("path", "link", F.col("raw").alias("_n"), F.hash(*fields).alias("_fn"), F.to_json(F.struct(*fields)).alias("_jn"))
+    bad = o.join(n, ["path", "link"]).where((F.col("_fo") == F.col("_fn")) & (F.col("_jo") == F.col("_jn")) & (F.col("_o") != F.col("_n")))
+    return _found(bad, "raw-changed", "error", F.lit("the text of an unchanged link changed"))
+
+
+def anchor_summary(anchors: DataFrame) -> DataFrame:
+    """One row of counts over verdicts, and the one line that is shown: changed before missing before never captured."""
+    n = {"changed": "changed", "missing": "missing", "never": "never", "not_checked": "unchecked"}
+    out = anchors.agg(*[F.count_if(F.col("verdict") == v).alias(k) for k, v in n.items()])
+    shown = [("changed", "Anchor changed since capture: "), ("missing", "Anchor missing: "), ("never", "Anchor never captured: ")]
+    return out.withColumn("line", F.coalesce(*[F.when(F.col(k) > 0, F.concat(F.lit(t), F.col(k).cast("string"), F.lit("."))) for k, t in shown]))

@@ -12,8 +12,14 @@ from ..functions import values
 
 
 def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
-    """Lines of a log and its rotated parts, with the file of each."""
-    return spark.read.text(pattern).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name")).where(F.col("file_name").rlike(r"\.log(\.\d+)?$"))
+    """Lines of a log and its rotated parts, with the file of each and its age: the largest rotation is the oldest."""
+    name = F.col("_metadata.file_name")
+    return spark.read.text(pattern).select(F.col("value").alias("line"), name.alias("file_name"), rotation(name).alias("rotation")).where("rotation is not null")
+
+
+def rotation(name: Column) -> Column:
+    """0 for x.log, n for x.log.n, null for other files; oldest first is by descending rotation."""
+    return F.when(name.rlike(r"\.log(\.\d+)?$"), F.coalesce(F.regexp_extract(name, r"\.log\.(\d+)$", 1).try_cast("int"), F.lit(0)))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -44,6 +50,14 @@ def top_topics(rows: DataFrame, topic: str, k: int = 5) -> DataFrame:
     return counts(rows, topic).orderBy(F.desc("n"), topic).limit(k)
 
 
+def listed(ids: DataFrame, key: str, by: list[str], most: int = 10) -> DataFrame:
+    """(by, shown): distinct ids in order, at most `most` of them, and `+N` for the others."""
+    w = Window.partitionBy(*by).orderBy(key)
+    each = ids.select(*by, F.col(key).cast("string").alias("_id"), key).distinct().withColumn("_n", F.row_number().over(w))
+    out = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", "_id")))).alias("_a"), F.count_if(F.col("_n") > most).alias("_more"))
+    return out.select(*by, F.concat_ws(" ", F.array_join(F.transform("_a", lambda s: s["_id"]), " "), F.when(F.col("_more") > 0, F.concat(F.lit("+"), F.col("_more").cast("string")))).alias("shown"))
+
+
 def health(rows: DataFrame, nudge: Column, append: Column, prompt: Column, lookup: Column, kill: Column) -> DataFrame:
     """Counts in one row, and the flags they raise: write-silent, read-silent, watchdog."""
     n = {"nudges": nudge, "appends": append, "prompts": prompt, "lookups": lookup, "kills": kill}
@@ -79,5 +93,5 @@ def embedding_mode(rows: DataFrame, fresh: Column) -> DataFrame:
 
 def coverage_fact(rows: DataFrame, path: str, shown: int = 8) -> DataFrame:
     """How many paths are unmapped, the first of them by name, how many more."""
-    first = rows.select(path).orderBy(path).limit(shown).agg(F.array_sort(F.collect_list(path)).alias("first"))
-    return rows.agg(F.count("*").alias("n")).join(F.broadcast(first)).withColumn("more", F.greatest(F.col("n") - shown, F.lit(0)))
+    first = rows.select(path).orderBy(path).limit(shown).agg(F.array_sort(F.collect_list(path)).alias("first"), F.lit(1).alias("_one"))
+    return rows.agg(F.count("*").alias("n"), F.lit(1).alias("_one")).join(F.broadcast(first), "_one").drop("_one").withColumn("more", F.greatest(F.col("n") - shown, F.lit(0)))

@@ -20,13 +20,19 @@ SECOND_FLOOR = 0.0314
 
 
 def term_counts(docs: DataFrame, key: str, text: Column, terms: list[str], tokenize=X.tokens, keep: Column | None = None) -> DataFrame:
-    """(key, length, tf, kept): a row a document with the counts of the given terms, in their order. No shuffle."""
-    toks = docs.select(F.col(key), tokenize(text).alias("_t"), (keep if keep is not None else F.lit(True)).alias("kept"))
+    """(key, kept, length, tf): a row a document with the counts of the given terms, in their order. No shuffle.
 
-    def count(term: str) -> Column:
-        return F.size(F.filter(F.col("_t"), lambda x: x == term)).cast("long")
+    A text is cut into tokens once: the counts are taken of a bound variable, and come out of a generator, through which no
+    filter on them is pushed to be computed a second time.
+    """
+
+    def count(toks: Column, term: str) -> Column:
+        return F.size(F.filter(toks, lambda x: x == term)).cast("long")
 
-    return toks.select(key, F.size("_t").cast("long").alias("length"), F.array(*[count(t) for t in terms]).alias("tf"), "kept")
+    def counted(toks: Column) -> Column:
+        return F.struct(F.size(toks).cast("long").alias("length"), F.array(*[count(toks, t) for t in terms]).alias("tf"))
+
+    return docs.select(key, (keep if keep is not None else F.lit(True)).alias("kept"), F.inline(F.transform(F.array(tokenize(text)), counted)))
 
 
 def _statistics(counts: DataFrame, n_terms: int) -> DataFrame:
@@ -131,6 +137,25 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return top_k(out, [F.desc("score"), F.asc(key)], k) if k else out
 
 
+def nearest_of_each(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 1000) -> DataFrame:
+    """(query_id, key, score, rank): the k nearest other rows by cosine (to nine places, ties by key) of each row that is a query.
+
+    Exact over all rows; queries are met in blocks of a stated number, each broadcast.
+    """
+    from ..functions.values import cosine
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
+    queries = vectors.where(is_query).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        met = vectors.join(part, F.col(key) != F.col("query_id")).select("query_id", key, F.round(cosine(F.col(vector), F.col("_q")), 9).alias("score")).where("score is not null")
+        best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def evaluate(expected: Column, hits: Column, ks: tuple[int, ...] = (1, 3, 10)) -> dict[str, Column]:
     """Recall at each k and the reciprocal rank of the first expected id, for lists of ids."""
     out = {f"recall_{k}": F.size(F.array_intersect(F.slice(hits, 1, k), expected)) / F.size(F.array_distinct(expected)) for k in ks}
@@ -148,11 +173,17 @@ def negative_control(pairs: DataFrame, real: str, control: str) -> DataFrame:
 
 def derangement(ids: DataFrame, key: str, kind: str) -> DataFrame:
     """(key, partner): each id with another of its kind, by one rotation a kind; kinds of one member have no partner."""
-    from ..functions.values import coprime_offset
+    from ..functions.values import coprime_column
 
-    sizes = {r[kind]: r["n"] for r in ids.groupBy(kind).agg(F.count("*").alias("n")).where("n > 1").collect()}  # one row a kind
-    offset = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, coprime_offset(n))]), F.col(kind)) if sizes else F.lit(None).cast("int")
-    w = Window.partitionBy(kind).orderBy(key)
-    at = ids.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(kind)))
+    w = Window.partitionBy(kind)
+    at = ids.select(key, kind, (F.row_number().over(w.orderBy(key)) - 1).alias("_i"), F.count("*").over(w).alias("_n")).where("_n > 1")
+    at = at.withColumn("_to", F.pmod(F.col("_i") + coprime_column(F.col("_n")), F.col("_n")))
     other = at.select(F.col(kind).alias("_k"), F.col("_i").alias("_j"), F.col(key).alias("partner"))
-    return at.join(other, (F.col(kind) == F.col("_k")) & (F.col("_j") == F.pmod(F.col("_i") + offset, F.col("_n")))).select(key, kind, "partner")
+    return at.join(other, (F.col(kind) == F.col("_k")) & (F.col("_j") == F.col("_to"))).select(key, kind, "partner")
+
+
+def benchmark_scores(runs: DataFrame, slices: str = "kind") -> DataFrame:
+    """Means of recall and reciprocal rank over queries (expect, hits, a slice), a row a slice and one, `all`, over all queries."""
+    each = runs.select(F.col(slices).alias("slice"), *[c.alias(n) for n, c in evaluate(F.col("expect"), F.col("hits")).items()])
+    both = each.unionByName(each.withColumn("slice", F.lit("all")))
+    return both.groupBy("slice").agg(F.count("*").alias("queries"), *[F.avg(n).alias(n) for n in each.columns[1:]])

@@ -24,7 +24,10 @@ DEFINITION = "path string, symbol string, line int, fingerprint string, calls ar
 def fingerprint(node: ast.AST) -> str:
     """SHA-256 of a definition with its own names, arguments, locals and docstring made alike."""
     node = copy.deepcopy(node)
-    bound = {node.name} | {a.arg for a in ast.walk(node) if isinstance(a, ast.arg)} | {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+    parts = list(ast.walk(node))
+    bound = {node.name} | {a.arg for a in parts if isinstance(a, ast.arg)} | {n.id for n in parts if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Store, ast.Del))}
+    bound |= {n.name for n in parts if isinstance(n, ast.ExceptHandler) and n.name}
+    bound -= {x for n in parts if isinstance(n, (ast.Global, ast.Nonlocal)) for x in n.names}
     order: dict[str, str] = {}
 
     def alike(name: str) -> str:
@@ -37,6 +40,8 @@ def fingerprint(node: ast.AST) -> str:
             n.arg, n.annotation = alike(n.arg), None
         elif isinstance(n, ast.Name):
             n.id = alike(n.id)
+        elif isinstance(n, ast.ExceptHandler) and n.name:
+            n.name = alike(n.name)
         elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
             n.name, n.returns = alike(n.name), None
     return hashlib.sha256(ast.dump(node).encode()).hexdigest()

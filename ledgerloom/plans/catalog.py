@@ -47,10 +47,14 @@ class _Tables:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401  its queries are registered as it is read
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(_sql)
 
 
@@ -104,13 +108,13 @@ def bm25_filtered(t):
     return rank.top_k(found, [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS score FROM embeddings, q WHERE vec_id <> 0)
-SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20""")
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 9) AS score FROM embeddings JOIN q ON vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) SELECT query_id, vec_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 20""")
 def vector_cosine_topk(t):
-    q = t.embeddings.where("vec_id = 0").select("embedding").first()
-    others = t.embeddings.where("vec_id <> 0")
-    return rank.nearest(others, "vec_id", "embedding", list(q[0]), 20).select("vec_id", r6(F.col("score"), "score"))
+    """Every row whose id is divisible by 50, against all others."""
+    out = rank.nearest_of_each(t.embeddings, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 20)
+    return out.select("query_id", "vec_id", r6(F.col("score"), "score"), "rank")
 
 
 _CHANNELS = f"""{_BM25},
@@ -137,12 +141,25 @@ def rrf_hybrid(t):
     return out.orderBy(F.desc("score"), "family").limit(10).select("family", r6(F.col("score"), "score"))
 
 
-@query(f"WITH {_CHANNELS} SELECT family, round(CAST(1.0 / (60 + rank) AS DOUBLE), 6) AS score FROM gr ORDER BY rank LIMIT 10")
+_BEST = "b AS (SELECT text FROM bm JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 1)"
+
+
+@query(f"""WITH {_CHANNELS}, {_BEST}, u AS (SELECT * FROM fr UNION ALL SELECT * FROM gr), fused AS (SELECT family, sum(1.0 / (60 + rank)) AS score FROM u GROUP BY family),
+asked AS (SELECT unnest([{_in(Q)}]) AS w), c AS (SELECT count(*) FILTER (WHERE list_contains({_TOK}, w)) / count(*) >= 0.25 AS sure FROM asked, b)
+SELECT 'sure' AS question, family, round(CAST(score AS DOUBLE), 6) AS score FROM fused, c WHERE sure
+UNION ALL SELECT 'sure', family, round(CAST(1.0 / (60 + rank) AS DOUBLE), 6) FROM gr, c WHERE NOT sure
+UNION ALL SELECT 'unsure', family, round(CAST(1.0 / (60 + rank) AS DOUBLE), 6) FROM gr""")
 def hybrid_step_aside(t):
-    """A query whose best full-text hit shares too little of it is answered by the other channel alone."""
+    """Fusion where the best full-text hit shares enough of the question; where it does not (longer by words that no text has), the other channel alone."""
     fts, second = _channels(t)
-    sure = t.rows([("harbour lantern moss", "Thing ere the")], "q string, d string").select(rank.confident(F.col("q"), F.col("d")).alias("sure")).first()[0]
-    return rank.hybrid(fts, second, "family", sure).orderBy(F.desc("score")).limit(10).select("family", r6(F.col("score"), "score"))
+    docs = t.documents.where("text is not null")
+    best = rank.top_k(rank.bm25(docs, "doc_id", F.col("text"), Q), [F.desc("score"), F.asc("doc_id")], 1).join(docs.select("doc_id", "text"), "doc_id")
+    out = None
+    for name, question in (("sure", Q), ("unsure", Q + [f"qqq{k}zzz" for k in range(60)])):
+        row = best.select(rank.confident(F.lit(" ".join(question)), F.col("text")).alias("sure")).first()
+        one = rank.hybrid(fts, second, "family", bool(row and row[0])).select(F.lit(name).alias("question"), "family", r6(F.col("score"), "score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1")
@@ -186,34 +203,6 @@ def path_tokens(t):
     return t.pages.select("page_id", F.array_join(F.array_sort(X.path_tokens(F.expr(PATH), 1000)), " ").alias("tokens"))
 
 
-_SAMPLES = ["src/app/writePNGSnapshot.py", "lib/HTTPServer_v2.js", "a/b.blade.php", "Makefile", ".bashrc", "x/y.d.ts", "t/test_one.py", "src/test/java/AppTest.java", "Tests/Foo.swift", "ios/AppTests/Bar.swift", "build/gen.py", "target/x.rs", "spec/a_spec.lua", "web/a.test.tsx"]
-
-
-@query("SELECT path, ext, lang, role, skipped FROM " + _values([
-    ("src/app/writePNGSnapshot.py", ".py", "python", "code", False), ("lib/HTTPServer_v2.js", ".js", "javascript", "code", False), ("a/b.blade.php", ".blade.php", None, "code", False), ("Makefile", "", None, "code", False),
-    (".bashrc", "", None, "code", False), ("x/y.d.ts", ".d.ts", None, "code", False), ("t/test_one.py", ".py", "python", "test", False), ("src/test/java/AppTest.java", ".java", "java", "test", False),
-    ("Tests/Foo.swift", ".swift", "swift", "test", True), ("ios/AppTests/Bar.swift", ".swift", "swift", "test", False), ("build/gen.py", ".py", "python", "code", True), ("target/x.rs", ".rs", "rust", "code", True), ("spec/a_spec.lua", ".lua", "lua", "test", False), ("web/a.test.tsx", ".tsx", "tsx", "test", False),
-], "path, ext, lang, role, skipped"))
-def code_role(t):
-    p, lang = F.col("path"), X.language_of(F.col("path"))
-    return t.rows([(s,) for s in _SAMPLES], "path string").select("path", X.extension_of(p).alias("ext"), lang.alias("lang"), X.role_of(p, lang).alias("role"), F.coalesce(X.skipped_for(p, lang), F.lit(False)).alias("skipped"))
-
-
-_CITES = [(1, "see commit a1b2c3d and `0123456` at deadbee, not abcdefgh"), (2, 'merge 0123456789012345678901234567890123456789 "Fix the thing'), (3, "src/a.py:12 and lib/b.ts:7-9, v0.2.0:1 http://x/y.py:3"), (4, "# decision: TOP-12 L3 then decision:TOP-4 L10"), (5, "nothing")]
-
-
-@query(r"SELECT id, array_to_string(list_transform(regexp_extract_all(body, '\b(?:commit|merge|at|as)\s+(?:[0-9a-f]{40}|[0-9a-f]{7})\b|`(?:[0-9a-f]{40}|[0-9a-f]{7})`'), lambda x: regexp_extract(x, '([0-9a-f]{40}|[0-9a-f]{7})`?$', 1)), ' ') AS commits, array_to_string(regexp_extract_all(body, 'TOP-\d+\s+L\d+'), ', ') AS marks FROM " + _values(_CITES, "id, body"))
-def citations_extract(t):
-    marks = F.transform(X.decision_markers(F.col("body")), lambda m: F.concat(m.topic, F.lit(" "), m.link))
-    return t.rows(_CITES, "id int, body string").select("id", F.array_join(X.commit_citations(F.col("body")), " ").alias("commits"), F.array_join(marks, ", ").alias("marks"))
-
-
-@query("SELECT id, path, line FROM " + _values([(3, "src/a.py", 12), (3, "lib/b.ts", 7)], "id, path, line"))
-def line_citations(t):
-    found = t.rows(_CITES, "id int, body string").select("id", F.inline(X.line_citations(F.col("body"))))
-    return found.where(~F.col("path").startswith("v0") & F.col("path").contains("/")).select("id", "path", F.col("line").cast("int").alias("line"))
-
-
 @query("SELECT conv_id, turn, role, starts_with(text, '<task-notification>') AS machine FROM conversations")
 def machine_prompts(t):
     return t.conversations.select("conv_id", "turn", "role", X.is_machine_prompt(F.col("text")).alias("machine"))
@@ -241,24 +230,6 @@ def text_shapes(t):
     return t.documents.where("text is not null").select("doc_id", X.squeezed(x).alias("squeezed"), X.excerpt(x).alias("excerpt"), X.embedding_text(F.lit("T"), x, none, none, F.lit(False)).alias("embedded"))
 
 
-@query("SELECT path, token FROM " + _values([("/a b/c.py", "/a%20b/c.py"), ("/é/x", "/%C3%A9/x"), ("plain/~x:1", "plain/~x:1")], "path, token"))
-def log_path_tokens(t):
-    return t.rows([("/a b/c.py",), ("/é/x",), ("plain/~x:1",)], "path string").select("path", X.log_path_token(F.col("path")).alias("token"))
-
-
-@query("SELECT name, words FROM " + _values([("writePNGSnapshot", "write png snapshot"), ("snake_case_name", "snake case name"), ("HTTPServer2Go", "http server2 go")], "name, words"))
-def symbol_words(t):
-    return t.rows([("writePNGSnapshot",), ("snake_case_name",), ("HTTPServer2Go",)], "name string").select("name", F.array_join(X.split_symbol(F.col("name")), " ").alias("words"))
-
-
-_PRINTS = [("m=a;revision=1", "m=a;revision=unknown", True), ("m=a;revision=1", "m=a;revision=2", False), ("m=a", "m=b", False), (None, "m=a", False)]
-
-
-@query("SELECT a, b, ok FROM " + _values(_PRINTS, "a, b, ok"))
-def fingerprints(t):
-    return t.rows([p[:2] for p in _PRINTS], "a string, b string").select("a", "b", values.fingerprints_match(F.col("a"), F.col("b")).alias("ok"))
-
-
 # --- governance ------------------------------------------------------------------------------------------------------
 _REFS = [("T1", "docs"), ("T2", "blog/"), ("T3", "*/1*"), ("T4", "#Foo"), ("T5", ""), ("T6", "article/7#x"), ("T7", "news/*.html")]
 _RSQL = _values(_REFS, "topic, ref")
@@ -310,15 +281,6 @@ def chain_order(t):
     return _links(t).select("path", "link", F.row_number().over(Window.partitionBy("path").orderBy("seq")).cast("long").alias("place"))
 
 
-_TIERS = [("active", "owner-verbatim", [], "CONSTRAINT"), ("active", "reviewer-finding", ["x"], "HOLD"), ("active", "code-derived", [" "], "CONTEXT"), ("superseded", "owner-ratified", ["x"], "CONTEXT"), ("active", "agent-inference", ["e"], "HOLD"), (None, "owner-verbatim", [], "CONTEXT")]
-
-
-@query("SELECT status, authority, tier FROM " + _values([(a, b, d) for a, b, _, d in _TIERS], "status, authority, tier"))
-def citation_tiers(t):
-    rows = t.rows([x[:3] for x in _TIERS], "status string, authority string, evidence array<string>")
-    return rows.select("status", "authority", governance.tier(F.col("status"), F.col("authority"), F.col("evidence")).alias("tier"))
-
-
 @query("""WITH w AS (SELECT doc_id, strlen(text) + 1 AS b, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(s AS BIGINT) AS bytes_so_far, s <= 4800 AS fits FROM w""")
 def running_byte_cap(t):
@@ -336,12 +298,15 @@ def hydrate_budget(t):
     return out.withColumn("s", shown).groupBy("conv_id").agg(F.count_if("s").alias("shown"), F.count_if(~F.col("s")).alias("omitted"))
 
 
-@query(r"""WITH r AS (SELECT 'T' || n_nationkey AS topic, 'L' || n_nationkey AS link, n_name AS text, n_nationkey FROM nation WHERE n_nationkey < 20),
-d AS (SELECT 'Standing rulings:' || chr(10) || string_agg('- ' || topic || ' ' || link || ': ' || text, chr(10) ORDER BY topic, n_nationkey) AS t, count(*) AS n FROM r)
-SELECT t AS text, CAST(n AS BIGINT) AS links, strlen(t) AS bytes, sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS reason FROM d""")
+@query(r"""WITH r AS (SELECT n_regionkey, 'T' || n_nationkey AS topic, 'L' || n_nationkey AS link, n_name AS text, n_nationkey FROM nation),
+d AS (SELECT n_regionkey, 'Standing rulings:' || chr(10) || string_agg('- ' || topic || ' ' || link || ': ' || text, chr(10) ORDER BY topic, n_nationkey) AS t, count(*) AS n FROM r GROUP BY n_regionkey
+      UNION ALL SELECT -1, 'Standing rulings:' || chr(10) || string_agg('- ' || topic || ' ' || link || ': ' || text, chr(10) ORDER BY topic, n_nationkey), count(*) FROM r)
+SELECT CAST(n_regionkey AS BIGINT) AS store, CASE WHEN n <= 24 THEN t END AS text, CAST(n AS BIGINT) AS links, strlen(t) AS bytes, sha256(t) AS sha256, CASE WHEN n > 24 THEN 'over-cap' END AS reason FROM d""")
 def standing_digest(t):
-    rows = t.nation.where("n_nationkey < 20").select(F.concat(F.lit("T"), "n_nationkey").alias("topic"), F.concat(F.lit("L"), "n_nationkey").alias("link"), F.col("n_name").alias("text"))
-    return governance.standing_digest(rows).select("text", F.col("links").cast("long").alias("links"), "bytes", "sha256", F.col("reason").cast("string").alias("reason"))
+    """The rulings of each region as a store, and all of them as one (-1), which is over the cap of links."""
+    rows = t.nation.select(F.col("n_regionkey").cast("long").alias("store"), F.concat(F.lit("T"), "n_nationkey").alias("topic"), F.concat(F.lit("L"), "n_nationkey").alias("link"), F.col("n_name").alias("text"))
+    out = governance.standing_digest(rows, by=["store"]).unionByName(governance.standing_digest(rows).withColumn("store", F.lit(-1).cast("long")))
+    return out.select("store", "text", F.col("links").cast("long").alias("links"), "bytes", "sha256", F.col("reason").cast("string").alias("reason"))
 
 
 _INV = [("I1", "no-bypass", "ERROR|error", "", ["nothing"], "CONSTRAINT"), ("I2", "pattern-absent", "zzzqqq", "", [], "HOLD"), ("I3", "must-call", "the", "", [], "HOLD"), ("I4", "single-definition", "the ", "", [], "HOLD")]
@@ -404,39 +369,12 @@ def pairing_exactly_one(t):
     return lint.pairing(old, new, marks).select("path", "link", "rule")
 
 
-@query("SELECT text_sha, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first FROM (SELECT sha256(text) AS text_sha, doc_id FROM documents WHERE text IS NOT NULL) GROUP BY text_sha HAVING count(*) > 1")
-def doc_exact_copies(t):
-    return t.documents.where("text is not null").groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-
-
-@query("SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
-def dup_ids(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
-
-
-_READ = [("a", "L1", 1, "declined", "declined", "Use  one table.", None), ("a", "L2", 2, "active", "adopted", "Use one\ntable.", None), ("a", "L3", 3, "active", "adopted", "Other", None), ("b", "L1", 1, "active", "adopted", "Use one table.", None)]
-
-
-@query("SELECT path, link, kind FROM " + _values([("a", "L2", "own"), ("b", "L1", "other")], "path, link, kind"))
-def readoption_normalized(t):
-    rows = t.rows([(*r, None, []) for r in _READ], "path string, link string, seq int, status string, kind string, ruling_text string, reverses string, rationale_text string, alternatives array<struct<option:string,rejected_because:string>>")
-    own = lint.readoptions(rows).select("path", "link", F.lit("own").alias("kind"))
-    return own.union(lint.readoptions(rows, across_topics=True).select("path", "link", F.lit("other").alias("kind")).distinct())
-
-
 # --- logs and sessions -----------------------------------------------------------------------------------------------
 @query("SELECT event_type, CAST(coalesce(value, 0) >= 50 AS VARCHAR) AS outcome, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def log_outcome_counts(t):
     return logs.counts(t.events.withColumn("outcome", (F.coalesce("value", F.lit(0.0)) >= 50).cast("string")), "event_type", "outcome")
 
 
-@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events, (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events) WHERE ts BETWEEN now - INTERVAL 7 DAY AND now GROUP BY 1")
-def log_window_7d(t):
-    now = t.events.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("now"))
-    rows = t.events.join(F.broadcast(now)).where(F.col("ts").between(F.col("now") - F.expr("INTERVAL 7 DAY"), F.col("now")))
-    return logs.counts(rows, "event_type")
-
-
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def log_percentiles(t):
     return logs.nearest_rank(t.events.where("value is not null"), "value", "event_type")
@@ -454,23 +392,12 @@ def health_flags(t):
     return logs.health(t.events, e == "view", e == "none", e == "click", e == "purchase", (e == "error") & (F.col("value") > 99))
 
 
-@query("SELECT lang, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['en', 'de', 'fr', 'es', 'it', 'nl']) AS lang) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)")
-def census_seeded(t):
-    known = t.rows([(x,) for x in ("en", "de", "fr", "es", "it", "nl")], "lang string")
-    return known.join(t.documents.groupBy("lang").agg(F.count("*").alias("n")), "lang", "left").fillna(0, ["n"])
-
-
 @query("SELECT CAST(count(l.doc_id) AS BIGINT) AS fresh, CAST(count(*) AS BIGINT) AS total, CASE WHEN count(l.doc_id) = 0 THEN 'none' WHEN count(l.doc_id) = count(*) THEN 'full' ELSE 'partial' END AS mode FROM documents d LEFT JOIN labels l USING (doc_id)")
 def embedding_mode_coverage(t):
     joined = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
     return logs.embedding_mode(joined, F.col("has").isNotNull())
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def awaiting_embedding(t):
-    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
-
-
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def ledger_growth(t):
     w = t.events.withColumn("at", F.struct("ts", "event_id"))
@@ -527,17 +454,6 @@ def step_aside_report(t):
 
 
 # --- sets, unions and spans ------------------------------------------------------------------------------------------
-@query("SELECT c_custkey AS k, 'customer' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'orders' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
-def edges_union(t):
-    a, b = t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))
-    return a.exceptAll(b.distinct()).withColumn("side", F.lit("customer")).unionByName(b.distinct().exceptAll(a.distinct()).withColumn("side", F.lit("orders")))
-
-
-@query("SELECT o_orderpriority AS p, array_to_string(list_sort(list_distinct(list(o_orderstatus))), '') AS statuses FROM orders GROUP BY 1")
-def set_ops(t):
-    return t.orders.groupBy(F.col("o_orderpriority").alias("p")).agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "").alias("statuses"))
-
-
 @query("""WITH s AS (SELECT l_suppkey AS path, l_orderkey AS a, l_orderkey + l_linenumber * 3 AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
 i AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT path, min(a) AS a, max(b) AS b, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY path, k""")
 def merged_spans(t):
@@ -551,7 +467,7 @@ def keep_newest(t):
 
 
 _SOURCES = [("m.py", "class A:\n    def __init__(self, x: int = 1): pass\n    @property\n    def p(self):\n        'Doc.'\n        return 1\n    async def q(self, *a): pass\ndef f():\n    def g(): pass\n"), ("bad.py", "def ("), ("x.rs", "fn main() {}")]
-_CHUNKS = [("m.py", "constructor", "A.__init__", "def __init__(self, x: int=1)", 2, "ok"), ("m.py", "accessor", "A.p", "def p(self)", 3, "ok"), ("m.py", "method", "A.q", "async def q(self, *a)", 7, "ok"), ("m.py", "function", "f", "def f()", 8, "ok"), ("m.py", "function", "f.g", "def g()", 9, "ok"), ("bad.py", None, None, None, None, "failed"), ("x.rs", None, None, None, None, "not-indexed: no parser")]
+_CHUNKS = [("m.py", "constructor", "A.__init__", "def __init__(self, x: int = 1)", 2, "ok"), ("m.py", "accessor", "A.p", "def p(self)", 3, "ok"), ("m.py", "method", "A.q", "async def q(self, *a)", 7, "ok"), ("m.py", "function", "f", "def f()", 8, "ok"), ("m.py", "function", "f.g", "def g()", 9, "ok"), ("bad.py", None, None, None, None, "failed"), ("x.rs", None, None, None, None, "not-indexed: no parser")]
 
 
 @query("SELECT path, kind, qualified_name, signature, CAST(coalesce(start_line, 0) AS INTEGER) AS start_line, status FROM " + _values(_CHUNKS, "path, kind, qualified_name, signature, start_line, status"))
@@ -601,13 +517,3 @@ def context_pack(t):
 
     docs = t.documents.where("lang is not null")
     return code_links.context_pack(docs, "source", [F.asc("doc_id")], F.concat(F.lit("D"), "doc_id", F.lit(" "), "lang"), 120)
-
-
-@query("""SELECT source, round(avg(n_chars), 6) AS mean_chars, CAST(count(*) FILTER (WHERE lang IS NULL) AS BIGINT) AS no_lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source""")
-def required_fields(t):
-    return t.documents.groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("lang").isNull()).alias("no_lang"), F.count("*").alias("n"))
-
-
-@query("SELECT o_orderkey, o_orderstatus AS value, 'status-enum' AS rule FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
-def enum_checks(t):
-    return t.orders.where(~F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", F.col("o_orderstatus").alias("value"), F.lit("status-enum").alias("rule"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
+import copy
+import hashlib
+import inspect
 import os
 import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -60,12 +63,45 @@ def unindexed(paths: DataFrame) -> DataFrame:
     return paths.where(X.language_of(F.col("path")).isNull()).groupBy(X.extension_of(F.col("path")).alias("ext")).agg(F.count("*").alias("n"))
 
 
+_SHOWN = (ast.Name, ast.Attribute, ast.Constant, ast.Subscript, ast.Tuple, ast.List, ast.Dict, ast.UnaryOp, ast.Starred, ast.Call)
+
+
+class _Shown(ast.NodeTransformer):
+    """Expressions of the kinds that signatures show; others become a mark."""
+
+    def visit(self, node):
+        if isinstance(node, ast.expr) and not isinstance(node, _SHOWN) and not (isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr)):
+            return ast.Name("<...>", ast.Load())
+        return self.generic_visit(node)
+
+
+def _expression(node) -> str:
+    return ast.unparse(_Shown().visit(copy.deepcopy(node)))
+
+
+def _parameters(a: ast.arguments) -> str:
+    """Parameters as written, with spaces around the default of an annotated one and none around that of a bare one."""
+
+    def one(arg: ast.arg, default=None, mark: str = "") -> str:
+        typed = f": {_expression(arg.annotation)}" if arg.annotation else ""
+        return mark + arg.arg + typed + (f"{' = ' if typed else '='}{_expression(default)}" if default is not None else "")
+
+    plain = [*a.posonlyargs, *a.args]
+    out = [one(x, d) for x, d in zip(plain, [None] * (len(plain) - len(a.defaults)) + a.defaults, strict=True)]
+    if a.posonlyargs:
+        out.insert(len(a.posonlyargs), "/")
+    if a.vararg or a.kwonlyargs:
+        out.append(one(a.vararg, mark="*") if a.vararg else "*")
+    out += [one(x, d) for x, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)]
+    return ", ".join([*out, *([one(a.kwarg, mark="**")] if a.kwarg else [])])
+
+
 def _signature(node) -> str:
     if isinstance(node, ast.ClassDef):
         return f"class {node.name}"
     head = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-    tail = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-    return f"{head} {node.name}({ast.unparse(node.args)}){tail}"
+    tail = f" -> {_expression(node.returns)}" if node.returns else ""
+    return f"{head} {node.name}({_parameters(node.args)}){tail}"
 
 
 def _kind(node, in_class: bool) -> str:
@@ -73,7 +109,7 @@ def _kind(node, in_class: bool) -> str:
         return "function"
     marks = [d.id if isinstance(d, ast.Name) else d.attr if isinstance(d, ast.Attribute) else "" for d in node.decorator_list]
     bare = [isinstance(d, ast.Name) for d in node.decorator_list]
-    if node.name in ("__init__", "__new__"):
+    if node.name == "__init__":
         return "constructor"
     return "accessor" if any((m == "property" and b) or (m == "setter" and not b) for m, b in zip(marks, bare, strict=True)) else "method"
 
@@ -120,6 +156,38 @@ def declared_symbols(text: str, lang: str = "python") -> list[str]:
 PARSERS = {"python": chunk_python, "swift": swift.chunk_swift}
 
 
+def chunker_version(lang: str) -> str:
+    """What the chunks of a language depend on, as the first 12 hex digits of a hash: its row of the table and the source of its parser."""
+    parser = inspect.getsource(inspect.getmodule(PARSERS[lang])) if lang in PARSERS else ""
+    return hashlib.sha256(repr((lang, fixed.LANGUAGES[lang], parser)).encode()).hexdigest()[:12]
+
+
+def languages(spark: SparkSession) -> DataFrame:
+    """(lang, extensions, noise, chunker_version, backend): a row a language; backend is ok or missing, with its fingerprint beside it."""
+    rows = [(x, row[0], row[2], chunker_version(x), "ok" if x in PARSERS else "missing") for x, row in fixed.LANGUAGES.items()]
+    out = spark.createDataFrame(rows, "lang string, extensions array<string>, noise array<string>, chunker_version string, backend string")
+    key = hashlib.sha256(repr([(r[0], r[4]) for r in rows]).encode()).hexdigest()[:12]
+    return out.withColumn("availability", F.lit(key))
+
+
+def common_noise(rows: DataFrame) -> DataFrame:
+    """One row: folders that are noise to every language of rows (lang, noise)."""
+    n = rows.select("lang").distinct().count()
+    each = rows.select("lang", F.explode("noise").alias("dir")).distinct().groupBy("dir").count().where(F.col("count") == n)
+    return each.agg(F.array_sort(F.collect_list("dir")).alias("dirs"))
+
+
+def pin_mismatch(pinned: Column, installed: Column) -> Column:
+    """Versions compare as text; a missing one is no match."""
+    return ~F.coalesce(pinned == installed, F.lit(False))
+
+
+def most_bytes(lang: Column, override: Column | None = None) -> Column:
+    """The size from which a file is not parsed: the row's own, else LEDGERLOOM_MOST_BYTES, else 1 MiB."""
+    general = F.lit(int(os.environ.get("LEDGERLOOM_MOST_BYTES", MOST_BYTES))).cast("long")
+    return F.when(lang.isNotNull(), F.coalesce(override, general) if override is not None else general)
+
+
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CHUNK.split(", ")]
     for pdf in batches:

@@ -203,3 +203,39 @@ def test_rejections_are_restored(spark):
     df = spark.createDataFrame(rows, "path string, link string, seq int, status string, kind string, ruling_text string, reverses string, rationale_text string, alternatives array<struct<option:string,rejected_because:string>>")
     assert lint.rejections(df).first()["restored_num"] == 2
     assert lint.readoptions(df).count() == 0
+
+
+def test_offsets_of_columns_equal_those_of_numbers(spark):
+    from ledgerloom.functions import values
+
+    got = spark.range(2, 200).select("id", values.coprime_column(F.col("id")).alias("o")).collect()
+    assert all(r["o"] == values.coprime_offset(r["id"]) for r in got)
+
+
+def test_texts_are_cut_once_a_scan_and_sides_joined_once(spark):
+    """Plans: one tokenisation in the scored pass and one in the statistics; one full outer join for all rules of history."""
+    from ledgerloom.operators import lint, rank
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    plan = rank.bm25(docs, "doc_id", F.col("text"), ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    side = spark.createDataFrame([("p", "L1", 1, "active", None, None, "x")], "path string, link string, seq int, status string, superseded_by string, promoted_by string, body string")
+    plan = lint.history(side, side, ["body"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1
+
+
+def test_chunker_versions_follow_the_parser(monkeypatch):
+    from ledgerloom.sources import code
+
+    before = code.chunker_version("python")
+    assert len(before) == 12 and before != code.chunker_version("swift")
+    monkeypatch.setitem(code.fixed.LANGUAGES, "python", ([".py", ".pyi"], *code.fixed.LANGUAGES["python"][1:]))
+    assert code.chunker_version("python") != before
+
+
+def test_signatures_as_written():
+    from ledgerloom.sources import code
+
+    src = "class A:\n    def __new__(cls, a, /, b: int = 1, *, c=2, d: str = 'x', **k) -> 'A': pass\n    def f(self, x=lambda: 1, y: a | b = -1, *z: int): pass\n"
+    got = [(c["kind"], c["signature"]) for c in code.chunk_python(src)[0]]
+    assert got == [("method", "def __new__(cls, a, /, b: int = 1, *, c=2, d: str = 'x', **k) -> 'A'"), ("method", "def f(self, x=<...>, y: a | b = -1, *z: int)")]
