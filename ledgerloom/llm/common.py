@@ -141,20 +141,20 @@ def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(right.withColumn("_salt", F.explode(all_salts())), [*on, "_salt"], how).drop("_salt")
 
 
-def hot_keys(counts: DataFrame, on: list[str], size: str) -> DataFrame | None:
-    """(on…, _hot) of the keys that hold over a HOT_SHARE-th of all rows, or None: at most HOT_SHARE rows, which the driver holds."""
+def hot_keys(counts: DataFrame, key: str, size: str) -> list[int]:
+    """The keys (numbers) that hold over a HOT_SHARE-th of all rows: at most HOT_SHARE of them, which the driver holds."""
     total = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    hot = counts.where(F.col(size) * HOT_SHARE > total).where(F.col(size) > SALTS).select(*on, F.lit(True).alias("_hot"))
-    return counts.sparkSession.createDataFrame(rows, hot.schema) if (rows := hot.collect()) else None
+    return [r[0] for r in counts.where((F.col(size) * HOT_SHARE > total) & (F.col(size) > SALTS)).select(key).collect()]
 
 
-def spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
-    """Inner join with the rows of hot keys of left dealt over SALTS tasks, and those of right copied there. Other keys go as in a plain join."""
-    if hot is None:
+def spread(left: DataFrame, right: DataFrame, on: list[str], hot: list[int]) -> DataFrame:
+    """Inner join with the rows of left whose first key is hot dealt over SALTS tasks, and those of right copied there. Other keys go
+    as in a plain join. Hot keys are a literal set, so no side is joined to be marked."""
+    if not hot:
         return left.join(right, on)
-    hot, cold = F.broadcast(hot), F.lit(0).cast("long")
-    a = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(cold)).drop("_hot")
-    b = right.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), all_salts()).otherwise(F.array(cold)))).drop("_hot")
+    is_hot, cold = F.coalesce(F.col(on[0]).isin(hot), F.lit(False)), F.lit(0).cast("long")
+    a = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(cold))
+    b = right.withColumn("_salt", F.explode(F.when(is_hot, all_salts()).otherwise(F.array(cold))))
     return a.join(b, [*on, "_salt"]).drop("_salt")
 
 

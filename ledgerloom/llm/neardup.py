@@ -143,7 +143,7 @@ def _confirmed(pairs: DataFrame, keys: DataFrame, sets: DataFrame, similarity: f
 
     The rows of hot first members are dealt over several tasks.
     """
-    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n")
     counted = spread(pairs, keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("xk")), ["a"], hot).join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("yk")), "b")
     retained = counted.where(F.size(F.array_intersect("xk", "yk")) >= matches).select("a", "b")
     joined = spread(retained, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs")), ["a"], hot).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys")), "b")
@@ -162,7 +162,7 @@ def _rounds(lists: DataFrame, found: DataFrame, keys: DataFrame, sets: DataFrame
         of = of.agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("q")).where("cs > 1")
         of = materialize(of.select("key", "top", "m", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")), "open")
         rows, pairs = of.agg(F.sum("m"), F.sum("pairs")).first()
-        hot = hot_keys(of, ["key"], "m")
+        hot = hot_keys(of, "key", "m")
         torn = materialize(spread(member, of.select("key", "top"), ["key"], hot), "torn")
         discard(member)
         if not rows or pairs <= PAIRS_A_ROW * rows or pairs > last / 2:
@@ -199,7 +199,7 @@ def _across(torn: DataFrame, similarity: float) -> DataFrame:
     s = round(similarity * 100)
     every = torn.select("doc_id", F.explode("shingles").alias("t"))
     known = materialize(every.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "known")
-    ranked = spread(every, known, ["t"], hot_keys(known, ["t"], "df")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("own"))
+    ranked = spread(every, known, ["t"], hot_keys(known, "t", "df")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("own"))
     ranked = ranked.join(torn.select("doc_id", "c", F.size("shingles").alias("n")), "doc_id")
     prefix = F.col("n") - F.floor((F.col("n") * s + 99) / 100).cast("int") + 1
     alone = F.col("n") - F.size("own")
@@ -208,7 +208,7 @@ def _across(torn: DataFrame, similarity: float) -> DataFrame:
     posted = materialize(posted, "posted")
     mixed = posted.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m")).where("cs > 1")
     mixed = materialize(mixed.select("t", "top", "m"), "mixed")
-    hot = hot_keys(mixed, ["t"], "m")
+    hot = hot_keys(mixed, "t", "m")
     all_of = materialize(spread(posted, mixed.select("t", "top"), ["t"], hot), "meeting")
     x = all_of.where("c <> top").select("t", F.struct("doc_id", "c", "n", "at").alias("x"))
     y = all_of.select("t", F.struct("doc_id", "c", "n", "at", "top").alias("y"))
@@ -267,14 +267,14 @@ def _near(docs: DataFrame, signed: DataFrame, shingle_words: int, similarity: fl
     prefix = COORDINATES - matches + 1
     known = signed.where("n > 0 and doc_id is not null")
     classes = materialize(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    large = hot_keys(classes, ["c1", "c2"], "copies")
+    large = hot_keys(classes, "c1", "copies")
     classes = classes.drop("copies")
     later = spread(known.select("doc_id", "c1", "c2"), classes, ["c1", "c2"], large).where("doc_id <> rep").select("doc_id").distinct()
     own = known.join(later, "doc_id", "left_anti").select("doc_id", "n", "s1", "s2", F.slice("keys", 1, prefix).alias("keys"))
     own = materialize(own, "own")
     posted = own.select("doc_id", F.explode("keys").alias("key"))  # narrow: most postings are alone in their list and end here
     shared = materialize(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    hot = hot_keys(shared, ["key"], "size")
+    hot = hot_keys(shared, "key", "size")
     # A document that has a similar one meets it in most of its coordinates: others are out before any pair is made.
     least = max(m for m in range(1, prefix + 1) if m == 1 or miss_probability(similarity, m, prefix) <= 1e-6)
     met_at = materialize(spread(posted, shared.select("key"), ["key"], hot), "met_at")
