@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, constants, discard, hot_keys, materialize, mix64, salted, spread, text_bytes
 
 COORDINATES = 64
-#: Pairs across components a posting, up to which they are met at once and not by further rounds.
-PAIRS_A_ROW = 64
+#: Pairs of the prefix join for each of its postings up to which it is made, and pairs that pass its bounds for each document up to
+#: which they are confirmed: beyond either, a round joins components first. The result is the same.
+PAIRS_A_ROW, PAIRS_A_DOCUMENT = 1000, 16
 
 
 def miss_probability(similarity: float, matches: int, coordinates: int = COORDINATES) -> float:
@@ -152,49 +153,51 @@ def _confirmed(pairs: DataFrame, keys: DataFrame, sets: DataFrame, similarity: f
 
 
 def _rounds(lists: DataFrame, found: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float, matches: int, least: int) -> tuple[DataFrame, DataFrame | None]:
-    """Lists that still hold documents of several components: met with some members of their commonest one, as long as all
-    pairs across are many and a round halves them. Gives the components, and the documents that are still torn."""
+    """Lists that still hold documents of several components. As long as their prefix join makes many pairs, and a round
+    halves them, their documents are met with some members of the commonest component of each list. Gives the components
+    and the pairs (materialised) that are left to confirm."""
     last = math.inf
     for turn in count():
         member = lists.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", "s1", "s2", F.coalesce("component", "doc_id").alias("c"))
         member = materialize(member, "member")
-        of = member.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
-        of = of.agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("q")).where("cs > 1")
-        of = materialize(of.select("key", "top", "m", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")), "open")
-        rows, pairs = of.agg(F.sum("m"), F.sum("pairs")).first()
+        of = member.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m")).where("cs > 1")
+        of = materialize(of.select("key", "top", "m"), "open")
         hot = hot_keys(of, "key", "m")
         torn = materialize(spread(member, of.select("key", "top"), ["key"], hot), "torn")
-        discard(member)
-        if not rows or pairs <= PAIRS_A_ROW * rows or pairs > last / 2:
-            break
+        # A similar document of another component is met in at least as many lists, and those are open.
+        apart = torn.groupBy("doc_id", "c").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("doc_id", "c")
+        apart = materialize(apart, "apart")
+        discard(member, of)
+        if apart.isEmpty():
+            discard(torn, apart)
+            return found, None
+        posted, mixed = _prefixes(sets.join(apart, "doc_id"), similarity)
+        rows, pairs = mixed.agg(F.sum("m"), F.sum("pairs")).first()
+        settled = not rows or pairs > last / 2
+        if settled or pairs <= PAIRS_A_ROW * rows:
+            across = _across(posted, mixed, similarity)
+            if settled or across.count() <= PAIRS_A_DOCUMENT * apart.count():
+                discard(torn, apart, posted, mixed)
+                return found, across
+            discard(across)
         last = pairs
         order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id")
         pivot = torn.where("c = top").withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8 * 4**turn).select("key", F.struct("doc_id", "n", "s1", "s2").alias("y"))
         met = spread(torn.where("c <> top").select("key", F.struct("doc_id", "n", "s1", "s2").alias("x")), pivot, ["key"], hot).where(_alike(similarity, matches))
         met = materialize(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "met")
         links = materialize(_confirmed(met, keys, sets, similarity, matches), "more")
-        none = links.isEmpty()
-        if not none:
+        if not links.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-            discard(torn)
-        discard(of, met, links)
-        if none:
-            break
-    if not rows:
-        return found, None
-    # A similar document of another component is met in at least as many lists, and those are open.
-    out = materialize(torn.groupBy("doc_id", "c").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("doc_id", "c"), "apart")
-    discard(torn)
-    return found, out
+        discard(torn, apart, posted, mixed, met, links)
 
 
-def _across(torn: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of torn (doc_id, c, shingles) with different c that may be similar: none that is gets lost.
+def _prefixes(torn: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of torn (doc_id, c, shingles) with different c: the shingles under which documents are met, (doc_id, c, n, at, t), and those of
+    them that hold several components, (t, top, m, pairs). No similar pair of different c gets lost.
 
     A prefix join on the full sets: with its shingles in the order of their frequency, a document of n shingles shares with a
     similar one a shingle among its first n - ceil(similarity n) + 1, and the places of the first shared one bound the
-    overlap. Shingles of one document only need no row. Of the documents under a shingle, those of its commonest
-    component are not met with each other, so a large group with a few strays costs the strays times the group.
+    overlap. Shingles of one document only need no row.
     """
     s = round(similarity * 100)
     every = torn.select("doc_id", F.explode("shingles").alias("t"))
@@ -206,8 +209,17 @@ def _across(torn: DataFrame, similarity: float) -> DataFrame:
     ranked = ranked.select("doc_id", "c", "n", alone.alias("alone"), F.slice("own", F.lit(1), F.greatest(F.lit(0), prefix - alone)).alias("own"))
     posted = ranked.select("doc_id", "c", "n", "alone", F.posexplode("own").alias("k", "e")).select("doc_id", "c", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("e.t").alias("t"))
     posted = materialize(posted, "posted")
-    mixed = posted.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m")).where("cs > 1")
-    mixed = materialize(mixed.select("t", "top", "m"), "mixed")
+    mixed = posted.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs"), F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("q")).where("cs > 1")
+    mixed = materialize(mixed.select("t", "top", "m", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")), "mixed")
+    discard(known)
+    return posted, mixed
+
+
+def _across(posted: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
+    """Materialised pairs (a, b) of different components that meet under a shingle of _prefixes() and may be similar. Of the
+    documents under a shingle, those of its commonest component are not met with each other, so a large group with a few
+    strays costs the strays times the group."""
+    s = round(similarity * 100)
     hot = hot_keys(mixed, "t", "m")
     all_of = materialize(spread(posted, mixed.select("t", "top"), ["t"], hot), "meeting")
     x = all_of.where("c <> top").select("t", F.struct("doc_id", "c", "n", "at").alias("x"))
@@ -218,7 +230,7 @@ def _across(torn: DataFrame, similarity: float) -> DataFrame:
     fits = overlap * (100 + s) >= (F.col("x.n") + F.col("y.n")) * s
     met = spread(y, x, ["t"], hot).where((F.col("x.c") != F.col("y.c")) & once & sized & fits)  # of a hot shingle the many are dealt, the strays copied
     out = materialize(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "across")
-    discard(known, posted, mixed, all_of)
+    discard(all_of)
     return out
 
 
@@ -287,14 +299,13 @@ def _near(docs: DataFrame, signed: DataFrame, shingle_words: int, similarity: fl
     met = spread(lists.select("key", F.struct("doc_id", "n", "s1", "s2").alias("x")), pivot, ["key"], hot).where("x.doc_id <> y.doc_id").where(_alike(similarity, matches))
     stars = materialize(met.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "stars")
     links = materialize(_confirmed(stars, keys, sets, similarity, matches), "links")
-    found, torn = _rounds(lists, components(links), keys, sets, similarity, matches, least)
-    if torn is not None and not torn.isEmpty():
-        across = _across(sets.join(torn, "doc_id"), similarity)
+    found, across = _rounds(lists, components(links), keys, sets, similarity, matches, least)
+    if across is not None:
         more = materialize(_confirmed(across, keys, sets, similarity, matches), "more")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         discard(across, more)
-    discard(own, close, lists, keys, sets, stars, links, *([torn] if torn is not None else []))
+    discard(own, close, lists, keys, sets, stars, links)
     # Copies of a class end up with one label.
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("by_class"))
     out = salted(signed.select("doc_id", "n", "c1", "c2"), label, ["c1", "c2"], "left").join(found, F.col("doc_id") == F.col("node"), "left")
