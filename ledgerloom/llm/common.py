@@ -149,10 +149,8 @@ def hot_keys(counts: DataFrame, key: str, size: str) -> list[int]:
 
 def spread(left: DataFrame, right: DataFrame, on: list[str], hot: list[int]) -> DataFrame:
     """Inner join with the rows of left whose first key is hot dealt over SALTS tasks, and those of right copied there. Other keys go
-    as in a plain join. Hot keys are a literal set, so no side is joined to be marked."""
-    if not hot:
-        return left.join(right, on)
-    is_hot, cold = F.coalesce(F.col(on[0]).isin(hot), F.lit(False)), F.lit(0).cast("long")
+    as in a plain join. Hot keys are a literal set, so no side is joined to be marked; without any, the plan is the same, with a set of one."""
+    is_hot, cold = F.coalesce(F.col(on[0]).isin(hot or [0]), F.lit(False)), F.lit(0).cast("long")
     a = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(cold))
     b = right.withColumn("_salt", F.explode(F.when(is_hot, all_salts()).otherwise(F.array(cold))))
     return a.join(b, [*on, "_salt"]).drop("_salt")
