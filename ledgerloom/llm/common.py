@@ -210,6 +210,8 @@ def power_of_two(x: float) -> int:
 
 def occupied(key: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, start, end) of the runs of ascending keys of `bits` bits that share a bucket: the upper bits, for a power of two of buckets."""
+    if not key.size:
+        return
     own = key >> np.uint64(bits - buckets.bit_length() + 1) if buckets > 1 else np.zeros(key.size, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: key.size])
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     yield from zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), key.size], strict=True)
