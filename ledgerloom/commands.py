@@ -249,13 +249,18 @@ def code_search(chunks: DataFrame, question: str, *, role: str | None = "code",
 
 
 def stats(lines: DataFrame, days: int, now: datetime.datetime) -> dict[str, DataFrame]:
-    """Of a log's lines (line, file_name) within the last days: counts by kind and outcome, sessions, reasons, lookup times."""
+    """Of a log's lines (line, file_name) within the last days: counts by kind and outcome, sessions, reasons, lookup times, hits
+    of code searches, topics shown before edits and the most frequent of them."""
     parsed = logs.parse_lines(lines)
     recent = logs.within(parsed, "ts", days, now)
+    shown = logs.injected_topics(recent.where("kind = 'pre-edit'"))
     return {
         "counts": logs.counts(recent, "kind", "outcome"),
         "reasons": logs.counts(recent.where("reason is not null"), "reason"),
         "sessions": recent.agg(F.count_distinct("session").alias("sessions"), F.count("*").alias("lines")),
         "elapsed": logs.nearest_rank(recent.where("elapsed is not null").withColumn("elapsed", F.col("elapsed").try_cast("double")), "elapsed", "kind"),
+        "hits": logs.counts(recent.where("kind = 'code-search'").select(X.log_field(F.col("line"), "hits").try_cast("int").alias("hits")), "hits"),
+        "topics": shown.agg(F.count_distinct("line").alias("lines"), F.count_distinct("topic").alias("topics")),
+        "top_topics": logs.top_topics(shown, "topic"),
         "untimed": parsed.agg(F.count_if(F.col("ts").isNull()).alias("untimed")),
     }

@@ -119,6 +119,14 @@ def chain(links: DataFrame, edges: DataFrame, assumptions: DataFrame) -> DataFra
     return links.drop("edges", "broken").join(e, ["topic_path", "link"], "left").join(a, ["topic_path", "link"], "left").orderBy("topic_path", "seq")
 
 
+def chain_line(link: Column, date: Column, kind: Column, reverses: Column, reason: Column, ruling: Column, authority: Column, rationale: Column) -> Column:
+    """One line of a chain: what a link is, what it reverses and why, its ruling (in quotes if an owner's), authority and rationale."""
+    back = F.concat(F.lit("<- reverses "), reverses, F.coalesce(F.concat(F.lit(" ("), reason, F.lit(")")), F.lit("")))
+    words = X.flat_line(ruling)
+    words = F.when(authority.isin(fixed.OWNER_AUTHORITIES), F.concat(F.lit('"'), words, F.lit('"'))).otherwise(words)
+    return F.concat_ws(" ", link, date, kind, back, words, F.concat(F.lit("("), authority, F.lit(")")), F.concat(F.lit("because "), X.flat_line(rationale)))
+
+
 def running_bytes(rows: DataFrame, text: Column, order: list[Column], partition: list[str]) -> DataFrame:
     """rows with the bytes of text, one more a row for its line end, summed up in order."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

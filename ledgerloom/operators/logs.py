@@ -50,6 +50,12 @@ def top_topics(rows: DataFrame, topic: str, k: int = 5) -> DataFrame:
     return counts(rows, topic).orderBy(F.desc("n"), topic).limit(k)
 
 
+def injected_topics(lines: DataFrame) -> DataFrame:
+    """(line, topic): the topics that a line of an edit names; the `+N` of a cut list is none."""
+    each = lines.select("line", F.explode(F.split(X.log_field(F.col("line"), "topics"), ",")).alias("topic"))
+    return each.where(~F.col("topic").rlike(r"^\+\d+$") & (F.col("topic") != ""))
+
+
 def listed(ids: DataFrame, key: str, by: list[str], most: int = 10) -> DataFrame:
     """(by, shown): distinct ids in order, at most `most` of them, and `+N` for the others."""
     w = Window.partitionBy(*by).orderBy(key)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from . import governance
 from .lint import _found
 
-DEFINITION = "path string, symbol string, line int, fingerprint string, calls array<string>, strings array<string>"
+DEFINITION = "path string, symbol string, line int, unit_line int, fingerprint string, calls array<string>, strings array<string>, text string"
+_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def fingerprint(node: ast.AST) -> str:
@@ -57,6 +58,26 @@ def _vocabulary(node: ast.AST) -> list[str]:
     return sorted(set(max(sets, key=len))) if sets else []
 
 
+def _executable(node: ast.AST) -> str:
+    """A definition's code without comments and docstrings."""
+    node = copy.deepcopy(node)
+    for n in ast.walk(node):
+        if isinstance(n, (*_FUNCTION, ast.ClassDef)) and ast.get_docstring(n, clean=False) is not None:
+            n.body = n.body[1:] or [ast.Pass()]
+    return ast.unparse(node)
+
+
+def _functions(tree: ast.AST) -> Iterator[tuple]:
+    """Each function with the outermost one that holds it."""
+    todo = [(tree, None)]
+    while todo:
+        node, top = todo.pop()
+        if isinstance(node, _FUNCTION):
+            top = top or node
+            yield node, top
+        todo += [(child, top) for child in reversed(list(ast.iter_child_nodes(node)))]
+
+
 def _definitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -65,8 +86,8 @@ def _definitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tree = ast.parse(bytes(content).decode("utf-8", "replace"))
             except (SyntaxError, ValueError, RecursionError):
                 continue
-            rows += [(path, n.name, n.lineno, fingerprint(n), _calls(n), _vocabulary(n)) for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        yield pd.DataFrame(rows, columns=["path", "symbol", "line", "fingerprint", "calls", "strings"])
+            rows += [(path, n.name, n.lineno, top.lineno, fingerprint(n), _calls(n), _vocabulary(n), _executable(n)) for n, top in _functions(tree)]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in DEFINITION.split(", ")])
 
 
 def definitions(files: DataFrame) -> DataFrame:
@@ -88,6 +109,33 @@ def undelegated(defs: DataFrame, consumers: DataFrame) -> DataFrame:
     return _found(met.where(~F.coalesce(F.array_contains("calls", F.col("owner")), F.lit(False))), "delegation", "error", F.concat(F.lit("does not call "), F.col("owner")), "symbol")
 
 
+def construct_owners(defs: DataFrame, owners: DataFrame, block: int = governance.MOST_GLOBS) -> DataFrame:
+    """A construct has one owner. owners: id, path, symbol, pattern, paths (where it is looked for; none: everywhere).
+
+    Outermost functions whose code holds an owner's pattern and that are not its own are found, and owners that no longer
+    hold it. Owners are met in blocks of a stated number, each broadcast.
+    """
+    at = defs.select(F.col("path").alias("_path"), F.col("symbol").alias("_symbol"), F.col("unit_line").alias("_line")).distinct()
+    own = owners.select("id", F.col("path").alias("_path"), F.col("symbol").alias("_symbol"), "pattern", "paths").join(at, ["_path", "_symbol"], "left")
+    units = defs.where("line = unit_line")
+    folder = lambda p: F.concat(F.regexp_replace(p, "/+$", ""), F.lit("/"))
+    under = (F.coalesce(F.size("paths"), F.lit(0)) <= 0) | F.exists("paths", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), folder(p)))
+    blocks, met = max(1, -(-owners.count() // block)), None
+    for b in range(blocks):
+        part = F.broadcast(own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b))
+        one = units.join(part, under & F.rlike(F.col("text"), F.col("pattern"))).select("id", "path", "symbol", F.coalesce((F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")), F.lit(False)).alias("mine"))
+        met = one if met is None else met.unionByName(one)
+    stale = owners.join(met.where("mine").select("id").distinct(), "id", "left_anti")
+    out = _found(met.where("not mine"), "construct", "error", F.concat(F.lit("holds the construct of "), F.col("id")), "symbol")
+    return out.unionByName(_found(stale, "construct-stale", "error", F.concat(F.lit("no longer holds the construct of "), F.col("id")), "symbol"))
+
+
+def bypasses(defs: DataFrame, consumers: DataFrame) -> DataFrame:
+    """Consumers (path, symbol, owner, forbid) whose code holds one of the patterns that go past their owner."""
+    met = consumers.join(defs.select("path", "symbol", "text"), ["path", "symbol"]).where(F.exists("forbid", lambda p: F.rlike(F.col("text"), p)))
+    return _found(met, "bypass", "error", F.concat(F.lit("goes past "), F.col("owner")), "symbol")
+
+
 def vocabulary_copies(defs: DataFrame, owners: DataFrame) -> DataFrame:
     """Definitions that spell out an owner's (id, path, vocabulary) set of words."""
     own = owners.select("id", F.col("path").alias("_path"), F.array_sort(F.array_distinct("vocabulary")).alias("strings"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..commands import DECISIONS, Store
 from ..functions import fixed, values
 from ..functions import text as X
-from ..operators import code_links, freshness, governance, lint, logs, rank
+from ..operators import code_links, freshness, governance, lint, logs, rank, reuse
 from ..sources import code, records
 from .catalog import _LINKS, _in, _links, query
 
@@ -671,3 +671,41 @@ def common_noise(t):
     return out
 
 
+
+
+_CONSTRUCTS = ["STEEL", "BRASS$", "^PROMO", "NICKEL", "ZZZ"]
+
+
+@query(f"""WITH d AS (SELECT p_brand AS path, 'f' || p_partkey AS symbol, p_type AS text, p_partkey AS k FROM part), o AS (SELECT n_regionkey AS i, min(n_nationkey) + 1 AS k, [{_in(_CONSTRUCTS)}][CAST(n_regionkey AS INTEGER) + 1] AS pattern FROM nation GROUP BY 1),
+m AS (SELECT 'J' || i AS id, path, symbol, d.k = o.k AS mine FROM d JOIN o ON regexp_matches(text, pattern))
+SELECT path, symbol AS link, 'construct' AS rule, 'holds the construct of ' || id AS message FROM m WHERE NOT mine
+UNION ALL SELECT path, symbol, 'construct-stale', 'no longer holds the construct of J' || i FROM o JOIN d USING (k) WHERE 'J' || i NOT IN (SELECT id FROM m WHERE mine)""")
+def construct_owners(t):
+    k = F.col("p_partkey")
+    defs = t.part.select(F.col("p_brand").alias("path"), F.concat(F.lit("f"), k).alias("symbol"), k.alias("line"), k.alias("unit_line"), F.col("p_type").alias("text"))
+    first = t.nation.groupBy("n_regionkey").agg((F.min("n_nationkey") + 1).alias("line")).join(defs.select("line", "path", "symbol"), "line")
+    owners = first.select(F.concat(F.lit("J"), "n_regionkey").alias("id"), "path", "symbol", _pick(F.col("n_regionkey"), _CONSTRUCTS).alias("pattern"), F.lit(None).cast("array<string>").alias("paths"))
+    return reuse.construct_owners(defs, owners).select("path", "link", "rule", "message")
+
+
+@query("SELECT p_brand AS path, 'f' || p_partkey AS link, 'goes past o' || (p_size % 3) AS message FROM part WHERE regexp_matches(p_type, 'STEEL$') OR (p_size % 3 = 1 AND regexp_matches(p_type, '^SMALL'))")
+def bypasses(t):
+    rows = t.part.select(F.col("p_brand").alias("path"), F.concat(F.lit("f"), "p_partkey").alias("symbol"), F.col("p_type").alias("text"), F.concat(F.lit("o"), F.col("p_size") % 3).alias("owner"), F.when(F.col("p_size") % 3 == 1, F.array(F.lit("STEEL$"), F.lit("^SMALL"))).otherwise(F.array(F.lit("STEEL$"))).alias("forbid"))
+    return reuse.bypasses(rows.select("path", "symbol", "text"), rows.select("path", "symbol", "owner", "forbid")).select("path", "link", "message")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'L1' END AS back, CASE WHEN o_orderkey % 6 = 0 THEN 'late' END AS why, ['owner-verbatim', 'code-derived'][CAST(o_orderkey % 2 AS INTEGER) + 1] AS a, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS because FROM orders)
+SELECT k AS o_orderkey, 'L2 2026-01-01 amended' || coalesce(' <- reverses ' || back || coalesce(' (' || why || ')', ''), '') || CASE WHEN a = 'owner-verbatim' THEN ' "Keep ' || k || '"' ELSE ' Keep ' || k END || ' (' || a || ')' || coalesce(' because ' || because, '') AS line FROM r""")
+def chain_line(t):
+    k = F.col("o_orderkey")
+    line = governance.chain_line(F.lit("L2"), F.lit("2026-01-01"), F.lit("amended"), F.when(k % 3 == 0, "L1"), F.when(k % 6 == 0, "late"), F.concat(F.lit("Keep "), k), _pick(k, ["owner-verbatim", "code-derived"]), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")))
+    return t.orders.select("o_orderkey", line.alias("line"))
+
+
+@query("""WITH s AS (SELECT 'TOP-' || (o_orderkey % 13) AS topic FROM orders UNION ALL SELECT 'TOP-' || (20 + o_custkey % 7) FROM orders WHERE o_orderkey % 4 = 0)
+SELECT topic, count(*) AS n FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+def injected_topics(t):
+    k = F.col("o_orderkey")
+    more = F.when(k % 4 == 0, F.concat(F.lit(",TOP-"), 20 + F.col("o_custkey") % 7, F.lit(",+3"))).otherwise("")
+    line = F.concat(F.lit("2026-01-01T10:00:00+00:00 outcome=matched session="), k, F.lit(" topics=TOP-"), k % 13, more, F.lit(" project=p file=f"))
+    return logs.top_topics(logs.injected_topics(t.orders.select(line.alias("line"))), "topic")

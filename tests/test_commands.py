@@ -149,9 +149,12 @@ def test_code_search(spark, store):
 
 def test_stats(spark):
     lines = ["2026-03-01T10:00:00+00:00 nudge outcome=shown session=a elapsed=1", "2026-03-01T11:00:00+00:00 nudge outcome=shown session=b elapsed=3", "2026-01-01T10:00:00+00:00 nudge outcome=shown session=c", "2026-04-01T10:00:00+00:00 nudge outcome=shown session=d", "torn"]
+    lines += ["2026-03-01T10:00:00+00:00 code-search outcome=ok hits=4 q=x project=p", "2026-03-01T10:00:00+00:00 outcome=matched elapsed=1s session=a topics=TOP-2,TOP-1,+3 project=p file=f", "2026-03-01T10:00:01+00:00 outcome=matched elapsed=1s session=a topics=TOP-2 project=p file=f"]
     got = stats(spark.createDataFrame([(x, "hook.log") for x in lines], "line string, file_name string"), 7, datetime.datetime(2026, 3, 2, tzinfo=datetime.UTC))
-    assert [tuple(r) for r in got["counts"].collect()] == [("nudge", "shown", 2)]
-    assert tuple(got["sessions"].first()) == (2, 2) and tuple(got["elapsed"].first()) == ("nudge", 1.0, 3.0) and got["untimed"].first()[0] == 1
+    assert {tuple(r) for r in got["counts"].collect()} == {("nudge", "shown", 2), ("code-search", "ok", 1), ("pre-edit", "matched", 2)}
+    assert [tuple(r) for r in got["hits"].collect()] == [(4, 1)] and tuple(got["topics"].first()) == (2, 2)
+    assert [tuple(r) for r in got["top_topics"].collect()] == [("TOP-2", 2), ("TOP-1", 1)]
+    assert tuple(got["sessions"].first()) == (2, 5) and [tuple(r) for r in got["elapsed"].where("kind = 'nudge'").collect()] == [("nudge", 1.0, 3.0)] and got["untimed"].first()[0] == 1
 
 
 def test_declined_and_proposals(spark, store):
