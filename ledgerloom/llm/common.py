@@ -32,16 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, for tables or files; forget() or release() deletes it."""
+    path = f"{shared_dir(spark)}/ledgerloom-{uuid.uuid4().hex}/{label}"
+    _written[path] = spark
+    return path
+
+
+def forget(path: str) -> None:
+    """Delete a folder of folder() that nothing reads any more."""
+    spark = _written.pop(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives the loss of executors.
 
     The table stays until discard() or release(), for results are lazy and may read it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom-{uuid.uuid4().hex}/{label}"
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out
 
@@ -49,19 +61,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing reads any more."""
     for t in tables:
-        path = t._ledgerloom_path
-        spark = _written.pop(path)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        forget(t._ledgerloom_path)
 
 
 def release() -> None:
     """Delete all that materialize() wrote; results that have not been consumed are lost with it."""
     while _written:
-        path, spark = _written.popitem()
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            forget(next(iter(_written)))
         except Exception:  # noqa: BLE001  at exit the JVM may be gone
             return
 
@@ -141,6 +148,13 @@ def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(right.withColumn("_salt", F.explode(all_salts())), [*on, "_salt"], how).drop("_salt")
 
 
+def dealt(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """As salted(), with the rows of right copied to those tasks only that have rows of left with their key. left is read twice."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    used = left.groupBy(*on).agg(F.collect_set("_salt").alias("_salt"))
+    return left.join(right.join(used, on).withColumn("_salt", F.explode("_salt")), [*on, "_salt"], how).drop("_salt")
+
+
 def hot_keys(counts: DataFrame, key: str, size: str) -> list[int]:
     """The keys (numbers) that hold over a HOT_SHARE-th of all rows: at most HOT_SHARE of them, which the driver holds."""
     total = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]

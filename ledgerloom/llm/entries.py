@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, langid, lm, mixing, neardup, pii, quality, substring, tokens, topk
+from . import decontam, divergence, langid, lm, merkle, mixing, neardup, pii, quality, substring, tokens, topk, warc
 from .common import crc_mod
 
 
@@ -62,13 +62,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=crc_mod("doc_id", 5) == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_neardup, op3_exact_topk, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_decontamination, op8_language_id, op9_source_mixing, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_minhash_neardup, op3_exact_topk, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_decontamination, op8_language_id, op9_source_mixing, op10_pii, op11_merkle_manifest, op12_source_divergence, op13_warc_archive)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _PLAIN = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_ONLY_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PART = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join([*[_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars")], _PART]) + ")"
+_FOLD = "sha256(array_to_string(list_concat({r}.hs[:{f}.i % 16], [{f}.h], {r}.hs[{f}.i % 16 + 2:]), '')), {f}.proof || array_to_string(list_concat({r}.hs[:{f}.i % 16], {r}.hs[{f}.i % 16 + 2:]), '')"
+#: CRC-32 of a text of ASCII, a bit at a time: each byte is followed by seven zeros, and every step shifts by one.
+_CRC = "xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split({}, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))]), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,4 +147,46 @@ z AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(z.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN z USING (doc_id)""",
+        "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT *, {_CRC.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS bad FROM documents),
+e AS (SELECT doc_id, coalesce('+' || source, '') AS g, {_LEAF.format("text")} AS leaf, CASE WHEN bad THEN {_LEAF.format(_ONLY_LOW)} END AS now FROM d),
+l AS (SELECT row_number() OVER () AS id, *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM e),
+t AS (SELECT g, 0 AS k, i, n, leaf AS h FROM l
+      UNION ALL SELECT g, k + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, k, i // 16),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, i, n, h FROM s UNION ALL SELECT k + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 16),
+tr AS (SELECT g, k, i // 16 AS p, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY ALL),
+ur AS (SELECT k, i // 16 AS p, list(h ORDER BY i) AS hs FROM u WHERE n > 1 GROUP BY ALL),
+f AS (SELECT id, g, 0 AS k, i, n, coalesce(now, leaf) AS h, '' AS proof FROM l
+      UNION ALL SELECT f.id, f.g, f.k + 1, f.i // 16, (f.n + 15) // 16, {_FOLD.format(r="tr", f="f")}
+      FROM f JOIN tr ON tr.g = f.g AND tr.k = f.k AND tr.p = f.i // 16 WHERE f.n > 1),
+v AS (SELECT f.id, 0 AS k, s.i, s.n, f.h, f.proof, s.h AS subroot FROM f JOIN s USING (g) WHERE f.n = 1
+      UNION ALL SELECT v.id, v.k + 1, v.i // 16, (v.n + 15) // 16, {_FOLD.format(r="ur", f="v")}, v.subroot
+      FROM v JOIN ur ON ur.k = v.k AND ur.p = v.i // 16 WHERE v.n > 1)
+SELECT l.doc_id, l.leaf, v.subroot, r.h AS root, sha256(v.proof) AS proof_sha256, v.h AS folded_root, v.h = r.h AS verified
+FROM l JOIN v USING (id) CROSS JOIN (SELECT h FROM u WHERE n = 1) r WHERE v.n = 1""",
+        "op12_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS.format(_LOW)} AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN k USING (lang, term) GROUP BY ALL),
+a AS (SELECT lang, source, term, coalesce(c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, c, 1 + CAST(1000000000 AS HUGEINT) * (c + 5) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM a JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (c + 5) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q
+      FROM (SELECT lang, term, sum(c) AS c FROM a GROUP BY lang, term) JOIN v USING (lang)),
+x AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b USING (lang) LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source WHERE a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS n FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(n AS INTEGER) AS rank FROM r WHERE part = 'pair' OR n <= 50""",
+        "op13_warc_archive": """
+WITH p AS (SELECT row_number() OVER () AS id, page_id, coalesce(html, '') AS html FROM pages),
+o AS (SELECT *, first_value(page_id) OVER w AS page, row_number() OVER w = 1 AS own FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha1(html), 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN own THEN NULL ELSE page END AS refers_to
+FROM o""",
     }
