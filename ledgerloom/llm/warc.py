@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, dealt, folder, forget, materialize, place, quoted, text_bytes
+from .common import SALTS, dealt, discard, folder, forget, materialize, place, quoted, text_bytes
 
 #: Bytes of records, before compression, at which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
@@ -204,14 +204,14 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _packed(start: Callable[[int, str], bytes], record: Callable[[int, str, int, dict], bytes], label: str, most: int) -> Callable:
+def _packed(start: Callable[[int, str], bytes], record: Callable[[int, str, int, dict], bytes], label: str, most: int, rows: Callable[[pa.RecordBatch], Iterator[dict]] = _rows) -> Callable:
     """Rows to archives, one row each: for each value of the column version an archive is open until it has `most` bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, task = 0, TaskContext.get().partitionId()
         open_: dict[int, tuple[str, list[bytes], list[int]]] = {}
         closed = lambda parts: pa.RecordBatch.from_arrays([pa.array([b"".join(parts) + _EMPTY[:-1]], pa.binary())], ["archive"])
-        for row in (r for b in batches for r in _rows(b)):
+        for row in (r for b in batches for r in rows(b)):
             version = row["version"]
             if version not in open_:
                 name = f"{label}-{task:06d}-{made:06d}"
@@ -236,6 +236,10 @@ def _write(rows: DataFrame, pack: Callable, path: str) -> None:
     archives.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+
 def _read(spark: SparkSession, path: str, parse: Callable[[io.BufferedIOBase], Iterator[dict]], schema: str, size: Callable[[dict], int]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -246,7 +250,7 @@ def _read(spark: SparkSession, path: str, parse: Callable[[io.BufferedIOBase], I
         each = (row | {"file": file} for b in batches for file, data in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for row in parse(opened(data)))
         yield from _batched(each, arrow, size)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parsed, schema)
+    return _files(spark, path).mapInArrow(parsed, schema)
 
 
 def write_arc(captures: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -269,7 +273,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """(file, archive, offset, version, url, ip, date, mime, status, length, headers, payload, problem): a row for each record of the
     archives below path, the version blocks left out, and for each place where an archive cannot be read on (problem, other values null).
 
-    Files are read whole, so one takes its size as memory; write_arc() and write_warc() bound them.
+    Files are read whole, so one takes its size as memory; write_arc() and convert() bound them.
     """
 
     def parse(f: io.BufferedIOBase) -> Iterator[dict]:
@@ -282,60 +286,76 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, parse, schema, lambda r: len(r["payload"] or b""))
 
 
-def convert(records: DataFrame, key_header: str, min_bytes: int = 0) -> DataFrame:
-    """Records of read_arc() as those of WARC: adds record_id, warc_date, warc_type, digest, payload_bytes, key and, for revisits, refers_to,
-    refers_to_url and refers_to_date; records with a problem are left out.
-
-    key is the whole number in the HTTP header `key_header`, null without one. Of records with equal payloads of at least min_bytes the one of the
-    largest key (then of the last archive and offset) is the response, the others revisit it. Payloads compare by their SHA-1 and length. Records
-    without HTTP headers are resources, and no revisit refers to them. Record ids follow from archive, offset, URL, date and digest.
-    """
+def _synthetic(f: io.BufferedIOBase, file: str, key_header: str) -> Iterator[dict]:
+    """The records of an archive of ARC that are sound, with what WARC says of them besides. Record ids follow from archive, offset, URL,
+    date and payload, so every reading gives the same."""
+    for r in arc_records(f):
+        if r["problem"] is None and not r["url"].startswith("filedesc://"):
+            headers, payload = payload_of(r["content"])
+            digest = sha1(payload)
+            rid = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([r["archive"] or file, str(r["offset"]), r["url"], r["date"], digest]))
+            yield r | {"headers": headers, "payload": payload, "http": bool(headers), "digest": digest, "payload_bytes": len(payload), "record_id": f"<urn:uuid:{rid}>", "warc_date": warc_date(r["date"]), "key": whole(field(headers, key_header))}
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in _rows(b):
-                digest, headers = sha1(r["payload"]), r["headers"]
-                rid = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([r["archive"] or r["file"], str(r["offset"]), r["url"], r["date"], digest]))
-                out.append(r | {"record_id": f"<urn:uuid:{rid}>", "warc_date": warc_date(r["date"]), "digest": digest, "payload_bytes": len(r["payload"]), "key": whole(field(headers, key_header))})
-            yield from _batched(iter(out), schema, lambda r: r["payload_bytes"])
 
+def index_arc(spark: SparkSession, path: str, key_header: str) -> DataFrame:
+    """(file, offset, url, warc_date, record_id, digest, payload_bytes, http, key): the records of read_arc() without a problem and without their
+    payloads. key is the whole number in the HTTP header `key_header`, null without one."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    more = _parse_datatype_string("record_id string, warc_date string, digest string, payload_bytes long, key long").fields
-    full = StructType(records.schema.fields + more)
-    schema = to_arrow_schema(full)
-    rows = records.where("problem is null").mapInArrow(named, full)
-    is_http = F.octet_length("headers") > 0
-    can = is_http & (F.col("payload_bytes") >= min_bytes)
-    # A null key comes before all others. Only payloads that occur again are joined, and copied to the tasks only that have rows of them.
-    order = F.struct(F.col("key").isNotNull().alias("has"), F.col("key").alias("key"), F.col("file").alias("file"), F.col("offset").alias("offset"), "record_id", "url", "warc_date")
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("file", "offset"), F.lit(SALTS)))
-    first = rows.where(can).groupBy("digest", "payload_bytes").agg(F.max(order).alias("first"), F.count("*").alias("n"), F.collect_set("_salt").alias("_salt")).where("n > 1")
-    first = first.select("digest", "payload_bytes", F.explode("_salt").alias("_salt"), *[F.col(f"first.{c}").alias(f"_{c}") for c in ("record_id", "url", "warc_date")])
-    met = rows.join(first, ["digest", "payload_bytes", "_salt"], "left")
-    again = can & F.col("_record_id").isNotNull() & (F.col("record_id") != F.col("_record_id"))
-    kind = F.when(~is_http, "resource").when(again, "revisit").otherwise("response")
-    met = met.withColumn("warc_type", kind)
-    for name, c in (("refers_to", "_record_id"), ("refers_to_url", "_url"), ("refers_to_date", "_warc_date")):
-        met = met.withColumn(name, F.when(F.col("warc_type") == "revisit", F.col(c)))
-    return met.drop("_record_id", "_url", "_warc_date", "_salt")
-
-
-def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write records of convert() as WARC files. A revisit holds the HTTP headers only, so the length they declare is the payload's."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = "file string, offset long, url string, warc_date string, record_id string, digest string, payload_bytes long, http boolean, key long"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (row | {"file": file} for b in batches for file, data in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for row in _synthetic(opened(data), file, key_header))
+        yield from _batched(each, arrow, lambda r: 200)
+
+    return _files(spark, path).mapInArrow(parsed, schema)
+
+
+def revisits(index: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(file, offset, refers_to, refers_to_url, refers_to_date) of the records of index_arc() that revisit another.
+
+    Of records with equal payloads of at least min_bytes the one of the largest key (then of the last archive and offset) is the response, the
+    others revisit it; a null key comes before all others. Payloads compare by SHA-1 and length. Records without HTTP headers revisit nothing.
+    """
+    same = ["digest", "payload_bytes"]
+    order = F.struct(F.col("key").isNotNull().alias("has"), "key", "file", "offset", "record_id", "url", "warc_date")
+    rows = index.where(F.col("http") & (F.col("payload_bytes") >= min_bytes)).withColumn("_salt", F.pmod(F.xxhash64("file", "offset"), F.lit(SALTS)))
+    # A payload that occurs again is copied to those tasks only that have rows of it.
+    first = rows.groupBy(*same).agg(F.max(order).alias("first"), F.count("*").alias("n"), F.collect_set("_salt").alias("_salt")).where("n > 1")
+    first = first.select(*same, F.explode("_salt").alias("_salt"), "first")
+    met = rows.select("file", "offset", "record_id", *same, "_salt").join(first, [*same, "_salt"]).where("record_id <> first.record_id")
+    return met.select("file", "offset", F.col("first.record_id").alias("refers_to"), F.col("first.url").alias("refers_to_url"), F.col("first.warc_date").alias("refers_to_date"))
+
+
+def convert(spark: SparkSession, arc: str, warc: str, key_header: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the records of the ARC files below `arc` as WARC files below `warc`.
+
+    Types: revisit by revisits(), response for other records with HTTP headers, resource for those without. A revisit holds the HTTP headers
+    only, so the length they declare is the payload's. Records with a problem (see read_arc()) are left out. Payloads stay in the archives
+    until they are written: an index of digests settles the revisits, and each archive meets the list of its own.
+    """
+    index = materialize(index_arc(spark, arc, key_header), "index")
+    own = revisits(index, min_bytes).groupBy("file").agg(F.collect_list(F.struct("offset", "refers_to", "refers_to_url", "refers_to_date")).alias("revisits"))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        for file, data, again in zip(batch.column("file").to_pylist(), text_bytes(batch.column("content")), batch.column("revisits").to_pylist(), strict=True):
+            to = {r["offset"]: r for r in again or ()}
+            for r in _synthetic(opened(data), file, key_header):
+                yield r | {"version": 1, "again": to.get(r["offset"])}
 
     def record(version: int, name: str, offset: int, r: dict) -> bytes:
-        revisit = r["warc_type"] == "revisit"
-        block = r["headers"] + (b"" if revisit else r["payload"])
-        own = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", None if r["ip"] == "0.0.0.0" else r["ip"])]
-        own += [("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("WARC-Block-Digest", f"sha1:{sha1(block)}")]
-        own += [("WARC-Profile", REVISIT), ("WARC-Refers-To", r["refers_to"]), ("WARC-Refers-To-Target-URI", r["refers_to_url"]), ("WARC-Refers-To-Date", r["refers_to_date"])] if revisit else []
-        return warc_record([*own, ("Content-Type", "application/http; msgtype=response" if r["headers"] else r["mime"])], block)
+        again = r["again"]
+        block = r["headers"] + (b"" if again else r["payload"])
+        fields = [("WARC-Type", "revisit" if again else "response" if r["http"] else "resource"), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", None if r["ip"] == "0.0.0.0" else r["ip"])]
+        fields += [("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("WARC-Block-Digest", f"sha1:{sha1(block)}")]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", again["refers_to"]), ("WARC-Refers-To-Target-URI", again["refers_to_url"]), ("WARC-Refers-To-Date", again["refers_to_date"])] if again else []
+        return warc_record([*fields, ("Content-Type", "application/http; msgtype=response" if r["http"] else r["mime"])], block)
 
-    rows = records.select("warc_type", "record_id", "warc_date", "url", "ip", "mime", "digest", "headers", F.when(F.col("warc_type") != "revisit", F.col("payload")).alias("payload"), "refers_to", "refers_to_url", "refers_to_date", F.lit(1).alias("version"))
-    _write(rows, _packed(lambda _, name: warc_info(name), record, "warc", archive_bytes), path)
+    pack = _packed(lambda _, name: warc_info(name), record, "warc", archive_bytes, rows)
+    _write(_files(spark, arc).join(own, "file", "left"), pack, warc)
+    discard(index)
 
 
 def read_warc(spark: SparkSession, path: str, key_header: str) -> DataFrame:
@@ -386,7 +406,7 @@ def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> D
     spark = pages.sparkSession
     legacy, made = folder(spark, "arc"), path or folder(spark, "warc")
     write_arc(captures(pages), legacy)
-    write_warc(convert(read_arc(spark, legacy), KEY, min_bytes), made)
+    convert(spark, legacy, made, KEY, min_bytes)
     forget(legacy)
     records = materialize(read_warc(spark, made, KEY), "records")
     if not path:
