@@ -6,7 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_batches(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """docs.mapInArrow(run, schema) for columns of any name, dots and back ticks too: by number on the way to the task, by name in it."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def as_row(docs: DataFrame) -> Column:
     """All columns of docs as one struct, so that no name of theirs meets one of ours."""
     return F.struct(*[quoted(c) for c in docs.columns])

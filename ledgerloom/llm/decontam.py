@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, by_bytes, discard, materialize, mix64, place, text_bytes
+from .common import appended, by_bytes, discard, map_batches, materialize, mix64, place, text_bytes
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are held in memory at once; a larger benchmark is searched in several passes.
@@ -215,7 +215,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: i
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Patterns([(r["item"], bytes(r["text"])) for r in part], window))
         final = k == blocks - 1
-        docs = docs.mapInArrow(_pass(shared, k == 0, final, only_clean), result if final else row)
+        docs = map_batches(docs, _pass(shared, k == 0, final, only_clean), result if final else row)
         if not final:
             docs = materialize(docs, f"decontam{k}")
             if before is not None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, crc_mod, discard, fit_sample, materialize, place
+from .common import appended, crc_mod, discard, fit_sample, map_batches, materialize, place
 
 # Families by ISO 639-1 code; a language that is not listed forms a family of its own.
 FAMILIES = {
@@ -35,10 +35,15 @@ MOST_DOCS, PER_LANGUAGE, MOST_BYTES = 6000, 600, 1 << 16
 STRETCH = 1 << 20
 #: Tasks that train machines.
 MOST_TASKS = 200
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double"
 
 
+def _has_letter(text: str) -> bool:
+    """Whether text has a letter (Unicode's categories L); fractions, raised digits and the like are none."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], lang)
 
@@ -180,7 +185,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             texts = batch.column(place(batch.schema.names, "text")).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            todo = [i for i, t in enumerate(texts) if t and own["families"] and _LETTER.search(t)]
+            todo = [i for i, t in enumerate(texts) if t and own["families"] and _has_letter(t)]
             at = 0
             while at < len(todo):
                 end, size = at, 0
@@ -196,7 +201,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name.lower() not in ("lang_pred", "score")]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(lang, pa.string()), pa.array(score)], names=[n for n, _ in kept] + ["lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def fold(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, constants, discard, hot_keys, materialize, mix64, salted, spread, text_bytes
+from .common import by_bytes, constants, discard, hot_keys, materialize, mix64, quoted, salted, spread, text_bytes
 
 COORDINATES = 64
 #: Pairs of the prefix join for each of its postings up to which it is made, and pairs that pass its bounds for each document up to
@@ -317,4 +317,4 @@ def _near(docs: DataFrame, signed: DataFrame, shingle_words: int, similarity: fl
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without documents that have a linked one of smaller doc_id reachable; one document of each group stays."""
     gone = near_duplicates(docs, shingle_words, similarity).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

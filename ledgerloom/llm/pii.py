@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import appended, place
+from .common import appended, map_batches, place
 
 KINDS = ("email", "ip", "card", "phone")
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -282,7 +282,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             new += [pa.array([hashlib.sha256(render(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([render(s) for _, s in found], pa.string())]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + new, names=[n for n, _ in kept] + list(schema.names[-6:]))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 _NEW = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}
@@ -308,4 +308,4 @@ def redact_pii(docs: DataFrame) -> DataFrame:
                 columns[j] = pa.array([old.as_py() if t is None else len(t) for t, old in zip(texts, columns[j], strict=True)]).cast(batch.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

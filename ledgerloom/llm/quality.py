@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, crc_mod, fit_sample, place, text_bytes
+from .common import appended, crc_mod, fit_sample, map_batches, place, text_bytes
 
 BLOCK = 2048
 #: Bounds of the sample to fit on: documents of each label, bytes of one document.
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name.lower() not in ("score", "predicted")]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[n for n, _ in kept] + ["score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
@@ -159,7 +159,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(scores(batch) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def fold(labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:

@@ -84,14 +84,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
     """query_id, rank (from 1), vec_id, score of the k best rows for each query; is_query tells which rows of vectors are.
 
     vectors: (vec_id, embedding). Score: inner product of floor(1024 x); ties go to the smaller vec_id; the query's own id is
-    left out. Null ids, and vectors that are null or hold null or non-finite components take no part; vectors are
+    left out. Null ids, and vectors that are null or hold null or non-finite components take no part, components that are not finite as
+    doubles when scaled included; vectors are
     compared with those of their own length, empty ones too, with the score 0. Of rows that share a vec_id, each is a candidate; as a query, one stands for
     all (the one that sorts first). Products beyond 64 bits are clipped to them. Fewer candidates than k give them all; an
     empty table gives an empty result.
     """
     spark = vectors.sparkSession
     x = F.col("embedding")
-    usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double") * SCALE) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q")).where(usable)
     queries = rows.where("q").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = materialize(queries, "queries")

@@ -367,6 +367,13 @@ def test_top_k(spark):
     assert sorted(map(tuple, few.collect())) == sorted(want)
 
 
+def test_top_k_of_components_beyond_the_doubles(spark):
+    """1024 x is no finite double: such a vector takes no part; large ones below that do."""
+    rows = [(0, [1.0, 2.0]), (1, [1e306, 0.0]), (2, [-1.7e308, 1.0]), (3, [1e300, 0.0]), (100, [3.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 3), (0, 2, 100), (100, 1, 3), (100, 2, 0)]
+
+
 def test_top_k_extremes(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
     big = spark.createDataFrame([(0, [1e9, 3.0]), (1, [1e9, 5.0]), (2, [1e30, 0.0])], "vec_id long, embedding array<double>")
@@ -542,6 +549,13 @@ def test_language_odd_inputs(docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_of_texts_without_letters(spark, docs):
+    model = langid.fit(docs, docs)
+    texts = ["½", "²³ ①", "123 _ -- ☃", "Ⅷ", "", None, "ª", "ß", "語", "½ a"]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] != "und" for r in sorted(got, key=lambda r: r["doc_id"])] == [False] * 6 + [True] * 4
+
+
 def test_language_vectors_depend_on_their_text_only(monkeypatch):
     r = random.Random(1)
     texts = ["".join(r.choice("abcdé fgh") for _ in range(n)) for n in (0, 1, 2, 5, 50, 5000)]
@@ -696,7 +710,7 @@ def test_pipeline_stages(spark):
     assert docs.count() > 0
 
 
-CLASHING = ["_n", "_t", "_w", "_c", "_topic", "_salt", "_hits", "_items", "row", "hits", "items", "key", "score", "predicted", "lang_pred", "n_words", "n_hit", "contaminated", "topic", "weight", "rate", "sampled", "spans", "n_email", "component_id", "kept", "n_shingles", "block", "c1", "label"]
+CLASHING = ["_n", "_t", "_w", "_c", "_topic", "_salt", "_hits", "_items", "row", "hits", "items", "key", "score", "predicted", "lang_pred", "n_words", "n_hit", "contaminated", "topic", "weight", "rate", "sampled", "spans", "n_email", "component_id", "kept", "n_shingles", "block", "c1", "label", "a.b", "a`b", "doc_id.x", "with space"]
 
 
 def with_clashes(docs):
