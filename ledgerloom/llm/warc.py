@@ -338,6 +338,7 @@ def convert(spark: SparkSession, arc: str, warc: str, key_header: str, min_bytes
     """
     index = materialize(index_arc(spark, arc, key_header), "index")
     own = revisits(index, min_bytes).groupBy("file").agg(F.collect_list(F.struct("offset", "refers_to", "refers_to_url", "refers_to_date")).alias("revisits"))
+    own = materialize(own, "revisits")  # written, its size is known: the planner broadcasts it if it is small and deals archives by file if not
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         for file, data, again in zip(batch.column("file").to_pylist(), text_bytes(batch.column("content")), batch.column("revisits").to_pylist(), strict=True):
@@ -355,7 +356,7 @@ def convert(spark: SparkSession, arc: str, warc: str, key_header: str, min_bytes
 
     pack = _packed(lambda _, name: warc_info(name), record, "warc", archive_bytes, rows)
     _write(_files(spark, arc).join(own, "file", "left"), pack, warc)
-    discard(index)
+    discard(index, own)
 
 
 def read_warc(spark: SparkSession, path: str, key_header: str) -> DataFrame:
