@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 SKIPPED_SYMBOLS = ["main", "init", "__init__", "test", "setUp"]
 MOST_ROWS, MOST_PATHS = 50, 3
 
@@ -29,7 +31,7 @@ def tested_by(hits: DataFrame, tests: DataFrame) -> DataFrame:
     Test chunks are exploded into their words once and met by equality; each chunk counts once a symbol.
     """
     names = hits.select("symbol").where((F.length("symbol") >= 4) & ~F.col("symbol").isin(SKIPPED_SYMBOLS)).distinct()
-    words = tests.select("path", F.monotonically_increasing_id().alias("_c"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("symbol"))
+    words = tests.select("path", F.monotonically_increasing_id().alias("_c"), F.explode(F.array_distinct(X.runs(F.col("text"), "[^A-Za-z0-9_]+"))).alias("symbol"))
     met = words.join(names, "symbol")
     first = met.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("path", "_c"))).where(F.col("_n") <= MOST_ROWS)
     paths = first.groupBy("symbol").agg(F.slice(F.array_sort(F.collect_set("path")), 1, MOST_PATHS).alias("tested_by"))

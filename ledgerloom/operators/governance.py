@@ -2,8 +2,8 @@
 
 A reference governs a path if it is equal, an ancestor or a descendant by whole segments, or a matching glob. The first
 three are equi-joins, for references with and without glob characters: paths are exploded into their ancestors and met with
-the references, and the other way round. Matches of globs are added: by broadcast behind a check of their number, beyond it
-by an equi-join on their literal directory.
+the references, and the other way round. Matches of globs are added: a path meets a glob by a gram of the longest part without a wildcard
+that it has, wherever in the path that may stand, so globs without a directory are no exception.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, values
 from ..functions import text as X
-
-MOST_GLOBS = 10_000
+from . import patterns
 
 
 def ref_path(ref: Column) -> Column:
@@ -54,15 +53,8 @@ def govern(paths: DataFrame, refs: DataFrame, path: str = "path", ref: str = "re
     up = paths.join(named.withColumn("_a", F.explode(ancestors(F.col("_r")))), F.col(path) == F.col("_a")).where(F.col("_a") != F.col("_r"))
     keep = [*paths.columns, *refs.columns]
     out = down.select(*keep).unionByName(up.select(*keep))
-    pattern = named.where(is_glob(F.col(ref))).withColumn("_g", X.glob_pattern(F.col("_r")))
-    few = pattern.limit(MOST_GLOBS + 1).count() <= MOST_GLOBS
-    # Beyond the bound, globs meet only paths under their literal directory: an equi-join again.
-    if few:
-        met = paths.join(F.broadcast(pattern), F.rlike(F.col(path), F.col("_g")))
-    else:
-        fixed_part = F.regexp_extract("_r", r"^((?:[^*?\[/]+/)*)", 1)
-        rooted = pattern.withColumn("_d", F.regexp_replace(fixed_part, "/$", ""))
-        met = paths.withColumn("_p", F.explode(F.array_union(F.array(F.lit("")), ancestors(F.col(path))))).join(rooted, F.col("_p") == F.col("_d")).where(F.rlike(F.col(path), F.col("_g")))
+    pattern = named.where(is_glob(F.col(ref))).withColumn("_glob", X.glob_pattern(F.col("_r")))
+    met = patterns.matched(paths, path, pattern, "_glob", patterns.glob_literals(F.col("_r")), least=1)
     return out.unionByName(met.select(*keep)).dropDuplicates()
 
 
@@ -167,12 +159,11 @@ def fragment_status(fragment: Column, symbol: Column, qualified_name: Column, re
 def drift(invariants: DataFrame, lines: DataFrame) -> DataFrame:
     """(invariant, state) where state is violation, hold_violation, skipped or ok.
 
-    invariants: (inv_id, kind, pattern, scope, allowed, tier); lines: (path, line_no, text). Invariants are few (one a ruling)
-    and broadcast behind MOST_GLOBS; hits outside `allowed` break no-bypass and pattern-absent, other than one site breaks
+    invariants: (inv_id, kind, pattern, scope, allowed, tier); lines: (path, line_no, text). Lines meet a pattern by a literal that
+    it requires (patterns.matched()); hits outside `allowed` break no-bypass and pattern-absent, other than one site breaks
     single-definition, none under the scope breaks must-call, which is skipped without a scope.
     """
-    small = F.broadcast(invariants) if invariants.limit(MOST_GLOBS + 1).count() <= MOST_GLOBS else invariants
-    hit = lines.join(small, F.rlike(F.col("text"), F.col("pattern")))
+    hit = patterns.matched(lines, "text", invariants, "pattern")
     outside = ~F.exists(F.coalesce("allowed", F.array().cast("array<string>")), lambda r: matches(F.col("path"), r))
     in_scope = F.coalesce(matches(F.col("path"), F.col("scope")), F.lit(False))
     found = hit.groupBy("inv_id").agg(F.sum(outside.cast("long")).alias("outside"), F.count("*").alias("hits"), F.sum(in_scope.cast("long")).alias("scoped"))

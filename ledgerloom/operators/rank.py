@@ -137,23 +137,36 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return top_k(out, [F.desc("score"), F.asc(key)], k) if k else out
 
 
-def nearest_of_each(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 1000) -> DataFrame:
+def nearest_of_each(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 256) -> DataFrame:
     """(query_id, key, score, rank): the k nearest other rows by cosine (to nine places, ties by key) of each row that is a query.
 
-    Exact over all rows; queries are met in blocks of a stated number, each broadcast.
+    Exact over all rows, by products of blocks: rows and queries are packed into blocks of about `block` unit vectors of one length, every
+    block of rows meets every block of queries by an equi-join, and each pair of blocks gives the k best of the block for each query
+    before anything is sorted. Vectors that are null or hold null or non-finite components take no part; one of norm 0 scores 0.
     """
-    from ..functions.values import cosine
-
+    x = F.col(vector).cast("array<double>")
+    odd = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~odd).select(F.col(key).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), x.alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
+    rows = rows.select("id", "q", F.size("v").alias("dim"), "v", norm.alias("norm")).withColumn("u", F.transform("v", lambda e: F.when(F.col("norm") > 0, e / F.col("norm")).otherwise(0.0)))
+    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
+    blocks, turns = max(1, -(-n // block)), max(1, -(-asked // block))
+    own = F.struct(F.col("id").alias("id"), F.col("u").alias("u"))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "dim").agg(F.collect_list(own).alias("rows"))
+    asking = rows.where("q").groupBy(F.pmod(F.xxhash64("id"), F.lit(turns)).alias("turn"), "dim").agg(F.collect_list(own).alias("queries"))
+    met = packed.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long")))).join(asking, ["turn", "dim"])
+
+    def best(q: Column) -> Column:
+        def scored(v: Column) -> Column:
+            dot = F.aggregate(F.zip_with(q["u"], v["u"], lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+            return F.struct((-F.round(dot, 9)).alias("less"), v["id"].alias("id"))
+
+        return F.struct(q["id"].alias("query_id"), F.slice(F.sort_array(F.transform(F.filter("rows", lambda v: v["id"] != q["id"]), scored)), 1, k).alias("best"))
+
+    lists = met.select(F.inline(F.transform("queries", best))).select("query_id", F.inline("best"))
+    ranked = lists.select("query_id", F.col("id").alias(key), (-F.col("less")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    queries = vectors.where(is_query).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        met = vectors.join(part, F.col(key) != F.col("query_id")).select("query_id", key, F.round(cosine(F.col(vector), F.col("_q")), 9).alias("score")).where("score is not null")
-        best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def evaluate(expected: Column, hits: Column, ks: tuple[int, ...] = (1, 3, 10)) -> dict[str, Column]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import governance
+from . import governance, patterns
 from .lint import _found
 
 DEFINITION = "path string, symbol string, line int, unit_line int, fingerprint string, calls array<string>, strings array<string>, text string"
@@ -109,22 +109,19 @@ def undelegated(defs: DataFrame, consumers: DataFrame) -> DataFrame:
     return _found(met.where(~F.coalesce(F.array_contains("calls", F.col("owner")), F.lit(False))), "delegation", "error", F.concat(F.lit("does not call "), F.col("owner")), "symbol")
 
 
-def construct_owners(defs: DataFrame, owners: DataFrame, block: int = governance.MOST_GLOBS) -> DataFrame:
+def construct_owners(defs: DataFrame, owners: DataFrame) -> DataFrame:
     """A construct has one owner. owners: id, path, symbol, pattern, paths (where it is looked for; none: everywhere).
 
     Outermost functions whose code holds an owner's pattern and that are not its own are found, and owners that no longer
-    hold it. Owners are met in blocks of a stated number, each broadcast.
+    hold it. Functions meet an owner by a literal that its pattern requires.
     """
     at = defs.select(F.col("path").alias("_path"), F.col("symbol").alias("_symbol"), F.col("unit_line").alias("_line")).distinct()
     own = owners.select("id", F.col("path").alias("_path"), F.col("symbol").alias("_symbol"), "pattern", "paths").join(at, ["_path", "_symbol"], "left")
     units = defs.where("line = unit_line")
     folder = lambda p: F.concat(F.regexp_replace(p, "/+$", ""), F.lit("/"))
     under = (F.coalesce(F.size("paths"), F.lit(0)) <= 0) | F.exists("paths", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), folder(p)))
-    blocks, met = max(1, -(-owners.count() // block)), None
-    for b in range(blocks):
-        part = F.broadcast(own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b))
-        one = units.join(part, under & F.rlike(F.col("text"), F.col("pattern"))).select("id", "path", "symbol", F.coalesce((F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")), F.lit(False)).alias("mine"))
-        met = one if met is None else met.unionByName(one)
+    met = patterns.matched(units, "text", own, "pattern").where(under)
+    met = met.select("id", "path", "symbol", F.coalesce((F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")), F.lit(False)).alias("mine"))
     stale = owners.join(met.where("mine").select("id").distinct(), "id", "left_anti")
     out = _found(met.where("not mine"), "construct", "error", F.concat(F.lit("holds the construct of "), F.col("id")), "symbol")
     return out.unionByName(_found(stale, "construct-stale", "error", F.concat(F.lit("no longer holds the construct of "), F.col("id")), "symbol"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, values
 from ..functions import text as X
-from ..operators import governance, lint, logs, rank
-from ..session import ship
+from ..operators import governance, lint, logs, postings, rank
+from ..session import scratch, ship
 from ..sources import code
 from ..streaming import sessions
 
@@ -87,15 +87,26 @@ bm AS (SELECT hit.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001
        FROM hit JOIN df USING (term) JOIN tok USING (doc_id), st GROUP BY hit.doc_id)"""
 
 
+def _index(t) -> postings.Index:
+    return postings.of_files(t.documents, "doc_id", "text")
+
+
 @query(f"""WITH {_TF}, s AS (SELECT doc_id, sum(tf * (ln(((SELECT count(*) FROM tok) + 1) / (df + 1)) + 1)) AS score FROM hit JOIN df USING (term) GROUP BY doc_id)
 SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20""")
 def kw_tfidf_topk(t):
-    docs = t.documents.where("text is not null")
-    return rank.top_k(rank.tfidf(docs, "doc_id", F.col("text"), Q), [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
+    """From the index of the table, as the next ones; it is built when the first of them runs."""
+    scored = _index(t).tfidf(Q).withColumnRenamed("key", "doc_id")
+    return rank.top_k(scored, [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def bm25_topk(t):
+    return _index(t).bm25_top(Q, 20).select(F.col("key").alias("doc_id"), r6(F.col("score"), "score"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
+def bm25_scan(t):
+    """The same without an index: terms are counted where documents are read."""
     docs = t.documents.where("text is not null")
     return rank.top_k(rank.bm25(docs, "doc_id", F.col("text"), Q), [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
 
@@ -103,9 +114,18 @@ def bm25_topk(t):
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND source <> 'src0' ORDER BY bm.score DESC, doc_id LIMIT 20")
 def bm25_filtered(t):
     """Metadata filters inside the channel; statistics of the whole table."""
-    docs = t.documents.where("text is not null")
-    found = rank.bm25(docs, "doc_id", F.col("text"), Q, keep=(F.col("lang") == "en") & (F.col("source") != "src0"))
-    return rank.top_k(found, [F.desc("score"), F.asc("doc_id")], 20).select("doc_id", r6(F.col("score"), "score"))
+    keep = t.documents.where((F.col("lang") == "en") & (F.col("source") != "src0")).select(F.col("doc_id").alias("key"))
+    return _index(t).bm25_top(Q, 20, keep).select(F.col("key").alias("doc_id"), r6(F.col("score"), "score"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents WHERE text IS NOT NULL)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, min(doc_id) AS first_doc FROM w GROUP BY term""")
+def index_postings(t):
+    """A whole index, built anew: of every term its documents and occurrences, as the postings have them."""
+    path = scratch(t.spark, "index")
+    postings.build(t.documents.where("text is not null"), "doc_id", F.col("text"), path)
+    rows = t.spark.read.parquet(f"{path}/postings")
+    return rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tf"), F.min(F.array_min("keys")).alias("first_doc"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
@@ -125,8 +145,7 @@ gr AS (SELECT family, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank
 
 
 def _channels(t) -> tuple[DataFrame, DataFrame]:
-    docs = t.documents.where("text is not null")
-    found = rank.bm25(docs, "doc_id", F.col("text"), Q).join(docs.select("doc_id", F.col("source").alias("family")), "doc_id")
+    found = _index(t).bm25(Q).withColumnRenamed("key", "doc_id").join(t.documents.select("doc_id", F.col("source").alias("family")), "doc_id")
     order = [F.desc("score"), F.asc("doc_id")]
     fts = rank.ranked(rank.top_k(rank.collapse(found, "family", order), order, rank.FTS_CAP), order)
     by_length = [F.desc("n_chars"), F.asc("doc_id")]

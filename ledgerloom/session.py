@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -21,6 +23,51 @@ def build(app: str = "ledgerloom", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+_folders: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share, deleted at exit or by drop(). Where that is unset, one of our own in local
+    mode and an error elsewhere."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    path = f"{found.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}/{label}"
+    _folders[path] = spark
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a location, in the driver."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop(path: str) -> None:
+    """Delete a folder of scratch()."""
+    fs, at = file_system(_folders.pop(path), path.rsplit("/", 1)[0])
+    fs.delete(at, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    while _folders:
+        try:
+            drop(next(iter(_folders)))
+        except Exception:  # noqa: BLE001  at exit the JVM may be gone
+            return
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in a folder of scratch(): it is computed once, and survives the loss of executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application, so that it need not be installed there."""
     app = spark.sparkContext.applicationId

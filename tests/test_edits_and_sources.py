@@ -4,7 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import edits, reuse
+from ledgerloom.operators import edits, patterns, reuse
 from ledgerloom.sources import records, tables
 
 TEXT = "---\ntype: topic\nid: TOP-1\ncurrent: L1\ncode_refs: [src/a.py]   \nlinks:\n- link: L1\n  status: active   # keep\n  ruling: {text: Old., authority: agent-inference}\n---\nBody ünd more.\n"
@@ -66,14 +66,15 @@ def test_reuse(spark):
     assert [r["id"] for r in reuse.jobs_for(rows, spark.createDataFrame([("lib/a.py",), ("src/b.py",)], "path string")).collect()] == ["J1", "J2"]
 
 
-def test_constructs_and_bypasses(spark):
+def test_constructs_and_bypasses(spark, monkeypatch):
     src = {"own.py": "def job():\n    def inner():\n        return open('x')\n    return inner\n", "a.py": "def f():\n    return open('y')\ndef g():\n    'open(x)'  # open(x)\n    return 1\n", "b/c.py": "class K:\n    def m(self):\n        return open('z')\n"}
     defs = reuse.definitions(spark.createDataFrame([(k, bytearray(v.encode())) for k, v in src.items()], "path string, content binary"))
     kind = "id string, path string, symbol string, pattern string, paths array<string>"
     owners = spark.createDataFrame([("J1", "own.py", "inner", r"open\(", None), ("J2", "own.py", "job", r"open\(", ["b/"]), ("J3", "own.py", "job", "close", [])], kind)
     want = [("a.py", "f", "construct", "J1"), ("b/c.py", "m", "construct", "J1"), ("b/c.py", "m", "construct", "J2"), ("own.py", "job", "construct-stale", "J2"), ("own.py", "job", "construct-stale", "J3")]
-    for block in (1, 100):
-        assert sorted((r["path"], r["link"], r["rule"], r["message"].split()[-1]) for r in reuse.construct_owners(defs, owners, block).collect()) == want
+    for few in (1, 100):
+        monkeypatch.setattr(patterns, "FEW", few)
+        assert sorted((r["path"], r["link"], r["rule"], r["message"].split()[-1]) for r in reuse.construct_owners(defs, owners).collect()) == want
     use = spark.createDataFrame([("a.py", "f", "job", [r"open\("]), ("a.py", "g", "job", [r"open\("]), ("b/c.py", "m", "job", [])], "path string, symbol string, owner string, forbid array<string>")
     assert [(r["path"], r["link"]) for r in reuse.bypasses(defs, use).collect()] == [("a.py", "f")]
 
