@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import code_links, governance, lint, logs, rank
+from .operators import code_links, freshness, governance, lint, logs, rank
+from .session import written
 from .sources import records as R
 
 DECISIONS = ["topic", "link", "incident", "investigation"]
@@ -22,14 +23,36 @@ EMPTY_STORE = "empty"
 
 
 class Store:
-    def __init__(self, records: DataFrame, vectors: DataFrame | None = None):
-        """vectors: (path, vector), by the path of a record or the key of a link row; made outside."""
-        self.records, self.vectors = records, vectors
-        self.good, self.quarantined = R.quarantine(records)
+    def __init__(self, records: DataFrame, vectors: DataFrame | None = None, fingerprint: str | None = None, dim: int | None = None):
+        """vectors: (path, vector), by the path of a record or the key of a link row; made outside. With the columns embed_sha and
+        embed_fp too, only those count that the model of this fingerprint made of a row's present content (its sha256), of `dim` components."""
+        self.parsed, self.vectors, self.fingerprint, self.dim = records, vectors, fingerprint, dim
+        if vectors is not None and "embed_sha" in vectors.columns and fingerprint is None:
+            raise ValueError("vectors with embed_sha need the fingerprint of the present model")
 
     @property
     def spark(self) -> SparkSession:
-        return self.records.sparkSession
+        return self.parsed.sparkSession
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """The records as a table: they are parsed once, however many questions are asked."""
+        return written(self.parsed, "records")
+
+    @cached_property
+    def good(self) -> DataFrame:
+        return R.quarantine(self.records)[0]
+
+    @cached_property
+    def quarantined(self) -> DataFrame:
+        return R.quarantine(self.records)[1]
+
+    @cached_property
+    def fresh(self) -> DataFrame:
+        """(path, vector) of the searchable rows whose vector is of their present content."""
+        if "embed_sha" not in self.vectors.columns:
+            return self.vectors.select("path", "vector")
+        return freshness.fresh_vectors(self.rows.select("path", "sha256"), self.vectors, self.fingerprint, self.dim).select("path", "vector")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -40,7 +63,8 @@ class Store:
         """Searchable rows: each record, and each link with a ruling or a reason, of its topic's family."""
         own = self.good.select("path", "type", "title", "body", "status", "authority", F.col("path").alias("family"), F.lit(None).cast("string").alias("link_id"))
         of = self.good.select(F.col("path").alias("family"), F.col("area"), F.col("id").alias("topic"), (F.col("type") == "inbox").alias("inbox"))
-        return own.unionByName(R.link_records(self.records)).join(of, "family")
+        content = F.sha2(F.concat_ws("\n", "title", "body"), 256)
+        return own.unionByName(R.link_records(self.records)).withColumn("sha256", content).join(of, "family")
 
     @cached_property
     def topic_refs(self) -> DataFrame:
@@ -94,7 +118,7 @@ class Store:
             fts = rank.ranked(rank.top_k(fts, order, rank.FTS_CAP), order)
             channels.append(fts)
         if mode != "fts":
-            met = rank.nearest(self.vectors, "path", "vector", query_vector).join(self.rows.where(keep).select("path", "family"), "path")
+            met = rank.nearest(self.fresh, "path", "vector", query_vector).join(self.rows.where(keep).select("path", "family"), "path")
             met = rank.collapse(met, "family", order)
             top = rank.ranked(rank.top_k(met, order, rank.FTS_CAP + limit), order)
             if fts is not None:
@@ -175,7 +199,7 @@ class Store:
         """State of each path against records walked now; and one row of counters."""
         drifted = lint.snapshot_diff(self.records, walked, "path", "sha256").where("state <> 'same'")
         searchable = self.rows.select("path")
-        fresh = searchable.join(self.vectors.select("path").distinct(), "path", "left_semi") if self.vectors is not None else searchable.where("false")
+        fresh = searchable.join(self.fresh.select("path").distinct(), "path", "left_semi") if self.vectors is not None else searchable.where("false")
         n = lambda df, name: df.agg(F.count("*").alias(name))
         parts = [n(self.good.where("type = 'topic'"), "source_topic_count"), n(searchable, "searchable_row_count"), n(fresh, "searchable_vector_count"), n(self.quarantined, "quarantined")]
         one = parts[0]
@@ -201,14 +225,26 @@ class Store:
         out = governance.standing_digest(met.select(F.col("topic_id").alias("topic"), "link", F.col("ruling_text").alias("text"))).crossJoin(bad)  # one row each
         return out.withColumn("reason", F.when(F.col("_bad") > 0, "ineligible").otherwise(F.col("reason"))).withColumn("text", F.when(F.col("reason").isNull(), F.col("text"))).drop("_bad")
 
-    def lint(self, files: DataFrame | None = None) -> DataFrame:
-        """Findings of the record rules; with files (file, lines) of the code, those of concepts too."""
+    def lint(self, files: DataFrame | None = None, markers: DataFrame | None = None, strict: bool = False) -> DataFrame:
+        """Findings of the record rules; with files (file, lines) of the code, those of concepts and of the citations of lines too; with markers
+        (path, topic, link) of the code, those of marks. strict: a citation that leads nowhere is an error."""
         unread = self.quarantined.select("path", F.lit(None).cast("string").alias("link"), F.lit("unreadable").alias("rule"), F.lit("error").alias("severity"), F.array_join("diagnostics", "; ").alias("message"))
         topics = self.good.where("type = 'topic'")
         parts = [lint.link_rules(self.links), lint.topic_rules(topics, self.links), lint.standing_rules(self.pointers, self.links), lint.duplicates(self.good, "id")]
         parts += [lint.record_rules(self.good.where("type <> 'topic'")), lint.stem_rules(self.good), lint.standing_cap_rule(self.standing()), lint.invariant_rules(self.links)]
+        own = self.links.withColumn("alternative_authorities", F.col("alternatives.authority")).withColumn("edge_rels", F.col("edges.rel"))
+        parts += [lint.enum_rules(own), lint.readoptions(self.links), lint.readoptions(self.links, across_topics=True)]
         if files is not None:
             parts.append(lint.concept_rules(self.good.where("type = 'concept'"), topics.select("id"), files))
+            said = F.concat(F.array("ruling_text", "rationale_text"), F.coalesce("evidence", F.array().cast("array<string>")))
+            cites = self.links.select("path", "link", F.explode(said).alias("said")).where("said is not null").select("path", "link", F.explode(X.line_citations(F.col("said"))).alias("c"))
+            cites = cites.select("path", "link", F.col("c.path").alias("cited"), F.col("c.line").alias("line")).distinct()
+            parts.append(lint.citation_rules(cites, files, strict))
+        if markers is not None:
+            ruled = self.links.select(F.col("topic_id").alias("topic"), "link").distinct()
+            refs = self.topic_refs.where(governance.is_anchorable(F.col("ref")) & F.contains("ref", F.lit("#"))).select("topic_path", F.col("topic_id").alias("topic"), "ref")
+            refs = refs.join(governance.current_links(self.links).withColumnRenamed("current", "link"), "topic_path").select("topic", "link", "ref")
+            parts.append(lint.marker_rules(markers, ruled, refs))
         return reduce(DataFrame.unionByName, parts, unread)
 
 

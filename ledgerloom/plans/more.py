@@ -11,7 +11,8 @@ from ..commands import DECISIONS, Store
 from ..functions import fixed, values
 from ..functions import text as X
 from ..operators import code_links, freshness, governance, lint, logs, rank, reuse
-from ..sources import code, records
+from ..session import scratch
+from ..sources import code, index, records
 from .catalog import _LINKS, _in, _links, query
 
 TEXTS = "documents WHERE text IS NOT NULL"
@@ -118,7 +119,7 @@ def capped_chain(t):
 
 
 # --- the store, end to end: suppliers as topics with three links, nations as concepts ----------------------------------
-def _store(t) -> Store:
+def _files(t) -> DataFrame:
     n = F.col("s_suppkey")
     when = lambda c, x: F.when(c, F.lit(x)).otherwise("")
     key = F.col("n_nationkey")
@@ -132,8 +133,24 @@ def _store(t) -> Store:
         F.lit("\n- link: L1\n  date: 2026-01-01\n  status: active\n  ruling: {text: First, authority: code-derived, source: s}\n---\nBody of "), F.col("s_name"), F.lit("\n"),
     )
     concept = F.concat(F.lit("---\nid: CON-"), key, F.lit("\ntype: concept\ntitle: "), F.col("n_name"), F.lit("\nimplemented_by: [src/"), key, F.lit("/]\ngoverned_by: [TOP-"), key + 1, F.lit("]\n---\nThis is not this concept: x\n"))
-    files = t.supplier.select(F.concat(F.lit("topics/s"), n, F.lit(".md")).alias("path"), topic.alias("content")).unionByName(t.nation.select(F.concat(F.lit("concepts/c"), key, F.lit(".md")).alias("path"), concept.alias("content")))
-    return Store(records.parse_records(files))
+    return t.supplier.select(F.concat(F.lit("topics/s"), n, F.lit(".md")).alias("path"), topic.alias("content")).unionByName(t.nation.select(F.concat(F.lit("concepts/c"), key, F.lit(".md")).alias("path"), concept.alias("content")))
+
+
+def _store(t) -> Store:
+    return Store(records.parse_records(_files(t)))
+
+
+@query("""SELECT 'topics/s' || s_suppkey || '.md' AS path, CASE WHEN s_suppkey % 7 = 0 THEN 'dropped' WHEN s_suppkey % 11 = 0 THEN 'quarantined' WHEN s_suppkey % 3 = 0 THEN 'parsed' ELSE 'kept' END AS outcome FROM supplier
+UNION ALL SELECT 'concepts/c' || n_nationkey || '.md', 'kept' FROM nation UNION ALL SELECT 'notes/n' || r_regionkey || '.md', 'parsed' FROM region""")
+def index_reindex(t):
+    """A store is indexed, then files of it go, change, break and come: what a second run does with each path, as the index it published has it."""
+    path = scratch(t.spark, "records")
+    index.reindex(_files(t), path)
+    n = F.regexp_extract("path", r"^topics/s(\d+)", 1).try_cast("int")
+    text = F.when(n % 11 == 0, F.concat(F.lit("---\nlinks: [\n---\n"), "path")).when(n % 3 == 0, F.concat("content", F.lit("More.\n"))).otherwise(F.col("content"))
+    added = t.region.select(F.concat(F.lit("notes/n"), "r_regionkey", F.lit(".md")).alias("path"), F.col("r_name").alias("content"))
+    later = _files(t).where(F.coalesce(n % 7 != 0, F.lit(True))).select("path", text.alias("content")).unionByName(added)
+    return index.reindex(later, path)
 
 
 _S = "s AS (SELECT s_suppkey AS n, s_nationkey AS k, 'topics/s' || s_suppkey || '.md' AS path, 'TOP-' || s_suppkey AS id FROM supplier)"
