@@ -119,7 +119,7 @@ def capped_chain(t):
 
 
 # --- the store, end to end: suppliers as topics with three links, nations as concepts ----------------------------------
-def _files(t) -> DataFrame:
+def _store_files(t) -> DataFrame:
     n = F.col("s_suppkey")
     when = lambda c, x: F.when(c, F.lit(x)).otherwise("")
     key = F.col("n_nationkey")
@@ -137,7 +137,7 @@ def _files(t) -> DataFrame:
 
 
 def _store(t) -> Store:
-    return Store(records.parse_records(_files(t)))
+    return Store(records.parse_records(_store_files(t)))
 
 
 @query("""SELECT 'topics/s' || s_suppkey || '.md' AS path, CASE WHEN s_suppkey % 7 = 0 THEN 'dropped' WHEN s_suppkey % 11 = 0 THEN 'quarantined' WHEN s_suppkey % 3 = 0 THEN 'parsed' ELSE 'kept' END AS outcome FROM supplier
@@ -145,11 +145,11 @@ UNION ALL SELECT 'concepts/c' || n_nationkey || '.md', 'kept' FROM nation UNION
 def index_reindex(t):
     """A store is indexed, then files of it go, change, break and come: what a second run does with each path, as the index it published has it."""
     path = scratch(t.spark, "records")
-    index.reindex(_files(t), path)
+    index.reindex(_store_files(t), path)
     n = F.regexp_extract("path", r"^topics/s(\d+)", 1).try_cast("int")
     text = F.when(n % 11 == 0, F.concat(F.lit("---\nlinks: [\n---\n"), "path")).when(n % 3 == 0, F.concat("content", F.lit("More.\n"))).otherwise(F.col("content"))
     added = t.region.select(F.concat(F.lit("notes/n"), "r_regionkey", F.lit(".md")).alias("path"), F.col("r_name").alias("content"))
-    later = _files(t).where(F.coalesce(n % 7 != 0, F.lit(True))).select("path", text.alias("content")).unionByName(added)
+    later = _store_files(t).where(F.coalesce(n % 7 != 0, F.lit(True))).select("path", text.alias("content")).unionByName(added)
     return index.reindex(later, path)
 
 
