@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values
+from .order import placed
 
 
 def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
@@ -42,8 +43,13 @@ def counts(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """p50 and p95 as the values at the nearest rank."""
-    return rows.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(p * 100)}") for p in (0.5, 0.95)])
+    """p50 and p95 as the values at the nearest rank; nulls do not count. Equal values are counted first, and the counts summed up in the
+    order of values over range partitions: no group's values meet in one buffer."""
+    each = rows.groupBy(*keys, value).agg(F.count("*").alias("_m"))
+    at = placed(each.where(F.col(value).isNotNull()), list(keys), [value], weight="_m")
+    hit = [F.min(F.when(F.col("_i") + F.col("_m") >= F.ceil(F.round(F.col("_n") * F.lit(p), 9)), F.col(value))).alias(f"p{int(p * 100)}") for p in (0.5, 0.95)]
+    found = at.groupBy(*keys).agg(*hit)
+    return found if not keys else found.unionByName(each.groupBy(*keys).agg(F.max(value).alias("_v")).where("_v is null").select(*keys, *[F.lit(None).cast(each.schema[value].dataType).alias(c) for c in ("p50", "p95")]))
 
 
 def top_topics(rows: DataFrame, topic: str, k: int = 5) -> DataFrame:

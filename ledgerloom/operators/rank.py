@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .order import placed
 
 K1, B = 1.2, 0.75
 FLOOR = 1e-6
@@ -188,8 +189,7 @@ def derangement(ids: DataFrame, key: str, kind: str) -> DataFrame:
     """(key, partner): each id with another of its kind, by one rotation a kind; kinds of one member have no partner."""
     from ..functions.values import coprime_column
 
-    w = Window.partitionBy(kind)
-    at = ids.select(key, kind, (F.row_number().over(w.orderBy(key)) - 1).alias("_i"), F.count("*").over(w).alias("_n")).where("_n > 1")
+    at = placed(ids.select(key, kind), [kind], [key]).where("_n > 1")
     at = at.withColumn("_to", F.pmod(F.col("_i") + coprime_column(F.col("_n")), F.col("_n")))
     other = at.select(F.col(kind).alias("_k"), F.col("_i").alias("_j"), F.col(key).alias("partner"))
     return at.join(other, (F.col(kind) == F.col("_k")) & (F.col("_j") == F.col("_to"))).select(key, kind, "partner")

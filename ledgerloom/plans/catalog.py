@@ -69,6 +69,18 @@ def _values(data: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in data) + f") AS t({names})"
 
 
+def _for_each(t, data: list[tuple], *names: str) -> DataFrame:
+    """Rows of a template for each supplier, KEY in them being its number."""
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in data])
+    return t.supplier.select(F.col("s_suppkey").cast("string").alias("_key"), F.inline(rows)).select(*[F.replace(n, F.lit("KEY"), F.col("_key")).alias(n) for n in names])
+
+
+def _for_each_sql(data: list[tuple], names: str, strings: str) -> str:
+    """The same in SQL: the columns of `strings` with KEY replaced, the others as they are."""
+    own = strings.split(", ")
+    return "SELECT " + ", ".join(f"replace({n}, 'KEY', CAST(s_suppkey AS VARCHAR)) AS {n}" if n in own else n for n in names.split(", ")) + f" FROM {_values(data, names)}, supplier"
+
+
 def _in(xs) -> str:
     return ", ".join(f"'{x}'" for x in xs)
 
@@ -269,14 +281,16 @@ def unmapped_paths(t):
     return governance.unmapped(paths, topic, concept, F.contains("path", F.lit(".png"))).select("page_id", "class")
 
 
-_HITS = [("src/a.py", "f", "A.f"), ("src/a.py", "g", "g"), ("lib/z.py", "h", "h")]
-_CONCEPTS = [("C1", "src"), ("C2", "src/a.py#A.f"), ("C3", "src/a.py#q")]
+_HITS = [("src/KEY/a.py", "f", "A.f"), ("src/KEY/a.py", "g", "g"), ("lib/KEY/z.py", "h", "h")]
+_CONCEPTS = [("C1-KEY", "src/KEY"), ("C2-KEY", "src/KEY/a.py#A.f"), ("C3-KEY", "src/KEY/a.py#q")]
+_ATTACHED = [("src/KEY/a.py", "f", "C2-KEY"), ("src/KEY/a.py", "g", "C1-KEY"), ("lib/KEY/z.py", "h", None)]
 
 
-@query("SELECT path, symbol, concept_id FROM " + _values([("src/a.py", "f", "C2"), ("src/a.py", "g", "C1"), ("lib/z.py", "h", None)], "path, symbol, concept_id"))
+@query(_for_each_sql(_ATTACHED, "path, symbol, concept_id", "path, concept_id"))
 def concept_attach(t):
-    hits = t.rows(_HITS, "path string, symbol string, qualified_name string")
-    return governance.attach_concepts(hits, t.rows(_CONCEPTS, "concept_id string, ref string")).select("path", "symbol", "concept_id")
+    """Each supplier has a folder with symbols, and concepts that name the folder, a symbol of it, and one that is not there."""
+    hits, concepts = _for_each(t, _HITS, "path", "symbol", "qualified_name"), _for_each(t, _CONCEPTS, "concept_id", "ref")
+    return governance.attach_concepts(hits, concepts).select("path", "symbol", "concept_id")
 
 
 def _links(t) -> DataFrame:
@@ -441,13 +455,15 @@ def nudge_cooldown(t):
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------
-_RUNS = [("q1", ["a", "b"], ["x", "a", "b", "c"], "path"), ("q2", ["z"], ["p", "q"], "question"), ("q3", ["k"], ["k"], "path"), ("q4", ["m"], ["n", "m", "o"], "question")]
+_EXPECT = "[doc_id % 4, doc_id % 7 + 10]"
+_RECALL = ", ".join(f"round(len(list_intersect(hits[1:{k}], expect)) / len(list_distinct(expect)), 6) AS recall_{k}" for k in (1, 3, 10))
 
 
-@query(f"""SELECT id, round(len(list_intersect(hits[1:1], expect)) / len(list_distinct(expect)), 6) AS recall_1, round(len(list_intersect(hits[1:3], expect)) / len(list_distinct(expect)), 6) AS recall_3, round(len(list_intersect(hits[1:10], expect)) / len(list_distinct(expect)), 6) AS recall_10,
-round(coalesce(1.0 / list_min(list_filter(list_transform(expect, lambda e: list_position(hits, e)), lambda p: p > 0)), 0), 6) AS mrr FROM {_values(_RUNS, "id, expect, hits, kind")}""")
+@query(f"""SELECT id, {_RECALL}, round(coalesce(1.0 / list_min(list_filter(list_transform(expect, lambda e: list_position(hits, e)), lambda p: p > 0)), 0), 6) AS mrr
+FROM (SELECT doc_id AS id, {_EXPECT} AS expect, [doc_id % 5, doc_id % 4, doc_id % 9 + 10] AS hits FROM documents)""")
 def recall_mrr(t):
-    rows = t.rows(_RUNS, "id string, expect array<string>, hits array<string>, kind string")
+    d = F.col("doc_id")
+    rows = t.documents.select(d.alias("id"), F.array(d % 4, d % 7 + 10).alias("expect"), F.array(d % 5, d % 4, d % 9 + 10).alias("hits"))
     return rows.select("id", *[F.round(c, 6).alias(n) for n, c in rank.evaluate(F.col("expect"), F.col("hits")).items()])
 
 
@@ -485,19 +501,20 @@ def keep_newest(t):
     return logs.newest(t.events, ["event_type"], [F.desc("ts"), F.desc("event_id")], 20).select("event_type", "event_id")
 
 
-_SOURCES = [("m.py", "class A:\n    def __init__(self, x: int = 1): pass\n    @property\n    def p(self):\n        'Doc.'\n        return 1\n    async def q(self, *a): pass\ndef f():\n    def g(): pass\n"), ("bad.py", "def ("), ("x.rs", "fn main() {}")]
-_CHUNKS = [("m.py", "constructor", "A.__init__", "def __init__(self, x: int = 1)", 2, "ok"), ("m.py", "accessor", "A.p", "def p(self)", 3, "ok"), ("m.py", "method", "A.q", "async def q(self, *a)", 7, "ok"), ("m.py", "function", "f", "def f()", 8, "ok"), ("m.py", "function", "f.g", "def g()", 9, "ok"), ("bad.py", None, None, None, None, "failed"), ("x.rs", None, None, None, None, "not-indexed: no parser")]
+_SOURCES = [("mKEY.py", "class AKEY:\n    def __init__(self, x: int = 1): pass\n    @property\n    def p(self):\n        'Doc.'\n        return 1\n    async def q(self, *a): pass\ndef f():\n    def g(): pass\n"), ("badKEY.py", "def ("), ("xKEY.rs", "fn main() {}")]
+_CHUNKS = [("mKEY.py", "constructor", "AKEY.__init__", "def __init__(self, x: int = 1)", 2, "ok"), ("mKEY.py", "accessor", "AKEY.p", "def p(self)", 3, "ok"), ("mKEY.py", "method", "AKEY.q", "async def q(self, *a)", 7, "ok"), ("mKEY.py", "function", "f", "def f()", 8, "ok"), ("mKEY.py", "function", "f.g", "def g()", 9, "ok"), ("badKEY.py", None, None, None, None, "failed"), ("xKEY.rs", None, None, None, None, "not-indexed: no parser")]
 
 
-@query("SELECT path, kind, qualified_name, signature, CAST(coalesce(start_line, 0) AS INTEGER) AS start_line, status FROM " + _values(_CHUNKS, "path, kind, qualified_name, signature, start_line, status"))
+@query("SELECT path, kind, qualified_name, signature, CAST(coalesce(start_line, 0) AS INTEGER) AS start_line, status FROM (" + _for_each_sql(_CHUNKS, "path, kind, qualified_name, signature, start_line, status", "path, qualified_name, signature") + ")")
 def py_chunks(t):
-    files = t.rows([(p, s.encode(), len(s)) for p, s in _SOURCES], "path string, content binary, length long")
+    """A module for each supplier, with a file that cannot be parsed and one in another language."""
+    files = _for_each(t, _SOURCES, "path", "content").withColumn("length", F.octet_length("content").cast("long")).withColumn("content", F.col("content").cast("binary"))
     return code.chunks(files).select("path", "kind", "qualified_name", "signature", F.coalesce("start_line", F.lit(0)).alias("start_line"), "status")
 
 
-_SWIFT = """struct Vec {
+_SWIFT = """struct VecKEY {
     init?(x: Int) { self.x = x }
-    static func == (a: Vec, b: Vec) -> Bool { return "{" == "\\(a.map { $0 })" }
+    static func == (a: VecKEY, b: VecKEY) -> Bool { return "{" == "\\(a.map { $0 })" }
     lazy var kept: Int = { 5 }()
     var size: Int { get { 1 } }
     var seen: Int = 0 { didSet { } }
@@ -507,12 +524,13 @@ public func after<T>(
     _ t: T
 ) -> Int where T: P { /* } */ return 1 }
 """
-_SWIFT_CHUNKS = [("constructor", "Vec.init", "init?(x: Int)", 2, 2, "partial"), ("method", "Vec.==", "func == (a: Vec, b: Vec) -> Bool", 3, 3, "partial"), ("accessor", "Vec.size", "var size: Int", 5, 5, "partial"), ("function", "after", "func after<T>( _ t: T ) -> Int where T: P", 9, 11, "partial")]
+_SWIFT_CHUNKS = [("constructor", "VecKEY.init", "init?(x: Int)", 2, 2, "partial"), ("method", "VecKEY.==", "func == (a: VecKEY, b: VecKEY) -> Bool", 3, 3, "partial"), ("accessor", "VecKEY.size", "var size: Int", 5, 5, "partial"), ("function", "after", "func after<T>( _ t: T ) -> Int where T: P", 9, 11, "partial")]
 
 
-@query("SELECT kind, qualified_name, signature, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, status FROM " + _values(_SWIFT_CHUNKS, "kind, qualified_name, signature, start_line, end_line, status"))
+@query("SELECT kind, qualified_name, signature, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, status FROM (" + _for_each_sql(_SWIFT_CHUNKS, "kind, qualified_name, signature, start_line, end_line, status", "qualified_name, signature") + ")")
 def swift_chunks(t):
-    files = t.rows([("v.swift", _SWIFT.encode(), len(_SWIFT))], "path string, content binary, length long")
+    """A file for each supplier."""
+    files = _for_each(t, [("vKEY.swift", _SWIFT)], "path", "content").withColumn("length", F.octet_length("content").cast("long")).withColumn("content", F.col("content").cast("binary"))
     return code.chunks(files).select("kind", "qualified_name", "signature", "start_line", "end_line", "status")
 
 
