@@ -100,7 +100,8 @@ class Store:
         return F.coalesce(c, F.lit(False))
 
     def search(self, question: str, *, mode: str = "hybrid", query_vector: list[float] | None = None, status=None, types=None, area=None, topic=None, authority=None, decisions_only: bool = False, include_inbox: bool = False, limit: int = 10) -> DataFrame:
-        """rank, family, score, fusion and the best row of each hit. mode: fts, vector or hybrid; without vectors, fts.
+        """rank, family, score, fusion and the best row of each hit. mode: fts, vector or hybrid; without vectors, fts. contributing has, by
+        channel, the rank and the link (null for the record itself) that the hit owes it.
 
         Filters hold within each channel, before caps and fusion. The vector channel counts in full: ranks of full-text hits in
         it are counted, not cut off.
@@ -139,11 +140,14 @@ class Store:
         for n, ch in enumerate(channels):
             part = ch.select("family", "path", F.col("rank").alias("_r"), F.lit(n).alias("_c"))
             best = part if best is None else best.unionByName(part)
+        of = self.rows.select("path", "link_id")
+        names = {"fts": ["fts"], "vector": ["vector"], "hybrid": ["fts", "vector"]}[mode]
+        owed = rank.contributors({n: c.join(of, "path") for n, c in zip(names, channels, strict=True) if mode != "hybrid" or fusion == "rrf" or n == "vector"}, "family", "link_id")
         best = best.groupBy("family").agg(F.min_by("path", F.struct("_r", "_c")).alias("path"), F.min("_r").alias("_r"))
         final = [F.desc("score"), F.asc("_r"), F.asc("family")]
-        hits = rank.ranked(rank.top_k(hits.join(best, "family"), final, limit), final).drop("_r")
+        hits = rank.ranked(rank.top_k(hits.join(best, "family"), final, limit), final).drop("_r").join(owed.withColumnRenamed("contributors", "contributing"), "family", "left")
         shown = self.rows.select("path", "title", X.snippet(F.col("body"), F.lit(None).cast("string")).alias("snippet"), F.col("link_id").alias("matched_link_id"), F.when(F.col("link_id").isNotNull(), F.col("status")).alias("link_status"), F.when(F.col("link_id").isNotNull(), F.col("authority")).alias("link_authority"))
-        return hits.join(shown, "path").select("rank", F.col("family").alias("path"), "score", F.lit(fusion).alias("fusion"), "title", "snippet", "matched_link_id", "link_status", "link_authority").orderBy("rank")
+        return hits.join(shown, "path").select("rank", F.col("family").alias("path"), "score", F.lit(fusion).alias("fusion"), "title", "snippet", "matched_link_id", "link_status", "link_authority", "contributing").orderBy("rank")
 
     def paths(self, paths: list[str] | DataFrame) -> DataFrame:
         return paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")

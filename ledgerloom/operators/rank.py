@@ -100,6 +100,16 @@ def rrf(channels: list[DataFrame], family: str, k: int = STORE_K) -> DataFrame:
     return out.groupBy(family).agg(F.sum("part").alias("score"))
 
 
+def contributors(channels: dict[str, DataFrame], family: str, item: str) -> DataFrame:
+    """(family, contributors): for each family what of it each channel ranked, as (rank, channel, item) by rank. Channels are collapsed, so a family has
+    one row in each at most."""
+    out = None
+    for name, c in channels.items():
+        part = c.select(family, F.struct(F.col("rank").cast("int").alias("rank"), F.lit(name).alias("channel"), F.col(item).alias("item")).alias("c"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(family).agg(F.sort_array(F.collect_list("c")).alias("contributors"))
+
+
 def hybrid(fts: DataFrame, vector: DataFrame, family: str, confident: bool, k: int = STORE_K) -> DataFrame:
     """Fused channels, or the vector channel alone if the best full-text hit does not share enough of the query."""
     if not confident:

@@ -172,6 +172,17 @@ def rrf_hybrid(t):
     return out.orderBy(F.desc("score"), "family").limit(10).select("family", r6(F.col("score"), "score"))
 
 
+@query(f"""WITH {_CHANNELS}, u AS (SELECT family, 'fts' AS channel, doc_id, rank FROM (SELECT f.family, f.doc_id, fr.rank FROM f JOIN fr ON fr.family = f.family AND f.k = 1) UNION ALL
+SELECT g.family, 'length', g.doc_id, gr.rank FROM g JOIN gr ON gr.family = g.family AND g.k = 1)
+SELECT family, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 6) AS score, string_agg(rank || ':' || channel || ':' || doc_id, ',' ORDER BY rank, channel) AS contributors FROM u GROUP BY family""")
+def rrf_contributors(t):
+    """Each family's fused score, and the documents that each channel ranked for it."""
+    fts, second = _channels(t)
+    who = rank.contributors({"fts": fts, "length": second}, "family", "doc_id")
+    text = F.array_join(F.transform("contributors", lambda c: F.concat_ws(":", c["rank"], c["channel"], c["item"])), ",")
+    return rank.rrf([fts, second], "family").join(who, "family").select("family", r6(F.col("score"), "score"), text.alias("contributors"))
+
+
 _BEST = "b AS (SELECT text FROM bm JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 1)"
 
 

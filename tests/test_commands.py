@@ -81,8 +81,10 @@ def test_search_hybrid(store):
     got = store.search("cache bytes", query_vector=[1.0, 0.0]).collect()
     assert [(r["path"], r["fusion"]) for r in got] == [("topics/cache.md", "rrf"), ("topics/logs.md", "rrf")]
     assert got[0]["score"] == pytest.approx(2 / 61) and got[1]["score"] == pytest.approx(1 / 62)
+    assert [[(c["rank"], c["channel"]) for c in r["contributing"]] for r in got] == [[(1, "fts"), (1, "vector")], [(2, "vector")]]
+    assert {c["item"] for c in got[0]["contributing"]} <= {None, "L1", "L2"}
     got = store.search("cache zebra quagga okapi tapir", query_vector=[0.0, 1.0], limit=1).collect()
-    assert [(r["path"], r["fusion"]) for r in got] == [("topics/logs.md", "vector")]
+    assert [(r["path"], r["fusion"]) for r in got] == [("topics/logs.md", "vector")] and [c["channel"] for c in got[0]["contributing"]] == ["vector"]
 
 
 def test_far_ranks_are_counted(spark, store):
