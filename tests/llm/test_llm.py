@@ -787,7 +787,7 @@ def test_queries_equal_sql(spark):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in entries.oracle_sql().items():
         got = __spark_entry__.queries()[name](spark, SF)
@@ -796,7 +796,7 @@ def test_queries_equal_sql(spark):
         order = sorted(names)
         assert sorted(got.columns) == order
         assert sorted(repr([r[n] for n in order]) for r in got.collect()) == sorted(repr([dict(zip(names, r, strict=True))[n] for n in order]) for r in cur.fetchall()), name
-    assert len([n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]) == 10 and "pipeline" in __spark_entry__.queries()
+    assert len([n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]) == 13 and "pipeline" in __spark_entry__.queries()
 
 
 def test_packing():
