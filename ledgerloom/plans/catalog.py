@@ -454,15 +454,31 @@ def redelivery_dedupe(t):
 
 
 def _session_events(t) -> DataFrame:
+    """Events as those of sessions: a run of one sort of prompts is one prompt and its redeliveries, every third of which is lost."""
     kind = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type").isin("click", "error"), "edit").otherwise("prompt")
-    key = F.when(kind == "edit", F.col("event_type")).otherwise(F.col("event_id").cast("string"))
-    return t.events.select(F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("kind"), key.alias("key"), F.coalesce("props", F.lit("")).alias("value"))
-
-
-@query()
+    value = F.when(kind != "prompt", F.coalesce("props", F.lit(""))).when(F.col("event_id") % 3 == 0, sessions.LOST).otherwise("")
+    return t.events.select(F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("kind"), F.col("event_type").alias("key"), value.alias("value"))
+
+
+@query("""WITH RECURSIVE raw AS (SELECT CAST(user_id AS VARCHAR) AS session, epoch_us(ts) / 1e6 AS "at", CASE WHEN event_type = 'purchase' THEN 'commit' WHEN event_type IN ('click', 'error') THEN 'edit' ELSE 'prompt' END AS kind, event_type AS key,
+    CASE WHEN event_type IN ('purchase', 'click', 'error') THEN coalesce(props, '') WHEN event_id % 3 = 0 THEN 'lost' ELSE '' END AS value FROM events),
+  ev AS (SELECT *, row_number() OVER w AS n, kind = 'edit' AND lag(value) OVER (PARTITION BY session, kind, key ORDER BY "at", value) IS DISTINCT FROM value AS news FROM raw WINDOW w AS (PARTITION BY session ORDER BY "at", kind, key, value)),
+  st AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS "at", '' AS kind, '' AS verdict, 0 AS turn, 0 AS grown, CAST(NULL AS VARCHAR) AS prompt, FALSE AS opened, CAST(NULL AS INT) AS last_turn, CAST(NULL AS DOUBLE) AS last_at, 0 AS look_turn, CAST(NULL AS DOUBLE) AS look_at, CAST([] AS VARCHAR[]) AS commits FROM ev
+  UNION ALL SELECT session, n, "at", kind, verdict, turn, CASE WHEN verdict = 'coverage' THEN 0 WHEN verdict = 'grown' THEN grown + 1 ELSE grown END, CASE WHEN kind = 'prompt' THEN key ELSE prompt END,
+    CASE WHEN kind = 'prompt' AND verdict <> 'repeat' THEN verdict = 'open' ELSE opened END,
+    CASE WHEN verdict IN ('coverage', 'look-back') THEN turn ELSE last_turn END, CASE WHEN verdict IN ('coverage', 'look-back') THEN "at" ELSE last_at END,
+    CASE WHEN verdict IN ('coverage', 'look-back') THEN turn ELSE look_turn END, CASE WHEN verdict IN ('coverage', 'look-back') THEN "at" ELSE look_at END,
+    CASE WHEN verdict = 'commit' THEN list_append(commits, value)[-20:] ELSE commits END
+  FROM (SELECT *, CASE WHEN kind = 'edit' THEN CASE WHEN news THEN 'grown' ELSE 'same' END WHEN kind = 'commit' THEN CASE WHEN list_contains(commits, value) THEN 'same' ELSE 'commit' END
+      WHEN again AND NOT opened THEN 'repeat' WHEN value = 'lost' THEN 'open' WHEN grown > 0 AND (last_turn IS NULL OR turn - last_turn >= 3 OR "at" - last_at >= 900) THEN 'coverage'
+      WHEN turn - look_turn >= 5 OR "at" - look_at >= 1200 THEN 'look-back' ELSE 'quiet' END AS verdict
+    FROM (SELECT ev.session, ev.n, ev."at", ev.kind, ev.key, ev.value, ev.news, st.grown, st.prompt, st.opened, st.last_turn, st.last_at, st.look_turn, st.commits, ev.key IS NOT DISTINCT FROM st.prompt AS again,
+        st.turn + CASE WHEN ev.kind = 'prompt' AND ev.key IS DISTINCT FROM st.prompt THEN 1 ELSE 0 END AS turn, CASE WHEN ev.kind = 'prompt' THEN coalesce(st.look_at, ev."at") ELSE st.look_at END AS look_at
+      FROM st JOIN ev ON ev.session = st.session AND ev.n = st.n + 1)))
+SELECT session, "at", kind, verdict, turn, grown FROM st WHERE n > 0""")
 def nudge_cooldown(t):
-    """Verdicts of the session rules; tested against a plain loop and against the stream."""
-    return sessions.replay(_session_events(t))
+    """Verdicts of the session rules over a batch, with redeliveries and retries."""
+    return sessions.verdicts(_session_events(t))
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------

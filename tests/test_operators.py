@@ -181,6 +181,33 @@ def test_session_rules(spark):
     assert [r["verdict"] for r in sessions.replay(df).orderBy("session", "at").collect()] == VERDICTS
 
 
+def test_session_rules_by_windows(spark):
+    """Windows and joins give what a loop over each session gives: redeliveries, lost ones, ties, nulls, many commits, one long session."""
+    import random
+
+    r = random.Random(7)
+    rows = list(EVENTS) + [(None, 1.0, "prompt", None, None), (None, 2.0, "edit", None, None), ("n", None, "edit", "a", "1")]
+    for n in range(25):
+        at = 0.0
+        for _ in range(400 if n == 0 else r.randrange(1, 60)):
+            at += r.choice([0, 1, 30, 300, 900, 1200])
+            kind = r.choices(["edit", "commit", "prompt"], [1 if n % 2 else 4, 6 if n % 5 == 0 else 1, 6])[0]
+            value = {"edit": str(r.randrange(3)), "commit": str(r.randrange(30)), "prompt": r.choice(["", "", "lost"])}[kind]
+            rows.append((f"s{n}", at, kind, r.choice("abc"), value))
+    df = spark.createDataFrame(rows, "session string, at double, kind string, key string, value string")
+    want, got = (sorted(map(repr, map(tuple, f(df).collect()))) for f in (sessions.replay, sessions.verdicts))
+    assert got == want
+    said = {x.split("'")[-2] for x in want}
+    assert {"grown", "same", "commit", "repeat", "open", "coverage", "look-back", "quiet"} <= said
+    assert sessions.verdicts(df.limit(0)).count() == 0
+
+
+def test_a_lost_delivery_is_retried(spark):
+    s = sessions.fresh()
+    events = [("edit", "a", "1", 0.0), ("prompt", "p", "lost", 1.0), ("prompt", "p", "lost", 2.0), ("prompt", "p", "", 3.0), ("prompt", "p", "", 4.0)]
+    assert [(sessions.step(s, *e), s["turn"]) for e in events] == [("grown", 0), ("open", 1), ("open", 1), ("coverage", 1), ("repeat", 1)]
+
+
 def test_session_stream(spark, tmp_path):
     schema = "session string, at double, kind string, key string, value string"
     src = str(tmp_path / "in")
