@@ -252,6 +252,32 @@ class Store:
         return reduce(DataFrame.unionByName, parts, unread)
 
 
+LINK_BODY = "date kind reverses reason_for_change ruling_text authority source rationale_text rationale_authority alternatives evidence revisit_if edges assumptions invariant_kind invariant_pattern invariant_scope invariant_allowed recorded_by recorded_at".split()
+
+
+def against(sides: DataFrame) -> DataFrame:
+    """Findings of the append-only rules over the two sides (side `old` or `new`, path, content) of changed records, as git.read_sides() gives them:
+    links, their order and their raw text, lifecycle moves, types, `current`, deleted files; refused, repaired and recovered records.
+    A new side that fails validation is refused and judged no further."""
+    texts = {n: written(sides.where(F.col("side") == n).select("path", "content"), f"{n}_files") for n in ("old", "new")}
+    old, new = (written(R.parse_records(texts[n]), f"{n}_records") for n in ("old", "new"))
+    state = lambda df: df.select("path", "type", "valid", R.parsed(df).alias("parsed"), F.size("links").alias("n_links"), "diagnostics")
+    good = new.where("valid")
+    was = lint.recovered(R.recorded_links(old)).join(good.select("path"), "path", "left_semi")
+    now = R.links(new)
+    heads = lambda df, l: df.where(R.parsed(df)).select("path", "current").join(governance.current_links(l, "path").withColumnRenamed("current", "head"), "path", "left")
+    # A record is judged by `current` where it has links; a null head of one without them is no fault.
+    linked = good.where(F.size("links") > 0)
+    parts = [lint.repairs(state(old), state(new)), lint.deleted_records(old.where("valid").select("path", "type"), new.select("path"))]
+    parts.append(lint.type_changes(old.select("path", "type", (~F.col("valid")).alias("quarantined")), good.select("path", "type")))
+    parts.append(lint.history(was, now, LINK_BODY))
+    parts.append(lint.current_moves(heads(old, R.recorded_links(old)), heads(linked, now)))
+    raw = {n: code_links.spans(texts[n]) for n in ("old", "new")}
+    fields = ["path", "link", "status", "superseded_by", "promoted_by", *LINK_BODY]
+    parts.append(lint.raw_changes(was.select(*fields).join(raw["old"], ["path", "link"], "left"), now.select(*fields).join(raw["new"], ["path", "link"], "left")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def code_search(chunks: DataFrame, question: str, *, role: str | None = "code", concept_refs: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, limit: int = 10) -> DataFrame:
     """rank, path, qualified_name, lines, role, tested_by and concept_id of chunks (path, lang, kind, symbol, qualified_name, signature,
     doc, start_line, end_line, body) that answer a question: those of that very name first, then by full text, fused with

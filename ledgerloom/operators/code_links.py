@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,7 +84,7 @@ def link_spans(text: str) -> dict[str, str]:
             depth = len(m[1])
         ends = line.strip() and not line.lstrip().startswith("#") and (len(line) - len(line.lstrip()) < (depth or 0) or (not m and len(line) - len(line.lstrip()) <= (depth or 0)) or line.startswith("---"))
         if start is not None and (ends or (m and len(m[1]) == depth)):
-            out[name or f"#{len(out)}"] = "\n".join(lines[start:i])
+            out.setdefault(name or f"#{len(out)}", "\n".join(lines[start:i]))  # of links of one id, the first
             start = name = None
         if ends:
             break
@@ -94,6 +95,22 @@ def link_spans(text: str) -> dict[str, str]:
     return out
 
 
+def spans(files: DataFrame) -> DataFrame:
+    """(path, link, raw) of files (path, content): the bytes of each link; none of files that are not UTF-8."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, k, v) for k, v in link_spans(bytes(content).decode("utf-8")).items()]
+                except UnicodeDecodeError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "link", "raw"])
+
+    return files.select("path", "content").mapInPandas(cut, "path string, link string, raw string")
+
+
 def context_pack(parts: DataFrame, pack: str, order: list[Column], text: Column, most_bytes: int) -> DataFrame:
     """(pack, text, parts, omitted): texts in order while the whole, with a line end each, stays within most_bytes, and the line that
     gives the hash and size of what stands above it. A part that does not fit ends the pack."""

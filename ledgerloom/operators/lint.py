@@ -178,6 +178,33 @@ def history(old: DataFrame, new: DataFrame, body: list[str] = BODY_FIELDS) -> Da
     return each.select("path", "link", "rule", F.lit("error").alias("severity"), "message")
 
 
+def recovered(links: DataFrame) -> DataFrame:
+    """Of links (path, link, seq, …) of records that failed validation, those that stand as recorded history: of rows of one id the first by seq (ties by the
+    other fields), rows without an id none."""
+    named = links.where("link is not null and link <> ''")
+    rest = ["seq", *[c for c in links.columns if c not in ("path", "link", "seq")]]
+    return named.groupBy("path", "link").agg(F.min(F.struct(*rest)).alias("_r")).select("path", "link", "_r.*")
+
+
+def repairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What is said of records whose recorded side (path, type, valid, parsed, n_links, diagnostics) failed validation, against the new side; one row a path.
+
+    parsed: the front matter was read as a mapping. A new side that fails is refused (`unreadable`), whatever the old one was. A
+    valid new side is a note: `repaired` where the old one could not be parsed, so that nothing was recorded that could be frozen, and
+    membership cannot be told; `recovered` where links were left to compare with; `no-history` where there were none, so that all links
+    are new. Records that are not of links on either side are passed over.
+    """
+    of = lambda df, n: df.select("path", *[F.col(c).alias(f"{n}_{c}") for c in ("type", "valid", "parsed", "n_links", "diagnostics")], F.lit(True).alias(f"{n}_"))
+    both = of(old, "o").join(of(new, "n"), "path", "right")
+    said = lambda n: F.array_join(F.coalesce(f"{n}_diagnostics", F.array().cast("array<string>")), "; ")
+    bare = F.col("n_type").isin("incident", "investigation", "concept") & (F.col("n_n_links") == 0) & (F.coalesce("o_n_links", F.lit(0)) == 0)
+    failed = F.col("o_").isNotNull() & ~F.col("o_valid")
+    rule = F.when(~F.col("n_valid"), "unreadable").when(failed & ~F.coalesce(bare, F.lit(False)), F.when(~F.col("o_parsed"), "repaired").when(F.col("o_n_links") > 0, "recovered").otherwise("no-history"))
+    message = F.when(~F.col("n_valid"), said("n")).when(~F.col("o_parsed"), F.lit("could not be parsed before; membership not checked")).otherwise(said("o"))
+    found = both.withColumn("rule", rule).where("rule is not null")
+    return found.select("path", F.lit(None).cast("string").alias("link"), "rule", F.when(F.col("rule") == "unreadable", "error").otherwise("note").alias("severity"), message.alias("message"))
+
+
 def pairing(old: DataFrame, new: DataFrame, marks: DataFrame) -> DataFrame:
     """Each member added or removed between two sides (path, id) needs exactly one new mark row (path, id, action)."""
     added = new.exceptAll(old).distinct().withColumn("action", F.lit("add"))

@@ -381,6 +381,29 @@ def raw_changes(t):
     return lint.raw_changes(old.drop("part"), new.drop("part")).select("path", "link", "rule")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS ov, o_orderkey % 2 = 0 AS safe, o_orderkey % 4 AS ol, o_orderkey % 7 <> 0 AS nv, o_orderkey % 4 + o_custkey % 2 AS nl, o_orderpriority AS d, CASE WHEN o_custkey % 3 = 0 THEN 'concept' ELSE 'topic' END AS ty FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT CAST(k AS VARCHAR) AS path, rule, CASE WHEN rule = 'unreadable' THEN 'error' ELSE 'note' END AS severity, CASE rule WHEN 'unreadable' THEN d WHEN 'repaired' THEN 'could not be parsed before; membership not checked' ELSE d END AS message
+FROM (SELECT *, CASE WHEN NOT nv THEN 'unreadable' WHEN ov OR (ty = 'concept' AND ol + nl = 0) THEN NULL WHEN NOT safe THEN 'repaired' WHEN ol > 0 THEN 'recovered' ELSE 'no-history' END AS rule FROM o) WHERE rule IS NOT NULL""")
+def repair_notes(t):
+    """Orders as records on two sides, some of which failed validation on one."""
+    k = F.col("o_orderkey")
+    kind = F.when(F.col("o_custkey") % 3 == 0, "concept").otherwise("topic").alias("type")
+
+    def side(valid: Column, links: Column) -> DataFrame:
+        said = F.when(valid, F.array().cast("array<string>")).otherwise(F.array("o_orderpriority"))
+        return t.orders.select(k.cast("string").alias("path"), kind, valid.alias("valid"), (valid | (k % 2 == 0)).alias("parsed"), links.alias("n_links"), said.alias("diagnostics"))
+
+    new = side(k % 7 != 0, k % 4 + F.col("o_custkey") % 2).where("path % 5 <> 0")
+    return lint.repairs(side(k % 3 != 0, k % 4), new).select("path", "rule", "severity", "message")
+
+
+@query("""SELECT path, link, seq, quantity FROM (SELECT CAST(l_orderkey AS VARCHAR) AS path, 'L' || l_partkey % 3 AS link, l_linenumber AS seq, l_quantity AS quantity, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber, l_quantity) AS n FROM lineitem WHERE l_partkey % 3 > 0) WHERE n = 1""")
+def recovered_links(t):
+    """Lines of an order as links whose ids repeat."""
+    rows = t.lineitem.select(F.col("l_orderkey").cast("string").alias("path"), F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("L"), (F.col("l_partkey") % 3).cast("string"))).alias("link"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").alias("quantity"))
+    return lint.recovered(rows)
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'record-deleted' AS rule FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 IN (0, 2)")
 def deleted_records(t):
     old = t.orders.select(F.col("o_orderkey").cast("string").alias("path"), _pick(F.col("o_orderkey"), _TYPES).alias("type"))

@@ -103,7 +103,7 @@ def parse(raw: bytes) -> dict:
     links = fm.get("links")
     if links is not None and not (isinstance(links, list) and all(isinstance(x, dict) for x in links)):
         out["diagnostics"].append("links: expected a list of mappings")
-        links = []
+        links = [x for x in links if isinstance(x, dict)] if isinstance(links, list) else []  # history that a repair is held against
     out["links"] = [_link(x, i) for i, x in enumerate(links or [])]
     names = [x["link"] for x in out["links"] if x["link"]]
     out["diagnostics"] += [f"links: duplicate link id {n}" for n in sorted({n for n in names if names.count(n) > 1})]
@@ -152,6 +152,17 @@ def quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.where("valid"), records.where("not valid").select("path", "sha256", "size", "diagnostics")
 
 
+def parsed(records: DataFrame) -> Column:
+    """Whether the front matter of a record, valid or not, was read as a mapping."""
+    unread = F.exists(records["diagnostics"], lambda d: F.startswith(d, F.lit("not UTF-8")) | F.startswith(d, F.lit("front matter")))
+    return ~records["fallback"] & ~F.coalesce(unread, F.lit(False))
+
+
+def recorded_links(records: DataFrame) -> DataFrame:
+    """Links of all records that could be parsed, valid or not."""
+    return records.where(parsed(records)).select("path", F.col("path").alias("topic_path"), F.inline("links"))
+
+
 def links(records: DataFrame) -> DataFrame:
     return records.where("valid").select(F.col("path"), F.col("path").alias("topic_path"), F.col("id").alias("topic_id"), "title", F.inline("links"))
 

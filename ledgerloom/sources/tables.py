@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import subprocess
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import git
 
 INVENTORY = "schema_version int, scan_roots array<string>, exclusions array<string>, rows array<struct<id:string,job:string,policy:string,implementation:string,contract:string,why_single:string,related_paths:array<string>,variants:array<struct<symbol:string,contract:string,reason:string>>,guards:array<struct<method:string,params:map<string,string>>>,evidence:string,test:string>>"
 QUERIES = "id string, kind string, query string, expect array<string>, notes string"
@@ -48,27 +47,14 @@ def read_sessions(spark: SparkSession, pattern: str, schema: str = "session_id s
     return spark.read.schema(schema).json(pattern, multiLine=True)
 
 
-def _git(root: str, *args: str) -> bytes:
-    return subprocess.run(["git", "-C", root, *args], capture_output=True, check=True, timeout=60).stdout
-
-
 def read_git(spark: SparkSession, root: str, ref: str = "HEAD", staged: bool = False) -> DataFrame:
     """(side, path, content) of Markdown files that differ between a revision and the work tree or index: old and new side."""
-    changed = _git(root, "diff", "--name-only", "-z", "--no-renames", *(["--cached"] if staged else []), ref).decode().split("\0")
-    rows = []
-    for p in sorted({c for c in changed if c.endswith(".md")}):
-        for side, of in (("old", f"{ref}:{p}"), ("new", f":{p}" if staged else None)):
-            try:
-                raw = _git(root, "show", of) if of else open(f"{root}/{p}", "rb").read()  # noqa: SIM115
-            except (OSError, subprocess.CalledProcessError):
-                continue
-            rows.append((side, p, bytearray(raw)))
-    return spark.createDataFrame(rows, "side string, path string, content binary")
+    return git.read_sides(spark, root, ref, staged).select("side", "path", "content")
 
 
 def tree_status(spark: SparkSession, root: str) -> DataFrame:
     """(code, path, old_path) of a work tree's changes; renames carry both paths."""
-    parts, rows = iter(_git(root, "status", "--porcelain", "-z", "-uall").decode("utf-8", "replace").split("\0")), []
+    parts, rows = iter(git.run(root, "status", "--porcelain", "-z", "-uall").decode("utf-8", "replace").split("\0")), []
     for p in parts:
         if p:
             rows.append((p[:2], p[3:], next(parts) if p[0] in "RC" else None))

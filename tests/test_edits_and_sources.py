@@ -1,11 +1,13 @@
 import json
+import os
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import commands
 from ledgerloom.operators import edits, patterns, reuse
-from ledgerloom.sources import records, tables
+from ledgerloom.sources import git, records, tables
 
 TEXT = "---\ntype: topic\nid: TOP-1\ncurrent: L1\ncode_refs: [src/a.py]   \nlinks:\n- link: L1\n  status: active   # keep\n  ruling: {text: Old., authority: agent-inference}\n---\nBody ünd more.\n"
 
@@ -111,3 +113,88 @@ def test_git_sides(spark, tmp_path):
     old, new = (records.links(records.parse_records(sides.where(F.col("side") == s))) for s in ("old", "new"))
     assert {r["rule"] for r in lint.history(old, new, ["ruling_text"]).collect()} == {"body-frozen"}
     assert {(r["code"], r["path"]) for r in tables.tree_status(spark, str(tmp_path)).collect()} == {(" M", "a.md"), ("??", "b.md")}
+
+
+def _repository(at):
+    run = lambda *a: subprocess.run(["git", "-C", str(at), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    return run
+
+
+def test_git_source_reads_in_partitions(spark, tmp_path):
+    """Many files over many partitions: odd names, empty and binary content, links, deletions, both kinds of new side."""
+    run = _repository(tmp_path)
+    for i in range(20):
+        (tmp_path / f"f{i}.md").write_bytes(f"old {i}\n".encode())
+    (tmp_path / "gone.md").write_text("x")
+    (tmp_path / "two words \n.md").write_text("odd")
+    os.symlink("f0.md", tmp_path / "link.md")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    for i in range(0, 20, 2):
+        (tmp_path / f"f{i}.md").write_bytes(b"" if i == 4 else bytes(range(256)) + str(i).encode())
+    (tmp_path / "gone.md").unlink()
+    (tmp_path / "two words \n.md").write_text("new")
+    (tmp_path / "link.md").unlink()
+    os.symlink("f1.md", tmp_path / "link.md")
+    sides = git.read_sides(spark, str(tmp_path), files=3)
+    assert sides.rdd.getNumPartitions() == 5
+    got = {(r["side"], r["path"]): (r["change"], bytes(r["content"])) for r in sides.collect()}
+    assert len(got) == 25 and got["old", "gone.md"] == ("D", b"x") and ("new", "gone.md") not in got
+    assert got["new", "f4.md"] == ("M", b"") and got["new", "f6.md"][1] == bytes(range(256)) + b"6" and got["old", "f6.md"][1] == b"old 6\n"
+    assert got["new", "two words \n.md"][1] == b"new" and got["old", "link.md"][1] == b"f0.md" and got["new", "link.md"][1] == b"f1.md"
+    run("add", "f6.md")
+    (tmp_path / "f6.md").write_text("later")
+    staged = {(r["side"], r["path"]): bytes(r["content"]) for r in git.read_sides(spark, str(tmp_path), staged=True).collect()}
+    assert staged == {("old", "f6.md"): b"old 6\n", ("new", "f6.md"): bytes(range(256)) + b"6"}
+    with pytest.raises(Exception, match="no revision"):
+        git.read_sides(spark, str(tmp_path), "--output=x").collect()
+    run("add", ".")
+    run("commit", "-qm", "y")
+    assert git.read_sides(spark, str(tmp_path)).count() == 0
+
+
+def test_git_heads_as_a_stream(spark, tmp_path):
+    at = tmp_path / "r"
+    at.mkdir()
+    run = _repository(at)
+    out, seen = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def pull():
+        q = git.stream_heads(spark, [str(at), str(tmp_path / "none")]).writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(processingTime="200 milliseconds").start()
+        q.processAllAvailable()
+        q.stop()
+        return {(r["before"] is None, r["path"], r["complete"]) for r in spark.read.parquet(out).collect()}
+
+    (at / "a.md").write_text("a")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    assert pull() == {(True, None, True)}
+    (at / "b.md").write_text("b")
+    (at / "a.md").write_text("A")
+    run("add", ".")
+    run("commit", "-qm", "y")
+    assert pull() == {(True, None, True), (False, "a.md", True), (False, "b.md", True)}
+    assert len(pull()) == 3
+
+
+def test_append_only_rules_over_git(spark, tmp_path):
+    """Refused, repaired and recovered records, frozen links, raw text, types, `current` and deletions over one diff."""
+    run = _repository(tmp_path)
+    bad = "---\ntype: topic\nid: [x\n---\n"
+    old = {"ok": TEXT, "body": TEXT, "raw": TEXT, "gone": TEXT, "type": TEXT, "cur": TEXT, "lost": bad, "broken": TEXT,
+           "part": TEXT.replace("id: TOP-1", "id: TOP-1\ntags: no-list"), "none": "---\ntype: topic\nlinks: no\n---\n", "both": bad}
+    for k, v in old.items():
+        (tmp_path / f"{k}.md").write_text(v)
+    run("add", ".")
+    run("commit", "-qm", "x")
+    new = old | {"ok": TEXT + "More.", "body": TEXT.replace("Old.", "New."), "raw": TEXT.replace("# keep", "# kept"), "type": TEXT.replace("type: topic", "type: incident"), "cur": TEXT.replace("current: L1", "current: L7"),
+                 "lost": TEXT, "broken": bad, "part": TEXT.replace("Old.", "New."), "none": TEXT, "both": bad + "."}
+    for k, v in new.items():
+        (tmp_path / f"{k}.md").write_text(v)
+    (tmp_path / "gone.md").unlink()
+    got = {(r["path"][:-3], r["rule"], r["severity"]) for r in commands.against(git.read_sides(spark, str(tmp_path))).collect()}
+    assert got == {
+        ("body", "body-frozen", "error"), ("raw", "raw-changed", "error"), ("gone", "record-deleted", "error"), ("type", "type-change", "error"), ("cur", "current-head", "error"), ("cur", "current-moved", "error"),
+        ("lost", "repaired", "note"), ("broken", "unreadable", "error"), ("both", "unreadable", "error"), ("part", "recovered", "note"), ("part", "body-frozen", "error"), ("none", "no-history", "note"),
+    }
