@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import code_links, freshness, governance, lint, logs, rank, reuse
 from ..session import scratch
 from ..sources import code, index, records
+from ..streaming import requests
 from .catalog import _LINKS, _in, _links, query
 
 TEXTS = "documents WHERE text IS NOT NULL"
@@ -381,6 +382,23 @@ def raw_changes(t):
     return lint.raw_changes(old.drop("part"), new.drop("part")).select("path", "link", "rule")
 
 
+@query("""WITH RECURSIVE ev AS (SELECT CAST(user_id % 16 AS VARCHAR) AS queue, epoch_us(ts) / 1e6 AS "at", event_id AS seq, CASE event_type WHEN 'view' THEN 'mark' WHEN 'error' THEN 'mark' WHEN 'signup' THEN 'start' WHEN 'click' THEN 'done' ELSE CASE WHEN event_id % 2 = 0 THEN 'fail' ELSE 'kill' END END AS kind,
+    row_number() OVER (PARTITION BY user_id % 16 ORDER BY epoch_us(ts) / 1e6, event_id, event_type) AS n FROM events),
+  st AS (SELECT DISTINCT queue, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS "at", CAST(0 AS BIGINT) AS seq, '' AS kind, '' AS verdict, FALSE AS held, CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS taken FROM ev
+  UNION ALL SELECT queue, n, "at", seq, kind, verdict, CASE WHEN verdict IN ('claimed', 'again') THEN TRUE WHEN verdict IN ('finished', 'put-back', 'abandoned') THEN FALSE ELSE held END,
+    CASE WHEN kind = 'mark' THEN pending + 1 WHEN verdict IN ('claimed', 'again') THEN 0 WHEN verdict = 'put-back' THEN pending + taken ELSE pending END,
+    CASE WHEN verdict IN ('claimed', 'again') THEN pending WHEN verdict IN ('finished', 'put-back', 'abandoned') THEN 0 ELSE taken END
+  FROM (SELECT ev.*, st.held, st.pending, st.taken, CASE ev.kind WHEN 'mark' THEN CASE WHEN st.pending > 0 THEN 'coalesced' ELSE 'raised' END WHEN 'start' THEN CASE WHEN st.held THEN 'busy' WHEN st.pending > 0 THEN 'claimed' ELSE 'idle' END
+      ELSE CASE WHEN NOT st.held THEN 'ignored' WHEN ev.kind = 'done' THEN CASE WHEN st.pending > 0 THEN 'again' ELSE 'finished' END WHEN ev.kind = 'fail' THEN 'put-back' ELSE 'abandoned' END END AS verdict
+    FROM st JOIN ev ON ev.queue = st.queue AND ev.n = st.n + 1))
+SELECT queue, "at", seq, kind, verdict, pending, taken FROM st WHERE n > 0""")
+def work_requests(t):
+    """Events as marks, starts and ends of passes over sixteen queues."""
+    e = F.col("event_type")
+    kind = F.when(e.isin("view", "error"), "mark").when(e == "signup", "start").when(e == "click", "done").when(F.col("event_id") % 2 == 0, "fail").otherwise("kill")
+    return requests.coalesced(t.events.select((F.col("user_id") % 16).cast("string").alias("queue"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind")))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS ov, o_orderkey % 2 = 0 AS safe, o_orderkey % 4 AS ol, o_orderkey % 7 <> 0 AS nv, o_orderkey % 4 + o_custkey % 2 AS nl, o_orderpriority AS d, CASE WHEN o_custkey % 3 = 0 THEN 'concept' ELSE 'topic' END AS ty FROM orders WHERE o_orderkey % 5 <> 0)
 SELECT CAST(k AS VARCHAR) AS path, rule, CASE WHEN rule = 'unreadable' THEN 'error' ELSE 'note' END AS severity, CASE rule WHEN 'unreadable' THEN d WHEN 'repaired' THEN 'could not be parsed before; membership not checked' ELSE d END AS message
 FROM (SELECT *, CASE WHEN NOT nv THEN 'unreadable' WHEN ov OR (ty = 'concept' AND ol + nl = 0) THEN NULL WHEN NOT safe THEN 'repaired' WHEN ol > 0 THEN 'recovered' ELSE 'no-history' END AS rule FROM o) WHERE rule IS NOT NULL""")
