@@ -26,17 +26,18 @@ def nearest_marks(declarations: DataFrame, marks: DataFrame, above: int = 3) ->
     return d.where(F.col("_at") > F.col("_before")).join(m, ["path", "_at"]).select("path", "line", "symbol", "topic", "link")
 
 
-def tested_by(hits: DataFrame, tests: DataFrame) -> DataFrame:
-    """hits (symbol) with tested_by: at most 3 paths of test chunks (path, text) that name the symbol, of the first 50 such chunks.
+def tested_by(hits: DataFrame, tests: DataFrame, skipped: list[str] = SKIPPED_SYMBOLS) -> DataFrame:
+    """hits (symbol) with tested_by: at most 3 paths of test chunks (path, text) that name the symbol, of the first 50 such chunks. Symbols
+    of under four characters and `skipped` ones get none.
 
-    Test chunks are exploded into their words once and met by equality; each chunk counts once a symbol.
+    Test chunks are exploded into their words once and met by equality; each chunk counts once a symbol. Paths may be of any type that has an order.
     """
-    names = hits.select("symbol").where((F.length("symbol") >= 4) & ~F.col("symbol").isin(SKIPPED_SYMBOLS)).distinct()
+    names = hits.select("symbol").where((F.length("symbol") >= 4) & ~F.col("symbol").isin(skipped)).distinct()
     words = tests.select("path", F.monotonically_increasing_id().alias("_c"), F.explode(F.array_distinct(X.runs(F.col("text"), "[^A-Za-z0-9_]+"))).alias("symbol"))
     met = words.join(names, "symbol")
     first = met.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("path", "_c"))).where(F.col("_n") <= MOST_ROWS)
     paths = first.groupBy("symbol").agg(F.slice(F.array_sort(F.collect_set("path")), 1, MOST_PATHS).alias("tested_by"))
-    return hits.join(paths, "symbol", "left").withColumn("tested_by", F.coalesce("tested_by", F.array().cast("array<string>")))
+    return hits.join(paths, "symbol", "left").withColumn("tested_by", F.coalesce("tested_by", F.array().cast(T.ArrayType(tests.schema["path"].dataType))))
 
 
 def without_wrappers(chunks: DataFrame) -> DataFrame:

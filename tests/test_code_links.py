@@ -26,6 +26,22 @@ def test_tested_by(spark):
     assert got == {"parseThing": ["t0.py", "t1.py", "t2.py"], "main": [], "abc": [], "other": []}
 
 
+def test_tested_by_of_any_symbol_and_order(spark):
+    """A symbol that is skipped by default is found where nothing is to be skipped; numbers stand in their own order."""
+    hits = spark.createDataFrame([("test",), ("rest",)], "symbol string")
+    tests = spark.createDataFrame([(n, "x test") for n in (1000000000, 9, 200000000, 7)], "path long, text string")
+    got = {r["symbol"]: r["tested_by"] for r in code_links.tested_by(hits, tests, skipped=[]).collect()}
+    assert got == {"test": [7, 9, 200000000], "rest": []}
+
+
+def test_tested_by_query_keeps_skipped_symbols(spark, tmp_path):
+    from ledgerloom.plans import catalog
+
+    spark.createDataFrame([(1, "test main"), (200000000, "a test"), (1000000000, "test")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["symbol"], r["tests"]) for r in catalog.queries()["tested_by"](spark, str(tmp_path)).collect()}
+    assert got == {("test", "00000001 1000000000 200000000"), ("main", "00000001")}
+
+
 def test_wrappers_go(spark):
     rows = [("a", "function", "f", 1, 9, True), ("a", "function", "f", 2, 8, False), ("a", "function", "g", 1, 9, True), ("b", "function", "f", 1, 9, False), ("b", "function", "f", 2, 3, False)]
     df = spark.createDataFrame(rows, "path string, kind string, qualified_name string, start_line int, end_line int, wrapper boolean")
