@@ -72,14 +72,20 @@ def rejections(links: DataFrame) -> DataFrame:
 
 
 def readoptions(links: DataFrame, across_topics: bool = False) -> DataFrame:
-    """Adopted links whose text is a rejected sentence, white space aside: of their own topic at a lower number, or of any."""
+    """Adopted links whose text is a rejected sentence, white space aside: of their own topic at a lower number, or of any other.
+
+    Across topics, an adopted link meets one row for each sentence and name of a rejecting link, whatever number of topics rejects it: of these the
+    smallest and the largest path say whether one is another than its own. So what is made and found grows with the links, not with their pairs.
+    """
     rejected = rejections(links).withColumn("_want", X.squeezed(F.col("sentence"))).select(F.col("path").alias("_path"), F.col("link").alias("rejected_link"), F.col("num").alias("_num"), "_want", "restored_num")
     adopted = links.where(F.col("reverses").isNull() & F.col("kind").isin("adopted", "restored") & F.col("status").isin("active", "provisional") & (F.coalesce("ruling_text", F.lit("")) != ""))
-    both = adopted.withColumn("_num_own", link_number(F.col("link"))).withColumn("_text", X.squeezed(F.col("ruling_text"))).join(rejected, F.col("_text") == F.col("_want"))
+    adopted = adopted.withColumn("_num_own", link_number(F.col("link"))).withColumn("_text", X.squeezed(F.col("ruling_text")))
     if across_topics:
-        both = both.where((F.col("path") != F.col("_path")) & F.col("restored_num").isNull())
+        rejected = rejected.where("restored_num is null").groupBy("_want", "rejected_link").agg(F.min("_path").alias("_first"), F.max("_path").alias("_last"))
+        both = adopted.join(rejected, (F.col("_text") == F.col("_want")) & ((F.col("path") != F.col("_first")) | (F.col("path") != F.col("_last"))))
     else:
-        both = both.where((F.col("path") == F.col("_path")) & (F.col("_num") < F.col("_num_own")) & (F.col("restored_num").isNull() | (F.col("restored_num") > F.col("_num_own"))))
+        both = adopted.join(rejected, (F.col("_text") == F.col("_want")) & (F.col("path") == F.col("_path")))
+        both = both.where((F.col("_num") < F.col("_num_own")) & (F.col("restored_num").isNull() | (F.col("restored_num") > F.col("_num_own"))))
     return _found(both, "readoption", "warning", F.concat(F.lit("re-adopts what "), F.col("rejected_link"), F.lit(" rejects")))
 
 
