@@ -151,3 +151,31 @@ def test_nearest_of_each_equals_all_pairs(spark, block):
     for x in sorted(found.collect(), key=lambda x: (x["query_id"], x["rank"])):
         got.setdefault(x["query_id"], []).append(x["id"])
     assert got == {q: ids[:5] for q, ids in want.items()}
+
+
+def test_a_build_shuffles_documents_and_lists(spark, tmp_path):
+    """Rows that are shuffled number as the documents and the lists of (term, block), not as the postings."""
+    spark.range(300).select(F.col("id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(F.lit("w"), i))).alias("text")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, none, None)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = written()
+    path = scratch(spark, "index")
+    postings.build(docs, "id", F.col("text"), path, block=300)
+    assert written() - before < 5000  # of 60,000 postings
+    assert spark.read.parquet(f"{path}/postings").agg(F.sum("n")).first()[0] == 60000
+
+
+def test_an_index_of_odd_documents(spark):
+    """Null and empty texts, keys that are strings, letters that are no tokens."""
+    rows = [("b", "x y x"), ("a", "y"), ("c", None), ("d", ""), ("e", "z é")]
+    path = scratch(spark, "index")
+    postings.build(spark.createDataFrame(rows, "id string, text string"), "id", F.col("text"), path)
+    got = {(r["term"], tuple(r["keys"]), tuple(r["tfs"]), tuple(r["lengths"])) for r in spark.read.parquet(f"{path}/postings").collect()}
+    assert got == {("x", ("b",), (2,), (3,)), ("y", ("a", "b"), (1, 1), (1, 3)), ("z", ("e",), (1,), (1,))}
+    assert postings.Index(spark, path).n == 5
