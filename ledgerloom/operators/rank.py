@@ -6,8 +6,12 @@ pre-aggregated row that is broadcast, so scores need no shuffle; only ranks and
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .order import placed
@@ -148,36 +152,79 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return top_k(out, [F.desc("score"), F.asc(key)], k) if k else out
 
 
+#: Rows that a task multiplies with its queries at a time, and by how much a product may differ from the sum of its terms in their order.
+_SLICE, _SLACK = 512, 2e-9
+
+
+def _best_of(k: int):
+    """Of a block of rows (id, u) the k best for each of some queries (id, u), by the score to nine places, ties by id."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, asked = left.num_rows, right.num_rows
+        if not n or not asked:  # the empty side has no columns
+            none = (left if n else right).column("id").slice(0, 0)
+            return pa.table([none, none, pa.array([], pa.float64())], names=["query_id", "id", "score"])
+        ids = pa.chunked_array([*left.column("id").chunks, *right.column("id").chunks], left.schema.field("id").type)
+        coded = ids.combine_chunks().dictionary_encode()
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(place.size)
+        code = place[coded.indices.to_numpy()]
+        own, asking = code[:n], code[n:]
+        u, v = (pc.list_flatten(t.column("u")).to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+        least = np.full(asked, -np.inf)
+        q, r, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in range(0, n, _SLICE):
+            products = v @ u[at : at + _SLICE].T
+            if at == 0 and products.shape[1] > k + 1:  # one of these may be the query itself
+                least = np.partition(products, -k - 1, axis=1)[:, -k - 1]
+            new_q, new_r = np.nonzero(products >= (least - _SLACK)[:, None])
+            other = own[new_r + at] != asking[new_q]
+            new_q, new_r = new_q[other], new_r[other] + at
+            score = np.zeros(new_q.size)
+            for j in range(u.shape[1]):  # term by term, so equal vectors have equal scores in any block
+                score += v[new_q, j] * u[new_r, j]
+            q, r, s = np.concatenate([q, new_q]), np.concatenate([r, new_r]), np.concatenate([s, np.round(score, 9) + 0.0])
+            order = np.lexsort((own[r], -s, q))
+            q, r, s = q[order], r[order], s[order]
+            first = np.searchsorted(q, np.arange(asked))
+            rank = np.arange(q.size) - first[q]
+            kth = rank == k - 1
+            least[q[kth]] = np.maximum(least[q[kth]], s[kth])
+            q, r, s = q[rank < k], r[rank < k], s[rank < k]
+        return pa.table([right.column("id").take(pa.array(q)), left.column("id").take(pa.array(r)), pa.array(s)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def nearest_of_each(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 256) -> DataFrame:
     """(query_id, key, score, rank): the k nearest other rows by cosine (to nine places, ties by key) of each row that is a query.
 
-    Exact over all rows, by products of blocks: rows and queries are packed into blocks of about `block` unit vectors of one length, every
-    block of rows meets every block of queries by an equi-join, and each pair of blocks gives the k best of the block for each query
-    before anything is sorted. Vectors that are null or hold null or non-finite components take no part; one of norm 0 scores 0.
+    Exact over all rows: blocks of 64 * `block` unit vectors of one length meet turns of 32 * `block` queries, each pair in a group of its own, so
+    the work is dealt over as many tasks as there are pairs. A group multiplies them as matrices, sums up those anew that can be among the k best, in the order
+    of the components, and gives k rows a query. Vectors that are null or hold null or non-finite components take no part; one of norm 0 scores 0.
     """
     x = F.col(vector).cast("array<double>")
     odd = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~odd).select(F.col(key).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), x.alias("v"))
+    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
     rows = rows.select("id", "q", F.size("v").alias("dim"), "v", norm.alias("norm")).withColumn("u", F.transform("v", lambda e: F.when(F.col("norm") > 0, e / F.col("norm")).otherwise(0.0)))
-    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    blocks, turns = max(1, -(-n // block)), max(1, -(-asked // block))
-    own = F.struct(F.col("id").alias("id"), F.col("u").alias("u"))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "dim").agg(F.collect_list(own).alias("rows"))
-    asking = rows.where("q").groupBy(F.pmod(F.xxhash64("id"), F.lit(turns)).alias("turn"), "dim").agg(F.collect_list(own).alias("queries"))
-    met = packed.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long")))).join(asking, ["turn", "dim"])
-
-    def best(q: Column) -> Column:
-        def scored(v: Column) -> Column:
-            dot = F.aggregate(F.zip_with(q["u"], v["u"], lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
-            return F.struct((-F.round(dot, 9)).alias("less"), v["id"].alias("id"))
-
-        return F.struct(q["id"].alias("query_id"), F.slice(F.sort_array(F.transform(F.filter("rows", lambda v: v["id"] != q["id"]), scored)), 1, k).alias("best"))
-
-    lists = met.select(F.inline(F.transform("queries", best))).select("query_id", F.inline("best"))
-    ranked = lists.select("query_id", F.col("id").alias(key), (-F.col("less")).alias("score"))
+    own = F.xxhash64("id")
+
+    def dealt(side: DataFrame, name: str, blocks: int, other: str, times: int) -> DataFrame:
+        """Each row in one block, and once for each of the blocks of the other side. Columns get identities of their own, for those that both sides of a
+        cogroup share are passed to the left one alone."""
+        all_of = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias(other)
+        return side.select(F.pmod(own, F.lit(blocks)).alias(name), "dim", F.col("id").alias("id"), F.col("u").alias("u"), all_of).select("block", "turn", "dim", "id", "u")
+
+    blocks, turns = max(1, -(-n // (64 * block))), max(1, -(-asked // (32 * block)))
+    left, right = dealt(rows, "block", blocks, "turn", turns), dealt(rows.where("q"), "turn", turns, "block", blocks)
+    kind = rows.schema["id"].dataType
+    made = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+    pair = ["block", "turn", "dim"]
+    lists = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(_best_of(k), made)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return lists.withColumnRenamed("id", key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def evaluate(expected: Column, hits: Column, ks: tuple[int, ...] = (1, 3, 10)) -> dict[str, Column]:

@@ -179,3 +179,12 @@ def test_an_index_of_odd_documents(spark):
     got = {(r["term"], tuple(r["keys"]), tuple(r["tfs"]), tuple(r["lengths"])) for r in spark.read.parquet(f"{path}/postings").collect()}
     assert got == {("x", ("b",), (2,), (3,)), ("y", ("a", "b"), (1, 1), (1, 3)), ("z", ("e",), (1,), (1,))}
     assert postings.Index(spark, path).n == 5
+
+
+def test_blocks_of_vectors_meet_in_groups_of_their_own(spark):
+    """One turn of queries and four blocks: their products are made in four groups, not in the one task of the turn; copies tie by their keys over blocks."""
+    df = spark.range(1000).select("id", F.array(F.lit(1.0), (F.col("id") % 10).cast("double")).alias("v"))
+    found = rank.nearest_of_each(df, "id", "v", F.col("id") % 500 == 0, 3, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "block#" in plan and "turn#" in plan
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in found.collect()) == [(0, 1, 10, 1.0), (0, 2, 20, 1.0), (0, 3, 30, 1.0), (500, 1, 0, 1.0), (500, 2, 10, 1.0), (500, 3, 20, 1.0)]
