@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
+#: Rows of a task in spread().
+TASK_ROWS = 1 << 17
+
+
+def spread(rows: DataFrame, on: list[str], per: int = TASK_ROWS) -> DataFrame:
+    """rows dealt by `on` over as many partitions as leave a task about `per` of them, whatever number is set for shuffles: what a task sorts or holds then
+    does not grow with the input, but for a key of more rows than that, whose sort spills."""
+    return rows.repartition(max(1, -(-rows.count() // per)), *on)
+
+
 def placed(rows: DataFrame, group: list[str], order: list[str], weight: str | None = None) -> DataFrame:
     """rows with _i, the place in the order within the group (from 0, nulls first), and _n, the rows of the group. Rows alike in the order follow one
     another in any way, and are dealt over partitions too. Only the numbers of rows of a (group, partition) meet in a window. weight: a column that says for

@@ -219,9 +219,12 @@ def dedup_spans(entries: DataFrame, path: str = "path") -> DataFrame:
 
 
 def merged_intervals(spans: DataFrame, path: str, start: str, end: str) -> DataFrame:
-    """Overlapping or touching [start, end) spans of a path as islands."""
+    """Overlapping or touching [start, end) spans of a path as islands. A task sorts the spans of some paths, of as many as there are rows for."""
     from pyspark.sql import Window
 
+    from ..operators.order import spread
+
+    spans = spread(spans, [path])
     w = Window.partitionBy(path).orderBy(start, end)
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_far", far).withColumn("_new", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far")), 1).otherwise(0))

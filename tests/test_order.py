@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import logs, order, rank
 
@@ -40,3 +41,24 @@ def test_partners_in_a_hot_kind(spark):
     got = {x["id"]: x["partner"] for x in rank.derangement(df, "id", "kind").collect()}
     assert set(got) == set(got.values()) == set(range(301)) | {2000, 2001} and all(a != b for a, b in got.items())
     assert got[2000] == 2001
+
+
+def test_tasks_of_spans_do_not_grow_with_the_input(spark, monkeypatch):
+    """Spans of many paths are sorted in as many tasks as there are rows for, whatever number is set for shuffles."""
+    from ledgerloom.operators import order
+    from ledgerloom.sources import code
+
+    rows = spark.range(4000).select((F.col("id") % 400).alias("path"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    monkeypatch.setattr(order.spread, "__defaults__", (100,))
+    out = code.merged_intervals(rows, "path", "a", "b")
+    assert out.rdd.getNumPartitions() == 40 and out.count() == 4000
+
+
+def test_tasks_of_marks_do_not_grow_with_the_input(spark, monkeypatch, tmp_path):
+    from ledgerloom.plans import catalog
+
+    spark.range(2000).select(F.col("id").alias("l_orderkey"), (F.col("id") * 4).alias("l_partkey"), (F.col("id") % 3).alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(order.spread, "__defaults__", (50,))
+    out = catalog.queries()["marker_rules"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= 80  # 40 of each rule
+    assert out.count() == sum(i * 4 % 40 >= 30 for i in range(2000)) + sum(i * 4 % 40 != i * 4 % 30 for i in range(2000))
