@@ -144,6 +144,12 @@ SALTS = 16
 HOT_SHARE = 2000
 
 
+def followed(rows: DataFrame, n: int, *on: str) -> DataFrame:
+    """rows dealt by `on` over n partitions, a number that follows the input, where fewer are set for shuffles: what a task sorts is then no
+    fixed share of the input. Else rows as they are, for the planner to deal and to join to fewer."""
+    return rows.repartition(n, *on) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def all_salts() -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
 

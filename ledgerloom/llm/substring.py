@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, by_bytes, constants, materialize, mix64, occupied, pack, pack_sorted, power_of_two, salted, text_bytes, unpack, unpack_sorted
+from .common import CHUNK_BYTES, by_bytes, constants, followed, materialize, mix64, occupied, pack, pack_sorted, power_of_two, salted, text_bytes, unpack, unpack_sorted
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
 #: Words of the input for each bucket of the key space.
 BUCKET_WORDS = 1 << 20
+#: Words of the texts that one task sorts, and buckets that one task gets, at most: about 50 MB of text and 25 MB of packed entries.
+TASK_WORDS, TASK_BUCKETS = 1 << 23, 16
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -261,17 +263,19 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = F
     copied = whole.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = salted(whole, copied, ["fp"]).where("doc_id > first")
     copies = materialize(copies.select("doc_id", "th").distinct(), "copies")
-    firsts = whole.join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "th").distinct()
-    texts = docs.join(firsts, ["doc_id", "th"], "left_semi")  # its exchange is written once and read three times
-    texts = texts.select("doc_id", "th", "text")
     words = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = power_of_two(words / BUCKET_WORDS)
+    # The texts are dealt as the ids that they meet are. A semi join is moved below a repartition of texts, which would shuffle them twice.
+    firsts = followed(whole.join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "th"), -(-words // TASK_WORDS), "doc_id", "th").distinct()
+    texts = docs.join(firsts, ["doc_id", "th"], "left_semi")  # its exchange is written once and read three times
+    texts = texts.select("doc_id", "th", "text")
     # Anchors are a filter: bits enough that one in a thousand meets another by chance.
     keep_bits = min(64, max(24, int(words).bit_length() + 10))
 
     def grouped(rows: DataFrame, decide) -> DataFrame:
-        hits = rows.groupBy("bucket").applyInArrow(_bucket(decide), _HIT)
-        return hits.groupBy("piece").applyInArrow(_resolve, _PLACES)
+        tasks = -(-buckets // TASK_BUCKETS)
+        hits = followed(rows, tasks, "bucket").groupBy("bucket").applyInArrow(_bucket(decide), _HIT)
+        return followed(hits, tasks, "piece").groupBy("piece").applyInArrow(_resolve, _PLACES)
 
     found = grouped(texts.mapInArrow(_anchors(window, buckets, keep_bits), _ROW), _twice)
     near = texts.join(found, ["doc_id", "th"]).select("doc_id", "th", "text", "places")

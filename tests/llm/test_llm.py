@@ -174,6 +174,28 @@ def test_substring_random_overlaps(spark):
     assert sorted(map(tuple, got)) == brute_substring(rows)
 
 
+def test_substring_tasks_follow_the_input(docs, monkeypatch):
+    """However few partitions are set for shuffles, a task sorts texts and entries of a bounded size; texts are shuffled once."""
+    spark, few = docs.sparkSession, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(substring, "TASK_WORDS", 4000)
+    monkeypatch.setattr(substring, "BUCKET_WORDS", 1000)
+    monkeypatch.setattr(substring, "TASK_BUCKETS", 5)
+    was = spark.conf.get(few)
+    spark.conf.set(few, "2")
+    try:
+        out = substring.repeated_passages(docs)
+        words = sum(len((r[0] or "").split()) for r in docs.select("text").collect())
+        plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+        dealt = {k: set(map(int, re.findall(rf"Exchange hashpartitioning\({k}, (\d+)\)", plan))) for k in (r"doc_id#\d+L, th#\d+L", r"bucket#\d+L", r"piece#\d+L")}
+        tasks = -(-common.power_of_two(words / 1000) // 5)
+        assert words > 8000 and dealt == {r"doc_id#\d+L, th#\d+L": {2, -(-words // 4000)}, r"bucket#\d+L": {tasks}, r"piece#\d+L": {tasks}}
+        texts = [x for x in plan.splitlines() if "RepartitionByExpression [doc_id" in x]
+        assert texts and all("text" not in x for x in texts)
+        assert sorted(tuple(r) for r in out.collect() if r[0] is not None) == brute_substring(pairs_of(docs))
+    finally:
+        spark.conf.set(few, was)
+
+
 def test_substring_text_and_empty(docs, empty):
     assert substring.repeated_passages(empty).collect() == []
     for r in substring.repeated_passages(docs, with_text=True).where("kept_text is not null").collect():
