@@ -1,6 +1,6 @@
 """An index of records that is published as a whole: versions are staged beside each other and named by manifests.
 
-    <path>/versions/<id>/records, index_errors     tables of a version, written before anything names them
+    <path>/versions/<id>/records, index_errors     tables of a version, written before anything names them (from `staged` beside them, deleted then)
     <path>/manifests/00000001.json                 names a version, with the rows, files and bytes of its tables
 
 A manifest is made with a file that must not exist yet, so of two writers one wins. Readers take the newest manifest that is whole; a write that
@@ -79,7 +79,8 @@ def publish(records: DataFrame, path: str, base: int | None = None) -> int:
     spark = records.sparkSession
     base = (_manifests(spark, path) or [0])[0] if base is None else base
     at = f"{path}/versions/{uuid.uuid4().hex}"
-    good, bad = R.quarantine(records)
+    records.write.parquet(f"{at}/staged")  # computed once: both tables are read from it
+    good, bad = R.quarantine(spark.read.schema(records.schema).parquet(f"{at}/staged"))
     tables = {}
     for name, df in (("records", good), ("index_errors", bad)):
         df.write.parquet(f"{at}/{name}")
@@ -89,6 +90,8 @@ def publish(records: DataFrame, path: str, base: int | None = None) -> int:
             raise Damaged(f"{name}: {rows} rows for {paths} paths")
         files, size = _size(spark, f"{at}/{name}")
         tables[name] = {"rows": rows, "files": files, "bytes": size, "schema": df.schema.json()}
+    fs, staged = file_system(spark, f"{at}/staged")
+    fs.delete(staged, True)
     fs, target = file_system(spark, f"{path}/manifests/{base + 1:08d}.json")
     try:
         out = fs.create(target, False)

@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.order import spread
 
+#: Files that a task parses.
+PARSE_ROWS = 500
 LINK = "struct<link:string,seq:int,date:string,status:string,kind:string,reverses:string,reason_for_change:string,superseded_by:string,promoted_by:string,ruling_text:string,authority:string,source:string,rationale_text:string,rationale_authority:string,alternatives:array<struct<option:string,rejected_because:string,authority:string>>,evidence:array<string>,revisit_if:array<string>,edges:array<struct<rel:string,to_ref:string>>,assumptions:array<struct<aid:string,text:string,status:string,since:string>>,invariant_kind:string,invariant_pattern:string,invariant_scope:string,invariant_allowed:array<string>,recorded_by:string,recorded_at:string>"
 RECORD = f"path string, sha256 string, size long, valid boolean, fallback boolean, diagnostics array<string>, type string, id string, title string, area string, status string, authority string, current string, tags array<string>, code_refs array<string>, standing array<string>, implemented_by array<string>, tested_by array<string>, governed_by array<string>, links array<{LINK}>, body string"
 _SCALARS = ["type", "id", "title", "area", "project", "topic", "current", "status", "authority", "date", "source", "name", "description"]
@@ -142,8 +145,10 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_records(files: DataFrame) -> DataFrame:
-    """files (path, content) as records."""
-    out = files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(_rows, RECORD)
+    """files (path, content) as records. Files are dealt over as many tasks as their number asks for: parsing takes milliseconds a file, and many
+    can come from one small partition."""
+    files = spread(files.select("path", F.col("content").cast("binary").alias("content")), ["path"], PARSE_ROWS)
+    out = files.mapInPandas(_rows, RECORD)
     return out.withColumn("type", type_of(F.col("path"), F.col("type")))
 
 

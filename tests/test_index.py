@@ -24,6 +24,27 @@ def outcome(df):
     return {r["path"]: r["outcome"] for r in df.collect()}
 
 
+def test_records_are_parsed_once_and_in_many_tasks(spark, tmp_path, monkeypatch):
+    """publish() computes its records once, though it writes two tables of them; files of one partition are parsed in many tasks."""
+    monkeypatch.setattr(records, "PARSE_ROWS", 20)
+    rows = ROWS | {f"notes/{i}.md": f"note {i}" for i in range(193)}
+    files = files_of(spark, rows).coalesce(1)
+    parsed = records.parse_records(files)
+    assert parsed.rdd.getNumPartitions() == 10
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    at = str(tmp_path / "ix")
+    index.publish(parsed.mapInPandas(count, parsed.schema), at)
+    assert seen.value == len(rows) == 200
+    assert index.read(spark, at).count() == 199 and index.read(spark, at, "index_errors").count() == 1
+    assert os.listdir(f"{at}/versions") and all(sorted(os.listdir(f"{at}/versions/{v}")) == ["index_errors", "records"] for v in os.listdir(f"{at}/versions"))
+
+
 def test_reindex_parses_what_changed(spark, tmp_path, monkeypatch):
     at = str(tmp_path / "ix")
     assert index.current(spark, at) is None
