@@ -218,7 +218,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     # An empty document begins where the next one does: the last that begins there holds the word.
     doc = np.searchsorted(starts, found, side="right") - 1
     which, first = np.unique(doc, return_index=True)
-    ends = np.append(first[1:], found.size)
+    ends = np.append(first[1:], found.size)[: which.size]  # a piece without repeats has none
     places = [pack_sorted((found[i:j] - starts[x]).astype(np.uint64)) for x, i, j in zip(which.tolist(), first.tolist(), ends.tolist(), strict=True)]
     return pa.table([pa.array(ids[which]), pa.array(ths[which]), pa.array(places, pa.binary())], names=["doc_id", "th", "places"])
 

@@ -196,6 +196,12 @@ def test_substring_tasks_follow_the_input(docs, monkeypatch):
         spark.conf.set(few, was)
 
 
+def test_substring_piece_without_repeats(spark):
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(30))) for d in (1, 2)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute_substring(rows)
+
+
 def test_substring_text_and_empty(docs, empty):
     assert substring.repeated_passages(empty).collect() == []
     for r in substring.repeated_passages(docs, with_text=True).where("kept_text is not null").collect():
